@@ -164,10 +164,11 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Field:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Train on text and lang of docs(doc_id, text, lang) outside the held-out quarter; null langs and texts teach nothing."""
-    rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.where(~held_out(F.col("doc_id"))).withColumn("lot", F.xxhash64("doc_id"))
-    few = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id", "text"))).where(F.col("at") <= sample)
-    got = sorted((r["lang"], r["text"]) for r in few.select("lang", "text").collect())  # at most `sample` of a language
+    rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    lots = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("lot")).distinct()
+    few = lots.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))).where(F.col("at") <= sample)
+    ids = sorted({r["doc_id"] for r in few.select("doc_id").where("doc_id is not null").collect()})  # at most `sample` of a language
+    got = sorted((r["lang"], r["text"]) for r in rows.where(F.col("doc_id").isin(ids)).select("lang", "text").distinct().collect()) if ids else []
     return train([t for _, t in got], [g for g, _ in got])
 
 

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language_id import identify_languages
+from .media_chunks import store_and_read
 from .mixing import mix
 from .near_dedup import near_classes
+from .pii import find_pii
 from .piece_tokens import encode_documents
+from .token_rollup import token_totals
+from .url_filter import judge_urls
 
 
 def piece_model() -> str:
@@ -21,10 +26,26 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_totals(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,13 +58,29 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_language_id, op6_exact_dedup, op7_near_dedup, op8_mix_sources, op10_piece_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_html_text, op2_url_filter, op3_pii, op4_language_id, op5_token_counts, op6_exact_dedup, op7_near_dedup, op8_mix_sources, op9_media_chunks, op10_piece_tokens,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_token_counts": r"""
+        WITH counts AS (
+            SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, length(coalesce(text, '')) AS n_chars FROM documents
+            UNION ALL
+            SELECT source, lang, 'utf8-bytes-1', strlen(coalesce(text, '')), length(coalesce(text, '')) FROM documents)
+        SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_chars) AS BIGINT) AS n_chars
+        FROM counts GROUP BY ALL""",
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
