@@ -34,7 +34,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_RUN = re.compile(r"[A-Za-z0-9._%+-]+(?: ?@ ?|[\[( ]at[\]) ])[A-Za-z0-9.-]+|[+(]?[0-9](?:[ ().\-]{0,2}[0-9]){6,}")
+_RUN = re.compile(r"[A-Za-z0-9._%+-]+(?: ?@ ?|\[at\]|\(at\))[A-Za-z0-9.-]+|[+(]?[0-9](?:[ ().\-]{0,2}[0-9]){6,}")
 _UNIT = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 
 
