@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pick
+from .common import on_workers, pick
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each language that training sees.
@@ -235,7 +235,7 @@ def label_languages(docs: DataFrame, model: Field) -> DataFrame:
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=arrow_names)
 
-    return rows.mapInArrow(run, schema)
+    return on_workers(rows, run, schema)
 
 
 def identify_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

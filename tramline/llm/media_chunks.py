@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, pick
+from .common import on_workers, partitions, pick
 
 UNIT, TAIL = 576, 32
 #: Least and largest bytes of a chunk, and the bits of the hash that a cut needs to be zero (some 8 KB on average).
@@ -131,7 +131,7 @@ def chunked(rows: DataFrame, with_bytes: bool) -> DataFrame:
         columns = list(zip(*found, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return on_workers(rows, run, schema)
 
 
 def rebuilt(ordered: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def rebuilt(ordered: DataFrame) -> DataFrame:
         if pieces:
             raise ValueError("the last medium lacks chunks")
 
-    return ordered.mapInArrow(run, schema)
+    return on_workers(ordered, run, schema)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:

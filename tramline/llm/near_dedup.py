@@ -8,7 +8,7 @@ Points are only drawn up to the time by which all slots have one; a text needs f
 
 Candidates. Signatures are banded. A bucket's pairs are not listed: each member is held against one pivot, the
 least doc_id. Verified links join members to classes. Wherever members of a bucket are left in different classes, further
-pivots are taken, twice as many each time up to PIVOTS, until the members that were no pivots are of one class: then no link
+pivots are taken, up to PIVOTS at a time, until the members that were no pivots are of one class: then no link
 between classes is left. Copies (equal word sequences) are one member.
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, on_workers, pick
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 80 slots: a pair at 0.8 meets in a band with probability 0.99997.
@@ -176,7 +176,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
             sign()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, copy binary, bands array<long>")
+    return on_workers(docs, run, "doc_id long, copy binary, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -195,7 +195,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float
 
     both = pairs.join(texts.select(F.col("member").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("member").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    return on_workers(both, run, "a long, b long")
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -235,17 +235,19 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
     wanted = buckets.select("member").distinct()
     texts = cut(docs.join(wanted, docs["doc_id"] == wanted["member"]).groupBy("member").agg(F.max("text").alias("text")))
     links = buckets.select(F.col("member").alias("a"), F.col("member").alias("b")).limit(0)
-    classes, lanes = None, 1
+    classes, lanes, spread = None, 1, 1
     while True:
         if classes is None:
             state = buckets.withColumn("class", F.col("member"))
         else:
             state = buckets.join(classes, "member", "left").select("member", "bucket", F.coalesce("class", "member").alias("class"))
-        # a pivot of each lane; lanes are dealt by hash, so that no bucket is gathered to choose them
-        lane = state.groupBy("bucket", F.pmod(F.xxhash64("member"), F.lit(lanes)).alias("lane")).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min(F.struct("member", "class")).alias("pivot"))
+        # A pivot of each lane. Lanes are dealt by hash of the class, so that no bucket is gathered to choose them and that
+        # small classes beside a large one soon have no member left that was no pivot.
+        deal = F.pmod(F.xxhash64("class", F.pmod(F.xxhash64("member"), F.lit(spread))), F.lit(lanes))
+        lane = state.groupBy("bucket", deal.alias("lane")).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min(F.struct("member", "class")).alias("pivot"))
         open_ = lane.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("pivot").alias("pivots")).where("least < most")
         round_ = cut(state.join(open_.select("bucket", "pivots"), "bucket"))
-        pairs = round_.select("member", "class", F.explode("pivots").alias("pivot")).where("class <> pivot.class")
+        pairs = round_.select("member", F.explode(F.expr("filter(pivots, p -> p.class <> class)")).alias("pivot"))
         pairs = pairs.select(F.greatest("member", "pivot.member").alias("a"), F.least("member", "pivot.member").alias("b")).distinct()
         found = cut(verify(pairs, texts, size, least))
         if found.limit(1).count():
@@ -254,7 +256,7 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
         buckets = cut(round_.where("not exists(pivots, p -> p.member = member)").select("member", "bucket"))
         if not buckets.limit(1).count():
             break
-        lanes = min(2 * lanes, PIVOTS)
+        spread, lanes = spread * (1 if lanes == 1 else 2), PIVOTS
     if classes is not None:
         members = members.join(classes, "member", "left").select("copy", F.coalesce("class", "member").alias("class"))
     else:

@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import on_workers, pick
 
 MARK = "▁"
 #: Segments and pairs remembered by a task, and the longest segment that is.
@@ -317,4 +317,4 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
     rows = pick(docs, "doc_id", "text")
-    return rows.select(rows["doc_id"].cast("long"), rows["text"].cast("string")).mapInArrow(run, schema)
+    return on_workers(rows.select(rows["doc_id"].cast("long"), rows["text"].cast("string")), run, schema)

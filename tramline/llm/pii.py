@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import on_workers, pick
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -300,4 +300,4 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *n[:4], pa.array(sums, pa.string()), pa.array(spans, pa.string()), n[4]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     rows = pick(docs, "doc_id", "text")
-    return rows.select(rows["doc_id"].cast("long"), rows["text"]).mapInArrow(run, schema)
+    return on_workers(rows.select(rows["doc_id"].cast("long"), rows["text"]), run, schema)
