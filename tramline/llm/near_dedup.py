@@ -6,10 +6,11 @@ signature slot and a weight within the stratum. Points above the multiplicity ar
 over (0, w], and the earliest point of a slot is the same for two texts with the probability of their weighted Jaccard similarity.
 Points are only drawn up to the time by which all slots have one; a text needs few more than one draw a shingle.
 
-Candidates. Signatures are banded. A bucket's pairs are not listed: each member is held against one pivot, the
-least doc_id. Verified links join members to classes. Wherever members of a bucket are left in different classes, further
-pivots are taken, up to PIVOTS at a time, until the members that were no pivots are of one class: then no link
-between classes is left. Copies (equal word sequences) are one member.
+Candidates. Signatures are banded. A bucket's pairs are not listed: in a first round each member is held against one pivot,
+the least doc_id, and in a second against two more. Verified links join members to classes. Where members of a bucket are left
+in different classes, tasks compare blocks of some BLOCK members of it, two at a time, and verify the pairs of different
+classes whose sketches agree in AGREE of the slots or more. At a similarity of 0.8, fewer agree with a probability of 0.00001.
+Copies (equal word sequences) are one member.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workers import importable
 from .common import cut, on_workers, pick
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 80 slots: a pair at 0.8 meets in a band with probability 0.99997.
 BANDS, ROWS = 20, 4
-#: Pivots of an open bucket in one round at most.
-PIVOTS = 64
+#: Rounds with pivots, 1, 2 ... of a bucket; members of a block; share of slots that agree in listed pairs.
+TURNS, BLOCK, AGREE = 2, 512, 0.6
 #: Words remembered by a task, and words signed together.
 REMEMBERED, TOGETHER = 500_000, 100_000
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -141,13 +143,14 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, copy (digest of the lower-cased words) and bands (a hash of each; none without words)."""
+    """doc_id, copy (digest of the lower-cased words), bands (a hash of each) and sketch (16 bits of each slot); nulls without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
             digests: list[bytes | None] = []
             keys: list[np.ndarray | None] = []
+            sketches: list[bytes | None] = []
             bags: list[tuple[np.ndarray, np.ndarray]] = []
             waiting: list[int] = []
 
@@ -156,8 +159,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
                 key = np.full((len(bags), bands), size, np.uint64)
                 for k in range(rows):
                     key = _mixed(key ^ names[:, :, k])
-                for i, one in zip(waiting, key.view(np.int64), strict=True):
-                    keys[i] = one
+                short = (names >> np.uint64(48)).astype(np.uint16)
+                for i, one, sketch in zip(waiting, key.view(np.int64), short, strict=True):
+                    keys[i], sketches[i] = one, sketch.tobytes()
                 bags.clear()
                 waiting.clear()
 
@@ -165,6 +169,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
             for i, text in enumerate(batch.column(1)):
                 words = shingler.words(text.as_py() or "")
                 keys.append(None)
+                sketches.append(None)
                 digests.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
                 if len(words):
                     bags.append(shingler.bag(words))
@@ -174,9 +179,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
                     sign()
                     held = 0
             sign()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "copy", "bands", "sketch"])
 
-    return on_workers(docs, run, "doc_id long, copy binary, bands array<long>")
+    return on_workers(docs, run, "doc_id long, copy binary, bands array<long>, sketch binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -198,6 +203,58 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float
     return on_workers(both, run, "a long, b long")
 
 
+def linked(state: DataFrame, members: DataFrame, texts: DataFrame, slots: int, size: int, least: float) -> DataFrame:
+    """links(a, b) that join members of a bucket but of different classes.
+
+    Tasks compare the blocks of a bucket two at a time. Pairs whose sketches agree in AGREE of the slots are verified in the
+    first bucket that they share; what would join classes that a task has joined already is skipped. Only links leave a task.
+    """
+    sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+    blocks = state.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    blocks = blocks.join(members.select("member", "bands", "sketch"), "member").join(texts, "member")
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = blocks.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "band", "own", "member", "class", "bands", "sketch", "text")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        own, member, of_class = (rows.column(c).to_numpy() for c in ("own", "member", "class"))
+        names = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(own), slots)
+        keys = np.array(rows.column("bands").to_pylist())
+        band, within = rows.column("band")[0].as_py(), rows.column("low")[0] == rows.column("high")[0]
+        known, counts = np.unique(of_class, return_counts=True)
+        few = np.flatnonzero(of_class != known[counts.argmax()])  # a pair of different classes has a member outside the largest
+        shingler, texts_ = Shingler(size), rows.column("text")
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        joined: dict[int, int] = {}  # classes joined here
+
+        def root(c: int) -> int:
+            while (up := joined.get(c, c)) != c:
+                c = up
+            return c
+
+        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in bags:
+                bags[i] = shingler.bag(shingler.words(texts_[i].as_py()))
+            return bags[i]
+
+        a, b = [], []
+        for i in few.tolist():
+            agree = (names == names[i]).sum(axis=1)
+            fits = (agree >= AGREE * slots) & (of_class != of_class[i]) & ((keys == keys[i]).argmax(axis=1) == band)
+            if not within:
+                fits &= own != own[i]
+            near = np.flatnonzero(fits)
+            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                if (x := root(int(of_class[i]))) != (y := root(int(of_class[j]))) and overlap(bag(i), bag(j)) >= least:
+                    joined[max(x, y)] = min(x, y)
+                    a.append(max(member[i], member[j]))
+                    b.append(min(member[i], member[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    importable(state.sparkSession)
+    return pair.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """member, class: the least member reachable by links(a, b), for all members that have a link.
 
@@ -228,39 +285,35 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(signatures(docs, size, bands, rows))
     usable = signed.where(F.col("copy").isNotNull() & F.col("doc_id").isNotNull())
-    members = cut(usable.groupBy("copy").agg(F.min("doc_id").alias("member"), F.min("bands").alias("bands")))
+    members = cut(usable.groupBy("copy").agg(F.min("doc_id").alias("member"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     placed = members.select("member", F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = cut(placed.join(shared, ["band", "key"]).select("member", F.xxhash64("band", "key").alias("bucket")))
+    buckets = cut(placed.join(shared, ["band", "key"]).select("member", "band", F.xxhash64("band", "key").alias("bucket")))
     wanted = buckets.select("member").distinct()
     texts = cut(docs.join(wanted, docs["doc_id"] == wanted["member"]).groupBy("member").agg(F.max("text").alias("text")))
     links = buckets.select(F.col("member").alias("a"), F.col("member").alias("b")).limit(0)
-    classes, lanes, spread = None, 1, 1
-    while True:
+    classes = None
+    for turn in range(TURNS + 1):
         if classes is None:
             state = buckets.withColumn("class", F.col("member"))
         else:
-            state = buckets.join(classes, "member", "left").select("member", "bucket", F.coalesce("class", "member").alias("class"))
-        # A pivot of each lane. Lanes are dealt by hash of the class, so that no bucket is gathered to choose them and that
-        # small classes beside a large one soon have no member left that was no pivot.
-        deal = F.pmod(F.xxhash64("class", F.pmod(F.xxhash64("member"), F.lit(spread))), F.lit(lanes))
-        lane = state.groupBy("bucket", deal.alias("lane")).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min(F.struct("member", "class")).alias("pivot"))
+            state = buckets.join(classes, "member", "left").select("member", "band", "bucket", F.coalesce("class", "member").alias("class"))
+        if turn == TURNS:
+            links = links.unionByName(linked(state, members, texts, bands * rows, size, least))
+            classes = components(links)
+            break
+        # A pivot of each lane; lanes and pivots are dealt by hash, so that no bucket is gathered to choose them.
+        lanes, order = 2**turn, F.xxhash64("bucket", "member") if turn else F.lit(0)
+        deal = F.xxhash64("member", "bucket")
+        lane = state.groupBy("bucket", F.pmod(deal, F.lit(lanes)).alias("lane")).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min(F.struct(order.alias("order"), "member", "class")).alias("pivot"))
         open_ = lane.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("pivot").alias("pivots")).where("least < most")
         round_ = cut(state.join(open_.select("bucket", "pivots"), "bucket"))
         pairs = round_.select("member", F.explode(F.expr("filter(pivots, p -> p.class <> class)")).alias("pivot"))
         pairs = pairs.select(F.greatest("member", "pivot.member").alias("a"), F.least("member", "pivot.member").alias("b")).distinct()
-        found = cut(verify(pairs, texts, size, least))
-        if found.limit(1).count():
-            links = cut(links.unionByName(found))
-            classes = components(links)
-        buckets = cut(round_.where("not exists(pivots, p -> p.member = member)").select("member", "bucket"))
-        if not buckets.limit(1).count():
-            break
-        spread, lanes = spread * (1 if lanes == 1 else 2), PIVOTS
-    if classes is not None:
-        members = members.join(classes, "member", "left").select("copy", F.coalesce("class", "member").alias("class"))
-    else:
-        members = members.select("copy", F.col("member").alias("class"))
+        links = cut(links.unionByName(verify(pairs, texts, size, least)))
+        classes = components(links)
+        buckets = round_.where("not exists(pivots, p -> p.member = member)").select("member", "band", "bucket")
+    members = members.join(classes, "member", "left").select("copy", F.coalesce("class", "member").alias("class"))
     out = signed.join(members, "copy", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
