@@ -1 +1 @@
-
+"""Running rules over a feed."""
