@@ -40,16 +40,17 @@ def run_rules(feed: Feed, options: RunOptions, names: list[str] | None = None) -
     kept = [feed.tables[t].persist() for t in SHARED if feed.has(t)]
     out = [] if feed.notices is None else [feed.notices.withColumn("rule", F.lit("loader"))]
     pending: list[tuple[Rule, DataFrame]] = []
+    parts = int(feed.spark.conf.get("spark.sql.shuffle.partitions"))  # a union has the partitions of all its plans
 
     def flush() -> None:
         if not pending:
             return
         try:
-            out.append(cut(union([p for _, p in pending])))
+            out.append(cut(union([p for _, p in pending]).coalesce(parts)))
         except Exception:
             for r, p in pending:
                 try:
-                    out.append(cut(p))
+                    out.append(cut(p.coalesce(parts)))
                 except Exception as error:
                     out.append(broken(feed, r.name, error).withColumn("rule", F.lit(r.name)))
         pending.clear()

@@ -219,7 +219,7 @@ add("rule_dangling", "PathwayDanglingGenericNodeValidator", "stopId", row("pathw
 add("rule_unreachable", "PathwayReachableLocationValidator", "stopId hasEntrance hasExit", None)
 add("rule_unused_stop", "UnusedStopValidator", "stopId", "SELECT 1")
 ORACLE_SQL["rule_unused_stop"] = synth.with_views("SELECT 1 FROM stops, stop_times").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("\nSELECT 1 FROM stops, stop_times") + """,
-up AS (SELECT stop_id AS a, arg_max(parent_station, _row) AS b FROM stops GROUP BY 1), seen(id) AS (SELECT DISTINCT stop_id FROM stop_times WHERE stop_id IS NOT NULL UNION SELECT b FROM seen JOIN up ON a = id WHERE b IS NOT NULL)
+up AS (SELECT stop_id AS a, arg_max_null(parent_station, _row) AS b FROM stops GROUP BY 1), seen(id) AS (SELECT DISTINCT stop_id FROM stop_times WHERE stop_id IS NOT NULL UNION SELECT b FROM seen JOIN up ON a = id WHERE b IS NOT NULL)
 SELECT 'unused_stop' AS code, CAST(_row AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, stop_id AS stopId FROM stops WHERE stop_id NOT IN (SELECT id FROM seen)"""
 
 # transfers
@@ -255,7 +255,7 @@ add("rule_shape_distance", "ShapeIncreasingDistanceValidator", "shapeId prevCsvR
 add("rule_single_point", "SingleShapePointValidator", "shapeId", "SELECT 'single_shape_point' AS code, CAST(min(_row) AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, shape_id AS shapeId FROM shapes GROUP BY shape_id HAVING count(*) = 1")
 _top = "(SELECT * FROM shapes WHERE shape_dist_traveled IS NOT NULL QUALIFY row_number() OVER (PARTITION BY shape_id ORDER BY shape_dist_traveled DESC, _row) = 1) m"
 _end = "(SELECT * FROM stop_times QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence DESC, _row DESC) = 1) z"
-_lst = "(SELECT stop_id, max_by(stop_lat, _row) AS stop_lat, max_by(stop_lon, _row) AS stop_lon FROM stops GROUP BY 1) s"
+_lst = "(SELECT stop_id, stop_lat, stop_lon FROM stops QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY _row DESC) = 1) s"
 _ts = f"(SELECT t._row, t.trip_id, {haversine('s.stop_lat', 's.stop_lon', 'm.shape_pt_lat', 'm.shape_pt_lon')} AS far FROM trips t JOIN {_top} ON m.shape_id = t.shape_id JOIN {_end} ON z.trip_id = t.trip_id JOIN {_lst} ON s.stop_id = z.stop_id WHERE m.shape_dist_traveled > 0 AND z.shape_dist_traveled > m.shape_dist_traveled) x"
 add("rule_trip_and_shape", "TripAndShapeDistanceValidator", "tripId", row("trip_distance_exceeds_shape_distance", _ts, "far > 11.1", tripId="trip_id"), row("trip_distance_exceeds_shape_distance_below_threshold", _ts, "far <= 11.1 AND far > 0", tripId="trip_id"))
 add("rule_travel_speed", "StopTimeTravelSpeedValidator", "tripId csvRowNumber1 csvRowNumber2", None)

@@ -1 +1 @@
-
+"""Reading feeds and writing reports."""
