@@ -260,3 +260,98 @@ _ts = f"(SELECT t._row, t.trip_id, {haversine('s.stop_lat', 's.stop_lon', 'm.sha
 add("rule_trip_and_shape", "TripAndShapeDistanceValidator", "tripId", row("trip_distance_exceeds_shape_distance", _ts, "far > 11.1", tripId="trip_id"), row("trip_distance_exceeds_shape_distance_below_threshold", _ts, "far <= 11.1 AND far > 0", tripId="trip_id"))
 add("rule_travel_speed", "StopTimeTravelSpeedValidator", "tripId csvRowNumber1 csvRowNumber2", None)
 add("rule_shape_matching", "ShapeToStopMatchingValidator", "tripId shapeId stopId", None)
+
+# the rules whose SQL needs more than a few lines
+_sig = "(SELECT trip_id, string_agg(coalesce(stop_id, '-') || '/' || coalesce(CAST(arrival_time AS VARCHAR), '-') || '/' || coalesce(CAST(departure_time AS VARCHAR), '-'), ',' ORDER BY _row) AS sig FROM stop_times GROUP BY 1)"
+add("rule_duplicate_trip", "DuplicateTripValidator", "tripCount exampleTripIds", f"""SELECT 'duplicate_trip' AS code, CAST(min(_row) AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, CAST(count(*) AS VARCHAR) AS tripCount,
+    array_to_string(list_slice(list(trip_id ORDER BY _row), 1, 5), ',') AS exampleTripIds FROM trips JOIN {_sig} s USING (trip_id) GROUP BY service_id, route_id, direction_id, block_id, shape_id, sig HAVING count(*) > 1""")
+_flex = "(SELECT * FROM stop_times WHERE start_pickup_drop_off_window IS NOT NULL AND end_pickup_drop_off_window IS NOT NULL)"
+add("rule_zone_overlap", "OverlappingPickupDropOffZoneValidator", "tripId stopSequence1 stopSequence2", f"""SELECT 'overlapping_zone_and_pickup_drop_off_window' AS code, CAST(b._row AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, a.trip_id AS tripId, CAST(a.stop_sequence AS VARCHAR) AS stopSequence1, CAST(b.stop_sequence AS VARCHAR) AS stopSequence2
+    FROM {_flex} a JOIN {_flex} b ON a.trip_id = b.trip_id AND (a.stop_sequence, a._row) < (b.stop_sequence, b._row) AND a.start_pickup_drop_off_window < b.end_pickup_drop_off_window AND b.start_pickup_drop_off_window < a.end_pickup_drop_off_window
+    LEFT JOIN locations p ON p.location_id = a.location_id LEFT JOIN locations q ON q.location_id = b.location_id
+    WHERE (coalesce(a.pickup_type, 0) = coalesce(b.pickup_type, 0) OR coalesce(a.drop_off_type, 0) = coalesce(b.drop_off_type, 0))
+    AND (a.location_id = b.location_id OR a.location_group_id = b.location_group_id OR (p.minx <= q.maxx AND q.minx <= p.maxx AND p.miny <= q.maxy AND q.miny <= p.maxy))""")
+_stops = "(SELECT stop_id, coalesce(location_type, 0) AS k, parent_station AS p FROM stops QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY _row DESC) = 1)"
+add("rule_unreachable", "PathwayReachableLocationValidator", "stopId hasEntrance hasExit", "SELECT 1")
+ORACLE_SQL["rule_unreachable"] = synth.with_views("SELECT 1 FROM stops, pathways").replace("WITH ", "WITH RECURSIVE ", 1).removesuffix("\nSELECT 1 FROM stops, pathways") + f""",
+e AS (SELECT from_stop_id AS a, to_stop_id AS b FROM pathways UNION SELECT to_stop_id, from_stop_id FROM pathways WHERE is_bidirectional = 1), doors AS (SELECT DISTINCT stop_id AS id FROM stops WHERE location_type = 2),
+ahead(id) AS (SELECT id FROM doors UNION SELECT b FROM ahead JOIN e ON a = id), back(id) AS (SELECT id FROM doors UNION SELECT a FROM back JOIN e ON b = id),
+home AS (SELECT x.stop_id AS id, CASE WHEN x.k = 1 THEN x.stop_id WHEN y.k = 1 THEN y.stop_id WHEN z.k = 1 THEN z.stop_id END AS station FROM {_stops} x LEFT JOIN {_stops} y ON x.p = y.stop_id LEFT JOIN {_stops} z ON y.p = z.stop_id)
+SELECT 'pathway_unreachable_location' AS code, CAST(_row AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, stop_id AS stopId, CAST(stop_id IN (SELECT id FROM ahead) AS VARCHAR) AS hasEntrance, CAST(stop_id IN (SELECT id FROM back) AS VARCHAR) AS hasExit
+FROM stops JOIN home ON id = stop_id WHERE station IN (SELECT station FROM home WHERE station IS NOT NULL AND id IN ({_on})) AND (location_type IN (3, 4) OR coalesce(location_type, 0) = 0 AND stop_id NOT IN (SELECT parent_station FROM stops WHERE parent_station IS NOT NULL))
+AND NOT (stop_id IN (SELECT id FROM ahead) AND stop_id IN (SELECT id FROM back))"""
+_known = "'agency', 'stops', 'routes', 'trips', 'stop_times', 'calendar', 'feed_info'"
+_tr = "(SELECT *, CASE WHEN table_name = 'feed_info' THEN 0 WHEN table_name = 'stop_times' THEN 2 ELSE 1 END AS arity FROM translations WHERE table_name IS NOT NULL AND language IS NOT NULL) t"
+_use = f"field_value IS NULL AND table_name IN ({_known})"
+add("rule_translations", "TranslationFieldAndReferenceValidator", "tableName", each("missing_required_field", "translations", {f: f"{f} IS NULL" for f in ("table_name", "language")}, tableName="NULL"),
+    *[row("translation_unexpected_value", _tr, where, f"'{f}'", tableName="NULL") for f, least in (("record_id", 1), ("record_sub_id", 2)) for where in (f"field_value IS NOT NULL AND {f} IS NOT NULL", f"{_use} AND arity < {least} AND {f} IS NOT NULL")],
+    *[row("missing_required_field", _tr, f"{_use} AND arity >= {least} AND {f} IS NULL", f"'{f}'", tableName="NULL") for f, least in (("record_id", 1), ("record_sub_id", 2))],
+    row("translation_unknown_table_name", _tr, f"table_name NOT IN ({_known})", tableName="table_name"),
+    row("translation_foreign_key_violation", _tr, f"""{_use} AND (arity = 1 AND record_id IS NOT NULL AND record_sub_id IS NULL AND (table_name = 'agency' AND record_id NOT IN (SELECT agency_id FROM agency WHERE agency_id IS NOT NULL) OR table_name = 'routes' AND record_id NOT IN (SELECT route_id FROM routes))
+    OR arity = 2 AND record_id IS NOT NULL AND record_sub_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM stop_times s WHERE s.trip_id = t.record_id AND s.stop_sequence = TRY_CAST(t.record_sub_id AS BIGINT)))""", tableName="table_name"))
+_speed = "CASE route_type WHEN 0 THEN 100 WHEN 1 THEN 150 WHEN 2 THEN 500 WHEN 3 THEN 150 WHEN 4 THEN 80 WHEN 5 THEN 30 WHEN 6 THEN 50 WHEN 7 THEN 50 ELSE 200 END"
+_kph = "{km} / (CASE WHEN {a} - {d} <= 0 THEN 60 WHEN {d} % 60 = 0 AND {a} % 60 = 0 THEN {a} - {d} + 60 ELSE {a} - {d} END) * 3600"
+add("rule_travel_speed", "StopTimeTravelSpeedValidator", "tripId csvRowNumber1 csvRowNumber2", "SELECT 1")
+_front = synth.with_views("SELECT 1 FROM stops, stop_times, trips, routes").removesuffix("\nSELECT 1 FROM stops, stop_times, trips, routes")
+ORACLE_SQL["rule_travel_speed"] = _front + f""",
+tr AS MATERIALIZED (SELECT t.trip_id, t._row AS tr, t.route_id, {_speed} AS top FROM (SELECT * FROM trips QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY _row DESC) = 1) t JOIN (SELECT * FROM routes QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY _row DESC) = 1) r USING (route_id)),
+pl AS MATERIALIZED {_at},
+ok AS (SELECT stop_id FROM (SELECT * FROM stops QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY _row DESC) = 1) s WHERE coalesce(abs(stop_lat) <= 90, TRUE) AND coalesce(abs(stop_lon) <= 180, TRUE)),
+c AS (SELECT s.trip_id, tr.tr, tr.top, s._row, s.stop_id, s.arrival_time AS a, s.departure_time AS d, row_number() OVER w AS i, coalesce(pl.at_.y, 0.0::DOUBLE)::DOUBLE AS y, coalesce(pl.at_.x, 0.0::DOUBLE)::DOUBLE AS x
+    FROM stop_times s JOIN tr USING (trip_id) LEFT JOIN pl ON pl.stop_id = s.stop_id WINDOW w AS (PARTITION BY s.trip_id ORDER BY s.stop_sequence, s._row)),
+l AS (SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px, lag(d) OVER w AS pd, lag(_row) OVER w AS pr, lag(stop_id) OVER w AS ps FROM c WINDOW w AS (PARTITION BY trip_id ORDER BY i)),
+g AS MATERIALIZED (SELECT *, CASE WHEN i = 1 THEN 0 ELSE {haversine('py', 'px', 'y', 'x').replace('6371000.0', '6371.0')} END AS leg FROM l),
+k AS MATERIALIZED (SELECT *, sum(leg) OVER (PARTITION BY trip_id ORDER BY i) AS km FROM g),
+near AS (SELECT 'fast_travel_between_consecutive_stops' AS code, trip_id, tr, pr AS r1, _row AS r2, ps AS s1, stop_id AS s2 FROM g WHERE i > 1 AND pd IS NOT NULL AND a IS NOT NULL AND {_kph.format(km='leg', a='a', d='pd')} > top),
+far AS (SELECT 'fast_travel_between_far_stops' AS code, p.trip_id, p.tr, p._row AS r1, q._row AS r2, p.stop_id AS s1, q.stop_id AS s2 FROM k p JOIN k q ON p.trip_id = q.trip_id AND p.i < q.i WHERE p.d IS NOT NULL AND q.a IS NOT NULL AND q.km - p.km > 10 AND {_kph.format(km='(q.km - p.km)', a='q.a', d='p.d')} > p.top
+    QUALIFY row_number() OVER (PARTITION BY p.trip_id ORDER BY q.i, p.i DESC) = 1)
+SELECT code, CAST(tr AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, trip_id AS tripId, CAST(r1 AS VARCHAR) AS csvRowNumber1, CAST(r2 AS VARCHAR) AS csvRowNumber2 FROM (SELECT * FROM near UNION ALL SELECT * FROM far) z WHERE s1 IN (SELECT stop_id FROM ok) AND s2 IN (SELECT stop_id FROM ok)"""
+
+
+# load and report analytics
+def _analytic(name: str, make: Callable, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(synth.feed(spark, sf_dir))
+    ORACLE_SQL[name] = synth.with_views(sql)
+
+
+def _service_dates(feed):
+    from .plans.service import service_dates
+
+    return service_dates(feed, clamp=True)
+
+
+def _counts(feed):
+    from .sources.report import counts
+
+    return counts(feed)
+
+
+def _window_(feed):
+    from .sources.report import service_window
+
+    return service_window(feed).toDF("first_date", "last_date")
+
+
+def _per_date(feed):
+    from .operators.calendar import trips_per_date
+
+    return trips_per_date(feed)
+
+
+_analytic("service_dates", _service_dates, f"SELECT service_id, d AS date FROM {dates(True)} x")
+_analytic("trips_per_date", _per_date, f"SELECT d AS date, n FROM {_per} x")
+_analytic("feed_counts", _counts, " UNION ALL ".join(f"SELECT '{e}' AS entity, count(DISTINCT {k}) AS n FROM {t}" for e, t, k in (("Shapes", "shapes", "shape_id"), ("Stops", "stops", "stop_id"), ("Routes", "routes", "route_id"), ("Trips", "trips", "trip_id"), ("Blocks", "trips", "block_id"), ("Agencies", "agency", "agency_id"))))
+_analytic("service_window", _window_, f"SELECT min(d) AS first_date, max(d) AS last_date FROM {dates(True)} x")
+
+
+def notice_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by code and severity of some rules over stop_times, from one union of their plans."""
+    feed = synth.feed(spark, sf_dir)
+    names = ("TimepointTimeValidator", "StopTimesGeographyIdPresenceValidator", "MissingTripEdgeValidator")
+    found = [run_rule(feed, all_rules()[n], synth.OPTIONS) for n in names]
+    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("code", "severity").agg(F.count("*").alias("total"))
+
+
+QUERIES["notice_rollup"] = notice_rollup
+_parts = [ORACLE_SQL[n] for n in ("rule_timepoint", "rule_geography_presence", "rule_missing_trip_edge")]
+ORACLE_SQL["notice_rollup"] = "SELECT code, CASE WHEN code = 'missing_timepoint_value' THEN 'WARNING' ELSE 'ERROR' END AS severity, count(*) AS total FROM (" + " UNION ALL ".join(f"SELECT code FROM ({p}) x" for p in _parts) + ") n GROUP BY 1"
