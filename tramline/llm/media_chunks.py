@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers, partitions, pick
+from .common import cut, on_workers, partitions, pick
 
 UNIT, TAIL = 576, 32
 #: Least and largest bytes of a chunk, and the bits of the hash that a cut needs to be zero (some 24 KB on average).
@@ -172,7 +172,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     shared. Other columns are ignored. A medium is in memory whole when it is cut and when it is rebuilt, one at a time.
     """
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    manifest = chunked(rows, with_bytes=False)
+    manifest = cut(chunked(rows, with_bytes=False))  # fixes the numbers of the rows, and spares cutting them again for each use
     store = chunked(rows, with_bytes=True).groupBy("digest").agg(F.first("data").alias("data"))
     joined = manifest.join(store, "digest").select("row", "doc_id", "at", "chunks", "n_bytes", "whole", "data")
     ordered = joined.where("chunks > 1").repartition(partitions(docs.sparkSession), "row").sortWithinPartitions("row", "at")
