@@ -329,3 +329,18 @@ def test_chunks_survive_an_insertion():
     pieces = lambda x: [x[a:b] for a, b in zip([0, *media_chunks.cuts(x)], media_chunks.cuts(x))]
     a, b = pieces(data), pieces(data[:1000] + b"inserted" + data[1000:])
     assert b"".join(a) == data and len(set(a) - set(b)) <= 3
+
+
+def test_media_share_passages(spark):
+    passage = prose(1200, 90)
+    texts = [prose(200 + 30 * i, 91 + i) + " " + passage + " " + prose(150, 200 + i) for i in range(3)] + [prose(500, 300 + i) for i in range(300)]
+    pieces = []
+    for t in texts[:3]:
+        media = media_chunks.wav(media_chunks.payload(t)[1])
+        pieces.append({media[a:b] for a, b in zip([0, *media_chunks.cuts(media)], media_chunks.cuts(media))})
+    assert len(passage) > 5000 and sum(map(len, pieces[0] & pieces[1] & pieces[2])) > len(passage) // 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert media_chunks.dictionary(df)  # chunks are compressed with it, and come back whole
+    got = {r["doc_id"]: r for r in media_chunks.store_and_read(df).collect()}
+    assert len(got) == len(texts) and min(got[i]["chunks"] for i in range(3)) > 2
+    assert all(got[i]["media_sha256"] == hashlib.sha256(media_chunks.wav(media_chunks.payload(t)[1])).hexdigest() for i, t in enumerate(texts))

@@ -1,9 +1,10 @@
 """Media columns: payloads stored losslessly as 8-bit mono WAV, cut by content, deduplicated by digest, and rebuilt.
 
 A rolling gear hash over the last 32 bytes cuts where its top bits are zero, between a least and a largest size; so an edit
-moves few cuts. Chunks go by SHA-256: a chunk store keeps one copy of each (compressed), and a manifest lists each medium's chunks
-in order. A join of the two brings the bytes back, sorted within a medium, and the rebuilt medium must have the digest that
-was taken before it was cut. Features are read from the rebuilt bytes.
+moves few cuts, and a passage that two media share comes to the same chunks. Chunks go by SHA-256: a chunk store keeps one copy of
+each, compressed with a dictionary that all share, and a manifest lists each medium's chunks in order. A join of the two brings the
+bytes back, sorted within a medium, and the rebuilt medium must have the digest that was taken before it was cut. Features are read
+from the rebuilt bytes.
 
 A chunk that a third of the media share is one row of the store; the manifest's side of the join is the skewed one, and that
 is a plain join that Spark can split. No medium's or digest's references are gathered.
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import cut, on_workers, partitions, pick
 
 UNIT, TAIL = 576, 32
-#: Least and largest bytes of a chunk, and the bits of the hash that a cut needs to be zero (some 24 KB on average).
-LEAST, LARGEST, BITS = 8192, 262144, 14
+#: Least and largest bytes of a chunk, and the bits of the hash that a cut needs to be zero (some 1.5 KB on average).
+LEAST, LARGEST, BITS = 512, 8192, 10
+#: Texts and characters of each that the dictionary is made from, its bytes, and the level of compression. They decide sizes alone.
+SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 1000, 4096, 112640, 15
 RATE = 8000
 
 
@@ -94,68 +97,96 @@ def features(samples: bytes) -> str:
     return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings};peak={int(np.abs(x).max())}"
 
 
-def chunked(rows: DataFrame, with_bytes: bool) -> DataFrame:
-    """Chunks of rows(row, doc_id, text): the manifest, or with_bytes what a chunk store is made of."""
+def dictionary(rows: DataFrame) -> bytes:
+    """A compression dictionary from a bounded sample of rows(doc_id, text); empty where the texts are too few for one."""
+    some = rows.where(F.length("text") > 0).select(F.xxhash64("doc_id").alias("lot"), F.substring("text", 1, SAMPLE_CHARS).alias("part"))
+    last = some.select("lot").orderBy("lot").limit(SAMPLE).agg(F.max("lot")).first()[0]  # first the lots alone: tasks send no texts that are not chosen
+    parts = sorted({r["part"] for r in some.where(F.col("lot") <= last).limit(SAMPLE).collect()})
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [p.encode("utf-8", "replace") for p in parts]).as_bytes() if parts else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def shared(words: bytes) -> dict[str, zstandard.ZstdCompressionDict]:
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
+def manifest_of(rows: DataFrame) -> DataFrame:
+    """One row per row of rows(row, doc_id, text), with the digests of its chunks in order, end to end. whole is null where one chunk is all."""
+    names = ["row", "doc_id", "n_bytes", "whole", "digests"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            found: list[tuple] = []
-            held = 0
-            for row, doc_id, text in zip(*batch.columns, strict=True):
+            sizes, wholes, digests = [], [], []
+            for text in batch.column(2):
                 n, raw = payload(text.as_py() or "")
                 media = wav(raw)
-                whole, start = hashlib.sha256(media).digest(), 0
-                for at, end in enumerate(ends := cuts(media)):
+                ends = cuts(media)
+                sizes.append(n)
+                wholes.append(hashlib.sha256(media).digest() if len(ends) > 1 else None)
+                digests.append(b"".join([hashlib.sha256(media[a:b]).digest() for a, b in zip([0, *ends], ends)]))
+            made = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip([sizes, wholes, digests], types[2:], strict=True))]
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    return on_workers(rows, run, "row long, doc_id long, n_bytes long, whole binary, digests binary")
+
+
+def pieces_of(rows: DataFrame, words: bytes) -> DataFrame:
+    """digest and compressed data of each chunk of rows(text): what a chunk store is made of."""
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["digest", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=False, **shared(words))
+        for batch in batches:
+            found: list[tuple] = []
+            held = 0
+            for text in batch.column(0):
+                media = wav(payload(text.as_py() or "")[1])
+                start = 0
+                for end in cuts(media):
                     piece = media[start:end]
                     start = end
-                    digest = hashlib.sha256(piece).digest()
-                    if with_bytes:
-                        found.append((digest, packed := pack.compress(piece)))
-                        held += len(packed)
-                    else:
-                        found.append((row.as_py(), doc_id.as_py(), at, len(ends), n, whole, digest))
+                    found.append((hashlib.sha256(piece).digest(), packed := pack.compress(piece)))
+                    held += len(packed)
                 if held > 8 << 20:
                     yield made(found)
                     found, held = [], 0
             yield made(found)
 
-    if with_bytes:
-        schema, names, types = "digest binary, data binary", ["digest", "data"], [pa.binary(), pa.binary()]
-    else:
-        schema = "row long, doc_id long, at int, chunks int, n_bytes long, whole binary, digest binary"
-        names = ["row", "doc_id", "at", "chunks", "n_bytes", "whole", "digest"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-
-    def made(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return on_workers(rows, run, schema)
+    return on_workers(rows.select("text"), run, "digest binary, data binary")
 
 
-def rebuilt(ordered: DataFrame) -> DataFrame:
-    """Media of ordered(row, doc_id, at, chunks, n_bytes, whole, data), whose rows of a medium follow each other in order."""
+def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
+    """Media of ordered(row, doc_id, at, chunks, n_bytes, whole, own, data), whose rows of a medium follow each other in order. doc_id,
+    n_bytes and whole are those of the row of its first chunk, and own is the digest of an only chunk."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, chunks int"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(**shared(words))
         pieces: list[bytes] = []
+        now = head = None
         for batch in batches:
             out: list[tuple] = []
-            for row, doc_id, at, chunks, n, whole, data in zip(*batch.columns, strict=True):
-                if at.as_py() != len(pieces):
-                    raise ValueError(f"chunk {at.as_py()} of medium {row.as_py()} came after {len(pieces)} chunks")
-                pieces.append(unpack.decompress(data.as_py()))
-                if len(pieces) < chunks.as_py():
+            for row, doc_id, at, chunks, n, whole, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not pieces:
+                    now, head = row, (doc_id, n, own if chunks == 1 else whole)
+                if at != len(pieces) or row != now:
+                    raise ValueError(f"chunk {at} of medium {row} came after {len(pieces)} chunks of medium {now}")
+                pieces.append(unpack.decompress(data))
+                if len(pieces) < chunks:
                     continue
                 media = b"".join(pieces)
                 pieces.clear()
-                if (digest := hashlib.sha256(media)).digest() != whole.as_py():
-                    raise ValueError(f"medium {row.as_py()} is not what was cut")
+                if (digest := hashlib.sha256(media)).digest() != head[2]:
+                    raise ValueError(f"medium {row} is not what was cut")
                 raw = samples_of(media)
-                out.append((doc_id.as_py(), n.as_py(), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-TAIL:]), len(media), digest.hexdigest(), features(raw), chunks.as_py()))
+                out.append((head[0], head[1], len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-TAIL:]), len(media), digest.hexdigest(), features(raw), chunks))
             columns = list(zip(*out, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
         if pieces:
@@ -172,8 +203,12 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     shared. Other columns are ignored. A medium is in memory whole when it is cut and when it is rebuilt, one at a time.
     """
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    manifest = cut(chunked(rows, with_bytes=False))  # fixes the numbers of the rows, and spares cutting them again for each use
-    store = chunked(rows, with_bytes=True).groupBy("digest").agg(F.first("data").alias("data"))
-    joined = manifest.join(store, "digest").select("row", "doc_id", "at", "chunks", "n_bytes", "whole", "data")
+    words = dictionary(rows)
+    media = cut(manifest_of(rows))  # fixes the numbers of the rows, and spares cutting them again for each use
+    manifest = media.withColumn("chunks", F.expr("int(octet_length(digests) div 32)")).withColumn("at", F.explode(F.expr("sequence(0, chunks - 1)")))
+    first = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "n_bytes", "whole")]  # once per medium is enough
+    manifest = manifest.select("row", "at", "chunks", *first, F.expr("substring(digests, at * 32 + 1, 32)").alias("digest"))
+    store = pieces_of(rows, words).groupBy("digest").agg(F.first("data").alias("data"))
+    joined = manifest.join(store, "digest").select("row", "doc_id", "at", "chunks", "n_bytes", "whole", F.when(F.col("chunks") == 1, F.col("digest")).alias("own"), "data")
     ordered = joined.where("chunks > 1").repartition(partitions(docs.sparkSession), "row").sortWithinPartitions("row", "at")
-    return rebuilt(joined.where("chunks = 1")).unionByName(rebuilt(ordered))  # a medium of one chunk is whole where the join finds it
+    return rebuilt(joined.where("chunks = 1"), words).unionByName(rebuilt(ordered, words))  # a medium of one chunk is whole where the join finds it
