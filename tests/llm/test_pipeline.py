@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_operators import ROWS, bag, lower, prose
+from tramline.llm import mixing
 
 
 def test_stages(spark):
@@ -24,3 +25,20 @@ def test_stages(spark):
     assert max(times.values()) <= 2 and set(times) <= set(left) and mixed.columns == docs.columns
     tokens = functions["tokens"](spark, mixed, "").collect()
     assert Counter(r["doc_id"] for r in tokens) == times
+
+
+def test_rows_without_or_with_shared_ids(spark):
+    """One row of every distinct text stays, and each row is mixed for itself, whatever its id."""
+    rows = [(None, f"lost text {i}", "en", "s", 1) for i in range(4)] + [(None, "LOST text 1", "en", "s", 1), (7, "one text", "en", "s", 1), (7, "another text of seven", "en", "s", 1), (7, "one text", "en", "s", 1), (6, "One Text", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    functions = dict(corpus_pipeline.STAGES)
+    exact = functions["exact"](spark, docs, "")
+    assert sorted((r["doc_id"] or 0, lower(r["text"])) for r in exact.collect()) == [(0, f"lost text {i}") for i in range(4)] + [(7, "another text of seven"), (7, "one text")]
+    # lots of one text with 64 words or so, of which a budget takes some rows and leaves others
+    words = [(None, " ".join([f"w{i}"] * 64), "en", "s", 1) for i in range(10)] + [(3, " ".join([f"v{i}"] * 32 * (1 + i)), "en", "s", 1) for i in range(4)]
+    docs = spark.createDataFrame(words, "doc_id long, text string, lang string, source string, n_chars long")
+    plan = mixing.mix(docs, share=0.5).collect()
+    want = Counter((r["doc_id"], r["size"], int(r["taken"] / r["size"] + 0.5)) for r in plan)
+    got = Counter((r["doc_id"], r["text"]) for r in mixing.apply_mix(docs, share=0.5).collect())
+    assert Counter((w[0], len(w[1].split()), got[w[0], w[1]]) for w in words) == want and len(set(got.values()) | {0}) > 1
+    assert any(n == 0 for _, _, n in want) and any(n > 0 for _, _, n in want)

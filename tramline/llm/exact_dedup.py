@@ -56,6 +56,9 @@ def exact_dedup(docs: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; of repeated rows of a kept doc_id one stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs without the rows that exact_dedup() drops: one row of each distinct text stays, of those with the kept doc_id, which
+    may be null or stand at other texts too."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest"))
+    marked = docs.withColumn("_digest", F.unhex(F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)))
+    stays = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep_id"]) & (marked["_digest"] == kept["_keep_digest"]), "left_semi")
+    return stays.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)

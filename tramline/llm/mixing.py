@@ -103,8 +103,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs repeated as the mix says: each row taken / size times, rounded half up, so a part of a text is none or all of it.
 
-    A row without words is in no block and goes."""
-    marked = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0) + 0.5).cast("int").alias("_times"))
-    marked = marked.where("_times > 0").dropDuplicates(["_id", "_source"])
-    joined = docs.join(marked, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    A row without words is in no block and goes. Rows that share doc_id, source and size are told apart by a number, so each
+    has one row of the mix."""
+    number = lambda *order: F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(*order))
+    times = F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0) + 0.5).cast("int")
+    marked = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times.alias("_times"))
+    marked = marked.withColumn("_at", number("_times")).where("_times > 0").toDF("_mix_id", "_mix_source", "_mix_size", "_times", "_mix_at")
+    rows = docs.withColumns({"_id": docs["doc_id"], "_source": docs["source"], "_size": word_count(docs["text"])}).withColumn("_at", number("text"))
+    same = F.col("_id").eqNullSafe(F.col("_mix_id")) & F.col("_source").eqNullSafe(F.col("_mix_source")) & (F.col("_size") == F.col("_mix_size")) & (F.col("_at") == F.col("_mix_at"))
+    return rows.join(marked, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
