@@ -69,7 +69,7 @@ VIEWS: dict[str, str] = {
             CAST(s_suppkey % 5 % 2 AS INT) AS saturday, 0 AS sunday, DATE '2024-01-01' + CAST(s_suppkey % 300 AS INT) AS start_date, DATE '2024-01-01' + CAST(s_suppkey * 7 % 400 - 5 AS INT) AS end_date FROM {supplier}""",
     "calendar_dates": """
         SELECT event_id + 2 AS _row, 'V' || CAST(user_id % 44 AS STRING) AS service_id, DATE '2024-02-01' + CAST(event_id * 31 % 420 AS INT) AS date, CAST(1 + event_id % 3 % 2 AS INT) AS exception_type
-        FROM {events} WHERE event_id % 5 = 0""",
+        FROM {events}""",
     "shapes": """
         SELECT p_partkey + 2 AS _row, 'H' || CAST(CASE WHEN p_partkey % 401 = 0 THEN p_partkey + 500 ELSE p_partkey % 190 END AS STRING) AS shape_id,
             CASE WHEN p_partkey % 211 = 0 THEN 0.2 ELSE 40 + (p_partkey % 190) * 0.01 + CAST(CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_size END AS DOUBLE) * 0.0001 END AS shape_pt_lat,
@@ -77,26 +77,26 @@ VIEWS: dict[str, str] = {
             CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size % 7 * 50 AS DOUBLE) END AS shape_dist_traveled FROM {part}""",
     "frequencies": """
         SELECT event_id + 2 AS _row, CASE WHEN event_id % 91 = 0 THEN 'T9999999' ELSE 'T' || CAST(1 + user_id % 1000 AS STRING) END AS trip_id, CAST(event_id * 37 % 86400 AS INT) AS start_time,
-            CAST(CASE WHEN event_id % 33 = 0 THEN event_id * 37 % 86400 ELSE event_id * 37 % 86400 + event_id % 7200 - 300 END AS INT) AS end_time, event_id % 5000 + 1 AS headway_secs FROM {events} WHERE event_id % 4 = 0""",
+            CAST(CASE WHEN event_id % 33 = 0 THEN event_id * 37 % 86400 ELSE event_id * 37 % 86400 + event_id % 7200 - 300 END AS INT) AS end_time, event_id % 5000 + 1 AS headway_secs FROM {events}""",
     "timeframes": """
         SELECT event_id + 2 AS _row, 'F' || CAST(user_id % 50 AS STRING) AS timeframe_group_id, CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST(event_id * 13 % 87000 AS INT) END AS start_time,
-            CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(event_id * 13 % 87000 + 600 AS INT) END AS end_time, 'V' || CAST(event_id % 47 AS STRING) AS service_id FROM {events} WHERE event_id % 10 = 0""",
+            CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(event_id * 13 % 87000 + 600 AS INT) END AS end_time, 'V' || CAST(event_id % 47 AS STRING) AS service_id FROM {events}""",
     "transfers": """
         SELECT event_id + 2 AS _row, CASE WHEN event_id % 27 = 0 THEN NULL ELSE 'S' || CAST(1 + event_id * 7 % 2300 AS STRING) END AS from_stop_id, CASE WHEN event_id % 26 = 0 THEN NULL ELSE 'S' || CAST(1 + event_id * 7 % 2300 + event_id % 9 AS STRING) END AS to_stop_id,
             CAST(event_id % 7 AS INT) AS transfer_type, CASE WHEN event_id % 3 = 0 THEN 60 END AS min_transfer_time, CASE WHEN event_id % 6 = 0 THEN 'R' || CAST(1 + event_id % 170 AS STRING) END AS from_route_id,
             CAST(NULL AS STRING) AS to_route_id, CASE WHEN event_id % 4 = 0 THEN 'T' || CAST(1 + event_id % 1600 AS STRING) END AS from_trip_id, CASE WHEN event_id % 9 = 4 THEN 'T' || CAST(1 + event_id % 1500 AS STRING) END AS to_trip_id
-        FROM {events} WHERE event_id % 3 = 0""",
+        FROM {events}""",
     "pathways": """
         SELECT p_partkey + 2 AS _row, 'W' || CAST(p_partkey % 450 AS STRING) AS pathway_id, 'S' || CAST(p_partkey AS STRING) AS from_stop_id, 'S' || CAST(CASE WHEN p_partkey % 50 = 0 THEN p_partkey ELSE p_partkey + p_size % 3 + 1 END AS STRING) AS to_stop_id,
             CAST(1 + p_size % 7 AS INT) AS pathway_mode, CAST(p_size % 2 AS INT) AS is_bidirectional, CASE WHEN p_size % 4 = 0 THEN 12.5 END AS length, CASE WHEN p_size % 5 = 0 THEN p_size % 10 END AS traversal_time,
-            CASE WHEN p_size % 3 = 0 THEN 10 END AS stair_count FROM {part} WHERE p_partkey % 10 IN (0, 3, 4, 5, 6)""",
+            CASE WHEN p_size % 3 = 0 THEN 10 END AS stair_count FROM {part}""",
     "levels": "SELECT n_nationkey + 2 AS _row, 'L' || CAST(n_nationkey % 6 AS STRING) AS level_id, CAST(n_nationkey AS DOUBLE) AS level_index FROM {nation}",
     "fare_attributes": """
         SELECT c_custkey + 2 AS _row, 'E' || CAST(c_custkey % 90 AS STRING) AS fare_id, c_acctbal AS price, CASE WHEN c_custkey % 25 = 0 THEN NULL ELSE 'USD' END AS currency_type, 0 AS payment_method,
-            CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'A' || CAST(c_nationkey + 3 AS STRING) END AS agency_id, CASE WHEN c_custkey % 8 = 0 THEN -2.0 WHEN c_custkey % 8 = 1 THEN -1.0 END AS ic_price FROM {customer} WHERE c_custkey % 2 = 0""",
+            CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'A' || CAST(c_nationkey + 3 AS STRING) END AS agency_id, CASE WHEN c_custkey % 8 = 0 THEN -2.0 WHEN c_custkey % 8 = 1 THEN -1.0 END AS ic_price FROM {customer}""",
     "fare_rules": """
         SELECT c_custkey + 2 AS _row, 'E' || CAST(c_custkey % 95 AS STRING) AS fare_id, CASE WHEN c_custkey % 3 < 2 THEN 'R' || CAST(c_custkey % 151 AS STRING) END AS route_id,
-            CASE WHEN c_custkey % 4 = 0 THEN 'Z' || CAST(c_custkey % 24 AS STRING) END AS origin_id FROM {customer} WHERE c_custkey % 5 = 0""",
+            CASE WHEN c_custkey % 4 = 0 THEN 'Z' || CAST(c_custkey % 24 AS STRING) END AS origin_id FROM {customer}""",
     "fare_media": "SELECT n_nationkey + 2 AS _row, 'M' || CAST(n_nationkey AS STRING) AS fare_media_id, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'Card ' || CAST(n_nationkey % 4 AS STRING) END AS fare_media_name, CAST(n_nationkey % 5 AS INT) AS fare_media_type FROM {nation}",
     "fare_products": """
         SELECT s_suppkey + 2 AS _row, 'D' || CAST(s_suppkey % 60 AS STRING) AS fare_product_id, s_acctbal AS amount, 'USD' AS currency, CASE WHEN s_suppkey % 3 = 0 THEN 'M' || CAST(s_suppkey % 30 AS STRING) END AS fare_media_id,
@@ -112,9 +112,9 @@ VIEWS: dict[str, str] = {
     "areas": "SELECT n_nationkey + 2 AS _row, 'Y' || CAST(n_nationkey % 22 AS STRING) AS area_id FROM {nation}",
     "stop_areas": "SELECT p_partkey + 2 AS _row, 'Y' || CAST(p_size AS STRING) AS area_id, 'S' || CAST(p_partkey + 3 AS STRING) AS stop_id FROM {part}",
     "networks": "SELECT n_nationkey + 2 AS _row, 'N' || CAST(n_nationkey % 12 AS STRING) AS network_id FROM {nation}",
-    "route_networks": "SELECT c_custkey + 2 AS _row, 'R' || CAST(c_custkey + 5 AS STRING) AS route_id, 'N' || CAST(c_custkey % 15 AS STRING) AS network_id FROM {customer} WHERE c_custkey % 7 = 0",
+    "route_networks": "SELECT c_custkey + 2 AS _row, 'R' || CAST(c_custkey + 5 AS STRING) AS route_id, 'N' || CAST(c_custkey % 15 AS STRING) AS network_id FROM {customer}",
     "location_groups": "SELECT n_nationkey + 2 AS _row, 'G' || CAST(n_nationkey % 8 AS STRING) AS location_group_id FROM {nation}",
-    "location_group_stops": "SELECT p_partkey + 2 AS _row, 'G' || CAST(p_partkey % 9 AS STRING) AS location_group_id, 'S' || CAST(p_partkey + 1 AS STRING) AS stop_id FROM {part} WHERE p_partkey % 8 = 0",
+    "location_group_stops": "SELECT p_partkey + 2 AS _row, 'G' || CAST(p_partkey % 9 AS STRING) AS location_group_id, 'S' || CAST(p_partkey + 1 AS STRING) AS stop_id FROM {part}",
     "booking_rules": """
         SELECT s_suppkey + 2 AS _row, 'K' || CAST(s_suppkey % 28 AS STRING) AS booking_rule_id, CAST(s_suppkey % 3 AS INT) AS booking_type, CASE WHEN s_suppkey % 4 < 2 THEN s_suppkey % 50 END AS prior_notice_duration_min,
             CASE WHEN s_suppkey % 5 < 2 THEN 20 END AS prior_notice_duration_max, CASE WHEN s_suppkey % 7 < 3 THEN s_suppkey % 9 END AS prior_notice_last_day, CASE WHEN s_suppkey % 6 = 1 THEN 36000 END AS prior_notice_last_time,
