@@ -259,6 +259,14 @@ def test_pii(docs, none):
     assert pii.find_pii(none).collect() == []
 
 
+def test_pii_adds_what_base_patterns_miss(spark):
+    lost = ["paid by 7536784127813050 4845168114407329 today", "write to jane.doe(at)mail.example.com soon", "not 7536784127813051 4845168114407320 these", "at (at)noon"]
+    texts = [prose(30, 400 + i) + f" mail u{i}@h{i}.example.com, card 4111 1111 1111 1111, call +49 170 123-45{i:02d}" for i in range(40)] + lost
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[k]["spans"], got[k]["n_added"], got[k]["n_card"] + got[k]["n_email"]) for k in range(40, 44)] == [("card:8:24,card:25:41", 2, 0), ("email:9:37", 1, 0), ("", 0, 0), ("", 0, 0)]
+    assert all(got[k]["n_added"] == 0 for k in range(40))
+
+
 def test_html(spark):
     cases = {
         "<nav><a>Home</a></nav><article><h1>T &amp; t</h1><p><b>Bold<br><p>Short. &nbsp; x</p><ul><li>one<li>two</ul></article><footer>f</footer>": "T & t\nBold\nShort. x\none\ntwo",
