@@ -1,13 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one classifies each block by itself, from its length, stop-word density and
-link density, as good, bad, near (somewhat long, some stop words) or short. Pass two settles near and short blocks: a
-run of them takes the label that its nearest decided neighbours share; where they differ, near blocks are good, and then short
-ones take the label of the closer neighbour, bad if both are as close. A short heading goes with the good text after it.
-
-Containers come first: what stands in navigation, headers, footers, asides, forms, dialogs or an element whose class,
-id or role names an advert, notice, menu, sidebar or comment section is bad. Where the page has an article or main element,
-all outside it is bad, and its edges count as good neighbours, so that an article's short lines stay.
+A page is cut into blocks at block-level tags; what stands in elements that hold no article text by their name (navigation,
+headers, footers, asides, forms, dialogs, scripts and the like) is no block. Pass one adds up the evidence of each block alone:
+its length, its stop-word density, its link density, and the hint of the innermost container that gives one, an
+article or main element for it, a class, id or role that names an advert, notice, menu, sidebar or comment section against
+it. Much evidence makes a block good, less than none bad; between, a block is near (of some length) or short. Where no block is
+good, those of the most evidence are.
+
+Pass two settles near blocks and then short ones by their nearest decided neighbours, one on each side; a neighbour in another
+container that gives a hint counts as ELSEWHERE blocks further. If both have the same label, or there is one alone, the block takes it. If
+they differ, near blocks are good, a short heading goes with the good text after it, and other short blocks take the label of the
+closer neighbour, bad if both are as close.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ BLOCKS = set("address article aside blockquote body button caption center dd det
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 DROPPED = set("head nav footer aside form dialog menu noscript template select button svg canvas object audio video fieldset search option datalist map".split())
+CLOSES_LIKE = ({"li"}, {"td", "th"}, {"dt", "dd"})
 CLOSES_P = BLOCKS - set("body head html option button noscript title svg video audio canvas object select".split())
 MARKED = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted "
@@ -54,9 +58,13 @@ STOP_WORDS = set(
 )
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Characters of text under which a block is short, and from which a good one is sure; densities of stop words and links.
+#: Characters of text from which a block is of some length, and from which it is long; densities of stop words and links.
 SHORT, LONG = 70, 200
-FEW_STOPS, MANY_STOPS, LINKED = 0.15, 0.30, 0.34
+FEW_STOPS, MANY_STOPS, LINKED, ALL_LINKED = 0.15, 0.30, 0.34, 0.9
+#: Evidence: a point for each of the two lengths, and these; from GOOD on a block is good, under 0 bad.
+STOPS_FOR, STOPS_AGAINST, LINKS, MENU, ARTICLE, NAMED, GOOD = 1, -2, -2, -4, 2, -4, 3
+#: How many blocks further a neighbour in another container counts.
+ELSEWHERE = 1000
 
 
 def _marked(attributes: str) -> bool:
@@ -75,21 +83,25 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-class _Block:
-    __slots__ = ("bad", "heading", "inside", "linked", "parts", "text")
+class Block:
+    """Text, its linked characters, whether it is a heading, and the innermost container that gives a hint: its number and the hint."""
+
+    __slots__ = ("heading", "hint", "linked", "parts", "place", "text")
 
-    def __init__(self, bad: bool, inside: bool):
+    def __init__(self, within: tuple[int, int]):
         self.parts: list[str] = []
-        self.linked, self.bad, self.inside, self.text, self.heading = 0, bad, inside, "", False
+        self.linked, self.text, self.heading = 0, "", False
+        self.place, self.hint = within
 
 
-def blocks_of(html: str) -> tuple[list[_Block], bool]:
-    """Blocks with text, in page order, and whether the page has an article or main element."""
-    out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, bad within, inside an article
-    bad = inside = has_main = False
-    links = 0
-    block = _Block(False, False)
+def blocks_of(html: str) -> list[Block]:
+    """Blocks with text, in page order, without those of dropped elements."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, tuple[int, int]]] = []  # open elements: name, dropped, container and hint
+    outside = (0, 0)
+    dropped, within = False, outside
+    links = containers = 0
+    block = Block(outside)
 
     def end() -> None:
         nonlocal block
@@ -97,15 +109,25 @@ def blocks_of(html: str) -> tuple[list[_Block], bool]:
             block.text = SPACE.sub(" ", "".join(block.parts)).strip()
             if block.text:
                 out.append(block)
-        block = _Block(bad, inside)
+        block = Block(within)
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not dropped:
             t = unescape(raw) if "&" in raw else raw
             block.parts.append(t)
             if links:
                 block.linked += len("".join(t.split()))
 
+    def close(k: int) -> None:
+        """Close the elements from the k-th on."""
+        nonlocal dropped, within, links
+        links = max(0, links - sum(x[0] == "a" for x in stack[k:]))
+        del stack[k:]
+        _, dropped, within = stack[-1] if stack else ("", False, outside)
+
+    def innermost(name: str) -> int | None:
+        return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
@@ -120,25 +142,19 @@ def blocks_of(html: str) -> tuple[list[_Block], bool]:
             continue
         name = m[2].lower()
         if m[1]:
-            if name == "br" or name == "p" and not any(x[0] == "p" for x in stack):
-                block.parts.append(" ")
+            k = innermost(name)
+            if name == "br" or name == "p" and k is None:
+                text(" ")
                 if name == "p":
                     end()
                 continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is None or name not in BLOCKS and any(x[0] in ("article", "main", "body", "div", "section") for x in stack[k:]):
                 continue  # nothing to close, or a stray inline tag across containers
             if name in BLOCKS:
                 end()
-            if name == "a":
-                links = max(0, links - 1)
-            for x in stack[k:]:
-                if x[0] == "a" and name != "a":
-                    links = max(0, links - 1)
-            del stack[k:]
-            bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            close(k)
             if name in BLOCKS:
-                block.bad, block.inside = bad, inside
+                end()
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}\s*(?:>|\Z)", re.I).search(html, at)
@@ -147,88 +163,93 @@ def blocks_of(html: str) -> tuple[list[_Block], bool]:
                 end()
             continue
         if name == "br":
-            block.parts.append(" ")
+            text(" ")
             continue
-        if name in CLOSES_P and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)) is not None:
-            links -= sum(x[0] == "a" for x in stack[k:])
-            del stack[k:]
-            bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name == "li" and stack and stack[-1][0] == "li" or name in ("td", "th") and stack and stack[-1][0] in ("td", "th") or name in ("dt", "dd") and stack and stack[-1][0] in ("dt", "dd"):
-            stack.pop()
-            bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name in BLOCKS or name == "hr":
+        if name in CLOSES_P and (k := innermost("p")) is not None:
+            close(k)
+        if stack and any(name in same and stack[-1][0] in same for same in CLOSES_LIKE):
+            close(len(stack) - 1)
+        if name in BLOCKS:
             end()
-        if name in VOID:
-            block.bad, block.inside = bad, inside
-            continue
-        main = name in ("article", "main")
-        if main and not bad:
-            has_main = True
-        # a header within an article may hold its heading; comment sections use article elements of their own
-        drop = name in DROPPED or name == "header" and not inside or _marked(m[3]) and name not in ("html", "body", "article", "main")
-        if name == "article" and _marked(m[3]) and inside:
-            drop = True
-        if m[3].rstrip().endswith("/") and name not in BLOCKS:
+        if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
+            block.place, block.hint = within
             continue
-        bad, inside = bad or drop, inside or main
-        stack.append((name, bad, inside))
+        # a header within an article may hold its heading
+        gone = dropped or name in DROPPED or name == "header" and within[1] <= 0
+        hint = NAMED if _marked(m[3]) and name not in ("html", "body") else ARTICLE if name in ("article", "main") and within[1] >= 0 else 0
+        if hint:
+            containers += 1
+            within = (containers, hint)
+        dropped = gone
+        stack.append((name, dropped, within))
         links += name == "a"
         if name in BLOCKS:
-            block.bad, block.inside, block.heading = bad, inside, name in HEADINGS
+            end()
+            block.heading = name in HEADINGS
     end()
-    return out, has_main
+    return out
 
 
-def _alone(b: _Block, has_main: bool) -> str:
-    """Pass one."""
-    if b.bad or has_main and not b.inside:
-        return "bad"
-    size = len(b.text.replace(" ", ""))
-    linked = b.linked / max(1, size)
+def evidence(b: Block) -> int:
+    """What speaks for a block by itself, as points."""
+    size = len(b.text)
+    points = (size >= SHORT) + (size >= LONG) + b.hint
+    if size >= SHORT:
+        words = WORD.findall(b.text.lower())
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        points += STOPS_FOR if stops >= MANY_STOPS else STOPS_AGAINST if stops < FEW_STOPS else 0
+    linked = b.linked / max(1, len(b.text.replace(" ", "")))
     if linked > LINKED:
-        return "bad" if not b.inside or linked > 0.9 and size > SHORT else "short"
-    if len(b.text) < SHORT:
-        return "short"
-    words = WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS:
-        return "good" if len(b.text) > LONG or b.inside else "near"
-    if stops >= FEW_STOPS:
-        return "near"
-    return "short" if b.inside else "bad"
+        points += MENU if linked > ALL_LINKED and size >= SHORT else LINKS
+    return points
 
 
-def main_text(html: str | None) -> str:
-    """The main text: good blocks, one to a line. Null or no good block: empty."""
-    if not html:
-        return ""
-    blocks, has_main = blocks_of(html)
-    labels = [_alone(b, has_main) for b in blocks]
-    edge = "good" if has_main else "bad"
-    # blocks in bad containers are no neighbours of an article's blocks: its edges are
-    shown = [i for i, b in enumerate(blocks) if not (b.bad or has_main and not b.inside)]
-    if not has_main and not any(labels[i] == "good" for i in shown) and any(labels[i] == "near" for i in shown):
-        edge = "good"  # a page of middling blocks alone
-    settled = [labels[i] for i in shown]
+def decide_alone(blocks: list[Block]) -> list[str]:
+    """Pass one: good, bad, near or short."""
+    points = [evidence(b) for b in blocks]
+    good = min(GOOD, max([0, *points]))  # where none is good, those of the most evidence
+    return ["good" if x >= good else "bad" if x < 0 else "near" if x > 0 and len(b.text) >= SHORT else "short" for b, x in zip(blocks, points, strict=True)]
+
+
+def _nearest(blocks: list[Block], labels: list[str], order: range) -> list[tuple[str, int]]:
+    """For each block the label and distance of its nearest decided neighbour among those before it in the order."""
+    out = [("", 0)] * len(blocks)
+    last: dict[int, int] = {}  # of each container its last decided block
+    any_last = -1
+    for i in order:
+        own, far = last.get(blocks[i].place, -1), any_last
+        if own >= 0:
+            out[i] = (labels[own], abs(i - own))
+        if far >= 0 and blocks[far].place != blocks[i].place and (own < 0 or abs(i - far) + ELSEWHERE < abs(i - own)):
+            out[i] = (labels[far], abs(i - far) + ELSEWHERE)
+        if labels[i] in ("good", "bad"):
+            last[blocks[i].place] = any_last = i
+    return out
+
+
+def decide_by_neighbours(blocks: list[Block], labels: list[str]) -> list[str]:
+    """Pass two: good or bad for all."""
     for kind in ("near", "short"):
-        decided = list(settled)
-        k = 0
-        while k < len(decided):
-            if decided[k] in ("good", "bad"):
-                k += 1
+        settled = list(labels)
+        n = len(blocks)
+        for i, ((before, back), (after, on)) in enumerate(zip(_nearest(blocks, labels, range(n)), _nearest(blocks, labels, range(n - 1, -1, -1)), strict=True)):
+            if labels[i] != kind:
                 continue
-            end = k
-            while end < len(decided) and decided[end] not in ("good", "bad"):
-                end += 1
-            before, after = decided[k - 1] if k else edge, decided[end] if end < len(decided) else edge
-            for j in range(k, end):
-                if settled[j] == kind == "near":
-                    settled[j] = "bad" if before == after == "bad" else "good"
-                elif settled[j] == kind:
-                    closer = before if before == after or j - k < end - 1 - j else after if j - k > end - 1 - j else "bad"
-                    settled[j] = "good" if blocks[shown[j]].heading and after == "good" else closer
-            k = end
-    return "\n".join(blocks[i].text for i, label in zip(shown, settled, strict=True) if label == "good")
+            if before == after or not before or not after:
+                settled[i] = before or after or "bad"
+            elif kind == "near" or blocks[i].heading and after == "good":
+                settled[i] = "good"
+            else:
+                settled[i] = before if back < on else after if on < back else "bad"
+        labels = settled
+    return labels
+
+
+def main_text(html: str | None) -> str:
+    """The main text: good blocks, one to a line. Null or no good block: empty."""
+    blocks = blocks_of(html) if html else []
+    labels = decide_by_neighbours(blocks, decide_alone(blocks))
+    return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == "good")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
