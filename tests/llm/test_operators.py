@@ -409,16 +409,22 @@ def test_chunks_survive_an_insertion():
     assert b"".join(a) == data and len(set(a) - set(b)) <= 3
 
 
-def test_media_share_passages(spark):
+def test_media_share_passages(spark, tmp_path):
     passage = prose(1200, 90)
     texts = [prose(200 + 30 * i, 91 + i) + " " + passage + " " + prose(150, 200 + i) for i in range(3)] + [prose(500, 300 + i) for i in range(300)]
-    pieces = []
-    for t in texts[:3]:
-        media = media_chunks.wav(media_chunks.payload(t)[1])
-        pieces.append({media[a:b] for a, b in zip([0, *media_chunks.cuts(media)], media_chunks.cuts(media))})
-    assert len(passage) > 5000 and sum(map(len, pieces[0] & pieces[1] & pieces[2])) > len(passage) // 4
+    near = [" ".join(["changed" if k == 77 * j else w for k, w in enumerate(texts[3 + i].split(" "))]) for j in (1, 2) for i in range(100)]
+    texts += near
+    pieces = [media_chunks.chunks_of(t)[2] for t in texts]
+    assert len(passage) > 5000 and sum(map(len, set(pieces[0]) & set(pieces[1]) & set(pieces[2]))) > len(passage) // 4
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert media_chunks.dictionary(df)  # chunks are compressed with it, and come back whole
-    got = {r["doc_id"]: r for r in media_chunks.store_and_read(df).collect()}
-    assert len(got) == len(texts) and min(got[i]["chunks"] for i in range(3)) > 2
-    assert all(got[i]["media_sha256"] == hashlib.sha256(media_chunks.wav(media_chunks.payload(t)[1])).hexdigest() for i, t in enumerate(texts))
+    store = media_chunks.MediaStore(spark, str(tmp_path / "media")).write(df)
+    kept = {bytes(r["digest"]) for r in store.chunks()[0].select("digest").collect()}
+    by_digest = {hashlib.sha256(c).digest(): c for p in pieces for c in p}
+    assert kept == set(by_digest)  # one copy of each
+    whole = sum(len(media_chunks.wav(media_chunks.payload(t)[1])) for t in set(texts))
+    assert sum(map(len, by_digest.values())) < 0.9 * whole  # near copies share what whole files don't
+    for share in (1, media_chunks.HOT_SHARE):  # with and without chunks that are joined by broadcast
+        got = {r["doc_id"]: r for r in media_chunks.MediaStore(spark, str(tmp_path / "media")).read(hot_share=share).collect()}
+        assert len(got) == len(texts) and min(got[i]["chunks"] for i in range(3)) > 2
+        assert all(got[i]["media_sha256"] == hashlib.sha256(media_chunks.wav(media_chunks.payload(t)[1])).hexdigest() for i, t in enumerate(texts))

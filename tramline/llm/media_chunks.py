@@ -1,35 +1,38 @@
 """Media columns: payloads stored losslessly as 8-bit mono WAV, cut by content, deduplicated by digest, and rebuilt.
 
 A rolling gear hash over the last 32 bytes cuts where its top bits are zero, between a least and a largest size; so an edit
-moves few cuts, and a passage that two media share comes to the same chunks. Chunks go by SHA-256: a chunk store keeps one copy of
-each, compressed with a dictionary that all share, and a manifest lists each medium's chunks in order. A join of the two brings the
-bytes back, sorted within a medium, and the rebuilt medium must have the digest that was taken before it was cut. Features are read
-from the rebuilt bytes.
+moves few cuts, and a passage that two media share comes to the same chunks. Chunks go by SHA-256. What is stored are two tables in a
+folder that all executors share: a manifest with each medium's chunks in order, and a chunk store with one copy of each chunk, compressed
+with a dictionary that all share and bucketed by digest. Reading joins the two, which moves the manifest alone, sorts the chunks within a
+medium, and holds the rebuilt medium to the digest that was taken before it was cut. Features are read from the rebuilt bytes.
 
-A chunk that a third of the media share is one row of the store; the manifest's side of the join is the skewed one, and that
-is a plain join that Spark can split. No medium's or digest's references are gathered.
+Chunks of 1/HOT_SHARE of all references or more, at most HOT_SHARE of at most LARGEST bytes, are joined by broadcast; so the references
+to a chunk that a third of the media share stay in their tasks. No medium's or digest's references are gathered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, on_workers, partitions, pick
+from .common import cut, on_workers, partitions, pick, shared_dir
 
 UNIT, TAIL = 576, 32
 #: Least and largest bytes of a chunk, and the bits of the hash that a cut needs to be zero (some 1.5 KB on average).
 LEAST, LARGEST, BITS = 512, 8192, 10
-#: Texts and characters of each that the dictionary is made from, its bytes, and the level of compression. They decide sizes alone.
-SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 1000, 4096, 112640, 15
+#: Texts that the dictionary is made from (one chunk of each), its bytes, and the level of compression. They decide sizes alone.
+SAMPLE, DICTIONARY, LEVEL = 1000, 112640, 15
+#: A chunk is hot from 1/HOT_SHARE of all references on.
+HOT_SHARE = 1024
 RATE = 8000
 
 
@@ -97,13 +100,27 @@ def features(samples: bytes) -> str:
     return f"n={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={crossings};peak={int(np.abs(x).max())}"
 
 
+def chunks_of(text: str | None) -> tuple[int, bytes, list[bytes]]:
+    """The unpadded length, the medium, and its chunks in order."""
+    n, raw = payload(text or "")
+    media = wav(raw)
+    ends = cuts(media)
+    return n, media, [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def dictionary(rows: DataFrame) -> bytes:
-    """A compression dictionary from a bounded sample of rows(doc_id, text); empty where the texts are too few for one."""
-    some = rows.where(F.length("text") > 0).select(F.xxhash64("doc_id").alias("lot"), F.substring("text", 1, SAMPLE_CHARS).alias("part"))
-    last = some.select("lot").orderBy("lot").limit(SAMPLE).agg(F.max("lot")).first()[0]  # first the lots alone: tasks send no texts that are not chosen
-    parts = sorted({r["part"] for r in some.where(F.col("lot") <= last).limit(SAMPLE).collect()})
+    """A compression dictionary from the chunk of least digest of SAMPLE rows(doc_id, text); empty where they are too few for one."""
+    lots = rows.select(F.xxhash64("doc_id").alias("lot"))
+    last = lots.orderBy("lot").limit(SAMPLE).agg(F.max("lot")).first()[0]  # first the lots alone: tasks send no texts that are not chosen
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([min(chunks_of(t.as_py())[2], key=lambda c: hashlib.sha256(c).digest()) for t in batch.column(0)], pa.binary())], names=["data"])
+
+    some = rows.where(F.xxhash64("doc_id") <= last).limit(SAMPLE).select("text")
+    parts = sorted({r["data"] for r in on_workers(some, least, "data binary").collect()})
     try:
-        return zstandard.train_dictionary(DICTIONARY, [p.encode("utf-8", "replace") for p in parts]).as_bytes() if parts else b""
+        return zstandard.train_dictionary(DICTIONARY, parts).as_bytes() if parts else b""
     except zstandard.ZstdError:
         return b""
 
@@ -113,21 +130,18 @@ def shared(words: bytes) -> dict[str, zstandard.ZstdCompressionDict]:
 
 
 def manifest_of(rows: DataFrame) -> DataFrame:
-    """One row per row of rows(row, doc_id, text), with the digests of its chunks in order, end to end. whole is null where one chunk is all."""
+    """One row per row of rows(row, doc_id, text): row, doc_id, n_bytes, the digest of the whole, and those of its chunks in order, end to end."""
     names = ["row", "doc_id", "n_bytes", "whole", "digests"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, wholes, digests = [], [], []
             for text in batch.column(2):
-                n, raw = payload(text.as_py() or "")
-                media = wav(raw)
-                ends = cuts(media)
+                n, media, chunks = chunks_of(text.as_py())
                 sizes.append(n)
-                wholes.append(hashlib.sha256(media).digest() if len(ends) > 1 else None)
-                digests.append(b"".join([hashlib.sha256(media[a:b]).digest() for a, b in zip([0, *ends], ends)]))
-            made = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip([sizes, wholes, digests], types[2:], strict=True))]
+                wholes.append(hashlib.sha256(media).digest())
+                digests.append(b"".join([hashlib.sha256(c).digest() for c in chunks]))
+            made = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(wholes, pa.binary()), pa.array(digests, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
     return on_workers(rows, run, "row long, doc_id long, n_bytes long, whole binary, digests binary")
@@ -136,34 +150,30 @@ def manifest_of(rows: DataFrame) -> DataFrame:
 def pieces_of(rows: DataFrame, words: bytes) -> DataFrame:
     """digest and compressed data of each chunk of rows(text): what a chunk store is made of."""
 
-    def made(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found, strict=True)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in columns], names=["digest", "data"])
+    def made(found: dict[bytes, bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=False, **shared(words))
         for batch in batches:
-            found: list[tuple] = []
+            found: dict[bytes, bytes] = {}
             held = 0
             for text in batch.column(0):
-                media = wav(payload(text.as_py() or "")[1])
-                start = 0
-                for end in cuts(media):
-                    piece = media[start:end]
-                    start = end
-                    found.append((hashlib.sha256(piece).digest(), packed := pack.compress(piece)))
-                    held += len(packed)
+                for piece in chunks_of(text.as_py())[2]:
+                    if (digest := hashlib.sha256(piece).digest()) not in found:
+                        found[digest] = packed = pack.compress(piece)
+                        held += len(packed)
                 if held > 8 << 20:
                     yield made(found)
-                    found, held = [], 0
+                    found, held = {}, 0
             yield made(found)
 
     return on_workers(rows.select("text"), run, "digest binary, data binary")
 
 
 def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
-    """Media of ordered(row, doc_id, at, chunks, n_bytes, whole, own, data), whose rows of a medium follow each other in order. doc_id,
-    n_bytes and whole are those of the row of its first chunk, and own is the digest of an only chunk."""
+    """Media of ordered(row, at, chunks, doc_id, n_bytes, whole, data), whose rows of a medium follow each other in order. doc_id,
+    n_bytes and whole are those of the row of its first chunk."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, chunks int"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
 
@@ -173,9 +183,9 @@ def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
         now = head = None
         for batch in batches:
             out: list[tuple] = []
-            for row, doc_id, at, chunks, n, whole, own, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, at, chunks, doc_id, n, whole, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not pieces:
-                    now, head = row, (doc_id, n, own if chunks == 1 else whole)
+                    now, head = row, (doc_id, n, whole)
                 if at != len(pieces) or row != now:
                     raise ValueError(f"chunk {at} of medium {row} came after {len(pieces)} chunks of medium {now}")
                 pieces.append(unpack.decompress(data))
@@ -195,20 +205,54 @@ def rebuilt(ordered: DataFrame, words: bytes) -> DataFrame:
     return on_workers(ordered, run, schema)
 
 
-def store_and_read(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text), rebuilt from the chunk store: doc_id, n_bytes (unpadded), payload_bytes,
+class MediaStore:
+    """Media in a folder that all executors reach: manifest, chunks, and a row with the dictionary and the number of buckets."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, docs: DataFrame) -> MediaStore:
+        """Store the texts of docs(doc_id, text) as media, in place of what was there."""
+        rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        words, buckets = dictionary(rows), min(partitions(self.spark), 100_000)
+        manifest_of(rows).write.mode("overwrite").parquet(f"{self.path}/manifest")
+        chunks = pieces_of(rows, words).groupBy("digest").agg(F.first("data").alias("data"))
+        chunks.write.bucketBy(buckets, "digest").sortBy("digest").option("path", f"{self.path}/chunks").mode("overwrite").saveAsTable(f"chunks_{uuid.uuid4().hex}")
+        self.spark.createDataFrame([(words, buckets)], "words binary, buckets int").write.mode("overwrite").parquet(f"{self.path}/settings")
+        return self
+
+    def chunks(self) -> tuple[DataFrame, bytes]:
+        """The chunk store(digest, data), as a table that knows its buckets, and the dictionary."""
+        words, buckets = self.spark.read.parquet(f"{self.path}/settings").first()
+        name = f"chunks_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (digest BINARY, data BINARY) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/chunks'")
+        return self.spark.table(name), bytes(words)
+
+    def references(self) -> DataFrame:
+        """A row per chunk of a medium; what belongs to the medium as a whole stands in the row of its first."""
+        media = self.spark.read.parquet(f"{self.path}/manifest").withColumn("chunks", F.expr("int(octet_length(digests) div 32)"))
+        each = media.withColumn("at", F.explode(F.expr("sequence(0, chunks - 1)")))
+        first = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "n_bytes", "whole")]
+        return each.select("row", "at", "chunks", *first, F.expr("substring(digests, at * 32 + 1, 32)").alias("digest"))
+
+    def read(self, hot_share: int = HOT_SHARE) -> DataFrame:
+        """One row per medium, rebuilt from its chunks and verified."""
+        references, (store, words) = self.references(), self.chunks()
+        counts = references.groupBy("digest").agg(F.count("*").alias("n"))
+        hot = cut(counts.where(F.col("n") > max(1, references.count() // hot_share)).select("digest"))
+        often = F.broadcast(store.join(F.broadcast(hot), "digest", "left_semi"))
+        both = references.join(often, "digest").unionByName(references.join(F.broadcast(hot), "digest", "left_anti").join(store, "digest"))
+        ordered = both.drop("digest").repartition(partitions(self.spark), "row").sortWithinPartitions("row", "at")
+        return rebuilt(ordered.select("row", "at", "chunks", "doc_id", "n_bytes", "whole", "data"), words)
+
+
+def store_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per row of docs(doc_id, text), stored and rebuilt from the stored bytes: doc_id, n_bytes (unpadded), payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature, chunks.
 
     A null text counts as empty: UNIT bytes 255. Repeated rows and null ids are media of their own, whose chunks are
-    shared. Other columns are ignored. A medium is in memory whole when it is cut and when it is rebuilt, one at a time.
+    shared. Other columns are ignored. A medium is in memory whole when it is cut and when it is rebuilt, one at a time. The
+    store is in `path`; a new folder in the shared one by default.
     """
-    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = dictionary(rows)
-    media = cut(manifest_of(rows))  # fixes the numbers of the rows, and spares cutting them again for each use
-    manifest = media.withColumn("chunks", F.expr("int(octet_length(digests) div 32)")).withColumn("at", F.explode(F.expr("sequence(0, chunks - 1)")))
-    first = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "n_bytes", "whole")]  # once per medium is enough
-    manifest = manifest.select("row", "at", "chunks", *first, F.expr("substring(digests, at * 32 + 1, 32)").alias("digest"))
-    store = pieces_of(rows, words).groupBy("digest").agg(F.first("data").alias("data"))
-    joined = manifest.join(store, "digest").select("row", "doc_id", "at", "chunks", "n_bytes", "whole", F.when(F.col("chunks") == 1, F.col("digest")).alias("own"), "data")
-    ordered = joined.where("chunks > 1").repartition(partitions(docs.sparkSession), "row").sortWithinPartitions("row", "at")
-    return rebuilt(joined.where("chunks = 1"), words).unionByName(rebuilt(ordered, words))  # a medium of one chunk is whole where the join finds it
+    spark = docs.sparkSession
+    return MediaStore(spark, path or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}").write(docs).read()
