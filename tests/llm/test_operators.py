@@ -229,7 +229,7 @@ def test_base_spans():
 
 
 def test_semi_markov_sums_over_all_cuttings():
-    run = pii.Run("call 12 345 67 89 now", 5, 17)
+    run = next(pii.runs("call 12 345 67 89 now"))
     rng = np.random.default_rng(2)
     scores = rng.normal(size=(len(run.segments), 4))
     chance, total = pii.SemiMarkov().sums(run, scores)
@@ -262,11 +262,46 @@ def test_pii(docs, none):
 
 
 def test_pii_adds_what_base_patterns_miss(spark):
-    lost = ["paid by 7536784127813050 4845168114407329 today", "write to jane.doe(at)mail.example.com soon", "not 7536784127813051 4845168114407320 these", "at (at)noon"]
-    texts = [prose(30, 400 + i) + f" mail u{i}@h{i}.example.com, card 4111 1111 1111 1111, call +49 170 123-45{i:02d}" for i in range(40)] + lost
-    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [(got[k]["spans"], got[k]["n_added"], got[k]["n_card"] + got[k]["n_email"]) for k in range(40, 44)] == [("card:8:24,card:25:41", 2, 0), ("email:9:37", 1, 0), ("", 0, 0), ("", 0, 0)]
+    lost = {
+        "paid by 7536784127813050 4845168114407329 today": "card:8:24,card:25:41",
+        "write to jane.doe(at)mail.example.com soon": "email:9:37",
+        "write to jane.doe [at] mail.example.com soon": "email:9:39",
+        "call (555) 123-4567 now": "phone:5:19",
+        "call 0049 170 1234567 now": "phone:5:21",
+        "seen from 192[.]168[.]0[.]1 at noon": "ip:10:27",
+        "not 7536784127813051 4845168114407320 these": "",
+        "at (at)noon": "",
+        "on 2024-01-02 there were 1234567890 of them": "",
+    }
+    texts = [prose(30, 400 + i) + f" mail u{i}@h{i}.example.com, card 4111 1111 1111 1111, call +49 170 123-45{i:02d}" for i in range(40)] + list(lost)
+    rows = [*enumerate(texts), *[(40, texts[40])] * 2, (99, "x " * 100_000 + texts[40]), (100, "1 " * 3000 + texts[40])]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert [got[k]["spans"] for k in range(40, 40 + len(lost))] == list(lost.values())
+    assert all(got[k]["n_card"] + got[k]["n_email"] + got[k]["n_phone"] + got[k]["n_ip"] == 0 for k in range(40, 49)) and [got[k]["n_added"] for k in range(40, 49)] == [2, 1, 1, 1, 1, 1, 0, 0, 0]
     assert all(got[k]["n_added"] == 0 for k in range(40))
+    assert [r["n_added"] for r in found if r["doc_id"] == 40] == [2, 2, 2] and got[99]["n_added"] == got[100]["n_added"] == 2
+
+
+def test_pii_precision_and_recall():
+    """On made-up texts of another seed than training's."""
+    texts = [prose(60, 700 + i) for i in range(50)]
+    model = pii.train([*texts, "mail a1@b.example.com or 10.0.0.1 or +1 (017) 555-7713"])
+    hit, missed, wrong = Counter(), Counter(), Counter()
+    for text, spans in pii.made_up(texts, 1000, 4321):
+        base, every = pii.all_spans(text, model)
+        got, want = set(every) - set(base), set(spans)
+        for c, those in ((hit, got & want), (missed, want - got), (wrong, got - want)):
+            c.update(k for k, _, _ in those)
+    for kind in range(4):
+        assert hit[kind] >= 0.9 * (hit[kind] + missed[kind]) and wrong[kind] <= 0.02 * hit[kind], (kind, hit, missed, wrong)
+
+
+def test_pii_long_runs_in_windows():
+    text = " ".join(f"{i:02d}" for i in range(40)) * 100
+    parts = list(pii.runs(text))
+    assert len(parts) > 5 and all(len(r.borders) <= pii.WINDOW + 1 for r in parts)
+    assert all(b.borders[0] <= a.until <= b.borders[-1] for a, b in zip(parts, parts[1:])) and parts[-1].until == len(text)
 
 
 def test_html(spark):
