@@ -49,7 +49,7 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def test_exact_dedup(docs, none):
+def test_exact_dedup(docs, none, monkeypatch):
     groups = defaultdict(list)
     for r in ROWS:
         groups[lower(r[1])].append(r[0])
@@ -59,7 +59,12 @@ def test_exact_dedup(docs, none):
         keep = r[0] == max(g) and (r[0], max(g)) not in kept
         kept |= {(r[0], max(g))} if keep else set()
         want[r[0], max(g), len(g), keep, hashlib.sha256(lower(r[1]).encode()).hexdigest()] += 1
-    for share in (1, 1024):  # without and with salted digests
+    from pyspark.sql import functions as F
+
+    plain = exact_dedup._hashes
+    for share, hashes in ((1, plain), (1024, plain), (1, lambda norm: (F.lit(b"x"), F.lit(0).cast("long")))):  # without and with hot groups; hashes that collide
+        monkeypatch.setattr(exact_dedup, "_hashes", hashes)
+        assert exact_dedup.drop_exact_copies(docs).count() == len(groups)
         got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs, hot_share=share).collect())
         assert got == want
     assert exact_dedup.exact_dedup(none).collect() == []
@@ -444,7 +449,7 @@ def test_chunks_survive_an_insertion():
     assert b"".join(a) == data and len(set(a) - set(b)) <= 3
 
 
-def test_media_share_passages(spark, tmp_path):
+def test_media_share_passages(spark, tmp_path, monkeypatch):
     passage = prose(1200, 90)
     texts = [prose(200 + 30 * i, 91 + i) + " " + passage + " " + prose(150, 200 + i) for i in range(3)] + [prose(500, 300 + i) for i in range(300)]
     near = [" ".join(["changed" if k == 77 * j else w for k, w in enumerate(texts[3 + i].split(" "))]) for j in (1, 2) for i in range(100)]
@@ -459,7 +464,8 @@ def test_media_share_passages(spark, tmp_path):
     assert kept == set(by_digest)  # one copy of each
     whole = sum(len(media_chunks.wav(media_chunks.payload(t)[1])) for t in set(texts))
     assert sum(map(len, by_digest.values())) < 0.9 * whole  # near copies share what whole files don't
-    for share in (1, media_chunks.HOT_SHARE):  # with and without chunks that are joined by broadcast
+    monkeypatch.setattr(media_chunks, "COUNTED", 1)
+    for share in (10**9, 1):  # with and without chunks that are joined by broadcast
         got = {r["doc_id"]: r for r in media_chunks.MediaStore(spark, str(tmp_path / "media")).read(hot_share=share).collect()}
         assert len(got) == len(texts) and min(got[i]["chunks"] for i in range(3)) > 2
         assert all(got[i]["media_sha256"] == hashlib.sha256(media_chunks.wav(media_chunks.payload(t)[1])).hexdigest() for i, t in enumerate(texts))

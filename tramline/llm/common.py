@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, matched by exact case, so that no other column can clash with an operator's own names."""
-    at = {c: i for i, c in reversed(list(enumerate(df.columns)))}
-    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])
+    plain, at = positional(df, *names)
+    return plain.select(*[F.col(at[n]).alias(n) for n in names])
+
+
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns called _c0, _c1 ..., so that no name can clash with an operator's own, and what the named ones are called."""
+    at = {c: f"_c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), {n: at[n] for n in names}
 
 
 def shared_dir(spark: SparkSession) -> str:
