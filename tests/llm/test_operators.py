@@ -88,6 +88,55 @@ def water(sizes, weights, budget):
     return target | {s: 2.0 * sizes[s] for s in full}
 
 
+def highest(votes, house):
+    """House seats one by one to the highest quotient; ties to the first."""
+    seats = dict.fromkeys(votes, 0)
+    for _ in range(house if any(votes.values()) else 0):
+        best = max(votes, key=lambda k: votes[k] / (2 * seats[k] + 1))
+        seats[best] += 1
+    return seats
+
+
+def mix_by_hand(spark, rows, block, shard_docs):
+    """(doc_id, size, taken) of rows(doc_id, source, text), with the seeded numbers of Spark alone."""
+    from pyspark.sql import functions as F
+
+    lot = F.xxhash64("doc_id", F.lit(mixing.SEED))
+    df = spark.createDataFrame([(d, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, s, t in rows], "doc_id long, source string, size long")
+    got = df.select("doc_id", "source", "size", lot.alias("lot"), F.xxhash64(lot, F.lit(1)).alias("deal")).collect()
+    sizes, n = Counter(), Counter()
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        n[r["source"]] += 1
+    order = sorted(n, key=lambda s: (s is None, s))
+    target = water({s: sizes[s] for s in order}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    seats = highest({s: target[s] for s in order}, int(sum(target.values()) / block + 0.5))
+    out = Counter()
+    for s in order:
+        shards = -(-n[s] // shard_docs)
+        mine = defaultdict(list)
+        for r in got:
+            if r["source"] == s:
+                mine[r["deal"] % shards].append(r)
+        dealt = highest({k: sum(r["size"] for r in mine[k]) for k in sorted(mine)}, seats[s])
+        for k, docs in mine.items():
+            whole = sum(r["size"] for r in docs)
+            quota, at = min(dealt[k] * block, 2 * whole), 0
+            for r in sorted(docs, key=lambda r: (r["lot"], r["doc_id"] if r["doc_id"] is not None else -1, r["size"])):
+                passes = quota // whole if whole else 0
+                out[r["doc_id"], r["size"], passes * r["size"] + max(0, min(r["size"], quota - passes * whole - at))] += 1
+                at += r["size"]
+    return out
+
+
+def test_mixing_row_by_row(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice(["a", "b", "b", "b", "c", None]), prose(r.randint(0, 90), 900 + i)) for i in range(120)] + [(7, "a", "x y z"), (None, "b", "one two three")]
+    for block, shard_docs in ((8, 4), (64, 16), (1, 1000)):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block=block, shard_docs=shard_docs).collect()
+        assert Counter((x["doc_id"], x["size"], x["taken"]) for x in got) == mix_by_hand(spark, rows, block, shard_docs)
+
+
 def test_mixing(docs, none):
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = Counter()
@@ -163,6 +212,11 @@ def test_near_classes(spark, docs, none, monkeypatch):
     got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["class_id"], r["kept"]) for r in got) == Counter((d, root(d), d == root(d)) for d, _ in rows)
     assert near_dedup.near_classes(none).collect() == []
+    assert Counter(r["doc_id"] for r in near_dedup.near_classes(docs).collect()) == Counter(r[0] for r in ROWS)
+    # of rows that share an id each is judged by its own text, whatever its columns are called
+    odd = [(7, BASE, "x"), (7, prose(90, 77), "x"), (3, NEAR, "x"), (None, prose(80, 78), "x"), (None, prose(80, 78) + " end", "x"), (None, None, "x")]
+    left = near_dedup.drop_near_copies(spark.createDataFrame(odd, "doc_id long, text string, id string").coalesce(1))
+    assert sorted(str(r["text"]) for r in left.collect()) == sorted(map(str, [BASE, prose(90, 77), prose(80, 78), None])) and left.columns == ["doc_id", "text", "id"]
 
 
 def test_language_id(spark, docs, none):
@@ -177,6 +231,11 @@ def test_language_id(spark, docs, none):
     held = [(i, g) for i, t, g in rows if g and t and got[i]["held_out"]]
     assert sum(got[i]["lang_pred"] == g for i, g in held) >= 0.95 * len(held) and all(0 <= x["score"] <= 1 for x in got.values())
     assert language_id.identify_languages(none).collect() == []
+    # other columns stay as they are; a third of the rows repeat one text, whose score is one
+    table = spark.createDataFrame([(i, t, g, 0.5, "p", "c") for i, t, g in rows + rows[:1] * 120], "doc_id long, text string, lang string, score double, lang_pred string, _c1 string")
+    kept = language_id.keep_identified(table)
+    assert kept.columns == table.columns and {(r["score"], r["lang_pred"], r["_c1"]) for r in kept.collect()} == {(0.5, "p", "c")}
+    assert kept.where("doc_id = 0").count() == 121 and language_id.identify_languages(docs).count() == len(ROWS)
 
 
 def test_forward_backward_sums_over_all_labellings():

@@ -4,9 +4,10 @@ Each word of a text has a label. Its scores come from the word itself, its affix
 transitions join neighbours, so that a text which switches languages gets runs of labels. Forward-backward gives
 each word's label probabilities; a text's language is the one with the highest mean over its words.
 
-The field is trained on a bounded sample of labelled rows: `SAMPLE` rows of each language, lowest hash of doc_id first.
-Runs of words from these are joined into sequences that switch language, labelled run by run, and the
-conditional likelihood of the labels is climbed by Adam.
+The field is trained on a bounded sample of labelled rows: `SAMPLE` rows of each language, lowest hash of id and text first.
+Runs of words from these, RUN words long on average, are joined into SEQUENCES sequences of LENGTH words that switch language,
+labelled run by run, and the conditional likelihood of the labels is climbed by Adam in STEPS steps. Features that these
+sequences show less than SEEN times are left out.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import on_workers, pick
+from .common import on_workers, partitions, pick, positional
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows of each language that training sees.
+#: Labelled rows of each language that training sees, and what it makes of them; fixed, whatever the size of the table.
 SAMPLE = 200
-SEQUENCES, LENGTH, STEPS, RUN = 1200, 48, 80, 12
+SEQUENCES, LENGTH, STEPS, RUN, SEEN = 1200, 48, 80, 12, 3
 #: Words scored together, and words remembered by a task.
 TOGETHER, REMEMBERED = 200_000, 300_000
 
@@ -124,7 +125,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Field:
         for f in set(fs):
             seen[f] += counts[w]
     # rarer features than this would only name single words; row 0 is of words without any
-    index = {f: i for i, f in enumerate((f for f, n in sorted(seen.items()) if n >= 3), 1)}
+    index = {f: i for i, f in enumerate((f for f, n in sorted(seen.items()) if n >= SEEN), 1)}
     flat, sizes = [], []
     for fs in of_word:
         found = [index[f] for f in fs if f in index] or [0]
@@ -165,10 +166,14 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Field:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Train on text and lang of docs(doc_id, text, lang) outside the held-out quarter; null langs and texts teach nothing."""
     rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    lots = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("lot")).distinct()
-    few = lots.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id"))).where(F.col("at") <= sample)
-    ids = sorted({r["doc_id"] for r in few.select("doc_id").where("doc_id is not null").collect()})  # at most `sample` of a language
-    got = sorted((r["lang"], r["text"]) for r in rows.where(F.col("doc_id").isin(ids)).select("lang", "text").distinct().collect()) if ids else []
+    rows = rows.withColumn("lot", F.xxhash64("doc_id", "text"))
+    # the least lots of each language and salt, then of each language: so a language with most rows is not ranked in one task
+    salt = F.pmod(F.xxhash64("lot"), F.lit(partitions(docs.sparkSession))).alias("salt")
+    few = rows.select("lang", "lot", salt)
+    for group in (["lang", "salt"], ["lang"]):
+        few = few.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("lot"))).where(F.col("at") <= sample).drop("at")
+    lots = sorted({r["lot"] for r in few.select("lot").collect()})  # at most `sample` of a language
+    got = sorted((r["lang"], r["text"]) for r in rows.where(F.col("lot").isin(lots)).select("lang", "text").distinct().collect()) if lots else []
     return train([t for _, t in got], [g for g, _ in got])
 
 
@@ -222,11 +227,17 @@ def label_languages(docs: DataFrame, model: Field) -> DataFrame:
     A text that is null or has no letter is `und` with score 0, as is any if the field knows no label. Every row gives a row;
     repeated rows and other columns pass through. Columns that docs already has by these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[docs[c] for c in kept])
-    at = kept.index("text")
+    out = _labelled(docs, model)
+    kept = [(i, c) for i, c in enumerate(docs.columns) if c not in ("lang_pred", "score")]
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in kept], "lang_pred", "score")
+
+
+def _labelled(docs: DataFrame, model: Field) -> DataFrame:
+    """docs with its columns called _c0, _c1 ..., and lang_pred and score."""
+    rows, names = positional(docs, "text")
+    at = rows.columns.index(names["text"])
     schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    arrow_names = [*kept, "lang_pred", "score"]
+    arrow_names = [*rows.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
@@ -245,6 +256,7 @@ def identify_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows whose text has no letter or no language of a mean probability of `least`."""
-    out = label_languages(docs, fit(docs, sample))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """docs without the rows whose text has no letter or no language of a mean probability of `least`. Columns of any name pass
+    through as they are."""
+    out = _labelled(docs, fit(docs, sample)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return out.drop("lang_pred", "score").toDF(*docs.columns)

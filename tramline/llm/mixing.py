@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick, word_count
+from .common import cut, pick, positional, word_count
 
 BLOCK_WORDS = 64
 SHARD_DOCS = 2048
@@ -72,7 +72,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     size is the words of the text (null: 0), target the source's, taken the words that the mix takes of the row, repeats
     counted, at most max_epochs * size. A null source is a source of its own. Repeated rows are rows of their own. Without
-    any words all targets are 0. The choice depends on the rows and the seed alone, never on their order.
+    any words all targets are 0. The choice depends on the rows and the seed alone, never on their order. The shards of a source, one
+    for `shard_docs` documents, are dealt seats in one task: a million of them stand for 2 * 10^9 documents.
     """
     rows = pick(docs, "doc_id", "text", "source").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     rows = cut(rows.withColumn("lot", F.xxhash64("doc_id", F.lit(seed))))
@@ -104,11 +105,14 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs repeated as the mix says: each row taken / size times, rounded half up, so a part of a text is none or all of it.
 
     A row without words is in no block and goes. Rows that share doc_id, source and size are told apart by a number, so each
-    has one row of the mix."""
-    number = lambda *order: F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(*order))
+    has one row of the mix. Columns of any name pass through."""
+    key = ["id", "source", "size"]
+    number = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     times = F.floor(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0) + 0.5).cast("int")
-    marked = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times.alias("_times"))
-    marked = marked.withColumn("_at", number("_times")).where("_times > 0").toDF("_mix_id", "_mix_source", "_mix_size", "_times", "_mix_at")
-    rows = docs.withColumns({"_id": docs["doc_id"], "_source": docs["source"], "_size": word_count(docs["text"])}).withColumn("_at", number("text"))
-    same = F.col("_id").eqNullSafe(F.col("_mix_id")) & F.col("_source").eqNullSafe(F.col("_mix_source")) & (F.col("_size") == F.col("_mix_size")) & (F.col("_at") == F.col("_mix_at"))
-    return rows.join(marked, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    marked = mix(docs, **options).select(F.col("doc_id").alias("id"), "source", "size", times.alias("times"))
+    marked = marked.withColumn("at", number("times")).where("times > 0").toDF("mix_id", "mix_source", "mix_size", "times", "mix_at")
+    own, names = positional(docs, "doc_id", "source", "text")
+    rows = own.withColumns({"id": F.col(names["doc_id"]), "source": F.col(names["source"]), "size": word_count(F.col(names["text"]))})
+    rows = rows.withColumn("at", number(names["text"]))
+    same = F.col("id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("size") == F.col("mix_size")) & (F.col("at") == F.col("mix_at"))
+    return rows.join(marked, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*own.columns).toDF(*docs.columns)

@@ -8,8 +8,8 @@ Points are only drawn up to the time by which all slots have one; a text needs f
 
 Candidates. Signatures are banded. A bucket's pairs are not listed: in a first round each member is held against one pivot,
 the least doc_id, and in a second against two more. Verified links join members to classes. Where members of a bucket are left
-in different classes, tasks compare blocks of some BLOCK members of it, two at a time, and verify the pairs of different
-classes whose sketches agree in AGREE of the slots or more. At a similarity of 0.8, fewer agree with a probability of 0.00001.
+in different classes, tasks compare the sketches of blocks of some BLOCK members of it, two at a time, and verify by their texts the pairs of
+different classes that agree in AGREE of the slots or more. At a similarity of 0.8, fewer agree with a probability of 0.00001.
 Copies (equal word sequences) are one member.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workers import importable
-from .common import cut, on_workers, pick
+from .common import cut, on_workers, pick, positional
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 80 slots: a pair at 0.8 meets in a band with probability 0.99997.
@@ -206,23 +206,41 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float
 def linked(state: DataFrame, members: DataFrame, texts: DataFrame, slots: int, size: int, least: float) -> DataFrame:
     """links(a, b) that join members of a bucket but of different classes.
 
-    Tasks compare the blocks of a bucket two at a time. Pairs whose sketches agree in AGREE of the slots are verified in the
-    first bucket that they share; what would join classes that a task has joined already is skipped. Only links leave a task.
+    Tasks compare the blocks of a bucket two at a time, by sketches alone, and name the members with a partner of another class
+    that agrees in AGREE of the slots; only the texts of these are fetched. Then such pairs are verified in the first
+    bucket that they share; what would join classes that a task has joined already is skipped. Only links leave a task.
     """
     sizes = state.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
     blocks = state.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    blocks = blocks.join(members.select("member", "bands", "sketch"), "member").join(texts, "member")
+    blocks = blocks.join(members.select("member", "bands", "sketch"), "member")
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = blocks.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "band", "own", "member", "class", "bands", "sketch", "text")
+    pair = blocks.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "band", "own", "member", "class", "bands", "sketch")
 
-    def compare(rows: pa.Table) -> pa.Table:
-        own, member, of_class = (rows.column(c).to_numpy() for c in ("own", "member", "class"))
+    def partners(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each member outside the largest class, those that may be its partners, and how far they agree."""
+        own, of_class = rows.column("own").to_numpy(), rows.column("class").to_numpy()
         names = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(own), slots)
         keys = np.array(rows.column("bands").to_pylist())
         band, within = rows.column("band")[0].as_py(), rows.column("low")[0] == rows.column("high")[0]
         known, counts = np.unique(of_class, return_counts=True)
-        few = np.flatnonzero(of_class != known[counts.argmax()])  # a pair of different classes has a member outside the largest
+        for i in np.flatnonzero(of_class != known[counts.argmax()]).tolist():  # a pair of different classes has a member outside the largest
+            agree = (names == names[i]).sum(axis=1)
+            fits = (agree >= AGREE * slots) & (of_class != of_class[i])
+            if not within:
+                fits &= own != own[i]
+            near = np.flatnonzero(fits)
+            yield i, near[(keys[near] == keys[i]).argmax(axis=1) == band], agree
+
+    def screen(rows: pa.Table) -> pa.Table:
+        found = np.zeros(rows.num_rows, bool)
+        for i, near, _ in partners(rows):
+            found[near] = True
+            found[i] |= len(near) > 0
+        return rows.filter(pa.array(found))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        member, of_class = rows.column("member").to_numpy(), rows.column("class").to_numpy()
         shingler, texts_ = Shingler(size), rows.column("text")
         bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         joined: dict[int, int] = {}  # classes joined here
@@ -238,12 +256,7 @@ def linked(state: DataFrame, members: DataFrame, texts: DataFrame, slots: int, s
             return bags[i]
 
         a, b = [], []
-        for i in few.tolist():
-            agree = (names == names[i]).sum(axis=1)
-            fits = (agree >= AGREE * slots) & (of_class != of_class[i]) & ((keys == keys[i]).argmax(axis=1) == band)
-            if not within:
-                fits &= own != own[i]
-            near = np.flatnonzero(fits)
+        for i, near, agree in partners(rows):
             for j in near[np.argsort(-agree[near], kind="stable")].tolist():
                 if (x := root(int(of_class[i]))) != (y := root(int(of_class[j]))) and overlap(bag(i), bag(j)) >= least:
                     joined[max(x, y)] = min(x, y)
@@ -252,7 +265,8 @@ def linked(state: DataFrame, members: DataFrame, texts: DataFrame, slots: int, s
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     importable(state.sparkSession)
-    return pair.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    screened = cut(pair.groupBy("bucket", "low", "high").applyInArrow(screen, pair.schema))
+    return screened.join(texts, "member").groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -319,6 +333,15 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that near_classes() doesn't keep: one document of each class stays."""
-    gone = near_classes(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """docs without those that near_classes() doesn't keep: one document of each class stays. Columns of any name pass through.
+
+    Where ids are null or repeat, rows are told apart by numbers of their own, and the first row of a class stays."""
+    own, names = positional(docs, "doc_id", "text")
+    ids = own.groupBy(names["doc_id"]).count().where((F.col("count") > 1) | F.col(names["doc_id"]).isNull())
+    if ids.isEmpty():
+        rows = own.withColumn("id", F.col(names["doc_id"]).cast("long"))
+    else:
+        rows = cut(own.withColumn("id", F.monotonically_increasing_id()))
+    classes = near_classes(rows.select(F.col("id").alias("doc_id"), F.col(names["text"]).alias("text")), **options)
+    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("id"))
+    return rows.join(gone, "id", "left_anti").select(*own.columns).toDF(*docs.columns)
