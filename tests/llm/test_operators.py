@@ -465,15 +465,35 @@ def test_url_filter(spark):
         rule, said = max(fit, key=lambda x: len(x[0])) if fit else (None, None)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
         assert got[i]["verdict"] == (said or got[i]["verdict"]) and got[i]["verdict"] in ("allow", "block")
-    # by hand: all 30 labels of bad.com are blocks, the base share of blocks is 33 of 35
+    # by hand: all 30 labels of bad.com are blocks, the base share of blocks is 33 of 35, and en2 is no sibling with labels
     base = 33 / 35
     host = (30 + 8 * base) / 38
-    group = (30 + 8 * host) / 38
-    assert got[len(urls) - 1]["purity"] == pytest.approx((0 + 8 * group) / 8, abs=1e-6) and got[len(urls) - 1]["verdict"] == "block"
+    first = (30 + 8 * host) / 38
+    second = (30 + 8 * first) / 38
+    assert got[len(urls) - 1]["purity"] == pytest.approx((30 + 8 * second) / 38, abs=1e-6) and got[len(urls) - 1]["verdict"] == "block"
+    assert got[len(urls) - 1]["template"] == got[len(urls) - 2]["template"] == "/*/*" and got[6]["template"] == "/"
     assert got[6]["verdict"] == "block" if got[6]["purity"] >= 0.9 else got[6]["verdict"] == "allow"
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_url_tree_at_every_level(spark):
+    """Branches split and merge below the first level too; a template has one purity; deep and very long paths are judged."""
+    rules = (("block", "h.com/a/bad/"), ("allow", "h.com/a/good/"), ("block", "h.com/b/bad/"), ("allow", "h.com/b/good/"))
+    urls = [f"http://h.com/{x}/{y}/page{i}" for x in "ab" for y in ("bad", "good") for i in range(40)]
+    urls += [f"http://h.com/{x}/{y}" for x in "ab" for y in ("bad", "good", "new")]
+    urls += [f"http://h.com/c/{w}" for w in WORDS[:60]] + ["http://h.com/" + "seg/" * 5000, "http://h.com/x/x/x/x/x/x/y", "http://h.com/" + "z" * 100_000, urls[0], urls[0]]
+    rows = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(urls)], "page_id long, url string, host string, node string, Shape string")
+    out = url_filter.judge_urls(rows, rules).collect()
+    got = {r["page_id"]: r for r in out}
+    assert len(out) == len(urls)
+    at = {u: got[i] for i, u in enumerate(urls)}
+    assert at["http://h.com/a/bad/page1"]["template"] == at["http://h.com/b/bad/page1"]["template"] == "/*/bad/*"
+    assert at["http://h.com/a/good/page1"]["template"] == "/*/good/*" and at["http://h.com/a/new"]["template"] == "/*/*"
+    assert at["http://h.com/a/bad"]["verdict"] == "block" and at["http://h.com/a/good"]["verdict"] == at["http://h.com/a/new"]["verdict"] == "allow"
+    assert len({(r["host"], r["template"], r["purity"]) for r in out}) == len({(r["host"], r["template"]) for r in out})
+    assert at["http://h.com/" + "seg/" * 5000]["template"].count("/") == url_filter.DEPTH
+
+
 def test_rollup(spark, docs, none, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     assert rollup.commit("b1", token_rollup.inserted(docs)) and not rollup.commit("b1", token_rollup.inserted(docs))

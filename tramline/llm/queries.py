@@ -69,29 +69,46 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _url_sql() -> str:
     """op2_url_filter in SQL: rules, template tree, merged branches and purity."""
-    fits = {r: (said, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')") for said, r in url_filter.RULES for h, _, p in [r.partition("/")]}
+    fits = {
+        r: (said, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')")
+        for said, r in url_filter.RULES
+        for h, _, p in [r.partition("/")]
+    }
     order = sorted(fits, key=len, reverse=True)
     case = lambda pick: "CASE " + " ".join(f"WHEN {fits[r][1]} THEN '{pick(r)}'" for r in order) + " END"
-    k, z = url_filter.PRIOR, url_filter.Z
+    k, z, deep = url_filter.PRIOR, url_filter.Z, url_filter.DEPTH
+    levels = ""
+    for at in range(1, deep + 1):
+        levels += f"""
+        d{at} AS (SELECT *, shape[{at}] AS seg FROM t{at - 1} WHERE len(shape) >= {at}),
+        v{at} AS (SELECT host, node, seg, sum(n) AS n, sum(bad) AS bad, sum(told) AS told, max(purity) AS above FROM d{at} GROUP BY ALL),
+        w{at} AS (SELECT host, node, TRUE AS wild FROM v{at} WHERE seg NOT IN ('*', '**') GROUP BY ALL
+            HAVING count(*) >= {url_filter.FANOUT} AND sum(n) < {url_filter.REPEATS} * count(*)),
+        x{at} AS (SELECT v{at}.*, CASE WHEN wild AND seg <> '**' THEN '*' ELSE seg END AS child FROM v{at} LEFT JOIN w{at} USING (host, node)),
+        c{at} AS (SELECT host, node, child, sum(bad) AS b, sum(told) AS t, max(above) AS above FROM x{at} GROUP BY ALL),
+        e{at} AS (SELECT *, sum(b) OVER (PARTITION BY host, node) AS eb, sum(t) OVER (PARTITION BY host, node) AS et FROM c{at}),
+        g{at} AS (SELECT *, CASE WHEN t = 0 OR et = t OR abs(b / greatest(t, 1) - (eb - b) / greatest(et - t, 1)) <= {z} * sqrt(
+            (eb / greatest(et, 1)) * (1 - eb / greatest(et, 1)) * (1 / greatest(t, 1) + 1 / greatest(et - t, 1))) THEN '*' ELSE child END AS merged FROM e{at}),
+        n{at} AS (SELECT host, node, merged, (sum(b) + {k} * max(above)) / (sum(t) + {k}) AS below FROM g{at} GROUP BY ALL),
+        m{at} AS (SELECT x.host, x.node, x.seg, g.merged, n.below FROM x{at} x JOIN g{at} g USING (host, node, child)
+            JOIN n{at} n ON n.host = g.host AND n.node = g.node AND n.merged = g.merged),
+        t{at} AS (SELECT host, shape, n, bad, told, node, purity FROM t{at - 1} WHERE len(shape) < {at}
+            UNION ALL SELECT host, shape, n, bad, told, node || '/' || merged, below FROM d{at} JOIN m{at} USING (host, node, seg)),"""
     return rf"""
         WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        r AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM u),
-        q AS (SELECT *, {case(lambda r: r)} AS rule, {case(lambda r: fits[r][0])} AS said, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS shape FROM r),
+        r AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+            regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM u),
+        s AS (SELECT *, {case(lambda r: r)} AS rule, {case(lambda r: fits[r][0])} AS said,
+            list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS every FROM r),
+        q AS (SELECT *, CASE WHEN len(every) > {deep} THEN every[1:{deep - 1}] || ['**'] ELSE every END AS shape FROM s),
         shapes AS (SELECT host, shape, count(*) AS n, count(*) FILTER (said = 'block') AS bad, count(said) AS told FROM q GROUP BY ALL),
-        places AS (SELECT host, shape, n, at_, shape[at_ + 1] AS seg, shape[1:at_] AS above FROM (SELECT *, unnest(range(len(shape))) AS at_ FROM shapes) x),
-        wide AS (SELECT host, above FROM (SELECT host, above, seg, sum(n) AS n FROM places WHERE seg <> '*' GROUP BY ALL) v GROUP BY ALL HAVING count(*) >= {url_filter.FANOUT} AND sum(n) < {url_filter.REPEATS} * count(*)),
-        named AS (SELECT p.host, p.shape, list(CASE WHEN w.host IS NOT NULL THEN '*' ELSE seg END ORDER BY at_) AS node FROM places p LEFT JOIN wide w ON w.host = p.host AND w.above = p.above GROUP BY ALL),
-        nodes AS (SELECT s.*, coalesce(node, []::VARCHAR[]) AS node FROM shapes s LEFT JOIN named m ON m.host = s.host AND m.shape = s.shape),
-        leaf AS (SELECT host, node, coalesce(node[1], '') AS branch, sum(bad) AS bad, sum(told) AS told FROM nodes GROUP BY ALL),
-        b0 AS (SELECT host, branch, sum(bad) AS b, sum(told) AS t FROM leaf GROUP BY ALL),
-        h0 AS (SELECT host, sum(b) AS hb, sum(t) AS ht FROM b0 GROUP BY ALL),
-        h AS (SELECT *, (hb + {k} * (SELECT CASE WHEN sum(ht) > 0 THEN sum(hb)::DOUBLE / sum(ht) ELSE 0 END FROM h0)) / (ht + {k}) AS hp FROM h0),
-        br AS (SELECT b0.*, h.hp, CASE WHEN t = 0 OR ht - t = 0 OR abs(b / greatest(t, 1) - (hb - b) / greatest(ht - t, 1)) <= {z} * sqrt((hb / greatest(ht, 1)) * (1 - hb / greatest(ht, 1)) * (1 / greatest(t, 1) + 1 / greatest(ht - t, 1))) THEN '*' ELSE branch END AS merged FROM b0 JOIN h USING (host)),
-        g AS (SELECT host, merged, (sum(b) + {k} * any_value(hp)) / (sum(t) + {k}) AS gp FROM br GROUP BY ALL),
-        found AS (SELECT l.host, l.node, '/' || array_to_string(CASE WHEN len(l.node) > 0 THEN [br.merged] || l.node[2:] ELSE l.node END, '/') AS template, (l.bad + {k} * g.gp) / (l.told + {k}) AS purity
-            FROM leaf l JOIN br ON br.host = l.host AND br.branch = l.branch JOIN g ON g.host = br.host AND g.merged = br.merged)
-        SELECT page_id, q.host, path, rule, coalesce(said, CASE WHEN round(purity, 9) >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 9) AS purity
-        FROM q JOIN nodes n ON n.host = q.host AND n.shape = q.shape JOIN found f ON f.host = n.host AND f.node = n.node"""
+        h AS (SELECT host, (sum(bad) + {k} * (SELECT CASE WHEN sum(told) > 0 THEN sum(bad)::DOUBLE / sum(told) ELSE 0 END FROM shapes))
+            / (sum(told) + {k}) AS purity FROM shapes GROUP BY ALL),
+        t0 AS (SELECT shapes.*, '' AS node, h.purity FROM shapes JOIN h USING (host)),{levels}
+        f AS (SELECT host, node, (sum(bad) + {k} * max(purity)) / (sum(told) + {k}) AS ends FROM t{deep} GROUP BY ALL)
+        SELECT page_id, q.host, path, rule, coalesce(said, CASE WHEN round(ends, 9) >= {url_filter.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+            CASE WHEN t.node = '' THEN '/' ELSE t.node END AS template, round(ends, 9) AS purity
+        FROM q JOIN t{deep} t ON t.host = q.host AND t.shape = q.shape JOIN f ON f.host = t.host AND f.node = t.node"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

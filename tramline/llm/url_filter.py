@@ -1,14 +1,15 @@
 """Verdicts on URLs: rules first, else a path-template tree.
 
-Tree. Each host's paths are cut into segments. A segment is a wildcard if its shape is variable (it has a digit), or if its
-place under the same parent has many different values, few of them repeated. Templates are nodes under their host.
-Labels are the rules' own verdicts on the URLs they fit. A branch whose share of blocked labels doesn't differ from its
-siblings' by a two-proportion test is merged with all such siblings of its parent, as is one without labels. A node's purity is
-the share of blocked labels, smoothed towards its parent's, which is smoothed towards its host's, and that towards the
-share of all labels. From `reject` on, a template's URLs are blocked.
+Tree. Each host's paths are cut into segments, those from the DEPTH-th on being one, `**`. A segment with a digit is a wildcard. The tree is
+built from the host down, level by level. At each node, its children are wildcards too where they are many and few of them repeat; then
+children whose share of blocked labels doesn't differ from their siblings' by a two-proportion test, or that have no labels, are merged into
+the wildcard. What lies below merged children is merged with it, so a node is one template with labels of all its URLs.
+Labels are the rules' own verdicts on the URLs they fit. A node's purity is the share of blocked labels below it, smoothed towards its
+parent's, and so on up to the host's, which is smoothed towards the share of all labels. A template's purity is that of the URLs that end at
+its node, smoothed towards the node's. From `reject` on, its URLs are blocked.
 
 All of it is aggregation and equi-joins on templates, of which there are far fewer than URLs; the join back to the rows is the
-only one that a hot host skews, and it is a plain join that Spark can split.
+only one that a hot host skews, and it is a plain join by host and path shape that Spark can split.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pick
+from .common import ascii_lower, cut, pick
 
 #: verdict, rule host and path as one string: the host and all its subdomains, paths that begin so.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: A place with this many different values, on average met under REPEATS times, is a wildcard.
 FANOUT, REPEATS = 20, 3.0
+#: Levels of the tree.
+DEPTH = 6
 #: Weight of the parent in a node's purity; z of the two-proportion test; purity from which URLs are blocked.
 PRIOR, Z, REJECT = 8.0, 1.96, 0.9
 
@@ -45,51 +48,61 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return name, verdict
 
 
+def shape_of(path: Column) -> Column:
+    """Segments of a path, `*` for those with a digit, and `**` for all from the DEPTH-th on where there are more."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    few = F.transform(F.slice(segments, 1, DEPTH), lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
+    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(few, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(few)
+
+
+def grown(tree: DataFrame, level: int) -> DataFrame:
+    """tree(host, shape, n, bad, told, node, purity) with the nodes of one more level, for the shapes that go as deep."""
+    deep = tree.where(F.size("shape") >= level).withColumn("seg", F.get("shape", F.lit(level - 1)))
+    values = deep.groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("told").alias("told"), F.max("purity").alias("above"))
+    wide = values.where(~F.col("seg").isin("*", "**")).groupBy("host", "node").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
+    wide = wide.where((F.col("values") >= FANOUT) & (F.col("n") < REPEATS * F.col("values"))).select("host", "node", F.lit(True).alias("wild"))
+    values = values.join(wide, ["host", "node"], "left").withColumn("child", F.when(F.col("wild") & (F.col("seg") != "**"), "*").otherwise(F.col("seg")))
+    children = values.groupBy("host", "node", "child").agg(F.sum("bad").alias("b"), F.sum("told").alias("t"), F.max("above").alias("above"))
+    every = children.groupBy("host", "node").agg(F.sum("b").alias("eb"), F.sum("t").alias("et"))
+    children = children.join(every, ["host", "node"])
+    one = lambda x: F.greatest(x, F.lit(1))
+    b, t, others = F.col("b"), F.col("t"), F.col("et") - F.col("t")
+    pooled = F.col("eb") / one(F.col("et"))
+    gap = F.abs(b / one(t) - (F.col("eb") - b) / one(others))
+    alike = (t == 0) | (others == 0) | (gap <= Z * F.sqrt(pooled * (1 - pooled) * (1 / one(t) + 1 / one(others))))
+    children = children.withColumn("merged", F.when(alike, "*").otherwise(F.col("child")))
+    nodes = children.groupBy("host", "node", "merged").agg(((F.sum("b") + PRIOR * F.max("above")) / (F.sum("t") + PRIOR)).alias("below"))
+    to = values.select("host", "node", "seg", "child").join(children.select("host", "node", "child", "merged"), ["host", "node", "child"]).join(nodes, ["host", "node", "merged"])
+    deep = deep.join(to.select("host", "node", "seg", "merged", "below"), ["host", "node", "seg"])
+    deep = deep.select("host", "shape", "n", "bad", "told", F.concat("node", F.lit("/"), "merged").alias("node"), F.col("below").alias("purity"))
+    return tree.where(F.size("shape") < level).unionByName(deep)
+
+
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, reject: float = REJECT) -> DataFrame:
     """One row per row of pages(page_id, url): page_id, host, path, rule, verdict, template, purity.
 
     A null url, or one without `://`, has an empty host and path and the template `/`; it is judged as any other. Repeated rows
-    are rows of their own; other columns are ignored. Without any labels every URL that no rule fits is allowed.
+    are rows of their own; other columns are ignored. Without any labels every URL that no rule fits is allowed. Of rules as
+    long the one with the longer host wins, and of these the later one.
     """
     rows = pick(pages, "page_id", "url")
     host, path = parts(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("said", said)
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = rows.withColumn("shape", F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)))
+    rows = rows.withColumn("rule", rule).withColumn("said", said).withColumn("shape", shape_of(F.col("path")))
     shapes = rows.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("said").isNotNull(), 1).otherwise(0)).alias("told")
     )
-    # places with many values, few of them repeated
-    places = shapes.select("host", "shape", "n", F.posexplode("shape").alias("at", "seg")).withColumn("above", F.slice("shape", F.lit(1), F.col("at")))
-    values = places.groupBy("host", "above", "seg").agg(F.sum("n").alias("n"))
-    wide = values.where("seg <> '*'").groupBy("host", "above").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
-    wide = wide.where((F.col("values") >= FANOUT) & (F.col("n") < REPEATS * F.col("values"))).select("host", "above", F.lit(True).alias("wild"))
-    named = places.join(wide, ["host", "above"], "left").withColumn("seg", F.when(F.col("wild"), "*").otherwise(F.col("seg")))
-    named = named.groupBy("host", "shape").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "seg"))), lambda x: x["seg"]).alias("path_"))
-    nodes = shapes.join(named, ["host", "shape"], "left").withColumn("node", F.coalesce("path_", F.array().cast("array<string>"))).drop("path_")
-    leaf = nodes.groupBy("host", "node").agg(F.sum("bad").alias("bad"), F.sum("told").alias("told"))
-    # the branch is the first segment under the host; its siblings are compared with it
-    leaf = leaf.withColumn("branch", F.coalesce(F.get("node", F.lit(0)), F.lit("")))
-    branch = leaf.groupBy("host", "branch").agg(F.sum("bad").alias("b"), F.sum("told").alias("t"))
-    hosts = branch.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("t").alias("ht"))
-    every = hosts.agg(F.sum("hb").alias("eb"), F.sum("ht").alias("et")).select(F.when(F.col("et") > 0, F.col("eb") / F.col("et")).otherwise(0.0).alias("base"))
-    hosts = hosts.withColumn("host_purity", (F.col("hb") + PRIOR * every.scalar()) / (F.col("ht") + PRIOR))
-    branch = branch.join(hosts, "host")
-    pooled = F.col("hb") / F.greatest("ht", F.lit(1))
-    others = F.col("ht") - F.col("t")
-    gap = F.abs(F.col("b") / F.greatest("t", F.lit(1)) - (F.col("hb") - F.col("b")) / F.greatest(others, F.lit(1)))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("t", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-    alike = (F.col("t") == 0) | (others == 0) | (gap <= Z * error)
-    branch = branch.withColumn("merged", F.when(alike, "*").otherwise(F.col("branch")))
-    group = branch.groupBy("host", "merged", "host_purity").agg(F.sum("b").alias("gb"), F.sum("t").alias("gt"))
-    group = group.withColumn("group_purity", (F.col("gb") + PRIOR * F.col("host_purity")) / (F.col("gt") + PRIOR)).drop("host_purity", "gb", "gt")
-    branch = branch.select("host", "branch", "merged").join(group, ["host", "merged"])
-    leaf = leaf.join(branch, ["host", "branch"]).withColumn("purity", (F.col("bad") + PRIOR * F.col("group_purity")) / (F.col("told") + PRIOR))
-    rest = F.slice("node", F.lit(2), F.greatest(F.size("node"), F.lit(1)))
-    leaf = leaf.withColumn("template", F.concat(F.lit("/"), F.array_join(F.when(F.size("node") > 0, F.concat(F.array("merged"), rest)).otherwise(F.col("node")), "/")))
-    found = nodes.select("host", "shape", "node").join(leaf.select("host", "node", "template", "purity"), ["host", "node"]).select("host", "shape", "template", "purity")
-    out = rows.join(found, ["host", "shape"], "left")
-    verdict = F.coalesce("said", F.when(F.round("purity", 9) >= reject, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 9).alias("purity"))
+    shapes = cut(shapes)
+    hosts = shapes.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("told").alias("ht"))
+    labels, blocked, depth = shapes.agg(F.sum("told"), F.sum("bad"), F.max(F.size("shape"))).first()
+    base = (blocked or 0) / labels if labels else 0.0
+    hosts = hosts.select("host", ((F.col("hb") + PRIOR * base) / (F.col("ht") + PRIOR)).alias("purity"))
+    tree = shapes.withColumn("node", F.lit("")).join(hosts, "host")
+    for level in range(1, (depth or 0) + 1):  # DEPTH at most
+        tree = cut(grown(tree, level))
+    ends = tree.groupBy("host", "node").agg(((F.sum("bad") + PRIOR * F.max("purity")) / (F.sum("told") + PRIOR)).alias("end"))
+    found = tree.select("host", "shape", "node").join(ends, ["host", "node"])
+    found = found.select("host", "shape", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), F.round("end", 9).alias("purity"))
+    verdict = F.coalesce("said", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
+    return rows.join(found, ["host", "shape"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
