@@ -495,6 +495,8 @@ def test_url_tree_at_every_level(spark):
 
 
 def test_rollup(spark, docs, none, tmp_path):
+    from pyspark.sql import functions as F
+
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     assert rollup.commit("b1", token_rollup.inserted(docs)) and not rollup.commit("b1", token_rollup.inserted(docs))
     part, new = docs.where("doc_id = 7"), docs.where("doc_id = 7").replace("one two", "one two three", "text")
@@ -509,6 +511,23 @@ def test_rollup(spark, docs, none, tmp_path):
     assert rollup.committed() == ["b1", "b2", "b3"] and token_rollup.token_totals(none).collect() == []
     with pytest.raises(ValueError):
         rollup.commit("../x", token_rollup.inserted(docs))
+    before = sorted(map(str, rollup.totals().collect()))
+    assert rollup.fold() and sorted(map(str, rollup.totals().collect())) == before and not rollup.commit("b2", token_rollup.inserted(docs))
+    # null keys are revised like others; a crashed job's folder counts for nothing and goes
+    nulls = docs.where("doc_id = 4")
+    rollup._write("crashed", token_rollup.inserted(docs).groupBy("source", "lang", "tokenizer").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars")))
+    assert rollup.commit("b4", token_rollup.revised(nulls, nulls.na.fill("now it has words", ["text"]))) and rollup.clean(older_s=0) == 4
+    got = {(r["source"], r["lang"], r["tokenizer"]): r["n_tokens"] for r in rollup.totals().collect()}
+    assert got == {**want, (None, None, "words-1"): 4, (None, None, "utf8-bytes-1"): 16}
+    assert rollup.fold() and {(r["source"], r["lang"], r["tokenizer"]): r["n_tokens"] for r in rollup.totals().collect()} == got
+
+
+def test_rollup_of_pieces(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    got = token_rollup.counted(docs, {"pieces-1": token_rollup.pieces(piece_model())}).collect()
+    assert Counter((r["source"], r["lang"], r["n_tokens"]) for r in got) == Counter((r[3], r[2], len(sp.encode(r[1] or ""))) for r in ROWS)
 
 
 def test_media(docs, none):
@@ -548,3 +567,16 @@ def test_media_share_passages(spark, tmp_path, monkeypatch):
         got = {r["doc_id"]: r for r in media_chunks.MediaStore(spark, str(tmp_path / "media")).read(hot_share=share).collect()}
         assert len(got) == len(texts) and min(got[i]["chunks"] for i in range(3)) > 2
         assert all(got[i]["media_sha256"] == hashlib.sha256(media_chunks.wav(media_chunks.payload(t)[1])).hexdigest() for i, t in enumerate(texts))
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="no tables")
+def test_piece_tokens_of_every_document(spark):
+    """ids and the decoded text of all documents of a table are the library's."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    docs = spark.read.parquet(PAGES.replace("pages", "documents")).select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for x in piece_tokens.encode_documents(docs, piece_model(), with_ids=True).collect():
+        ids = sp.encode(texts[x["doc_id"]])
+        assert list(x["ids"]) == ids and x["decoded"] == sp.decode(ids)

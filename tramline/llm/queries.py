@@ -121,10 +121,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": _url_sql(),
     "op5_token_counts": r"""
-        WITH counts AS (
-            SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, length(coalesce(text, '')) AS n_chars FROM documents
+        WITH squeezed AS (SELECT source, lang, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS text FROM documents),
+        kept AS (SELECT * FROM squeezed WHERE text <> ''),
+        counts AS (
+            SELECT source, lang, 'words-1' AS tokenizer, len(string_split(text, ' ')) AS n_tokens, length(text) AS n_chars FROM kept
             UNION ALL
-            SELECT source, lang, 'utf8-bytes-1', strlen(coalesce(text, '')), length(coalesce(text, '')) FROM documents)
+            SELECT source, lang, 'utf8-bytes-1', strlen(text), length(text) FROM kept)
         SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_chars) AS BIGINT) AS n_chars
         FROM counts GROUP BY ALL""",
     "op6_exact_dedup": f"""
