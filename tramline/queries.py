@@ -26,23 +26,24 @@ def each(code: str, table: str, checks: dict[str, str], **context: str) -> list[
     return [row(code, table, where, f"'{f}'", **context) for f, where in checks.items()]
 
 
-def add(name: str, rule: str, keys: str, *sql: str | list[str] | None) -> None:
-    """keys: the context values that the query shows, as text."""
+def add(name: str, rule: str, keys: str, *sql: str | list[str] | None, bare: bool = False) -> None:
+    """keys: the context values that the query shows, as text. bare: over the feed that lacks files."""
     shown = keys.split()
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = run_rule(synth.feed(spark, sf_dir), all_rules()[rule], synth.OPTIONS)
-        return found.select("code", "csv_row", "field", *[F.col("context")[k].alias(k) for k in shown])
+        found = run_rule(synth.feed(spark, sf_dir, bare), all_rules()[rule], synth.OPTIONS)
+        return found.select("code", "csv_row", "field", *[F.col(k) if k == "filename" else F.col("context")[k].alias(k) for k in shown])
 
     QUERIES[name] = query
     parts = [x for s in sql if s for x in ([s] if isinstance(s, str) else s)]
     if parts:
         columns = ", ".join(["code", "csv_row", "field", *shown])
-        ORACLE_SQL[name] = synth.with_views(f"SELECT {columns} FROM (" + "\nUNION ALL BY NAME ".join(parts) + ") n")
+        ORACLE_SQL[name] = synth.with_views(f"SELECT {columns} FROM (" + "\nUNION ALL BY NAME ".join(parts) + ") n", bare)
 
 
-def nothing(keys: str = "") -> str:
-    return "SELECT CAST(NULL AS VARCHAR) AS code, CAST(NULL AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field" + "".join(f", CAST(NULL AS VARCHAR) AS {k}" for k in keys.split()) + " FROM agency WHERE FALSE"
+def of_catalog(code: str, file: str, where: str) -> str:
+    """A notice about a file, by what the catalog of the feed holds."""
+    return f"SELECT '{code}' AS code, CAST(NULL AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, {file} AS filename FROM {where}"
 
 
 def lost(child: str, field: str, parent: str, key: str, file: str | None = None) -> str:
@@ -61,9 +62,13 @@ def clock(x: str) -> str:
 
 
 # presence, required fields, keys, references
-add("rule_calendar_presence", "CalendarPresenceValidator", "", nothing())
-add("rule_missing_stops_file", "MissingStopsFileValidator", "", nothing())
-add("rule_required_tables", "RequiredTablesNotEmptyValidator", "", nothing())
+_none_of = "(SELECT count(*) AS c FROM catalog WHERE name IN ({0})) x WHERE c = 0"
+add("rule_calendar_presence", "CalendarPresenceValidator", "",
+    of_catalog("missing_calendar_and_calendar_date_files", "NULL", _none_of.format("'calendar', 'calendar_dates'")), bare=True)
+add("rule_missing_stops_file", "MissingStopsFileValidator", "",
+    of_catalog("missing_required_file", "'stops.txt'", "catalog WHERE name = 'stops' AND NOT has_header AND n = 0 AND NOT EXISTS (SELECT * FROM catalog c WHERE c.name = 'locations')"), bare=True)
+add("rule_required_tables", "RequiredTablesNotEmptyValidator", "filename",
+    of_catalog("empty_file", "name || '.txt'", "catalog WHERE name IN ('agency', 'routes', 'trips', 'stop_times', 'stops') AND has_header AND n = 0"), bare=True)
 _required = {"agency": "agency_name agency_url agency_timezone", "stops": "stop_id", "routes": "route_id", "trips": "route_id service_id trip_id", "stop_times": "trip_id", "fare_attributes": "fare_id currency_type", "translations": "language translation", "fare_rules": "fare_id"}
 add("rule_required_fields", "RequiredFieldsNonEmptyValidator", "", *[each("missing_required_field", t, {f: f"{f} IS NULL" for f in fs.split()}) for t, fs in _required.items()])
 from .model import EDGES  # noqa: E402
@@ -73,8 +78,8 @@ add("rule_referential_integrity", "ReferentialIntegrityValidator", "childFilenam
 add("rule_trip_service_fk", "TripServiceIdForeignKeyValidator", "childFilename fieldValue", lost("trips", "service_id", "(SELECT service_id FROM calendar UNION ALL SELECT service_id FROM calendar_dates) p", "service_id"))
 add("rule_timeframe_service_fk", "TimeframeServiceIdForeignKeyValidator", "childFilename fieldValue", lost("timeframes", "service_id", "(SELECT service_id FROM calendar UNION ALL SELECT service_id FROM calendar_dates) p", "service_id"))
 add("rule_location_fk", "LocationIdForeignKeyValidator", "childFilename fieldValue", lost("stop_times", "location_id", "locations", "location_id"))
-add("rule_locations_presence", "LocationsGeoJsonPresenceValidator", "", nothing())
-add("rule_locations_notices", "LocationsGeoJsonNoticesValidator", "", nothing())
+add("rule_locations_presence", "LocationsGeoJsonPresenceValidator", "",
+    of_catalog("missing_required_file", "'locations.geojson'", _none_of.format("'locations'") + " AND EXISTS (SELECT * FROM stop_times WHERE location_id IS NOT NULL)"), bare=True)
 add("rule_fare_rules", "FareRulesValidator", "childFilename fieldValue", lost("fare_rules", "fare_id", "fare_attributes", "fare_id"), lost("fare_rules", "route_id", "routes", "route_id"))
 _networks = "(SELECT network_id FROM routes UNION ALL SELECT network_id FROM networks) p"
 add("rule_fare_leg_network_fk", "FareLegRuleNetworkIdForeignKeyValidator", "childFilename fieldValue", lost("fare_leg_rules", "network_id", _networks, "network_id"))
@@ -93,7 +98,8 @@ add("rule_unused_agency", "UnusedAgencyValidator", "agencyId", row("unused_agenc
 add("rule_unused_shape", "ShapeUsageValidator", "shapeId", row("unused_shape", "(SELECT shape_id, min(_row) AS _row FROM shapes GROUP BY shape_id) s", "shape_id NOT IN (SELECT shape_id FROM trips WHERE shape_id IS NOT NULL)", shapeId="shape_id"))
 add("rule_unique_geography", "UniqueGeographyIdValidator", "geographyId", "SELECT 'duplicate_geography_id' AS code, CAST(NULL AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, id AS geographyId FROM (SELECT stop_id AS id, 1 AS s FROM stops UNION ALL SELECT location_group_id, 2 FROM location_group_stops UNION ALL SELECT location_id, 3 FROM locations) x GROUP BY id HAVING count(DISTINCT s) > 1")
 add("rule_network_consistency", "NetworkIdConsistencyValidator", "fileNameB", "SELECT 'route_networks_specified_in_more_than_one_file' AS code, CAST(NULL AS BIGINT) AS csv_row, CAST(NULL AS VARCHAR) AS field, f AS fileNameB FROM (VALUES ('route_networks.txt'), ('networks.txt')) v(f)")
-add("rule_missing_feed_info", "MissingFeedInfoValidator", "", nothing())
+add("rule_missing_feed_info", "MissingFeedInfoValidator", "",
+    of_catalog("missing_required_file", "'feed_info.txt'", "catalog WHERE name = 'translations' AND has_header AND NOT EXISTS (SELECT * FROM catalog c WHERE c.name = 'feed_info')"), bare=True)
 add("rule_translations", "TranslationFieldAndReferenceValidator", "tableName", None)
 
 # rows
@@ -355,3 +361,9 @@ def notice_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["notice_rollup"] = notice_rollup
 _parts = [ORACLE_SQL[n] for n in ("rule_timepoint", "rule_geography_presence", "rule_missing_trip_edge")]
 ORACLE_SQL["notice_rollup"] = "SELECT code, CASE WHEN code = 'missing_timepoint_value' THEN 'WARNING' ELSE 'ERROR' END AS severity, count(*) AS total FROM (" + " UNION ALL ".join(f"SELECT code FROM ({p}) x" for p in _parts) + ") n GROUP BY 1"
+
+# what the reader checks
+from . import load_queries  # noqa: E402
+
+QUERIES |= load_queries.QUERIES
+ORACLE_SQL |= load_queries.ORACLE_SQL

@@ -24,8 +24,9 @@ VIEWS: dict[str, str] = {
             CASE WHEN n_regionkey = 1 THEN NULL WHEN n_regionkey = 2 THEN 'FR ' ELSE 'en' END AS agency_lang,
             CASE WHEN n_nationkey % 3 = 0 THEN '12-3' ELSE '+1 555 123' END AS agency_phone FROM {nation}""",
     "routes": """
-        SELECT c_custkey + 2 AS _row, 'R' || CAST(c_custkey - CASE WHEN c_custkey % 150 = 149 THEN 1 ELSE 0 END AS STRING) AS route_id,
-            CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 97 = 0 THEN 'A99' ELSE 'A' || CAST(c_nationkey AS STRING) END AS agency_id,
+        SELECT c_custkey + 2 AS _row, CASE WHEN c_custkey % 61 = 0 THEN 'RX' ELSE 'R' END || CAST(c_custkey - CASE WHEN c_custkey % 150 = 149 THEN 1 ELSE 0 END AS STRING) AS route_id,
+            CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 97 = 0 THEN 'A99'
+                 ELSE 'A' || CAST(c_nationkey + CASE WHEN c_nationkey % 9 = 4 THEN 1 ELSE 0 END AS STRING) END AS agency_id,
             CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE substring(c_mktsegment, 1, 3 + CAST(c_custkey % 12 AS INT)) || CASE WHEN c_custkey % 13 = 0 THEN 'abcdefgh' ELSE '' END END AS route_short_name,
             CASE WHEN c_custkey % 40 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN lower(substring(c_mktsegment, 1, 3 + CAST(c_custkey % 12 AS INT))) || ' - line'
                  WHEN c_custkey % 5 = 0 THEN 'Line ' || c_mktsegment ELSE c_name END AS route_long_name,
@@ -47,28 +48,29 @@ VIEWS: dict[str, str] = {
                  WHEN p_partkey % 10 IN (3, 4, 5) THEN 'S' || CAST(p_partkey - p_partkey % 10 AS STRING) END AS parent_station,
             CASE WHEN p_partkey % 4 = 0 THEN 'L' || CAST(p_partkey % 7 AS STRING) END AS level_id, CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS STRING) END AS platform_code FROM {part}""",
     "trips": """
-        SELECT o_orderkey + 2 AS _row, CASE WHEN o_orderkey % 89 = 0 THEN 'R9999999' ELSE 'R' || CAST(o_custkey AS STRING) END AS route_id,
-            CASE WHEN o_orderkey % 83 = 0 THEN 'none' ELSE 'V' || CAST(o_orderkey % 40 AS STRING) END AS service_id,
-            'T' || CAST(o_orderkey - CASE WHEN o_orderkey % 500 = 499 THEN 1 ELSE 0 END AS STRING) AS trip_id, CAST(o_orderkey % 2 AS INT) AS direction_id,
-            CASE WHEN o_orderkey % 3 = 0 THEN 'B' || CAST(o_custkey AS STRING) END AS block_id,
-            CASE WHEN o_orderkey % 5 < 2 THEN 'H' || CAST(o_orderkey % 210 AS STRING) END AS shape_id, CASE WHEN o_orderkey % 7 < 4 THEN CAST(o_orderkey % 7 AS INT) END AS bikes_allowed FROM {orders}""",
+        SELECT o_orderkey + 2 AS _row, CASE WHEN o_orderkey % 97 = 0 THEN 'R1' WHEN o_orderkey % 89 = 0 THEN 'R9999999' ELSE 'R' || CAST(o_custkey AS STRING) END AS route_id,
+            CASE WHEN o_orderkey % 97 = 0 THEN 'V1' WHEN o_orderkey % 83 = 0 THEN 'none' ELSE 'V' || CAST(o_orderkey % 40 AS STRING) END AS service_id,
+            'T' || CAST(o_orderkey - CASE WHEN o_orderkey % 500 = 499 THEN 1 ELSE 0 END AS STRING) AS trip_id, CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE CAST(o_orderkey % 2 AS INT) END AS direction_id,
+            CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 97 > 0 THEN 'B' || CAST(o_custkey AS STRING) END AS block_id,
+            CASE WHEN o_orderkey % 5 < 2 AND o_orderkey % 97 > 0 THEN 'H' || CAST(o_orderkey % 210 AS STRING) END AS shape_id, CASE WHEN o_orderkey % 7 < 4 THEN CAST(o_orderkey % 7 AS INT) END AS bikes_allowed FROM {orders}""",
     "stop_times": """
         SELECT l_orderkey * 64 + n AS _row, CASE WHEN l_orderkey % 977 = 0 THEN 'T9999999' ELSE 'T' || CAST(l_orderkey AS STRING) END AS trip_id,
-            CASE WHEN n % 5 = 4 OR (n = 1 AND l_orderkey % 9 = 0) THEN NULL ELSE 21600 + n * 600 + CAST(l_partkey % 7 AS INT) * 60 - CASE WHEN l_suppkey % 11 = 0 THEN 1500 ELSE 0 END END AS arrival_time,
-            CASE WHEN n % 5 = 4 AND l_partkey % 2 = 0 THEN NULL ELSE 21600 + n * 600 + CAST(l_partkey % 5 AS INT) * 90 END AS departure_time,
-            CASE WHEN l_partkey % 61 = 0 THEN NULL WHEN l_partkey % 103 = 0 THEN 'S9999999' ELSE 'S' || CAST(l_partkey AS STRING) END AS stop_id,
-            CASE WHEN l_partkey % 53 = 0 THEN 'G' || CAST(l_partkey % 9 AS STRING) END AS location_group_id, CASE WHEN l_partkey % 67 = 0 THEN 'P' || CAST(l_partkey % 5 AS STRING) END AS location_id,
+            CASE WHEN l_orderkey % 97 = 0 THEN 21600 + n * 600 WHEN n % 5 = 4 OR (n = 1 AND l_orderkey % 9 = 0) THEN NULL ELSE 21600 + n * 600 + CAST(l_partkey % 7 AS INT) * 60 - CASE WHEN l_suppkey % 11 = 0 THEN 1500 ELSE 0 END END AS arrival_time,
+            CASE WHEN l_orderkey % 97 = 0 THEN 21600 + n * 600 WHEN n % 5 = 4 AND l_partkey % 2 = 0 THEN NULL ELSE 21600 + n * 600 + CAST(l_partkey % 5 AS INT) * 90 END AS departure_time,
+            CASE WHEN l_orderkey % 97 = 0 THEN 'S' || CAST(n AS STRING) WHEN l_partkey % 61 = 0 THEN NULL WHEN l_partkey % 103 = 0 THEN 'S9999999' ELSE 'S' || CAST(l_partkey AS STRING) END AS stop_id,
+            CASE WHEN l_partkey % 53 = 0 THEN 'G' || CAST(l_partkey % 9 AS STRING) END AS location_group_id, CASE WHEN l_partkey % 67 = 0 OR l_suppkey % 35 = 2 THEN 'P' || CAST(l_partkey % 7 AS STRING) END AS location_id,
             CAST(l_linenumber AS BIGINT) AS stop_sequence, CASE WHEN l_partkey % 71 = 0 THEN 'To * Town' WHEN l_partkey % 2 = 0 THEN 'Town' END AS stop_headsign,
             CASE WHEN l_suppkey % 5 < 4 THEN CAST(l_suppkey % 5 AS INT) END AS pickup_type, CASE WHEN l_suppkey % 7 < 4 THEN CAST(l_suppkey % 7 AS INT) END AS drop_off_type,
             CASE WHEN l_partkey % 41 = 0 THEN 'K' || CAST(l_partkey % 30 AS STRING) END AS pickup_booking_rule_id,
             CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE floor(l_extendedprice / 100) + n * 100 END AS shape_dist_traveled, CASE WHEN l_partkey % 3 < 2 THEN CAST(l_partkey % 3 AS INT) END AS timepoint,
-            CASE WHEN l_partkey % 47 = 0 THEN 30000 + n * 60 END AS start_pickup_drop_off_window, CASE WHEN l_partkey % 47 = 0 AND l_suppkey % 3 < 2 THEN 30600 - CAST(l_suppkey % 3 AS INT) * 3000 END AS end_pickup_drop_off_window
+            CASE WHEN l_partkey % 47 = 0 OR l_suppkey % 35 = 2 THEN 30000 + n * 60 END AS start_pickup_drop_off_window, CASE WHEN (l_partkey % 47 = 0 OR l_suppkey % 35 = 2) AND l_suppkey % 3 < 2 THEN 30600 - CAST(l_suppkey % 3 AS INT) * 3000 END AS end_pickup_drop_off_window
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS INT) AS n FROM {lineitem}) x""",
     "calendar": """
         SELECT s_suppkey + 2 AS _row, 'V' || CAST(s_suppkey % 36 AS STRING) AS service_id, CAST(s_suppkey % 2 AS INT) AS monday, 1 AS tuesday, CAST(s_suppkey % 3 % 2 AS INT) AS wednesday, 0 AS thursday, 1 AS friday,
-            CAST(s_suppkey % 5 % 2 AS INT) AS saturday, 0 AS sunday, DATE '2024-01-01' + CAST(s_suppkey % 300 AS INT) AS start_date, DATE '2024-01-01' + CAST(s_suppkey * 7 % 400 - 5 AS INT) AS end_date FROM {supplier}""",
+            CAST(s_suppkey % 5 % 2 AS INT) AS saturday, 0 AS sunday, DATE '2024-01-01' + CAST(CASE WHEN s_suppkey % 90 = 89 THEN 900 ELSE s_suppkey % 300 END AS INT) AS start_date,
+            DATE '2024-01-01' + CAST(CASE WHEN s_suppkey % 90 = 89 THEN 930 WHEN s_suppkey % 36 = 5 THEN 100 + s_suppkey % 60 ELSE s_suppkey * 7 % 400 - 5 END AS INT) AS end_date FROM {supplier}""",
     "calendar_dates": """
-        SELECT event_id + 2 AS _row, 'V' || CAST(user_id % 44 AS STRING) AS service_id, DATE '2024-02-01' + CAST(event_id * 31 % 420 AS INT) AS date, CAST(1 + event_id % 3 % 2 AS INT) AS exception_type
+        SELECT event_id + 2 AS _row, 'V' || CAST(CASE WHEN user_id % 44 = 5 THEN 43 ELSE user_id % 44 END AS STRING) AS service_id, DATE '2024-02-01' + CAST(event_id * 31 % 420 AS INT) AS date, CAST(1 + event_id % 3 % 2 AS INT) AS exception_type
         FROM {events}""",
     "shapes": """
         SELECT p_partkey + 2 AS _row, 'H' || CAST(CASE WHEN p_partkey % 401 = 0 THEN p_partkey + 500 ELSE p_partkey % 190 END AS STRING) AS shape_id,
@@ -114,7 +116,7 @@ VIEWS: dict[str, str] = {
     "networks": "SELECT n_nationkey + 2 AS _row, 'N' || CAST(n_nationkey % 12 AS STRING) AS network_id FROM {nation}",
     "route_networks": "SELECT c_custkey + 2 AS _row, 'R' || CAST(c_custkey + 5 AS STRING) AS route_id, 'N' || CAST(c_custkey % 15 AS STRING) AS network_id FROM {customer}",
     "location_groups": "SELECT n_nationkey + 2 AS _row, 'G' || CAST(n_nationkey % 8 AS STRING) AS location_group_id FROM {nation}",
-    "location_group_stops": "SELECT p_partkey + 2 AS _row, 'G' || CAST(p_partkey % 9 AS STRING) AS location_group_id, 'S' || CAST(p_partkey + 1 AS STRING) AS stop_id FROM {part}",
+    "location_group_stops": "SELECT p_partkey + 2 AS _row, CASE WHEN p_partkey % 77 = 0 THEN 'S' || CAST(p_partkey AS STRING) ELSE 'G' || CAST(p_partkey % 9 AS STRING) END AS location_group_id, 'S' || CAST(p_partkey + 1 AS STRING) AS stop_id FROM {part}",
     "booking_rules": """
         SELECT s_suppkey + 2 AS _row, 'K' || CAST(s_suppkey % 28 AS STRING) AS booking_rule_id, CAST(s_suppkey % 3 AS INT) AS booking_type, CASE WHEN s_suppkey % 4 < 2 THEN s_suppkey % 50 END AS prior_notice_duration_min,
             CASE WHEN s_suppkey % 5 < 2 THEN 20 END AS prior_notice_duration_max, CASE WHEN s_suppkey % 7 < 3 THEN s_suppkey % 9 END AS prior_notice_last_day, CASE WHEN s_suppkey % 6 = 1 THEN 36000 END AS prior_notice_last_time,
@@ -125,10 +127,16 @@ VIEWS: dict[str, str] = {
         SELECT n_nationkey + 2 AS _row, CASE CAST(n_nationkey % 6 AS INT) WHEN 0 THEN 'agency' WHEN 1 THEN 'routes' WHEN 2 THEN 'stop_times' WHEN 3 THEN 'nothing' WHEN 4 THEN 'feed_info' END AS table_name, 'name' AS field_name,
             CASE WHEN n_nationkey % 11 = 10 THEN NULL ELSE 'fr' END AS language, n_name AS translation, CASE WHEN n_nationkey % 6 = 0 THEN 'A' || CAST(n_nationkey * 2 AS STRING) WHEN n_nationkey % 6 = 1 THEN 'R' || CAST(n_nationkey AS STRING) WHEN n_nationkey % 4 < 2 THEN 'T1' END AS record_id,
             CASE WHEN n_nationkey % 6 = 2 THEN CAST(n_nationkey % 4 AS STRING) END AS record_sub_id, CASE WHEN n_nationkey % 5 = 4 THEN 'x' END AS field_value FROM {nation}""",
-    "locations": "SELECT 'P' || CAST(r_regionkey AS STRING) AS location_id, CAST(r_regionkey AS INT) AS feature_index, 'Polygon' AS geom_type, CAST(r_regionkey AS DOUBLE) AS minx, 0.0e0 AS miny, r_regionkey + 1.5e0 AS maxx, 1.0e0 AS maxy FROM {region} WHERE r_regionkey < 4",
+    "locations": "SELECT 'P' || CAST(r_regionkey AS STRING) AS location_id, CAST(r_regionkey AS INT) AS feature_index, 'Polygon' AS geom_type, CAST(r_regionkey AS DOUBLE) AS minx, 0.0e0 AS miny, r_regionkey + 1.5e0 AS maxx, 1.0e0 AS maxy FROM {region}",
 }
 
 
+#: A second feed, for rules about files and tables that the first one has: absent files, and tables without rows or even a header.
+BARE_ABSENT = ("calendar", "calendar_dates", "feed_info", "locations")
+BARE_EMPTY = ("agency", "trips", "stops")
+BARE_HEADLESS = ("stops",)
+
+
 def view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One projected table."""
     sources = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in set(re.findall(r"\{(\w+)\}", VIEWS[table]))}
@@ -138,25 +146,36 @@ def view(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 class Projected(dict):
     """Tables made when they are first asked for, so that a query plans only what it reads."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, bare: bool = False):
         super().__init__()
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.bare = spark, sf_dir, bare
 
     def __contains__(self, table: object) -> bool:
-        return table in VIEWS
+        return table in VIEWS and not (self.bare and table in BARE_ABSENT)
 
     def __missing__(self, table: str) -> DataFrame:
+        if table not in self:
+            raise KeyError(table)
         df = view(self.spark, self.sf_dir, table)
+        if self.bare and table in BARE_EMPTY:
+            df = self.spark.createDataFrame([], df.schema)
         self[table] = df if table == "locations" else complete(df, table)
         return self[table]
 
 
-def feed(spark: SparkSession, sf_dir: str) -> Feed:
+def feed(spark: SparkSession, sf_dir: str, bare: bool = False) -> Feed:
     headers = {t: [c.name for c in TABLES[t] if f" {c.name}" in sql] for t, sql in VIEWS.items() if t != "locations"}
-    return Feed(spark, Projected(spark, sf_dir), headers)
-
-
-def with_views(sql: str) -> str:
-    """DuckDB SQL that reads projected tables by name, with the projections in front."""
-    needed = [t for t in VIEWS if re.search(rf"\b{t}\b", sql)]
-    return "WITH " + ",\n".join(f"{t} AS ({re.sub(r'[{}]', '', VIEWS[t])})" for t in needed) + "\n" + sql
+    if bare:
+        headers = {t: [] if t in BARE_HEADLESS else names for t, names in headers.items() if t not in BARE_ABSENT}
+    return Feed(spark, Projected(spark, sf_dir, bare), headers)
+
+
+def with_views(sql: str, bare: bool = False) -> str:
+    """DuckDB SQL that reads projected tables by name, with the projections in front. `catalog(name, has_header, n)` lists the files of a feed."""
+    plain = {t: re.sub(r"[{}]", "", VIEWS[t]) for t in VIEWS if re.search(rf"\b{t}\b", sql) or "catalog" in sql}
+    if "catalog" in sql:
+        files = [t for t in plain if not (bare and t in BARE_ABSENT)]
+        one = "SELECT '{0}' AS name, {1} AS has_header, {2} AS n"
+        rows = [one.format(t, not (bare and t in BARE_HEADLESS), 0 if bare and t in BARE_EMPTY else f"(SELECT count(*) FROM {t})") for t in files]
+        plain["catalog"] = " UNION ALL ".join(rows)
+    return "WITH " + ",\n".join(f"{t} AS ({v})" for t, v in plain.items()) + "\n" + sql
