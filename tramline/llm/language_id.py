@@ -4,7 +4,7 @@ Each word of a text has a label. Its scores come from the word itself, its affix
 transitions join neighbours, so that a text which switches languages gets runs of labels. Forward-backward gives
 each word's label probabilities; a text's language is the one with the highest mean over its words.
 
-The field is trained on a bounded sample of labelled rows: `SAMPLE` rows of each language, lowest hash of id and text first.
+The field is trained on a bounded sample of labelled rows: at most `SAMPLE` rows of each language, the one of lowest hash of id and text in each of `SAMPLE` shares.
 Runs of words from these, RUN words long on average, are joined into SEQUENCES sequences of LENGTH words that switch language,
 labelled run by run, and the conditional likelihood of the labels is climbed by Adam in STEPS steps. Features that these
 sequences show less than SEEN times are left out.
@@ -19,11 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import on_workers, partitions, pick, positional
+from .common import on_workers, pick, positional
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each language that training sees, and what it makes of them; fixed, whatever the size of the table.
@@ -167,11 +167,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Train on text and lang of docs(doc_id, text, lang) outside the held-out quarter; null langs and texts teach nothing."""
     rows = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.withColumn("lot", F.xxhash64("doc_id", "text"))
-    # the least lots of each language and salt, then of each language: so a language with most rows is not ranked in one task
-    salt = F.pmod(F.xxhash64("lot"), F.lit(partitions(docs.sparkSession))).alias("salt")
-    few = rows.select("lang", "lot", salt)
-    for group in (["lang", "salt"], ["lang"]):
-        few = few.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("lot"))).where(F.col("at") <= sample).drop("at")
+    # of each language and each of `sample` shares of its rows the least lot: an aggregate, in which no language is ranked in one task
+    few = rows.groupBy("lang", F.pmod(F.xxhash64("lot"), F.lit(sample)).alias("share")).agg(F.min("lot").alias("lot"))
     lots = sorted({r["lot"] for r in few.select("lot").collect()})  # at most `sample` of a language
     got = sorted((r["lang"], r["text"]) for r in rows.where(F.col("lot").isin(lots)).select("lang", "text").distinct().collect()) if lots else []
     return train([t for _, t in got], [g for g, _ in got])
