@@ -1,14 +1,19 @@
 """Matching of a trip's stops to its shape.
 
-Trips of a shape that make the same calls are examined once. Points and calls meet per shape, and NumPy does the geometry.
-A stop's candidates are the nearest points of runs of segments within reach; dynamic programming picks one for each stop, in order
-along the shape, at the least total distance.
+Trips of a shape that make the same calls are examined once. Points and calls meet by shape, the calls of a shape with many patterns in
+several tasks, and NumPy does the geometry of all stops of a task at once, in blocks of BLOCK stop-segment pairs. A stop's candidates are the
+nearest points of runs of segments within reach; dynamic programming picks one for each stop, in order along the shape, at the
+least total distance. Where trip and shape have users' distances, a second pass takes the points at these instead.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..feed import Feed, RunOptions, note
@@ -20,6 +25,10 @@ from .transfers import located
 
 C = F.col
 RADIUS, REACH, LARGE, MANY = 6_371_010.0, 100.0, 4.0, 20
+#: What a notice shows of a shape: points on each side, and how far from the match.
+SHOWN, SHOWN_M = 10, 500.0
+#: Patterns of a shape that one task examines, and stop-segment pairs that are held at once.
+TOGETHER, BLOCK = 512, 1 << 20
 
 
 def vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -27,132 +36,231 @@ def vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=-1)
 
 
+def degrees(v: np.ndarray) -> list[float]:
+    return [float(np.degrees(np.arctan2(v[2], np.hypot(v[0], v[1])))), float(np.degrees(np.arctan2(v[1], v[0])))]
+
+
 def metres(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return RADIUS * np.arctan2(np.linalg.norm(np.cross(a, b), axis=-1), np.sum(a * b, axis=-1))
 
 
+def alike(x: float, y: float) -> bool:
+    """Whether two users' distances are too close to tell apart."""
+    margin = 32e-9
+    return bool(np.isfinite(x) and np.isfinite(y) and abs(x - y) <= max(margin, margin * max(abs(x), abs(y))))
+
+
+@dataclass
+class Match:
+    """A point of a shape: segment, metres along the shape and away from the stop, and where."""
+
+    index: int
+    along: float
+    away: float
+    at: np.ndarray
+
+
 class Line:
     """A shape's points as unit vectors, with distances along it and, if given, users' distances (never falling)."""
 
     def __init__(self, lat: np.ndarray, lon: np.ndarray, user: np.ndarray):
-        self.v = vectors(lat, lon)
-        self.a, self.b = (self.v[:-1], self.v[1:]) if len(lat) > 1 else (self.v, self.v)
-        self.length = metres(self.a, self.b)
-        self.start = np.r_[0.0, np.cumsum(self.length)[:-1]]
-        self.user = np.maximum.accumulate(np.nan_to_num(user)) if len(user) else user
+        self.lat, self.lon, self.v = lat, lon, vectors(lat, lon)
+        self.a, self.b = self.v[:-1], self.v[1:]
+        self.geo = np.r_[0.0, np.cumsum(metres(self.a, self.b))]
+        self.user = np.maximum.accumulate(np.maximum(0.0, np.nan_to_num(user)))
         normal = np.cross(self.a, self.b)
         size = np.linalg.norm(normal, axis=1, keepdims=True)
         self.normal = np.divide(normal, size, out=np.zeros_like(normal), where=size > 0)
         self.degenerate = size[:, 0] == 0
 
-    def nearest(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each segment: distance of p in metres, and how far along the shape its nearest point lies."""
-        foot = p - (self.normal @ p)[:, None] * self.normal
-        size = np.linalg.norm(foot, axis=1, keepdims=True)
-        foot = np.divide(foot, size, out=self.a.copy(), where=size > 1e-15)
-        inside = (np.sum(np.cross(self.a, foot) * self.normal, axis=1) >= 0) & (np.sum(np.cross(foot, self.b) * self.normal, axis=1) >= 0) & ~self.degenerate
-        da, db, df = metres(self.a, p), metres(self.b, p), metres(foot, p)
-        away = np.where(inside, df, np.minimum(da, db))
-        along = self.start + np.where(inside, metres(self.a, foot), np.where(da <= db, 0.0, self.length))
-        return away, along
-
-    def candidates(self, p: np.ndarray, reach: float) -> list[tuple[float, float]]:
-        """(distance along, distance away) of local minima within reach."""
-        away, along = self.nearest(p)
-        out: list[tuple[float, float]] = []
-        best, last, leaving = None, -2, False
-        for i in np.flatnonzero(away <= reach).tolist():
-            if best is not None and (i != last + 1 or leaving and away[i] < away[last]):
-                out.append(best)
-                best, leaving = None, False
-            if best is None or away[i] < best[1]:
-                best, leaving = (float(along[i]), float(away[i])), False
-            elif away[i] > away[last]:
-                leaving = True
-            last = i
-        if best is not None:
-            out.append(best)
+    def examined(self, stops: np.ndarray, reaches: np.ndarray) -> list[tuple[list[Match], Match]]:
+        """For each stop (lat, lon) the candidates within its reach, and the point of the nearest segment in degrees."""
+        out: list[tuple[list[Match], Match]] = []
+        p = vectors(stops[:, 0], stops[:, 1])
+        if not len(self.a):
+            return [([], Match(0, 0.0, float(metres(x, self.v[0])), self.v[0])) for x in p]
+        step = max(1, BLOCK // len(self.a))
+        for k in range(0, len(stops), step):
+            out += self._block(stops[k : k + step], p[k : k + step], reaches[k : k + step])
+        return out
+
+    def _block(self, stops: np.ndarray, p: np.ndarray, reaches: np.ndarray) -> list[tuple[list[Match], Match]]:
+        q = p[:, None, :]
+        foot = q - (p @ self.normal.T)[:, :, None] * self.normal[None]
+        size = np.linalg.norm(foot, axis=2, keepdims=True)
+        foot = np.divide(foot, size, out=np.broadcast_to(self.a, foot.shape).copy(), where=size > 1e-15)
+        onto = (np.sum(np.cross(self.a[None], foot) * self.normal, axis=2) >= 0) & (np.sum(np.cross(foot, self.b[None]) * self.normal, axis=2) >= 0)
+        onto &= ~self.degenerate
+        from_a, from_b = metres(self.a[None], q), metres(self.b[None], q)
+        away = np.where(onto, metres(foot, q), np.minimum(from_a, from_b))
+
+        def match(i: int, j: int) -> Match:
+            at = foot[i, j] if onto[i, j] else self.a[j] if from_a[i, j] <= from_b[i, j] else self.b[j]
+            return Match(j, float(self.geo[j] + metres(at, self.v[j])), float(away[i, j]), at)
+
+        out = []
+        for i in range(len(p)):
+            near = np.flatnonzero(away[i] <= reaches[i])
+            # a run ends where segments are left out, or where the last one led away and this one comes closer than its end
+            left = near[:-1]
+            ends = (np.diff(near) > 1) | (from_b[i, left] > away[i, left]) & (away[i, near[1:]] < from_b[i, left])
+            runs = np.split(near, np.flatnonzero(ends) + 1) if len(near) else []
+            found = [match(i, int(run[away[i, run].argmin()])) for run in runs]
+            out.append((found, match(i, self._nearest_in_degrees(stops[i]))))
         return out
 
-    def at_user(self, d: float) -> np.ndarray:
-        """The point at a user's distance."""
-        i = int(np.clip(np.searchsorted(self.user, d, side="right") - 1, 0, max(0, len(self.user) - 2)))
-        if len(self.v) == 1:
-            return self.v[0]
-        span = self.user[i + 1] - self.user[i]
-        part = float(np.clip((d - self.user[i]) / span if span > 0 else 0.0, 0.0, 1.0))
-        v = self.v[i] * (1 - part) + self.v[i + 1] * part
-        return v / np.linalg.norm(v)
+    def _nearest_in_degrees(self, stop: np.ndarray) -> int:
+        a = np.stack([self.lat[:-1], self.lon[:-1]], axis=1)
+        way = np.stack([np.diff(self.lat), np.diff(self.lon)], axis=1)
+        size = np.sum(way * way, axis=1)
+        part = np.clip(np.divide(np.sum((stop - a) * way, axis=1), size, out=np.zeros_like(size), where=size > 0), 0.0, 1.0)
+        return int(np.sum((a + part[:, None] * way - stop) ** 2, axis=1).argmin())
+
+    def at_user(self, d: float, first: int, stop: np.ndarray) -> Match:
+        """The point at a user's distance, looked for from a point on."""
+        following = max(first, int(np.searchsorted(self.user, d, side="right")))
+        i = following - 1 if following > first else first
+        if following == 0 or i + 1 >= len(self.v):
+            return Match(i, float(self.geo[i]), float(metres(self.v[i], stop)), self.v[i])
+        low, high = float(self.user[i]), float(self.user[i + 1])
+        part = 0.0 if alike(low, high) else (d - low) / (high - low)
+        at, a, b = self.v[i], self.v[i], self.v[i + 1]
+        angle = float(np.arccos(np.clip(a @ b, -1.0, 1.0)))
+        if angle >= 1e-12:
+            at = (np.sin((1 - part) * angle) * a + np.sin(part * angle) * b) / np.sin(angle)
+        return Match(i, float(self.geo[i] + part * (self.geo[i + 1] - self.geo[i])), float(metres(at, stop)), at)
 
+    def path(self, index: int) -> list[list[float]]:
+        """The points around a match that a notice shows."""
+        near = np.flatnonzero((np.abs(self.geo - self.geo[index]) <= SHOWN_M) & (np.abs(np.arange(len(self.geo)) - index) <= SHOWN))
+        return [[float(self.lat[i]), float(self.lon[i])] for i in near]
 
-def match(line: Line, points: np.ndarray, users: np.ndarray, rail: bool) -> list[tuple[str, int, int, float]]:
-    """Problems: code, index of the stop, index of the one before or -1, a distance or count."""
+
+def in_order(options: list[list[Match]]) -> tuple[list[Match], int, Match | None]:
+    """The cheapest choice of one match for each stop, never going back along the shape; else the stop where that fails and the best match of the one before."""
+    steps: list[list[tuple[float, Match, int]]] = []  # cost so far, match, place in the step before
+    for i, found in enumerate(options):
+        if not i:
+            steps.append([(m.away, m, -1) for m in found])
+            continue
+        before = sorted(range(len(steps[-1])), key=lambda k: (steps[-1][k][1].along, k))
+        step, k, best = [], 0, -1
+        for m in sorted(found, key=lambda m: m.along):
+            while k < len(before) and steps[-1][before[k]][1].along <= m.along:
+                if best < 0 or steps[-1][before[k]][0] < steps[-1][best][0]:
+                    best = before[k]
+                k += 1
+            if best >= 0:
+                step.append((steps[-1][best][0] + m.away, m, best))
+        if not step:
+            return [], i, min(steps[-1], key=lambda x: x[0])[1]
+        steps.append(step)
+    out: list[Match] = []
+    at = min(range(len(steps[-1])), key=lambda k: steps[-1][k][0]) if steps else -1
+    for step in reversed(steps):
+        out.append(step[at][1])
+        at = step[at][2]
+    return out[::-1], -1, None
+
+
+Problem = tuple[str, int, int, float, Match, "Match | None"]
+
+
+def match(line: Line, points: np.ndarray, users: np.ndarray, rail: bool, known: dict | None = None) -> list[Problem]:
+    """Problems: code, index of the stop, index of the one before or -1, a distance or count, and the matches of both.
+
+    points: lat and lon of each stop; known: what examined() said of (lat, lon, reach)."""
     n, out = len(points), []
-    options: list[list[tuple[float, float]]] = []
-    for i, p in enumerate(points):
-        reach = REACH * (LARGE if rail and i in (0, n - 1) else 1.0)
-        found = line.candidates(p, reach)
-        if not found:
-            least = float(line.nearest(p)[0].min())
-            if least > reach:
-                out.append(("stop_too_far_from_shape", i, -1, least))
+    if not n:
+        return out
+    known = {} if known is None else known
+    reaches = [REACH * (LARGE if rail and i in (0, n - 1) else 1.0) for i in range(n)]
+    keys = [(float(p[0]), float(p[1]), r) for p, r in zip(points, reaches, strict=True)]
+    if new := [k for k in dict.fromkeys(keys) if k not in known]:
+        known |= zip(new, line.examined(np.array([k[:2] for k in new]), np.array([k[2] for k in new])), strict=True)
+
+    def candidates(i: int, far: str) -> list[Match]:
+        found, nearest = known[keys[i]]
+        if not found and nearest.away > reaches[i]:
+            out.append((far, i, -1, nearest.away, nearest, None))
         elif len(found) > MANY:
-            out.append(("stop_has_too_many_matches_for_shape", i, -1, float(len(found))))
-        options.append(found)
-    if all(options) and not out:
-        costs = [(at, away) for at, away in options[0]]
-        for i in range(1, n):
-            costs.sort()
-            new, k, cheapest = [], 0, None
-            for at, away in sorted(options[i]):
-                while k < len(costs) and costs[k][0] <= at:
-                    cheapest = costs[k][1] if cheapest is None else min(cheapest, costs[k][1])
-                    k += 1
-                if cheapest is not None:
-                    new.append((at, cheapest + away))
-            if not new:
-                out.append(("stops_match_shape_out_of_order", i, i - 1, 0.0))
-                break
-            costs = new
-    if n and users[-1] > 0 and len(line.user) and line.user[-1] > 0:
-        for i, (p, d) in enumerate(zip(points, users, strict=True)):
-            if d > 0 and (away := float(metres(line.at_user(d), p))) > REACH:
-                out.append(("stop_too_far_from_shape_using_user_distance", i, -1, away))
+            out.append(("stop_has_too_many_matches_for_shape", i, -1, float(len(found)), min(found, key=lambda m: m.away), None))
+        return found
+
+    def chosen(options: list[list[Match]]) -> list[Match]:
+        best, i, before = in_order(options)
+        if i >= 0:
+            out.append(("stops_match_shape_out_of_order", i, i - 1, 0.0, min(options[i], key=lambda m: m.away), before))
+        return best
+
+    options = [candidates(i, "stop_too_far_from_shape") for i in range(n)]
+    if all(options):
+        chosen(options)
+    if users[-1] > 0 and line.user[-1] > 0:
+        far, options, first = "stop_too_far_from_shape_using_user_distance", [], 0
+        for i, (p, d) in enumerate(zip(vectors(points[:, 0], points[:, 1]), users, strict=True)):
+            if d > 0:
+                options.append([line.at_user(d, first, p)])
+                first = options[-1][0].index
+            else:
+                options.append(candidates(i, far))
+            if not options[-1]:
+                return out
+        out += [(far, i, -1, m.away, m, None) for i, m in enumerate(chosen(options)) if m.away > REACH]
     return out
 
 
+FOUND = "code string, shape_id string, trip_id string, trip_row long, at int, r long, s string, r1 long, s1 string, value double, place string, match string, match1 string, path string, index int"
+
+
 def _of_shape(points: pa.Table, calls: pa.Table) -> pa.Table:
     found: list[tuple] = []
     if points.num_rows and calls.num_rows:
         p = points.to_pandas().sort_values(["shape_pt_sequence", "_row"], kind="stable")
         line = Line(p.shape_pt_lat.to_numpy(), p.shape_pt_lon.to_numpy(), p.shape_dist_traveled.to_numpy(float))
-        far: set[str] = set()
-        for c in sorted(calls.to_pylist(), key=lambda c: c["trip_row"]):
-            stops = c["calls"]
-            for code, i, j, value in match(line, vectors(np.array([s["lat"] for s in stops]), np.array([s["lon"] for s in stops])), np.array([s["d"] or 0.0 for s in stops]), c["route_type"] == 2):
-                if "too_far" in code:
-                    if stops[i]["s"] in far:
-                        continue
-                    far.add(stops[i]["s"])
-                found.append((code, c["shape_id"], c["trip_id"], c["trip_row"], stops[i]["r"], stops[i]["s"], stops[j]["r"] if j >= 0 else None, stops[j]["s"] if j >= 0 else None, value))
-    columns = list(zip(*found, strict=True)) or [()] * 9
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()]
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["code", "shape_id", "trip_id", "trip_row", "r", "s", "r1", "s1", "value"])
+        known: dict = {}
+        patterns = []
+        for c in calls.to_pylist():
+            stops = [x for x in c["calls"] if x["lat"] is not None]
+            patterns.append((c, stops, np.array([(x["lat"], x["lon"]) for x in stops]).reshape(-1, 2)))
+        every = dict.fromkeys((float(a), float(b), REACH) for _, _, x in patterns for a, b in x)
+        known |= zip(every, line.examined(np.array([k[:2] for k in every]).reshape(-1, 2), np.full(len(every), REACH)), strict=True)
+        for c, stops, where in patterns:
+            problems = match(line, where, np.array([x["d"] or 0.0 for x in stops]), c["route_type"] == 2, known)
+            for at, (code, i, j, value, m, before) in enumerate(problems):
+                one = stops[j] if j >= 0 else {"r": None, "s": None}
+                place = json.dumps([stops[i]["lat"], stops[i]["lon"]])
+                shown = (place, json.dumps(degrees(m.at)), json.dumps(degrees(before.at)) if before else None, json.dumps(line.path(m.index)), m.index)
+                found.append((code, c["shape_id"], c["trip_id"], c["trip_row"], at, stops[i]["r"], stops[i]["s"], one["r"], one["s"], value, *shown))
+    names, kinds = zip(*(x.split() for x in FOUND.split(", ")), strict=True)
+    of = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    columns = list(zip(*found, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(list(c), of[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
 def shape_problems(feed: Feed):
-    """code, shape_id, trip_id, trip_row, r, s (row and id of the stop), r1, s1 (of the one before), value."""
+    """Problems by code, shape and trip: r, s (row and id of the stop), r1, s1 (of the one before), value and what to show."""
     routes = last_by(feed.df("routes"), "route_id", "route_type")
     places = located(feed).where("at is not null")
-    st = feed.df("stop_times").where(full(C("trip_id")) & full(C("stop_id"))).join(places, "stop_id")
-    calls = st.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("stop_sequence", C("_row").alias("r"), C("stop_id").alias("s"), C("at.lat").alias("lat"), C("at.lon").alias("lon"), C("shape_dist_traveled").alias("d")))).alias("calls"))
-    trips = feed.df("trips").where(full(C("shape_id"))).select("trip_id", "shape_id", "route_id", C("_row").alias("trip_row")).join(routes, "route_id").join(calls, "trip_id")
-    trips = trips.withColumn("sig", F.sha2(F.to_json(F.transform("calls", lambda x: F.struct(x["s"], x["d"]))), 256))
-    one = trips.groupBy("shape_id", "sig").agg(F.min_by(F.struct("trip_id", "trip_row", "route_type", "calls"), "trip_row").alias("t")).select("shape_id", "t.*")
+    st = feed.df("stop_times").where(full(C("trip_id"))).join(places, "stop_id", "left")
+    call = F.struct("stop_sequence", C("_row").alias("r"), C("stop_id").alias("s"), C("at.lat").alias("lat"), C("at.lon").alias("lon"), C("shape_dist_traveled").alias("d"))
+    calls = st.groupBy("trip_id").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    trips = feed.df("trips").where(full(C("shape_id")) & full(C("trip_id"))).select("trip_id", "shape_id", "route_id", C("_row").alias("trip_row")).join(calls, "trip_id")
+    trips = trips.withColumn("sig", F.sha2(F.to_json(F.transform("calls", lambda x: F.struct(x["s"], F.coalesce(x["d"], F.lit(0.0)).alias("d")))), 256))
+    # the first trip of a pattern stands for it; if its route is unknown, the pattern is not examined
+    one = trips.groupBy("shape_id", "sig").agg(F.min_by(F.struct("trip_id", "trip_row", "route_id", "calls"), "trip_row").alias("t")).select("shape_id", "sig", "t.*")
+    one = one.join(routes, "route_id")
+    salts = one.groupBy("shape_id").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
+    one = one.join(salts, "shape_id").withColumn("salt", F.pmod(F.xxhash64("sig"), C("salts")).cast("int"))
     points = feed.df("shapes").where(full(C("shape_id"))).select("shape_id", "_row", "shape_pt_sequence", "shape_pt_lat", "shape_pt_lon", "shape_dist_traveled")
-    points = points.join(one.select("shape_id").distinct(), "shape_id", "left_semi")
+    points = points.join(salts, "shape_id").withColumn("salt", F.explode(F.sequence(F.lit(0), C("salts") - 1)))
     importable(feed.spark)
-    return points.groupBy("shape_id").cogroup(one.groupBy("shape_id")).applyInArrow(_of_shape, "code string, shape_id string, trip_id string, trip_row long, r long, s string, r1 long, s1 string, value double")
+    calls = one.select("shape_id", "salt", "trip_id", "trip_row", "route_type", "calls")
+    found = points.groupBy("shape_id", "salt").cogroup(calls.groupBy("shape_id", "salt")).applyInArrow(_of_shape, FOUND)
+    # a stop is told to be too far once for a shape
+    far = C("code").startswith("stop_too_far")
+    first = F.row_number().over(Window.partitionBy("shape_id", "s").orderBy("trip_row", "at"))
+    return found.where(~far).unionByName(found.where(far).withColumn("first", first).where("first = 1").drop("first"))
 
 
 @rule("ShapeToStopMatchingValidator", needs="shapes stop_times trips routes stops")
@@ -160,10 +268,18 @@ def shape_matching(feed: Feed, options: RunOptions):
     found = shape_problems(feed)
     names = last_by(feed.df("stops"), "stop_id", "stop_name")
     rows = found.join(names.select(C("stop_id").alias("s"), C("stop_name").alias("name")), "s", "left").join(names.select(C("stop_id").alias("s1"), C("stop_name").alias("name1")), "s1", "left")
+    view = {"shapePath": C("path"), "matchIndex": C("index")}
     who = {"tripCsvRowNumber": C("trip_row"), "shapeId": C("shape_id"), "tripId": C("trip_id")}
-    one = who | {"stopTimeCsvRowNumber": C("r"), "stopId": C("s"), "stopName": C("name")}
+    one = who | {"stopTimeCsvRowNumber": C("r"), "stopId": C("s"), "stopName": C("name"), "stopLocation": C("place"), "match": C("match")}
     two = who | {"stopTimeCsvRowNumber1": C("r1"), "stopId1": C("s1"), "stopName1": C("name1"), "stopTimeCsvRowNumber2": C("r"), "stopId2": C("s"), "stopName2": C("name")}
-    context = {"stop_too_far_from_shape": one | {"geoDistanceToShape": C("value")}, "stop_too_far_from_shape_using_user_distance": one | {"geoDistanceToShape": C("value")}, "stop_has_too_many_matches_for_shape": one | {"matchCount": C("value").cast("int")}, "stops_match_shape_out_of_order": two}
+    two |= {"match1": C("match1"), "match2": C("match")}
+    far = one | {"geoDistanceToShape": C("value")} | view
+    context = {
+        "stop_too_far_from_shape": far,
+        "stop_too_far_from_shape_using_user_distance": far,
+        "stop_has_too_many_matches_for_shape": one | {"matchCount": C("value").cast("int")} | view,
+        "stops_match_shape_out_of_order": two | view,
+    }
     # one map for all codes keeps the matching to one pass
     picked = F.lit(None).cast("map<string,string>")
     for code, c in context.items():

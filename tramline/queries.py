@@ -347,7 +347,16 @@ def _per_date(feed):
 _analytic("service_dates", _service_dates, f"SELECT service_id, d AS date FROM {dates(True)} x")
 _analytic("trips_per_date", _per_date, f"SELECT d AS date, n FROM {_per} x")
 _analytic("feed_counts", _counts, " UNION ALL ".join(f"SELECT '{e}' AS entity, count(DISTINCT {k}) AS n FROM {t}" for e, t, k in (("Shapes", "shapes", "shape_id"), ("Stops", "stops", "stop_id"), ("Routes", "routes", "route_id"), ("Trips", "trips", "trip_id"), ("Blocks", "trips", "block_id"), ("Agencies", "agency", "agency_id"))))
-_analytic("service_window", _window_, f"SELECT min(d) AS first_date, max(d) AS last_date FROM {dates(True)} x")
+_analytic("service_window", _window_, """
+    , used AS (SELECT DISTINCT service_id FROM trips WHERE service_id IS NOT NULL),
+    cal AS (SELECT service_id, arg_max(start_date, _row) AS a, arg_max(greatest(start_date, end_date), _row) AS z FROM calendar WHERE service_id IN (FROM used) GROUP BY 1),
+    more AS (SELECT service_id, min(date) AS a, max(date) AS z FROM calendar_dates WHERE exception_type = 1 AND service_id IN (FROM used) AND service_id NOT IN (SELECT service_id FROM cal) GROUP BY 1),
+    w AS (SELECT min(least(a, z)) AS a, max(greatest(a, z)) AS z FROM (FROM cal UNION ALL FROM more) x WHERE a IS NOT NULL AND z IS NOT NULL),
+    gone AS (SELECT DISTINCT date FROM calendar_dates WHERE exception_type = 2 AND service_id IN (FROM used)),
+    -- the first day from the start on that is not removed
+    days AS (SELECT CAST(unnest(generate_series(a, z + 1, INTERVAL 1 DAY)) AS DATE) AS day FROM w)
+    SELECT (SELECT min(day) FROM days WHERE day NOT IN (SELECT date FROM gone WHERE date <= (SELECT z FROM w))) AS first_date,
+        CASE WHEN z IN (SELECT date FROM gone) THEN z - 1 ELSE z END AS last_date FROM w""".strip())
 
 
 def notice_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,10 +71,29 @@ def features(feed: Feed) -> DataFrame:
 
 
 def service_window(feed: Feed) -> DataFrame:
-    """start, end: of calendars and added dates; a removed date at a bound moves it by a day, in order of dates."""
-    from ..plans.service import service_dates
-
-    return service_dates(feed, clamp=True).groupBy().agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    """start, end: bounds of the services that trips use; one row.
+
+    With both files, a service's bounds are those of its last calendar row, a late start moving the end, or of its added dates where it has no
+    such row; then removed dates of these services, in order of dates, move a bound that they meet by a day. With one file the
+    bounds are those of all its rows.
+    """
+    used = feed.df("trips").where(full(C("service_id"))).select("service_id").distinct()
+    of_used = lambda table: feed.df(table).join(used, "service_id", "left_semi")
+    bounds = lambda df, *columns: df.groupBy().agg(F.min(F.least(*columns, F.lit(None))).alias("start"), F.max(F.greatest(*columns, F.lit(None))).alias("end"))
+    if not feed.has("calendar_dates"):
+        return bounds(of_used("calendar").where("start_date is not null and end_date is not null"), "start_date", "end_date")
+    dates = of_used("calendar_dates").where("date is not null")
+    if not feed.has("calendar"):
+        return bounds(dates, "date", "date")
+    last = of_used("calendar").groupBy("service_id").agg(F.max_by(F.struct("start_date", "end_date"), "_row").alias("c"))
+    last = last.select("service_id", C("c.start_date").alias("start"), F.greatest("c.start_date", "c.end_date").alias("end"))
+    added = dates.where("exception_type = 1").join(last, "service_id", "left_anti").groupBy("service_id").agg(F.min("date").alias("start"), F.max("date").alias("end"))
+    whole = bounds(last.unionByName(added).where("start is not null and end is not null"), "start", "end")
+    removed = dates.where("exception_type = 2").select("date").distinct()  # a row per date
+    met = removed.crossJoin(F.broadcast(whole)).where("date between start and end")  # one row is broadcast
+    met = met.withColumn("k", F.row_number().over(Window.partitionBy("start").orderBy("date")) - 1)
+    moved = met.groupBy().agg(F.sum(F.when(F.datediff("date", "start") == C("k"), 1).otherwise(0)).alias("up"), F.max(F.when(C("date") == C("end"), 1).otherwise(0)).alias("down"))
+    return whole.crossJoin(F.broadcast(moved)).select(F.date_add("start", F.coalesce("up", F.lit(0)).cast("int")).alias("start"), F.date_sub("end", F.coalesce("down", F.lit(0)).cast("int")).alias("end"))
 
 
 def summary(feed: Feed, date: dt.date) -> dict:

@@ -178,4 +178,4 @@ def with_views(sql: str, bare: bool = False) -> str:
         one = "SELECT '{0}' AS name, {1} AS has_header, {2} AS n"
         rows = [one.format(t, not (bare and t in BARE_HEADLESS), 0 if bare and t in BARE_EMPTY else f"(SELECT count(*) FROM {t})") for t in files]
         plain["catalog"] = " UNION ALL ".join(rows)
-    return "WITH " + ",\n".join(f"{t} AS ({v})" for t, v in plain.items()) + "\n" + sql
+    return "WITH " + ",\n".join(f"{t} AS ({v})" for t, v in plain.items()) + ("" if sql.startswith(",") else "\n") + sql
