@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,31 +53,50 @@ def missing_parents(child: DataFrame, field: str, parent: DataFrame, key: str, c
     return note(lost, "foreign_key_violation", "ERROR", child_table, context, at=field)
 
 
-@rule("ReferentialIntegrityValidator")
-def referential_integrity(feed: Feed, options: RunOptions):
+def checked_edges(feed: Feed, options: RunOptions) -> list[tuple[str, str, str, str]]:
+    """(child, field, parent, key) of the references that hold for this feed."""
     out = []
     for child, field, parent, key in EDGES:
         if not feed.has(child) or feed.status(child) == BROKEN or feed.status(parent) == BROKEN:
             continue
-        rows, parents = feed.df(child), feed.df(parent)
-        if not feed.has(parent):
-            # a reference to an absent file fails for each row, where the file is one that such a reference presumes
-            if (child, field) in {("routes", "agency_id"), ("trips", "route_id"), ("stop_times", "trip_id")} or parent in ("booking_rules", "levels"):
-                continue
+        # a reference to an absent file fails for each row, where the file is one that such a reference presumes
+        if not feed.has(parent) and ((child, field) in {("routes", "agency_id"), ("trips", "route_id"), ("stop_times", "trip_id")} or parent in ("booking_rules", "levels")):
+            continue
         if (child, field) == ("stops", "level_id") and not feed.has("levels"):
             continue
-        if child == "route_networks" and field == "network_id" and (not feed.has(parent) or _is_empty(parents.where(full(F.col("network_id"))))):
+        if child == "route_networks" and field == "network_id" and (not feed.has(parent) or _is_empty(feed.df(parent).where(full(F.col("network_id"))))):
             continue
         if child == "fare_transfer_rules" and key == "leg_group_id":
-            bad = parents.where(blank(F.col("fare_product_id")) | blank(F.col("leg_group_id")))
-            if not feed.has(parent) or not _is_empty(bad):
+            if not feed.has(parent) or not _is_empty(feed.df(parent).where(blank(F.col("fare_product_id")) | blank(F.col("leg_group_id")))):
                 continue
         if child == "fare_leg_join_rules" and field.endswith("area_id") and not options.thorough:
             continue
-        out.append(missing_parents(rows, field, parents, key, child, parent_table=parent))
+        out.append((child, field, parent, key))
     return out
 
 
+@rule("ReferentialIntegrityValidator")
+def referential_integrity(feed: Feed, options: RunOptions):
+    """One scan of each table, and one anti-join of all references with all keys."""
+    edges = checked_edges(feed, options)
+    if not edges:
+        return None
+    keys = list(dict.fromkeys((parent, key) for _, _, parent, key in edges))
+
+    def stacked(table: str, cells: list[tuple[int, int, str]]) -> DataFrame:
+        """_row, edge, key and value of the non-blank cells(edge, key, column) of a table."""
+        each = F.array(*[F.struct(F.lit(e).alias("edge"), F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for e, k, c in cells])
+        return feed.df(table).select("_row", F.explode(each).alias("x")).select("_row", "x.*").where(full(F.col("value")))
+
+    children = [stacked(t, [(e, keys.index((p, k)), f) for e, (c, f, p, k) in enumerate(edges) if c == t]) for t in dict.fromkeys(c for c, _, _, _ in edges)]
+    parents = [stacked(t, [(0, i, k) for i, (p, k) in enumerate(keys) if p == t]) for t in dict.fromkeys(p for p, _ in keys)]
+    lost = reduce(DataFrame.unionAll, children).join(reduce(DataFrame.unionAll, parents).select("key", "value").distinct(), ["key", "value"], "left_anti")
+    of = lambda said: F.element_at(F.array(*[F.lit(said(*e)) for e in edges]), F.col("edge") + 1)
+    child, field = of(lambda c, f, p, k: file_of(c)), of(lambda c, f, p, k: f)
+    context = {"childFilename": child, "childFieldName": field, "parentFilename": of(lambda c, f, p, k: file_of(p)), "parentFieldName": of(lambda c, f, p, k: k), "fieldValue": F.col("value")}
+    return note(lost, "foreign_key_violation", "ERROR", None, context, at=field).withColumn("filename", F.col("context")["childFilename"])
+
+
 def repeats(df: DataFrame, keys: list[Column]) -> DataFrame:
     """Rows whose keys an earlier row has, with that row's `_first`."""
     columns = [k.alias(f"_k{i}") for i, k in enumerate(keys)]

@@ -60,8 +60,9 @@ def travel_speed(feed: Feed, options: RunOptions):
     names = F.max_by("stop_name", "_row")
     stops = feed.df("stops").where(full(C("stop_id"))).groupBy("stop_id").agg(names.alias("stop_name"), F.max_by("stop_lat", "_row").alias("la"), F.max_by("stop_lon", "_row").alias("lo"))
     # a trip's ordered calls decide its findings: each distinct pattern of a route is examined once
-    calls = F.transform(F.sort_array(F.collect_list(F.struct("stop_sequence", "_row", "stop_id", "arr", "dep"))), lambda x: F.struct(x["stop_id"].alias("s"), x["arr"].alias("a"), x["dep"].alias("d")))
-    sig = st.groupBy("trip_id").agg(calls.alias("calls")).where("size(calls) > 1").join(trips, "trip_id")
+    whole = st.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("stop_sequence", "_row", "stop_id", "arr", "dep"))).alias("rows"))
+    calls = F.transform("rows", lambda x: F.struct(x["stop_id"].alias("s"), x["arr"].alias("a"), x["dep"].alias("d")))
+    sig = whole.where("size(rows) > 1").withColumn("calls", calls).join(trips, "trip_id")
     sig = sig.withColumn("pattern", F.sha2(F.concat(F.col("route_id"), F.lit("|"), F.to_json("calls")), 256))
     one = sig.groupBy("pattern").agg(F.min_by("calls", "trip_id").alias("calls"), F.min("route_type").alias("route_type"))
     legs = one.select("pattern", "route_type", F.posexplode("calls").alias("i", "c")).select("pattern", "route_type", "i", "c.s", "c.a", "c.d")
@@ -75,10 +76,12 @@ def travel_speed(feed: Feed, options: RunOptions):
     b = legs.where("a is not null").select("pattern", C("i").alias("i2"), C("km").alias("km2"), C("a").alias("a2"), "top")
     far = a.join(b, "pattern").where("i1 < i2 and km2 - km1 > 10").withColumn("dist", C("km2") - C("km1")).withColumn("kph", speed_kph(C("dist"), C("d1"), C("a2"))).where("kph > top")
     far = far.groupBy("pattern").agg(F.min_by(F.struct("i1", "i2", "kph", "dist"), F.struct(C("i2"), -C("i1"))).alias("x")).select("pattern", "x.*", F.lit("fast_travel_between_far_stops").alias("code"))
-    hits = near.unionByName(far).join(sig.select("pattern", "trip_id", "route_id", "trip_row"), "pattern")
-    numbered = st.withColumn("i", F.row_number().over(Window.partitionBy("trip_id").orderBy("stop_sequence", "_row")) - 1).join(stops.where("(la is null or abs(la) <= 90) and (lo is null or abs(lo) <= 180)"), "stop_id")
-    end = lambda k, t: numbered.select("trip_id", C("i").alias(f"i{k}"), C("_row").alias(f"row{k}"), C("stop_sequence").alias(f"seq{k}"), C("stop_id").alias(f"stop{k}"), C("stop_name").alias(f"name{k}"), C(t).alias(f"t{k}"))
-    rows = hits.join(end(1, "dep"), ["trip_id", "i1"]).join(end(2, "arr"), ["trip_id", "i2"])
+    rows = near.unionByName(far).join(sig.select("pattern", "trip_id", "route_id", "trip_row", "rows"), "pattern")
+    known = stops.where("(la is null or abs(la) <= 90) and (lo is null or abs(lo) <= 180)")
+    for k, t in ((1, "dep"), (2, "arr")):
+        rows = rows.withColumn("c", F.element_at("rows", C(f"i{k}") + 1))
+        rows = rows.withColumns({f"row{k}": C("c._row"), f"seq{k}": C("c.stop_sequence"), f"stop{k}": C("c.stop_id"), f"t{k}": C(f"c.{t}")})
+        rows = rows.join(known.select(C("stop_id").alias(f"stop{k}"), C("stop_name").alias(f"name{k}")), f"stop{k}")
     context = {"tripCsvRowNumber": C("trip_row"), "tripId": C("trip_id"), "routeId": C("route_id"), "speedKph": C("kph"), "distanceKm": C("dist")}
     for k, t in ((1, "departureTime1"), (2, "arrivalTime2")):
         context |= {f"csvRowNumber{k}": C(f"row{k}"), f"stopSequence{k}": C(f"seq{k}"), f"stopId{k}": C(f"stop{k}"), f"stopName{k}": C(f"name{k}"), t: clock(C(f"t{k}"))}
