@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,13 +80,36 @@ class Feed:
         return self._none
 
 
+_recorders: list[list[tuple[str, str, dict[str, str]]]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[tuple[str, str, dict[str, str]]]]:
+    """Code, severity and types of the context of each note() and said() within."""
+    _recorders.append([])
+    try:
+        yield _recorders[-1]
+    finally:
+        _recorders.pop()
+
+
 def text(value: Column | str | float | None) -> Column:
     """A context value as text: a column, or a plain value; booleans and numbers as Spark writes them."""
     return (value if isinstance(value, Column) else F.lit(value)).cast("string")
 
 
-def note(df: DataFrame, code: str, severity: str, table: str | None, context: dict[str, Column | str | float | None] | None = None, row: Column | str | None = "_row", at: str | Column | None = None) -> DataFrame:
+def note(
+    df: DataFrame,
+    code: str,
+    severity: str,
+    table: str | None,
+    context: dict[str, Column | str | float | None] | None = None,
+    row: Column | str | None = "_row",
+    at: str | Column | None = None,
+) -> DataFrame:
     """Notices of one code, one for each row of df. at: the field."""
+    if _recorders:
+        _recorders[-1].append((code, severity, {k: df.select(v.alias("v")).dtypes[0][1] if isinstance(v, Column) else type(v).__name__ for k, v in (context or {}).items()}))
     pairs = [x for k, v in (context or {}).items() for x in (F.lit(k), text(v))]
     where = F.lit(None).cast("long") if row is None else (F.col(row) if isinstance(row, str) else row).cast("long")
     return df.select(
@@ -99,4 +124,6 @@ def note(df: DataFrame, code: str, severity: str, table: str | None, context: di
 
 def said(feed: Feed, code: str, severity: str, file: str | None, row: int | None = None, at: str | None = None, **context: str | None) -> DataFrame:
     """A single notice that the catalog of the feed alone decides."""
+    if _recorders:
+        _recorders[-1].append((code, severity, dict.fromkeys(context, "string")))
     return feed.spark.createDataFrame([(code, severity, file, row, at, {k: v for k, v in context.items()})], NOTICE)
