@@ -371,8 +371,9 @@ QUERIES["notice_rollup"] = notice_rollup
 _parts = [ORACLE_SQL[n] for n in ("rule_timepoint", "rule_geography_presence", "rule_missing_trip_edge")]
 ORACLE_SQL["notice_rollup"] = "SELECT code, CASE WHEN code = 'missing_timepoint_value' THEN 'WARNING' ELSE 'ERROR' END AS severity, count(*) AS total FROM (" + " UNION ALL ".join(f"SELECT code FROM ({p}) x" for p in _parts) + ") n GROUP BY 1"
 
-# what the reader checks
-from . import load_queries  # noqa: E402
+# what the reader checks, sources, reports and streams
+from . import load_queries, more_queries  # noqa: E402
 
-QUERIES |= load_queries.QUERIES
-ORACLE_SQL |= load_queries.ORACLE_SQL
+QUERIES |= load_queries.QUERIES | more_queries.QUERIES
+ORACLE_SQL |= load_queries.ORACLE_SQL | more_queries.ORACLE_SQL
+ORACLE_SQL["notice_samples"] = more_queries.samples_sql([ORACLE_SQL[n] for n in ("rule_timepoint", "rule_missing_trip_edge")])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..feed import Feed
 from ..functions.exprs import full
-from ..model import file_of
+from ..model import GEOJSON, TABLES, file_of
 
 C = F.col
 SAMPLES = 1000
@@ -96,6 +96,16 @@ def service_window(feed: Feed) -> DataFrame:
     return whole.crossJoin(F.broadcast(moved)).select(F.date_add("start", F.coalesce("up", F.lit(0)).cast("int")).alias("start"), F.date_sub("end", F.coalesce("down", F.lit(0)).cast("int")).alias("end"))
 
 
+def agencies(feed: Feed) -> DataFrame:
+    """_row, name, url, phone, email of each agency."""
+    return feed.df("agency").select("_row", *[C(f"agency_{n}").alias(n) for n in ("name", "url", "phone", "email")])
+
+
+def files(feed: Feed) -> list[str]:
+    """Names of the files that the feed has."""
+    return sorted(file_of(t) if t != "locations" else GEOJSON for t in [*TABLES, "locations"] if feed.has(t))
+
+
 def summary(feed: Feed, date: dt.date) -> dict:
     first = feed.df("feed_info").orderBy("_row").limit(1).collect()
     info = {k: (v.isoformat() if isinstance(v, dt.date) else v) for k, v in first[0].asDict().items() if k != "_row" and v is not None} if first else {}
@@ -103,8 +113,8 @@ def summary(feed: Feed, date: dt.date) -> dict:
     return {
         "validationDate": date.isoformat(),
         "feedInfo": info | {"serviceWindowStart": window["start"] and window["start"].isoformat(), "serviceWindowEnd": window["end"] and window["end"].isoformat()},
-        "agencies": [{"name": r["agency_name"], "url": r["agency_url"], "phone": r["agency_phone"], "email": r["agency_email"]} for r in feed.df("agency").orderBy("_row").limit(SAMPLES).collect()],
-        "files": sorted({file_of(t) for t in feed.tables} | {"agency.txt", "routes.txt", "trips.txt", "stop_times.txt"}),
+        "agencies": [{k: r[k] for k in ("name", "url", "phone", "email")} for r in agencies(feed).orderBy("_row").toLocalIterator()],
+        "files": sorted({*files(feed), "agency.txt", "routes.txt", "trips.txt", "stop_times.txt"}),
         "counts": {r["entity"]: r["n"] for r in counts(feed).collect()},
         "gtfsFeatures": sorted(r["feature"] for r in features(feed).where("present").collect()),
     }
