@@ -124,6 +124,9 @@ cell("invalid_url", {"stops.stop_url": _scheme, "agency.agency_url": _scheme})
 _domain = "split_part({v}, '@', 2)"
 cell("invalid_email", {"agency.agency_email": there(f"NOT (len(string_split({{v}}, '@')) = 2 AND NOT contains({{v}}, ' ') AND contains({_domain}, '.') AND {_domain}[1] <> '.' AND {_domain}[-1] <> '.')")})
 cell("invalid_phone_number", {"stops.stop_phone": there("(ltrim({v}, '0123456789+-(). ') <> '' OR len(list_filter(string_split({v}, ''), lambda x: x BETWEEN '0' AND '9')) < 2)")})
+_time_fails = "NOT regexp_full_match(" + trimmed("start_time") + ", '[0-9]+:[0-5]?[0-9]:[0-5]?[0-9]')"
+_date_fails = "NOT coalesce(length({0}) = 8 AND try_strptime({0}, '%Y%m%d') IS NOT NULL, FALSE)".format(trimmed("date"))
+cell("csv_parsing_failed", {"frequencies": f"{_time_fails} OR NOT regexp_full_match({trimmed('headway_secs')}, '[+-]?[0-9]+')", "calendar_dates": f"keep IS NULL AND ({_date_fails} OR {trimmed('exception_type')} = '')"})
 cell("empty_row", {"stops": "keep = 0"})
 cell("invalid_row_length", {"stops": "keep > 0", "calendar_dates": "keep > 0"}, "keep")
 

@@ -47,6 +47,8 @@ ENUMS = {
     "exact_times": range(2), "transfer_type": range(6), "pathway_mode": range(1, 8), "is_bidirectional": range(2), "is_producer": range(2), "is_operator": range(2), "is_authority": range(2),
     "timepoint": range(2), "fare_media_type": range(5), "duration_limit_type": range(4), "fare_transfer_type": range(3), "is_default_fare_category": range(2),
 }
+#: The last line that a row may begin on.
+MOST_ROWS = 1_000_000_000
 #: Decimals of currencies that don't have two.
 DECIMALS = {0: "BIF CLP DJF GNF ISK JPY KMF KRW PYG RWF UGX UYI VND VUV XAF XOF XPF".split(), 3: "BHD IQD JOD KWD LYD OMR TND".split(), 4: "CLF UYW".split()}
 CURRENCY_CODES = (
@@ -193,8 +195,8 @@ def _first(value: Column, field: str, kind: str, options: RunOptions) -> list[tu
 def cell_notices(raw: DataFrame, table: str, header: list[str], options: RunOptions) -> DataFrame:
     """Notices of rows(line, cells): blank and ragged rows, then cells."""
     file = file_of(table)
-    found: list[Column] = []
-    one = lambda code, severity, field, value: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).cast("string").alias("field"), value.cast("string").alias("value"))
+    names = ("code", "severity", "field")
+    one = lambda code, severity, field, value: F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, (code, severity, field))], value.cast("string").alias("value"))  # noqa: B905, E731
     empty = (F.size("cells") == 0) | ~F.exists("cells", lambda c: F.trim(c) != "")
     ragged = F.size("cells") != len(header)
     checks: list[Column] = []
@@ -224,17 +226,21 @@ def cell_notices(raw: DataFrame, table: str, header: list[str], options: RunOpti
         for n, codes in DECIMALS.items():
             want = F.when(currency.isin(codes), n).otherwise(want)
         checks.append(F.when(currency.isin(CURRENCY_CODES) & exprs.parse_double(amount).isNotNull() & (scale != want), one("invalid_currency_amount", "ERROR", "amount", amount)))
-    found = [F.when(empty, F.array(one("empty_row", "WARNING", None, F.lit(None))) if options.thorough else F.array().cast("array<struct<code:string,severity:string,field:string,value:string>>"))]
-    rest = F.when(ragged, F.array(one("invalid_row_length", "ERROR", None, F.size("cells")))).otherwise(F.array_compact(F.array(*checks)))
-    each = raw.select("line", F.explode(F.coalesce(found[0], rest)).alias("n"))
+    nothing = F.array().cast("array<struct<code:string,severity:string,field:string,value:string>>")
+    if options.thorough:
+        checks.append(F.when(~parses(table, header), one("csv_parsing_failed", "ERROR", None, F.lit(None))))
+    picked = F.when(C("line") > MOST_ROWS, F.array(one("too_many_rows", "ERROR", None, C("line"))))
+    picked = picked.when(empty, F.array(one("empty_row", "WARNING", None, F.lit(None))) if options.thorough else nothing)
+    picked = picked.when(ragged, F.array(one("invalid_row_length", "ERROR", None, F.size("cells")))).otherwise(F.array_compact(F.array(*checks)))
+    each = raw.select("line", F.explode(picked).alias("n"))
     context = F.map_filter(F.create_map(F.lit("fieldName"), C("n.field"), F.lit("fieldValue"), C("n.value")), lambda k, v: v.isNotNull())
     return each.select(C("n.code").alias("code"), C("n.severity").alias("severity"), F.lit(file).alias("filename"), C("line").alias("csv_row"), C("n.field").alias("field"), context.alias("context"))
 
 
-def typed(raw: DataFrame, table: str, header: list[str]) -> DataFrame:
-    """Rows of the right length, trimmed and typed. One whose required number, date or time doesn't parse is left out."""
+def cells_of(table: str, header: list[str]) -> tuple[list[Column], Column]:
+    """The typed columns of a table, from trimmed cells, and whether the row is kept: each number, date or time that is there or required parses."""
     parse = {"int": exprs.parse_int, "enum": exprs.parse_int, "double": exprs.parse_double, "date": exprs.parse_date, "time": exprs.parse_time, "color": exprs.parse_color}
-    columns, needed = [], F.lit(True)
+    columns, kept = [], F.lit(True)
     for c in TABLES[table]:
         if c.name not in header:
             columns.append(F.lit(None).cast(SPARK_TYPE[c.kind]).alias(c.name))
@@ -250,10 +256,19 @@ def typed(raw: DataFrame, table: str, header: list[str]) -> DataFrame:
             if c.name in ENUMS and c.name != "route_type":
                 got = F.when(got.isin(list(ENUMS[c.name])), got).otherwise(F.when(got.isNotNull(), -1))
         columns.append(got.cast(SPARK_TYPE[c.kind]).alias(c.name))
-        needed &= C(c.name).isNotNull() if c.required else (value.isNull() | C(c.name).isNotNull())
+        kept &= got.isNotNull() if c.required else (value.isNull() | got.isNotNull())
+    return columns, kept
+
+
+def parses(table: str, header: list[str]) -> Column:
+    return cells_of(table, header)[1]
+
+
+def typed(raw: DataFrame, table: str, header: list[str]) -> DataFrame:
+    """Rows of the right length, trimmed and typed. One whose required number, date or time doesn't parse is left out."""
+    columns, kept = cells_of(table, header)
     whole = (F.size("cells") == len(header)) & F.exists("cells", lambda c: F.trim(c) != "")
-    kept = raw.where(whole).select(C("line").alias("_row"), "cells", *columns)
-    return kept.where(needed).drop("cells")
+    return raw.where(whole & kept).select(C("line").alias("_row"), *columns)
 
 
 def read_feed(spark: SparkSession, source: str | bytes, options: RunOptions | None = None) -> Feed:

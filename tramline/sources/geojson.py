@@ -58,6 +58,7 @@ def read_locations(raw: bytes, options: RunOptions) -> tuple[list[tuple], list[t
         return [], notices, True
     rows: list[tuple] = []
     first: dict[str, int] = {}
+    shapes: set[str] = set()
     for i, f in enumerate(features):
         if not isinstance(f, dict) or f.get("type") != "Feature":
             tell("unsupported_feature_type", featureIndex=i, featureType=f.get("type") if isinstance(f, dict) else None)
@@ -82,6 +83,9 @@ def read_locations(raw: bytes, options: RunOptions) -> tuple[list[tuple], list[t
             if options.thorough:
                 tell("unsupported_geometry_type", featureIndex=i, featureId=name, geometryType=kind)
             continue
+        if (signature := json.dumps(coordinates)) in shapes and (options.thorough or kind == "MultiPolygon"):
+            tell("geo_json_duplicated_element", duplicatedElement=signature)
+        shapes.add(signature)
         polygons = [coordinates] if kind == "Polygon" else coordinates
         if not isinstance(polygons, list) or not polygons or not all(isinstance(p, list) and p and all(map(_ring, p)) for p in polygons):
             tell("invalid_geometry", featureId=name, featureIndex=i, geometryType=kind, message="rings must be closed lists of positions")
