@@ -58,16 +58,17 @@ def _put(spark: SparkSession, path: str, content: bytes) -> str:
     out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
     out.write(bytearray(content))
     out.close()
-    return path.removeprefix("file:")
+    return path
 
 
 def _folder(spark: SparkSession, text: str) -> str:
     folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    return _put(spark, f"{folder}/agency.txt", text.encode()).rpartition("/")[0]
+    folder = _put(spark, f"{folder}/agency.txt", text.encode()).rpartition("/")[0]
+    return folder if "://" in folder else re.sub("^file:/+", "/", folder)
 
 
 def _zip(spark: SparkSession, text: str) -> str:
-    return _put(spark, f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}.zip", _bytes(spark, text))
+    return re.sub("^file:/+", "/", _put(spark, f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}.zip", _bytes(spark, text)))
 
 
 for _name, _source in (("source_directory", _folder), ("source_zip", _zip), ("source_bytes", _bytes)):

@@ -1,8 +1,8 @@
 """Reading feeds: folders, zips or bytes of CSV files, with the notices that reading gives.
 
-Each file is decoded as a whole by one task of a Python job, because a record may span lines and line numbers are those of the file;
-files are read side by side. Cell checks are columns over the raw text, made from the model, and typed tables are projections of
-rows that pass. So a row is dropped if a required typed cell doesn't parse.
+The files of a folder, local or of any store that Spark reads, are read in splits (see lines.py). A zip can't be split: each of its members is
+decoded by one task, members side by side. Cell checks are columns over the raw text, made from the model, and typed tables are projections
+of rows that pass. So a row is dropped if a required typed cell doesn't parse.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from ..functions.checkpoint import cut
 from ..functions.workers import importable
 from ..model import GEOJSON, REQUIRED_TABLES, SPARK_TYPE, TABLES, file_of
 from .geojson import read_locations
+from .lines import records_of
 
 C = F.col
 # Fields by kind of check.
@@ -93,6 +94,29 @@ class Files:
         return raw if len(raw) < most else raw[: raw.rfind(b"\n") + 1]
 
 
+class SharedFolder:
+    """Names and bytes of a feed in a folder of a store that Spark reads, by its URI."""
+
+    def __init__(self, spark: SparkSession, uri: str):
+        self.uri, self._path = uri.rstrip("/"), spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.uri).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not self._fs.exists(self._path(self.uri)):
+            raise FileNotFoundError(uri)
+        self.zip, self.nested = None, []
+        self.names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.uri)) if s.isFile())
+
+    find = Files.find
+
+    def head(self, name: str, most: int = 1 << 20) -> bytes:
+        stream = self._fs.open(self._path(f"{self.uri}/{name}"))
+        raw = bytes(stream.readNBytes(most))
+        stream.close()
+        return raw if len(raw) < most else raw[: raw.rfind(b"\n") + 1]
+
+    def read(self, name: str) -> bytes:
+        return self.head(name, (1 << 31) - 9)
+
+
 KNOWN = {file_of(t) for t in TABLES} | {GEOJSON}
 
 
@@ -274,7 +298,8 @@ def typed(raw: DataFrame, table: str, header: list[str]) -> DataFrame:
 def read_feed(spark: SparkSession, source: str | bytes, options: RunOptions | None = None) -> Feed:
     """A feed from a folder, a zip, a URL's download or bytes, with its notices and the tables that had errors."""
     options = options or RunOptions()
-    files = Files(source)
+    uri = source if isinstance(source, str) and "://" in source else None
+    files = SharedFolder(spark, uri) if uri else Files(source)
     notices: list[tuple] = [("unknown_file", "INFO", n, None, None, {"filename": n}) for n in files.names if n.lower() not in KNOWN and n != ".DS_Store"]
     if files.nested and not any(n.lower() in KNOWN for n in files.names):
         notices.append(("invalid_input_files_in_subfolder", "ERROR", None, None, None, {}))
@@ -292,8 +317,13 @@ def read_feed(spark: SparkSession, source: str | bytes, options: RunOptions | No
             notices.append(("empty_file", "ERROR", file_of(table), None, None, {"filename": file_of(table)}))
             continue
         notices += header_notices(table, headers[table], options)
-        raw_files.append((table, None, name, files.read(name)) if isinstance(source, bytes) else (table, os.path.abspath(source), name, None))
-    cells = cut(_cells(spark, raw_files)) if raw_files else None
+        raw_files.append((table, None, name, files.read(name)) if isinstance(source, bytes) else (table, uri or os.path.abspath(source), name, None))
+    if not raw_files:
+        cells = None
+    elif files.zip:
+        cells = cut(_cells(spark, raw_files))
+    else:
+        cells = records_of(spark, {table: f"{at if uri else 'file://' + at}/{name}" for table, at, name, _ in raw_files})
     lacking = {n[2] for n in notices if n[0] in ("missing_required_column", "duplicated_column")}
     tables: dict[str, DataFrame] = {}
     frames = [spark.createDataFrame(notices, NOTICE)]

@@ -25,7 +25,8 @@ def grouped(notices: DataFrame, samples: int = SAMPLES) -> DataFrame:
     total = notices.groupBy("code", "severity").agg(F.count("*").alias("total"))
     w = Window.partitionBy("code", "severity").orderBy(C("filename").asc_nulls_first(), C("csv_row").asc_nulls_first(), C("field").asc_nulls_first(), F.to_json("context"))
     few = notices.withColumn("_at", F.row_number().over(w)).where(C("_at") <= samples)
-    few = few.groupBy("code", "severity").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "filename", "csv_row", "field", F.map_entries("context").alias("context")))), lambda x: F.struct(x["filename"].alias("filename"), x["csv_row"].alias("csv_row"), x["field"].alias("field"), x["context"].alias("context"))).alias("samples"))
+    one = F.struct("_at", "filename", "csv_row", "field", F.map_entries("context").alias("context"))
+    few = few.groupBy("code", "severity").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("_at")).alias("samples"))
     return total.join(few, ["code", "severity"])
 
 
@@ -110,6 +111,10 @@ def summary(feed: Feed, date: dt.date) -> dict:
     first = feed.df("feed_info").orderBy("_row").limit(1).collect()
     info = {k: (v.isoformat() if isinstance(v, dt.date) else v) for k, v in first[0].asDict().items() if k != "_row" and v is not None} if first else {}
     window = service_window(feed).collect()[0]
+    if info.get("feed_lang"):
+        # the JVM knows the names of languages
+        locale = feed.spark._jvm.java.util.Locale
+        info["feed_lang_name"] = locale.forLanguageTag(info["feed_lang"]).getDisplayName(locale.ENGLISH)
     return {
         "validationDate": date.isoformat(),
         "feedInfo": info | {"serviceWindowStart": window["start"] and window["start"].isoformat(), "serviceWindowEnd": window["end"] and window["end"].isoformat()},
@@ -140,16 +145,45 @@ def write_json(report: dict, path: str, pretty: bool = False) -> None:
     _write(path, json.dumps(report, indent=2 if pretty else None, ensure_ascii=False))
 
 
+STYLE = "body{font-family:sans-serif}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 6px}"
+
+
+def _point(value: object) -> tuple[float, float] | None:
+    """A latitude and longitude written as a list of two."""
+    try:
+        lat, lon = json.loads(str(value))
+        return float(lat), float(lon)
+    except (TypeError, ValueError):
+        return None
+
+
+def _cell(key: str, value: object) -> str:
+    """A value in a table; places link to a map."""
+    said = html.escape("" if value is None else str(value))
+    if (key.startswith("match") or key.endswith("Location")) and (p := _point(value)):
+        return f"<a href='https://www.openstreetmap.org/?mlat={p[0]}&amp;mlon={p[1]}#map=17/{p[0]}/{p[1]}'>{said}</a>"
+    return said
+
+
+def _list(items: list[str]) -> str:
+    return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+
+
 def write_html(report: dict, path: str) -> None:
     e = lambda x: html.escape("" if x is None else str(x))
     about = report["summary"]
-    parts = ["<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Feed report</title><style>body{font-family:sans-serif}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 6px}</style></head><body><h1>Feed report</h1>"]
-    parts.append(f"<p>Validated for {e(about.get('validationDate'))}</p><h2>Counts</h2><ul>" + "".join(f"<li>{e(k)}: {e(v)}</li>" for k, v in about.get("counts", {}).items()) + "</ul>")
-    parts.append("<h2>Agencies</h2><ul>" + "".join(f"<li>{e(a['name'])}</li>" for a in about.get("agencies", [])) + "</ul><h2>Files</h2><p>" + e(", ".join(about.get("files", []))) + "</p><h2>Features</h2><p>" + e(", ".join(about.get("gtfsFeatures", []))) + "</p>")
+    parts = [f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Feed report</title><style>{STYLE}</style></head><body><h1>Feed report</h1>"]
+    parts.append(f"<p>Validated for {e(about.get('validationDate'))}</p>")
+    info = {k: v for k, v in about.get("feedInfo", {}).items() if v is not None}
+    parts.append("<h2>Feed info</h2><table>" + "".join(f"<tr><th>{e(k)}</th><td>{e(v)}</td></tr>" for k, v in info.items()) + "</table>")
+    parts.append("<h2>Counts</h2>" + _list([f"{e(k)}: {e(v)}" for k, v in about.get("counts", {}).items()]))
+    parts.append("<h2>Agencies</h2>" + _list([" ".join(e(a[k]) for k in ("name", "url", "phone", "email") if a.get(k)) for a in about.get("agencies", [])]))
+    parts.append(f"<h2>Files</h2><p>{e(', '.join(about.get('files', [])))}</p><h2>Features</h2><p>{e(', '.join(about.get('gtfsFeatures', [])))}</p>")
     for n in report["notices"]:
         keys = list(dict.fromkeys(k for s in n["sampleNotices"] for k in s))
-        body = "".join("<tr>" + "".join(f"<td>{e(s.get(k))}</td>" for k in keys) + "</tr>" for s in n["sampleNotices"])
-        parts.append(f"<h3>{e(n['severity'])}: {e(n['code'])} ({n['totalNotices']})</h3><table><tr>" + "".join(f"<th>{e(k)}</th>" for k in keys) + f"</tr>{body}</table>")
+        body = "".join("<tr>" + "".join(f"<td>{_cell(k, s.get(k))}</td>" for k in keys) + "</tr>" for s in n["sampleNotices"])
+        heads = "".join(f"<th>{e(k)}</th>" for k in keys)
+        parts.append(f"<h3>{e(n['severity'])}: {e(n['code'])} ({n['totalNotices']})</h3><table><tr>{heads}</tr>{body}</table>")
     _write(path, "".join(parts) + "</body></html>")
 
 
