@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 def watch_feeds(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[str], None]) -> StreamingQuery:
     """Call handle(path) once for each zip that appears in folder; the stream's checkpoint remembers which were seen."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select("path")
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.zip").load(folder).select("path")
 
     def batch(df: DataFrame, _: int) -> None:
         for row in df.toLocalIterator():
-            handle(row["path"].removeprefix("file:"))
+            handle(re.sub("^file:/+", "/", row["path"]))
 
     return found.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 

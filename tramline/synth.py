@@ -44,7 +44,8 @@ VIEWS: dict[str, str] = {
                 ELSE 40 + (p_partkey % 1000) * 0.01 END AS stop_lat,
             CASE WHEN p_partkey % 37 = 0 THEN NULL WHEN p_partkey % 101 = 0 THEN 0.5 ELSE -74 + p_size * 0.02 END AS stop_lon,
             CASE WHEN p_partkey % 3 = 0 THEN 'Z' || CAST(p_partkey % 20 AS STRING) END AS zone_id,
-            CASE WHEN p_partkey % 29 = 0 THEN 'http://a' || CAST(p_partkey % 25 AS STRING) || '.example.com' WHEN p_partkey % 43 = 0 THEN 'http://R' ||
+            CASE WHEN p_partkey % 29 = 0 THEN 'http://a' || CAST(p_partkey % 25 AS STRING) || '.example.com' WHEN p_partkey % 31 = 1 THEN 'http://' WHEN p_partkey % 37 = 1 THEN 'http://a b.example.com/x' WHEN p_partkey % 41 = 1 THEN 'mailto:x@example.com'
+                 WHEN p_partkey % 59 = 1 THEN 'www.example.com/a' WHEN p_partkey % 61 = 1 THEN 'https:e.example.com?q=a b' WHEN p_partkey % 67 = 1 THEN '1http://e.example.com' WHEN p_partkey % 43 = 0 THEN 'http://R' ||
                 CAST(p_partkey % 150 AS STRING) || '.example.com' END AS stop_url,
             CASE CAST(p_partkey % 10 AS INT) WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 6 THEN 4 WHEN 7 THEN NULL ELSE 0 END AS location_type,
             CASE WHEN p_partkey % 97 = 0 THEN 'S9999999' WHEN p_partkey % 130 = 0 THEN 'S10' WHEN p_partkey % 89 = 0 THEN NULL WHEN p_partkey % 10 = 6 THEN 'S' || CAST(p_partkey - 1 AS STRING)
