@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,3 +56,14 @@ def on_workers(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     """df.mapInArrow(), with this package importable on the workers."""
     importable(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """df written as Parquet to a folder and read again from there."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import divergence, prefix_trie, url_filter
 from .common import LOWER, UPPER, table
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_classes
 from .pii import find_pii
 from .piece_tokens import encode_documents
+from .simhash import simhash_components
 from .token_rollup import token_totals
 from .url_filter import judge_urls
 
@@ -67,6 +68,18 @@ def op10_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def _url_sql() -> str:
     """op2_url_filter in SQL: rules, template tree, merged branches and purity."""
     fits = {
@@ -115,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_text, op2_url_filter, op3_pii, op4_language_id, op5_token_counts, op6_exact_dedup, op7_near_dedup, op8_mix_sources, op9_media_chunks, op10_piece_tokens,
+        op11_source_divergence, op12_prefix_trie, op13_simhash_dedup,
     )
 }
 
@@ -133,4 +147,41 @@ ORACLE_SQL: dict[str, str] = {
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)""",
+    "op11_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+        w AS (SELECT doc, lang, source, unnest(words) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= {divergence.LEAST}),
+        n AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        a AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n, coalesce(sum(n) OVER (PARTITION BY lang, source), 0)::HUGEINT AS total FROM g JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+        l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY ALL),
+        b AS (SELECT lang, term, n, (sum(n) OVER (PARTITION BY lang))::HUGEINT AS total FROM l),
+        p AS (SELECT lang, source, term, n, 1 + ({divergence.SCALE}::HUGEINT * (n + 2)) // (total + 2 * v) AS p FROM a JOIN v USING (lang)),
+        q AS (SELECT lang, term, 1 + ({divergence.SCALE}::HUGEINT * (n + 2)) // (total + 2 * v) AS q FROM b JOIN v USING (lang)),
+        f AS (SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        x AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        pairs AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(x.value, 0) AS value FROM g JOIN g o ON o.lang = g.lang AND o.source <> g.source
+            LEFT JOIN x ON x.lang = g.lang AND x.source = g.source AND x.item = o.source),
+        every AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM f),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}""",
+    "op12_prefix_trie": f"""
+        WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS turns FROM o GROUP BY ALL),
+        crc AS (SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, 8 * length(conv_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substring(conv_id::VARCHAR, i // 8 + 1, 1)) ELSE 0 END::BIGINT)),
+            lambda was, byte: CASE WHEN xor(was, byte) & 1 = 1 THEN xor(xor(was, byte) >> 1, 3988292384) ELSE xor(was, byte) >> 1 END), 4294967295) AS crc FROM c),
+        r AS (SELECT crc.conv_id, list_concat(coalesce(base.turns, [])[1:crc % {prefix_trie.SHARED}], crc.turns[crc % {prefix_trie.SHARED} + 1:]) AS turns
+            FROM crc LEFT JOIN c AS base ON base.conv_id = crc.conv_id - crc.conv_id % {prefix_trie.HUNDRED}),
+        m AS (SELECT conv_id, len(turns) AS length, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+        k AS (SELECT conv_id, length, depth, sha256(turns[1:depth]::VARCHAR) AS node, CASE WHEN depth > 0 THEN sha256(turns[1:depth - 1]::VARCHAR) END AS up, CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS n_chars FROM m),
+        n AS (SELECT depth, node, up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n_chars) AS saved, string_agg(CASE WHEN length = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ended FROM k GROUP BY ALL),
+        i AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.up = n.node AND x.depth = n.depth + 1) AS n_children FROM n),
+        e AS (SELECT k.depth, k.node, sum((i.n_children = 0)::BIGINT) AS n_leaves, sum(i.saved) AS saved_tokens
+            FROM i JOIN k AS t ON t.conv_id = i.conv_id AND t.depth = i.depth JOIN k ON k.conv_id = i.conv_id AND k.depth <= i.depth GROUP BY ALL)
+        SELECT i.conv_id, i.depth, p.conv_id AS parent_conv_id, i.n_convs, i.n_children, e.n_leaves::BIGINT AS n_leaves, e.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(i.ended, '')) AS ends_sha256
+        FROM i JOIN e ON e.depth = i.depth AND e.node = i.node LEFT JOIN i AS p ON p.depth = i.depth - 1 AND p.node = i.up""",
 }
