@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import synth
 from .feed import RunOptions
 from .functions.checkpoint import shared_dir
-from .operators import all_rules
+from .operators import all_rules, index
 from .plans.runner import run_rule
 from .sources import report
 from .sources.feed import read_feed
@@ -145,3 +145,44 @@ ORACLE_SQL["stream_sessions"] = """
     m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
     SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS end_s, count(*) AS n FROM s GROUP BY user_id, k"""
+
+
+# spatial index: every stop against a shape of its own
+LOOK_M = 25_000.0
+
+
+def _spots(feed) -> DataFrame:
+    stops = feed.df("stops").where("stop_lat is not null and stop_lon is not null")
+    return stops.select(F.col("_row").alias("spot"), F.concat(F.lit("H"), (F.col("_row") % 190).cast("string")).alias("shape_id"), F.col("stop_lat").cast("double").alias("lat"), F.col("stop_lon").cast("double").alias("lon"), F.lit(LOOK_M).alias("reach"))
+
+
+def segments_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of its shape within 25 km of each stop."""
+    feed = synth.feed(spark, sf_dir)
+    return index.gaps(_spots(feed), index.segments(feed.df("shapes")), 2 * LOOK_M).select("spot", F.col("j").cast("long").alias("segment"), F.round("metres", 1).alias("metres"))
+
+
+def segment_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest segment of its shape to each stop, in degrees."""
+    feed = synth.feed(spark, sf_dir)
+    found = index.nearest(_spots(feed), index.segments(feed.df("shapes")))
+    return found.select("spot", F.col("nearest").cast("long").alias("segment"), F.round(F.sqrt("square"), 6).alias("degrees"))
+
+
+_segments = """, p AS (SELECT shape_id, CAST(shape_pt_lat AS DOUBLE) AS y1, CAST(shape_pt_lon AS DOUBLE) AS x1, lead(CAST(shape_pt_lat AS DOUBLE)) OVER w AS y2, lead(CAST(shape_pt_lon AS DOUBLE)) OVER w AS x2, row_number() OVER w - 1 AS segment
+        FROM shapes WINDOW w AS (PARTITION BY shape_id ORDER BY shape_pt_sequence, _row)),
+    t AS (SELECT CAST(s._row AS BIGINT) AS spot, CAST(stop_lat AS DOUBLE) AS y, CAST(stop_lon AS DOUBLE) AS x, p.* FROM stops s JOIN p ON p.shape_id = 'H' || CAST(s._row % 190 AS VARCHAR) WHERE x2 IS NOT NULL AND stop_lat IS NOT NULL AND stop_lon IS NOT NULL)"""
+# angles on the sphere by haversines and bearings: distance across the track between both ends, that to the nearer end elsewhere
+_arc = "2 * asin(sqrt(least(1.0, pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))))"
+_bearing = "atan2(sin(radians({3} - {2})) * cos(radians({1})), cos(radians({0})) * sin(radians({1})) - sin(radians({0})) * cos(radians({1})) * cos(radians({3} - {2})))"
+QUERIES["spatial_within"] = segments_within
+ORACLE_SQL["spatial_within"] = synth.with_views(f"""{_segments},
+    d AS (SELECT *, {_arc.format('y1', 'y', 'x1', 'x')} AS da, {_arc.format('y2', 'y', 'x2', 'x')} AS db, {_arc.format('y1', 'y2', 'x1', 'x2')} AS ab,
+        {_bearing.format('y1', 'y', 'x1', 'x')} - {_bearing.format('y1', 'y2', 'x1', 'x2')} AS ta, {_bearing.format('y2', 'y', 'x2', 'x')} - {_bearing.format('y2', 'y1', 'x2', 'x1')} AS tb FROM t),
+    m AS (SELECT spot, segment, 6371010.0 * CASE WHEN ab > 0 AND cos(ta) >= 0 AND cos(tb) >= 0 THEN asin(least(1.0, abs(sin(da) * sin(ta)))) ELSE least(da, db) END AS metres FROM d)
+    SELECT spot, segment, round(metres, 1) AS metres FROM m WHERE metres <= {LOOK_M}""".strip())
+QUERIES["spatial_nearest"] = segment_nearest
+ORACLE_SQL["spatial_nearest"] = synth.with_views(f"""{_segments},
+    f AS (SELECT *, coalesce(least(1.0, greatest(0.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0))), 0.0) AS part FROM t),
+    q AS (SELECT *, (x1 + part * (x2 - x1) - x) * (x1 + part * (x2 - x1) - x) + (y1 + part * (y2 - y1) - y) * (y1 + part * (y2 - y1) - y) AS square FROM f)
+    SELECT spot, segment, round(sqrt(square), 6) AS degrees FROM q QUALIFY row_number() OVER (PARTITION BY spot ORDER BY square, segment) = 1""".strip())

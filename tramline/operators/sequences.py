@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..feed import Feed, RunOptions, note
 from ..functions.exprs import blank, clock, full
 from . import rule
+from .intervals import started_within
 from .rows import fields
 
 C = F.col
@@ -119,9 +120,8 @@ def block_overlap(feed: Feed, options: RunOptions):
         F.min_by(F.coalesce("departure_time", "arrival_time"), F.struct("stop_sequence", "_row")).alias("start"), F.max_by(F.coalesce("arrival_time", "departure_time"), F.struct("stop_sequence", "_row")).alias("end")
     )
     t = feed.df("trips").where(full(C("block_id"))).select("trip_id", "block_id", "service_id", "_row").join(span.where("start is not null and end is not null"), "trip_id")
-    key = F.struct("start", "_row")
-    side = lambda s: t.select("block_id", *[C(c).alias(f"{c}_{s}") for c in ("trip_id", "service_id", "_row", "start", "end")], key.alias(f"key_{s}"))
-    pairs = side("a").join(side("b"), "block_id").where("key_a < key_b and start_b < end_a")
+    t = t.select("block_id", "trip_id", "service_id", "_row", "start", "end", F.struct("start", "_row").alias("key"))
+    pairs = started_within(t, ["block_id"], "start", "end", "key")
     same = pairs.where("service_id_a = service_id_b")
     other = pairs.where("service_id_a <> service_id_b")
     # services that share a date: far fewer pairs than trips

@@ -1,9 +1,9 @@
 """Matching of a trip's stops to its shape.
 
-Trips of a shape that make the same calls are examined once. Points and calls meet by shape, the calls of a shape with many patterns in
-several tasks, and NumPy does the geometry of all stops of a task at once, in blocks of BLOCK stop-segment pairs. A stop's candidates are the
-nearest points of runs of segments within reach; dynamic programming picks one for each stop, in order along the shape, at the
-least total distance. Where trip and shape have users' distances, a second pass takes the points at these instead.
+Trips of a shape that make the same calls are examined once. A spatial index (index.py) finds the segments that may be within reach of a
+stop, or the nearest one if none is. Points, stops with these segments, and calls meet by shape, the calls of a shape with many patterns in several tasks,
+and NumPy does the geometry of the found stop-segment pairs alone, in blocks of BLOCK. A stop's candidates are the nearest points of runs of segments
+within reach; dynamic programming picks one for each stop, in order along the shape, at the least total distance. Where trip and shape have users' distances, a second pass takes the points at these instead.
 """
 
 from __future__ import annotations
@@ -13,18 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..feed import Feed, RunOptions, note
+from ..functions.checkpoint import cut
 from ..functions.exprs import full
 from ..functions.workers import importable
 from . import rule
+from .index import RADIUS, looked_up, segments
 from .stations import last_by
 from .transfers import located
 
 C = F.col
-RADIUS, REACH, LARGE, MANY = 6_371_010.0, 100.0, 4.0, 20
+REACH, LARGE, MANY = 100.0, 4.0, 20
 #: What a notice shows of a shape: points on each side, and how far from the match.
 SHOWN, SHOWN_M = 10, 500.0
 #: Patterns of a shape that one task examines, and stop-segment pairs that are held at once.
@@ -73,40 +76,57 @@ class Line:
         self.normal = np.divide(normal, size, out=np.zeros_like(normal), where=size > 0)
         self.degenerate = size[:, 0] == 0
 
-    def examined(self, stops: np.ndarray, reaches: np.ndarray) -> list[tuple[list[Match], Match]]:
-        """For each stop (lat, lon) the candidates within its reach, and the point of the nearest segment in degrees."""
-        out: list[tuple[list[Match], Match]] = []
+    def examined(self, stops: np.ndarray, reaches: np.ndarray, near: list | None = None, nearest: list | None = None) -> list[tuple[list[Match], Match | None]]:
+        """For each stop (lat, lon) the candidates within its reach, and the point of the nearest segment in degrees.
+
+        near: the segments to look at for each stop, all by default. nearest: the nearest segment in degrees, or None where a candidate is known to be there."""
         p = vectors(stops[:, 0], stops[:, 1])
         if not len(self.a):
             return [([], Match(0, 0.0, float(metres(x, self.v[0])), self.v[0])) for x in p]
-        step = max(1, BLOCK // len(self.a))
-        for k in range(0, len(stops), step):
-            out += self._block(stops[k : k + step], p[k : k + step], reaches[k : k + step])
+        every = np.arange(len(self.a))
+        near = [every] * len(p) if near is None else near
+        nearest = [self._nearest_in_degrees(s) for s in stops] if nearest is None else nearest
+        out: list[tuple[list[Match], Match | None]] = []
+        at, held = 0, 0
+        for k in range(len(p)):
+            held += len(near[k]) + 1
+            if held >= BLOCK or k == len(p) - 1:
+                some = slice(at, k + 1)
+                out += self._block(p[some], reaches[some], near[some], nearest[some])
+                at, held = k + 1, 0
         return out
 
-    def _block(self, stops: np.ndarray, p: np.ndarray, reaches: np.ndarray) -> list[tuple[list[Match], Match]]:
-        q = p[:, None, :]
-        foot = q - (p @ self.normal.T)[:, :, None] * self.normal[None]
-        size = np.linalg.norm(foot, axis=2, keepdims=True)
-        foot = np.divide(foot, size, out=np.broadcast_to(self.a, foot.shape).copy(), where=size > 1e-15)
-        onto = (np.sum(np.cross(self.a[None], foot) * self.normal, axis=2) >= 0) & (np.sum(np.cross(foot, self.b[None]) * self.normal, axis=2) >= 0)
-        onto &= ~self.degenerate
-        from_a, from_b = metres(self.a[None], q), metres(self.b[None], q)
+    def _block(self, p: np.ndarray, reaches: np.ndarray, near: list, nearest: list) -> list[tuple[list[Match], Match | None]]:
+        # the stop's own segments, then its nearest one
+        looked = [np.r_[np.asarray(own, np.int64), [] if one is None else [one]].astype(np.int64) for own, one in zip(near, nearest, strict=True)]
+        sizes = [len(x) for x in looked]
+        j, q = np.concatenate(looked), np.repeat(p, sizes, axis=0)
+        a, b, normal = self.a[j], self.b[j], self.normal[j]
+        foot = q - np.sum(q * normal, axis=1, keepdims=True) * normal
+        size = np.linalg.norm(foot, axis=1, keepdims=True)
+        foot = np.divide(foot, size, out=a.copy(), where=size > 1e-15)
+        onto = (np.sum(np.cross(a, foot) * normal, axis=1) >= 0) & (np.sum(np.cross(foot, b) * normal, axis=1) >= 0) & ~self.degenerate[j]
+        from_a, from_b = metres(a, q), metres(b, q)
         away = np.where(onto, metres(foot, q), np.minimum(from_a, from_b))
-
-        def match(i: int, j: int) -> Match:
-            at = foot[i, j] if onto[i, j] else self.a[j] if from_a[i, j] <= from_b[i, j] else self.b[j]
-            return Match(j, float(self.geo[j] + metres(at, self.v[j])), float(away[i, j]), at)
-
-        out = []
-        for i in range(len(p)):
-            near = np.flatnonzero(away[i] <= reaches[i])
-            # a run ends where segments are left out, or where the last one led away and this one comes closer than its end
-            left = near[:-1]
-            ends = (np.diff(near) > 1) | (from_b[i, left] > away[i, left]) & (away[i, near[1:]] < from_b[i, left])
-            runs = np.split(near, np.flatnonzero(ends) + 1) if len(near) else []
-            found = [match(i, int(run[away[i, run].argmin()])) for run in runs]
-            out.append((found, match(i, self._nearest_in_degrees(stops[i]))))
+        at = np.where(onto[:, None], foot, np.where((from_a <= from_b)[:, None], a, b))
+        along = self.geo[j] + metres(at, a)
+
+        def match(k: int) -> Match:
+            return Match(int(j[k]), float(along[k]), float(away[k]), at[k])
+
+        out, start = [], 0
+        for i, (own, one) in enumerate(zip(near, nearest, strict=True)):
+            end = start + len(own)
+            found = []
+            if len(own):
+                of = np.arange(start, end)[away[start:end] <= reaches[i]]
+                # a run ends where segments are left out, or where the last one led away and this one comes closer than its end
+                last = of[:-1]
+                ends = (np.diff(j[of]) > 1) | (from_b[last] > away[last]) & (away[of[1:]] < from_b[last])
+                runs = np.split(of, np.flatnonzero(ends) + 1) if len(of) else []
+                found = [match(int(run[away[run].argmin()])) for run in runs]
+            out.append((found, None if one is None else match(end)))
+            start = end + (one is not None)
         return out
 
     def _nearest_in_degrees(self, stop: np.ndarray) -> int:
@@ -181,7 +201,7 @@ def match(line: Line, points: np.ndarray, users: np.ndarray, rail: bool, known:
 
     def candidates(i: int, far: str) -> list[Match]:
         found, nearest = known[keys[i]]
-        if not found and nearest.away > reaches[i]:
+        if not found and nearest and nearest.away > reaches[i]:
             out.append((far, i, -1, nearest.away, nearest, None))
         elif len(found) > MANY:
             out.append(("stop_has_too_many_matches_for_shape", i, -1, float(len(found)), min(found, key=lambda m: m.away), None))
@@ -213,21 +233,27 @@ def match(line: Line, points: np.ndarray, users: np.ndarray, rail: bool, known:
 FOUND = "code string, shape_id string, trip_id string, trip_row long, at int, r long, s string, r1 long, s1 string, value double, place string, match string, match1 string, path string, index int"
 
 
-def _of_shape(points: pa.Table, calls: pa.Table) -> pa.Table:
+def _of_shape(rows: pa.Table, calls: pa.Table) -> pa.Table:
+    """Problems of some patterns of a shape. rows: the shape's points (spot null), and spots with the segments looked up for them."""
     found: list[tuple] = []
+    told: set[tuple[str, str]] = set()
+    points, spots = rows.filter(pc.is_null(rows.column("reach"))), rows.filter(pc.is_valid(rows.column("reach")))
     if points.num_rows and calls.num_rows:
-        p = points.to_pandas().sort_values(["shape_pt_sequence", "_row"], kind="stable")
-        line = Line(p.shape_pt_lat.to_numpy(), p.shape_pt_lon.to_numpy(), p.shape_dist_traveled.to_numpy(float))
-        known: dict = {}
-        patterns = []
-        for c in calls.to_pylist():
+        points = points.sort_by([("shape_pt_sequence", "ascending"), ("_row", "ascending")])
+        number = lambda t, c: t.column(c).to_numpy().astype(float)
+        line = Line(number(points, "lat"), number(points, "lon"), number(points, "shape_dist_traveled"))
+        where = np.stack([number(spots, "lat"), number(spots, "lon")], axis=1)
+        reaches = number(spots, "reach")
+        looked = line.examined(where, reaches, spots.column("near").to_pylist(), spots.column("nearest").to_pylist())
+        known: dict = dict(zip(zip(*where.T.tolist(), reaches.tolist(), strict=True), looked, strict=True))
+        for c in calls.sort_by("trip_row").to_pylist():
             stops = [x for x in c["calls"] if x["lat"] is not None]
-            patterns.append((c, stops, np.array([(x["lat"], x["lon"]) for x in stops]).reshape(-1, 2)))
-        every = dict.fromkeys((float(a), float(b), REACH) for _, _, x in patterns for a, b in x)
-        known |= zip(every, line.examined(np.array([k[:2] for k in every]).reshape(-1, 2), np.full(len(every), REACH)), strict=True)
-        for c, stops, where in patterns:
-            problems = match(line, where, np.array([x["d"] or 0.0 for x in stops]), c["route_type"] == 2, known)
+            problems = match(line, np.array([(x["lat"], x["lon"]) for x in stops]).reshape(-1, 2), np.array([x["d"] or 0.0 for x in stops]), c["route_type"] == 2, known)
             for at, (code, i, j, value, m, before) in enumerate(problems):
+                if code.startswith("stop_too_far"):  # told once for a shape: the first trip's here, of all tasks later on
+                    if stops[i]["s"] in told:
+                        continue
+                    told.add(stops[i]["s"])
                 one = stops[j] if j >= 0 else {"r": None, "s": None}
                 place = json.dumps([stops[i]["lat"], stops[i]["lon"]])
                 shown = (place, json.dumps(degrees(m.at)), json.dumps(degrees(before.at)) if before else None, json.dumps(line.path(m.index)), m.index)
@@ -238,6 +264,15 @@ def _of_shape(points: pa.Table, calls: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), of[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
+def spots_of(patterns: DataFrame) -> DataFrame:
+    """spot, shape_id, lat, lon, reach: the places where patterns(shape_id, salt, route_type, calls) call, with all salts that have them."""
+    stops = F.filter("calls", lambda x: x["lat"].isNotNull())
+    each = patterns.select("shape_id", "salt", "route_type", F.size(stops).alias("n"), F.posexplode(stops).alias("i", "c"))
+    large = (C("route_type") == 2) & ((C("i") == 0) | (C("i") == C("n") - 1))
+    each = each.select("shape_id", "salt", C("c.lat").alias("lat"), C("c.lon").alias("lon"), F.when(large, REACH * LARGE).otherwise(REACH).alias("reach"))
+    return each.groupBy("shape_id", "lat", "lon", "reach").agg(F.collect_set("salt").alias("salts")).withColumn("spot", F.monotonically_increasing_id())
+
+
 def shape_problems(feed: Feed):
     """Problems by code, shape and trip: r, s (row and id of the stop), r1, s1 (of the one before), value and what to show."""
     routes = last_by(feed.df("routes"), "route_id", "route_type")
@@ -253,10 +288,13 @@ def shape_problems(feed: Feed):
     salts = one.groupBy("shape_id").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
     one = one.join(salts, "shape_id").withColumn("salt", F.pmod(F.xxhash64("sig"), C("salts")).cast("int"))
     points = feed.df("shapes").where(full(C("shape_id"))).select("shape_id", "_row", "shape_pt_sequence", "shape_pt_lat", "shape_pt_lon", "shape_dist_traveled")
-    points = points.join(salts, "shape_id").withColumn("salt", F.explode(F.sequence(F.lit(0), C("salts") - 1)))
+    calls = cut(one.select("shape_id", "salt", "trip_id", "trip_row", "route_type", "calls"))
+    spots = looked_up(spots_of(calls), segments(points)).withColumn("salt", F.explode("salts")).drop("salts", "spot")
+    points = points.join(salts, "shape_id").withColumn("salt", F.explode(F.sequence(F.lit(0), C("salts") - 1))).drop("salts")
+    points = points.withColumnsRenamed({"shape_pt_lat": "lat", "shape_pt_lon": "lon"})
+    rows = points.unionByName(spots, allowMissingColumns=True)
     importable(feed.spark)
-    calls = one.select("shape_id", "salt", "trip_id", "trip_row", "route_type", "calls")
-    found = points.groupBy("shape_id", "salt").cogroup(calls.groupBy("shape_id", "salt")).applyInArrow(_of_shape, FOUND)
+    found = rows.groupBy("shape_id", "salt").cogroup(calls.groupBy("shape_id", "salt")).applyInArrow(_of_shape, FOUND)
     # a stop is told to be too far once for a shape
     far = C("code").startswith("stop_too_far")
     first = F.row_number().over(Window.partitionBy("shape_id", "s").orderBy("trip_row", "at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..feed import Feed, RunOptions, note
@@ -12,6 +12,8 @@ from .stations import last_by
 from .transfers import located
 
 C = F.col
+#: Distance over which stops are far apart; room for rounding, in km.
+FAR_KM, ROUNDING = 10.0, 1e-6
 
 
 @rule("ShapeIncreasingDistanceValidator", needs="shapes")
@@ -52,6 +54,30 @@ def trip_and_shape(feed: Feed, options: RunOptions):
     ]
 
 
+def far_stops(legs: DataFrame) -> DataFrame:
+    """pattern, i1, i2, kph, dist, code: the first call of each pattern that is reached too fast from one over FAR_KM before it, and the last such one.
+
+    A speed over `top` means that distance less time at that speed is above 0, so an end can be judged by the least such value of all starts over FAR_KM before, a
+    window in order of distance: one for starts at whole minutes, whose time counts a minute more if the end's is whole too, and one for
+    all. What the sums' rounding leaves open, and the first sure end, are added up call by call from the end backwards."""
+    whole = lambda c: c % 60 == 0
+    speed = C("top") / 3600.0
+    before = "over (partition by pattern order by km range between unbounded preceding and 10.0 preceding)"
+    x = legs.withColumn("u", C("km") - speed * C("d")).withColumn("u_whole", F.when(whole(C("d")), C("u"))).withColumn("u_other", F.when(~whole(C("d")), C("u")))
+    x = x.withColumns({n: F.expr(f"min({n}) {before}") for n in ("u", "u_whole", "u_other")})
+    end = C("km") - speed * C("a")
+    over = F.greatest(end - F.when(whole(C("a")), C("u_other")).otherwise(C("u")), F.when(whole(C("a")), end - C("u_whole") - 60 * speed))
+    w = Window.partitionBy("pattern")
+    x = x.withColumn("over", over).withColumn("sure", F.min(F.when(C("over") > ROUNDING, C("i"))).over(w))
+    open_ = (C("over") > -ROUNDING) & (C("i") <= F.coalesce("sure", "i"))
+    x = x.withColumn("ends", F.collect_list(F.when(open_, F.struct("i", "a"))).over(w)).where("size(ends) > 0")
+    x = x.select("pattern", "i", "d", "leg", "top", F.explode("ends").alias("end")).where("i <= end.i")
+    back = Window.partitionBy("pattern", "end.i").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("dist", F.sum("leg").over(back)).withColumn("kph", speed_kph(C("dist"), C("d"), C("end.a"))).where((C("kph") > C("top")) & (C("dist") > FAR_KM))
+    x = x.groupBy("pattern").agg(F.min_by(F.struct(C("i").alias("i1"), C("end.i").alias("i2"), "kph", "dist"), F.struct(C("end.i"), -C("i"))).alias("x"))
+    return x.select("pattern", "x.*", F.lit("fast_travel_between_far_stops").alias("code"))
+
+
 @rule("StopTimeTravelSpeedValidator", needs="stop_times trips routes stops", gated="stop_times trips routes stops")
 def travel_speed(feed: Feed, options: RunOptions):
     routes = last_by(feed.df("routes"), "route_id", "route_type")
@@ -72,10 +98,7 @@ def travel_speed(feed: Feed, options: RunOptions):
     legs = legs.withColumn("km", F.sum("leg").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("top", max_speed(C("route_type"))).withColumn("pd", F.lag("d").over(w))
     near = legs.where("i > 0 and pd is not null and a is not null").withColumn("kph", speed_kph(C("leg"), C("pd"), C("a"))).where("kph > top")
     near = near.select("pattern", (C("i") - 1).alias("i1"), C("i").alias("i2"), "kph", C("leg").alias("dist"), F.lit("fast_travel_between_consecutive_stops").alias("code"))
-    a = legs.where("d is not null").select("pattern", C("i").alias("i1"), C("km").alias("km1"), C("d").alias("d1"))
-    b = legs.where("a is not null").select("pattern", C("i").alias("i2"), C("km").alias("km2"), C("a").alias("a2"), "top")
-    far = a.join(b, "pattern").where("i1 < i2 and km2 - km1 > 10").withColumn("dist", C("km2") - C("km1")).withColumn("kph", speed_kph(C("dist"), C("d1"), C("a2"))).where("kph > top")
-    far = far.groupBy("pattern").agg(F.min_by(F.struct("i1", "i2", "kph", "dist"), F.struct(C("i2"), -C("i1"))).alias("x")).select("pattern", "x.*", F.lit("fast_travel_between_far_stops").alias("code"))
+    far = far_stops(legs)
     rows = near.unionByName(far).join(sig.select("pattern", "trip_id", "route_id", "trip_row", "rows"), "pattern")
     known = stops.where("(la is null or abs(la) <= 90) and (lo is null or abs(lo) <= 180)")
     for k, t in ((1, "dep"), (2, "arr")):

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..feed import Feed, RunOptions, note
-from ..functions.checkpoint import cut
 from ..functions.exprs import blank, full
 from . import rule
+from .paths import reach
 
 C = F.col
 
@@ -124,17 +124,6 @@ def dangling(feed: Feed, options: RunOptions):
     return note(rows, "pathway_dangling_generic_node", "WARNING", "stops", {"stopId": C("stop_id"), "stopName": C("stop_name"), "parentStation": C("parent_station")})
 
 
-def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """id: all that seeds(id) lead to along edges(src, dst), themselves included. A join a step, until nothing is new."""
-    edges = cut(edges.distinct())
-    seen = frontier = cut(seeds.distinct())
-    while frontier.limit(1).count():
-        step = frontier.join(edges, C("id") == C("src")).select(C("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
-
-
 @rule("PathwayReachableLocationValidator", needs="pathways stops")
 def unreachable(feed: Feed, options: RunOptions):
     s = feed.df("stops").withColumn("k", kind())
@@ -143,8 +132,10 @@ def unreachable(feed: Feed, options: RunOptions):
     both = p.where("is_bidirectional = 1").select(C("to_stop_id").alias("src"), C("from_stop_id").alias("dst"))
     edges = ahead.unionByName(both)
     doors = s.where((C("k") == 2) & full(C("stop_id"))).select(C("stop_id").alias("id"))
-    entered = reach(doors, edges).withColumn("enter", F.lit(True))
-    leaving = reach(doors, edges.select(C("dst").alias("src"), C("src").alias("dst"))).withColumn("leave", F.lit(True))
+    # both searches in one: the way in along the edges, the way out against them
+    ways = edges.withColumn("way", F.lit("in")).unionByName(edges.select(C("dst").alias("src"), C("src").alias("dst"), F.lit("out").alias("way")))
+    found = reach(doors.withColumn("way", F.explode(F.array(F.lit("in"), F.lit("out")))), ways, "way")
+    found = found.groupBy("id").agg(F.max(C("way") == "in").alias("enter"), F.max(C("way") == "out").alias("leave"))
     # the station of a location: itself, its parent or its parent's parent
     up = last_by(s, "stop_id", "k", "parent_station")
     hop = lambda n: up.select(C("stop_id").alias(f"s{n}"), C("k").alias(f"k{n}"), C("parent_station").alias(f"p{n}"))
@@ -155,7 +146,7 @@ def unreachable(feed: Feed, options: RunOptions):
     childless = s.where("k = 0").join(children, C("stop_id") == C("id"), "left_anti")
     locations = s.where("k in (3, 4)").unionByName(childless)
     rows = locations.join(home, C("stop_id") == C("id")).drop("id").join(with_paths, "station", "left_semi")
-    rows = rows.join(entered, C("stop_id") == entered["id"], "left").drop("id").join(leaving, C("stop_id") == leaving["id"], "left").drop("id")
+    rows = rows.join(found, C("stop_id") == C("id"), "left").drop("id")
     rows = rows.withColumn("enter", F.coalesce("enter", F.lit(False))).withColumn("leave", F.coalesce("leave", F.lit(False))).where("not (enter and leave)")
     context = {"stopId": C("stop_id"), "stopName": C("stop_name"), "locationType": C("k"), "parentStation": C("parent_station"), "hasEntrance": C("enter"), "hasExit": C("leave")}
     return note(rows, "pathway_unreachable_location", "ERROR", "stops", context)
