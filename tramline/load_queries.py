@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .feed import NOTICE, RunOptions
 from .model import TABLES, file_of
 from .sources.feed import CURRENCY_CODES, cell_notices, header_notices, typed
@@ -35,7 +36,8 @@ RAW = {
         stop_name="CASE CAST(p_partkey % 11 AS INT) " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(NAMES)) + " END",
         stop_lat=cases(P, "'40.5'", "'95.0'", "'abc'", "''", "'-90'", "' 12 '", "'1e2'", "'12,5'"), stop_lon=cases(P, "'-74.25'", "'180.5'", "'x1'", "'-180'"),
         location_type=cases(P, "'0'", "'9'", "'x'", "''", "'1.5'", "'-1'", "' 4 '"), stop_timezone=cases(P, "''", "'Mars/Olympus'", "'Europe/Paris'", "'UTC'", "'europe/paris'"),
-        stop_url=cases(P, "'http://e.example.com/a'", "'not a url'", "'example.com'", "'ftp://f.example.com'", "''", "'http:'", "'://x'"), stop_phone=cases(P, "''", "'call me'", "'+1 555 0100'", "'1'", "'(0) 12-34.5'")),
+        stop_url=cases(P, "'http://e.example.com/a'", "'not a url'", "'example.com'", "'ftp://f.example.com'", "''", "'http:'", "'://x'", "'https://u:p@e.example.com:8080/x'", "'http://e.example.com:65536'", "'http://192.168.0.1/'", "'http://300.1.1.1'", "'http://[2001:db8::1]:80/'", "'http://[1::2::3]/'",
+            "'http://e%2Eexample.com'", "'http://e%2Fexample.com'", "'http://e%zz.com'", "'http://e x.com'", "'mailto:a@b'", "'tel:+1 555'", "'http:e.example.com?a b'", "'foo://a<b/'", "'http://@/'", "'http://e.example.com/a b|c'", "'http://[::ffff:1.2.3.4]'", "'http://[::1'"), stop_phone=cases(P, "''", "'call me'", "'+1 555 0100'", "'1'", "'(0) 12-34.5'")),
     "agency": table(N, "nation", "CAST(NULL AS INT)", agency_id=f"'A' || {N}", agency_name=cases(N, "n_name", "''"), agency_url=cases(N, "'https://e.example.com'", "'www'"),
         agency_timezone=cases(N, "'America/New_York'", "''", "'Nowhere'"), agency_lang=cases(N, "'en'", "'english!'", "'e'", "'pt-BR'", "'zh-Hant-TW'"),
         agency_email=cases(N, "'a@b.example.com'", "'a@b'", "'ab.example.com'", "'a b@c.example.com'", "'a@@b.example.com'", "'a@.example.com'", "'a@b.example.'")),
@@ -119,8 +121,8 @@ cell("invalid_timezone", {"stops.stop_timezone": there("{v} NOT IN ('Europe/Pari
 cell("invalid_language_code", {"agency.agency_lang": there("NOT (length(split_part({v}, '-', 1)) BETWEEN 2 AND 3 AND regexp_full_match({v}, '[A-Za-z0-9-]+') AND NOT regexp_matches(split_part({v}, '-', 1), '[0-9]'))")})
 cell("invalid_currency", {"fare_products.currency": there("{v} NOT IN (" + ", ".join(f"'{c}'" for c in CURRENCY_CODES) + ")")})
 cell("invalid_currency_amount", {"fare_products.amount": FLOAT + " AND currency IN ('USD', 'EUR', 'JPY', 'BHD') AND length(split_part({v}, '.', 2)) <> CASE currency WHEN 'JPY' THEN 0 WHEN 'BHD' THEN 3 ELSE 2 END"})
-_scheme = there("NOT (strpos({v}, ':') > 1 AND length({v}) > strpos({v}, ':') AND regexp_full_match(split_part({v}, ':', 1), '[A-Za-z]+'))")
-cell("invalid_url", {"stops.stop_url": _scheme, "agency.agency_url": _scheme})
+_no_url = there("NOT " + oracles.url("{v}").replace("{", "{{").replace("}", "}}").replace("{{v}}", "{v}"))
+cell("invalid_url", {"stops.stop_url": _no_url, "agency.agency_url": _no_url})
 _domain = "split_part({v}, '@', 2)"
 cell("invalid_email", {"agency.agency_email": there(f"NOT (len(string_split({{v}}, '@')) = 2 AND NOT contains({{v}}, ' ') AND contains({_domain}, '.') AND {_domain}[1] <> '.' AND {_domain}[-1] <> '.')")})
 cell("invalid_phone_number", {"stops.stop_phone": there("(ltrim({v}, '0123456789+-(). ') <> '' OR len(list_filter(string_split({v}, ''), lambda x: x BETWEEN '0' AND '9')) < 2)")})

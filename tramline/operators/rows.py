@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..feed import Feed, RunOptions, note
 from ..functions.exprs import blank, clock, full, luma
+from ..functions.urls import valid_url
 from . import rule
 
 C = F.col
@@ -329,9 +330,10 @@ def url_syntax(feed: Feed, options: RunOptions):
         for f in names:
             if feed.has(table):
                 value = F.trim(f)
-                good = value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (~value.rlike("^(?i:https?|ftp|wss?):") | value.rlike(r"^(?i:https?|ftp|wss?):[/\\]*[^\s/?#\\<>^|%]+([/?#\\:]|$)"))
-                fix = F.when(value.rlike(r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+([/?#].*)?$"), F.concat(F.lit("https://"), value))
-                out.append(note(feed.df(table).where(full(C(f)) & ~good), "u_r_i_syntax_error", "ERROR", table, {"fieldValue": C(f), "fix": fix}, at=f))
+                # what lacks a scheme alone
+                lacks = ~F.contains(value, F.lit("://")) & F.contains(value, F.lit(".")) & valid_url(F.concat(F.lit("https://"), value))
+                fix = F.when(lacks, F.concat(F.lit("https://"), value))
+                out.append(note(feed.df(table).where(full(C(f)) & ~valid_url(value)), "u_r_i_syntax_error", "ERROR", table, {"fieldValue": C(f), "fix": fix}, at=f))
     return out
 
 

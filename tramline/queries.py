@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import synth
+from . import oracles, synth
 from .operators import all_rules
 from .plans.runner import run_rule
 
@@ -221,14 +221,8 @@ add("rule_feed_expiration", "FeedExpirationDateValidator", "feedEndDate", row("f
 add("rule_feed_contact", "FeedContactValidator", "", row("missing_feed_contact_email_and_url", "feed_info", "feed_contact_email IS NULL"))
 add("rule_attribution_role", "AttributionWithoutRoleValidator", "attributionId", row("attribution_without_role", "attributions",
     "coalesce(is_producer, 0) <> 1 AND coalesce(is_operator, 0) <> 1", attributionId="attribution_id"))
-# a scheme, and for those of the web a host of characters that may stand in one
-_scheme, _host = "lower(split_part(trim({0}), ':', 1))", "regexp_extract(ltrim(substring(trim({0}), strpos(trim({0}), ':') + 1), '/\\'), '^[^/?#:\\\\]*')"
-_good = (
-    f"strpos(trim({{0}}), ':') > 1 AND {_scheme}[1] BETWEEN 'a' AND 'z' AND ltrim({_scheme}, 'abcdefghijklmnopqrstuvwxyz0123456789+.-') = '' "
-    f"AND ({_scheme} NOT IN ('http', 'https', 'ftp', 'ws', 'wss') OR {_host} <> '' AND len(list_filter(string_split({_host}, ''), lambda x: contains(' <>^|%', x))) = 0)"
-)
 _sites = {"agency_url": "agency", "stop_url": "stops", "route_url": "routes", "feed_publisher_url": "feed_info"}
-add("rule_url_syntax", "UrlSyntaxValidator", "", *[row("u_r_i_syntax_error", t, f"{f} IS NOT NULL AND NOT ({_good.format(f)})", f"'{f}'") for f, t in _sites.items()])
+add("rule_url_syntax", "UrlSyntaxValidator", "", *[row("u_r_i_syntax_error", t, f"{f} IS NOT NULL AND NOT {oracles.url(f'trim({f})')}", f"'{f}'") for f, t in _sites.items()])
 _b = "booking_rules"
 _arr = lambda names: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN prior_notice_{n} IS NOT NULL THEN 'prior_notice_{n}' END" for n in names.split()) + "], lambda x: x IS NOT NULL), ',')"
 add("rule_booking_rules", "BookingRulesEntityValidator", "fieldNames", *[row(code, _b, f"booking_type = {k} AND {_arr(n)} <> ''",

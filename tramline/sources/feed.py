@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..feed import NOTICE, Feed, RunOptions
 from ..functions import exprs
 from ..functions.checkpoint import cut
+from ..functions.urls import valid_url
 from ..functions.workers import importable
 from ..model import GEOJSON, REQUIRED_TABLES, SPARK_TYPE, TABLES, file_of
 from .geojson import read_locations
@@ -208,7 +209,7 @@ def _first(value: Column, field: str, kind: str, options: RunOptions) -> list[tu
     if field in CURRENCIES:
         return [(~value.isin(CURRENCY_CODES), "invalid_currency", "ERROR")]
     if field in URLS:
-        return [(~value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]"), "invalid_url", "ERROR")]
+        return [(~valid_url(value), "invalid_url", "ERROR")]
     if field in EMAILS:
         return [(~value.rlike(r"^[^@\s]+@[^@\s.]([^@\s]*\.[^@\s]*)?[^@\s.]$") | ~value.rlike(r"@[^@]*\."), "invalid_email", "ERROR")]
     if field in PHONES and options.country:
