@@ -12,81 +12,135 @@ sources have both. No list of all terms for all sources is built.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workers import importable
 from .common import new_folder, on_workers, partitions, pick, written
+from .near_dedup import _mixed
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LEAST, TOP, SCALE = 10, 10, 1_000_000_000
 #: The sketch: rows, and cells of a row for each document, a power of two between these; so it has 64 MB at most, and 8 MB as bits.
 DEPTH, CELLS, NARROW, WIDE = 4, 16, 1 << 16, 1 << 24
-#: Cells of a slice; salts of the first merge; terms that a task holds at once.
-SLICE, SALTS, HELD = 1 << 16, 16, 500_000
-#: Long texts are cut at a character that is in no term, so that one piece's terms are held at a time.
-PIECE = 1 << 20
+#: Cells of a slice; salts of the first merge; terms of a group that a task holds at once, bytes of text that it splits at once, and rows that it sends at once.
+SLICE, SALTS, HELD, PIECE, SENT = 1 << 16, 16, 300_000, 1 << 20, 50_000
+#: Bytes of terms (A-Z lower-cased, letters a-z and all beyond ASCII) and a blank for all others.
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """The texts of a batch in pieces of some PIECE bytes: the bytes with terms in lower case and all else blank, where each row ends, the first row, and whether
+    it goes on in the next piece. Only a text that is longer than a piece is cut, at a blank."""
+    texts = batch.column(2)
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
+        at, last = int(offsets[row]), int(offsets[end])
+        while at < last:
+            to = last
+            if end == row + 1 and last - at > PIECE:
+                to = at + PIECE
+                while to < last:  # to the next blank
+                    blank = np.flatnonzero(_FOLD[data[to : min(last, to + 4096)]] == 32)
+                    if len(blank):
+                        to += int(blank[0])
+                        break
+                    to = min(last, to + 4096)
+            yield _FOLD[data[at:to]], np.minimum(offsets[row : end + 1], to)[1:] - at, row, to < last
+            at = to
+        row = end
+
+
+def _terms_of(folded: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All terms in order, and the row of each."""
+    inside = folded != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    border = ends[:-1][ends[:-1] < len(folded)]
+    begins[border] = inside[border]  # texts stand side by side
+    at = np.flatnonzero(begins)
+    rows = np.searchsorted(ends, at, side="right")
+    letters = folded[inside]
+    starts = np.flatnonzero(begins[inside]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(starts, np.int32(len(letters)))), pa.py_buffer(letters)), rows
+
+
+def tallies(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.Table]:
+    """lang, source, term, n (occurrences), docs of batches(lang, source, text); put together within a task as long as they are `held` rows or fewer."""
+    groups: dict[tuple[str, str], int] = {}
+    parts: list[pa.Table] = []
+    rows = 0
+
+    def together() -> None:
+        nonlocal parts, rows
+        summed = pa.concat_tables(parts).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        parts, rows = [summed.rename_columns(["group", "term", "n", "docs"])], summed.num_rows
+
+    def named() -> pa.Table:
+        code = parts[0].column("group")
+        lang, source = (pa.array([g[k] for g in groups], pa.string()).take(code.combine_chunks()) for k in (0, 1))
+        return pa.table([lang, source, *parts[0].columns[1:]], names=["lang", "source", "term", "n", "docs"])
 
-Tally = dict[tuple[str, str], dict[str, list[int]]]
-
-
-def terms(text: str) -> Iterator[list[str]]:
-    """The terms of a text, in lists of bounded size."""
-    at = 0
-    while at < len(text):
-        end = at + PIECE
-        if rest := TERM.match(text, end):
-            end = rest.end()
-        yield TERM.findall(text[at:end].encode().lower().decode())  # of bytes, A-Z alone are lower-cased
-        at = end
-
-
-def tallies(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[Tally]:
-    """Occurrences and documents of each term by (lang, source), put together within a task as long as they are `held` terms or fewer."""
-    found: Tally = defaultdict(dict)
-    n = 0
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            own: Counter[str] = Counter()
-            for some in terms(text.as_py() or ""):
-                own.update(some)
-            group = found[lang.as_py() or "", source.as_py() or ""]
-            before = len(group)
-            for term, count in own.items():
-                if have := group.get(term):
-                    have[0] += count
-                    have[1] += 1
-                else:
-                    group[term] = [count, 1]
-            n += len(group) - before
-            if n > held:
-                yield found
-                found, n = defaultdict(dict), 0
-    yield found
-
-
-def cells(lang: str, names: list[str], width: int) -> np.ndarray:
-    """The cell of each term in each row of the sketch, DEPTH x terms: two halves of a 128-bit hash, combined."""
-    seed = xxhash.xxh64_intdigest(lang.encode())
-    both = np.array([divmod(xxhash.xxh3_128_intdigest(t.encode(), seed), 1 << 64) for t in names], np.uint64).reshape(-1, 2)
+        group = np.array([groups.setdefault(x, len(groups)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+        open_: pa.Array | None = None  # terms of a text that has been cut, so far
+        for folded, ends, first, goes_on in _pieces(batch):
+            found, of = _terms_of(folded, ends)
+            coded = found.dictionary_encode()
+            codes, words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            if not words:
+                open_ = open_ if goes_on else None
+                continue
+            keys, counts = np.unique(of * words + codes, return_counts=True)
+            of, codes = np.divmod(keys, words)
+            docs = np.ones(len(keys), np.int64)
+            if open_ is not None:  # a document counts once for a term
+                docs[of == 0] = ~pc.is_in(coded.dictionary.take(pa.array(codes[of == 0])), value_set=open_).to_numpy(zero_copy_only=False)
+            if goes_on:
+                mine = coded.dictionary.take(pa.array(codes[of == of.max()]))
+                open_ = mine if open_ is None else pa.concat_arrays([open_, mine]).unique()
+            else:
+                open_ = None
+            short = pa.table({"key": group[first + of] * words + codes, "n": counts, "docs": docs}).group_by("key", use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+            which, codes = np.divmod(short.column("key").to_numpy(), words)
+            parts.append(pa.table({"group": which.astype(np.int32), "term": coded.dictionary.take(pa.array(codes)), "n": short.column("n_sum"), "docs": short.column("docs_sum")}))
+            rows += len(codes)
+            if rows > 2 * held:
+                together()
+                if rows > held:
+                    yield named()
+                    parts, rows = [], 0
+    if parts:
+        together()
+        yield named()
+
+
+def cells(lang: pa.Array, names: pa.Array, width: int) -> np.ndarray:
+    """The cell of each term of a language in each row of the sketch, DEPTH x terms: a hash and one made of it, combined."""
+    code = lang.dictionary_encode()
+    seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in code.dictionary.to_pylist()], np.uint64)
+    term = np.fromiter(map(xxhash.xxh64_intdigest, names.cast(pa.binary()).to_pylist()), np.uint64, len(names))
+    first = _mixed(term ^ seeds[code.indices.to_numpy()])
+    step = _mixed(first) | np.uint64(1)
     with np.errstate(over="ignore"):
-        mixed = both[:, 0] + np.arange(DEPTH, dtype=np.uint64)[:, None] * (both[:, 1] | np.uint64(1))
-    return ((mixed >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
+        mixed = first + np.arange(DEPTH, dtype=np.uint64)[:, None] * step
+    return ((mixed >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
 
 
 def add(sketch: np.ndarray, at: np.ndarray, docs: np.ndarray, least: int) -> None:
-    """Add document frequencies to one row's cells, which stop at `least`."""
+    """Add document frequencies to one row's cells, which stop at `least`: none is below a term's frequency or `least`."""
     where, which = np.unique(at, return_inverse=True)
-    sums = np.bincount(which, docs).astype(np.int64)
-    sketch[where] = np.minimum(sketch[where] + sums, least)
+    sketch[where] = np.minimum(sketch[where] + np.bincount(which, docs).astype(np.int64), least)
 
 
 def sketch_slices(texts: DataFrame, width: int, least: int) -> DataFrame:
@@ -94,15 +148,11 @@ def sketch_slices(texts: DataFrame, width: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, salt = np.zeros((DEPTH, width), np.uint8), None
-        for found in tallies(batches):
-            by_lang: dict[str, Counter[str]] = defaultdict(Counter)
-            for (lang, _), group in found.items():
-                by_lang[lang].update({t: n for t, (_, n) in group.items()})
-            for lang, freq in by_lang.items():
-                at, docs = cells(lang, list(freq), width), np.minimum(np.fromiter(freq.values(), np.int64, len(freq)), least)
-                salt = int(at[0, 0]) % SALTS if len(freq) and salt is None else salt
-                for row in range(DEPTH):
-                    add(sketch[row], at[row], docs, least)
+        for found in (b for table in tallies(batches) for b in table.to_batches(max_chunksize=SENT)):
+            at, docs = cells(found.column("lang"), found.column("term"), width), np.minimum(found.column("docs").to_numpy(), least)
+            salt = int(at[0, 0]) % SALTS if salt is None else salt
+            for row in range(DEPTH):
+                add(sketch[row], at[row], docs, least)
         flat = sketch.reshape(-1, SLICE)
         some = np.flatnonzero(flat.any(axis=1)).tolist()
         packed = [zlib.compress(flat[k].tobytes(), 1) for k in some]
@@ -111,8 +161,8 @@ def sketch_slices(texts: DataFrame, width: int, least: int) -> DataFrame:
     return on_workers(texts, run, "slice int, salt int, cells binary")
 
 
-def merged(slices: DataFrame, least: int) -> DataFrame:
-    """Slices added up within each partition, a sketch of bounded size at most."""
+def merged(slices: DataFrame, least: int, bits: bool = False) -> DataFrame:
+    """Slices added up within each partition, a sketch of bounded size at most. bits: then a bit tells for each cell whether it has reached `least`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -122,7 +172,7 @@ def merged(slices: DataFrame, least: int) -> DataFrame:
                 have = sums.get((k, salt))
                 sums[k, salt] = one if have is None else np.minimum(have + one, least)  # two cells of `least` are far below 256
         keys = list(sums)
-        packed = [zlib.compress(sums[k].tobytes(), 1) for k in keys]
+        packed = [np.packbits(sums[k] >= least).tobytes() if bits else zlib.compress(sums[k].tobytes(), 1) for k in keys]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([s for _, s in keys], pa.int32()), pa.array(packed, pa.binary())], names=["slice", "salt", "cells"])
 
     return on_workers(slices, run, "slice int, salt int, cells binary")
@@ -132,16 +182,11 @@ def possible(texts: DataFrame, width: int, least: int) -> np.ndarray:
     """Bits of the merged sketch, DEPTH x width / 8: whether a cell has reached `least`. Their number is the sketch's, whatever the corpus."""
     n = partitions(texts.sparkSession)
     once = merged(sketch_slices(texts, width, least).repartition(n, "slice", "salt"), least)
-    twice = merged(once.withColumn("salt", F.lit(0)).repartition(n, "slice"), least)
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.packbits(np.frombuffer(zlib.decompress(c.as_py()), np.uint8) >= least).tobytes() for c in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["slice", "salt", "bits"])
-
+    # one operator with Python workers in a stage, so that no second set of them takes memory
+    twice = merged(once.withColumn("salt", F.lit(0)).repartition(n, "slice"), least, bits=True)
     bits = np.zeros((DEPTH * width // SLICE, SLICE // 8), np.uint8)
-    for row in on_workers(twice, full, "slice int, salt int, bits binary").collect():
-        bits[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)
+    for row in twice.collect():
+        bits[row["slice"]] |= np.frombuffer(row["cells"], np.uint8)
     return bits.reshape(DEPTH, width // 8)
 
 
@@ -153,19 +198,12 @@ def term_counts(texts: DataFrame, width: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for found in tallies(batches):
-            for (lang, source), group in found.items():
-                names = list(group)
-                if not names:
-                    continue
-                at = cells(lang, names, width)
-                on = np.ones(len(names), bool)
-                for row in range(DEPTH):
-                    on &= (bits[row][at[row] >> 3] << (at[row] & 7).astype(np.uint8) & 128) > 0
-                kept = [names[i] for i in np.flatnonzero(on).tolist()]
-                columns = [pa.array([lang] * len(kept), pa.string()), pa.array([source] * len(kept), pa.string()), pa.array(kept, pa.string())]
-                columns += [pa.array([group[t][k] for t in kept], pa.int64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+        for found in (b for table in tallies(batches) for b in table.to_batches(max_chunksize=SENT)):
+            at = cells(found.column("lang"), found.column("term"), width)
+            on = np.ones(found.num_rows, bool)
+            for row in range(DEPTH):
+                on &= (bits[row][at[row] >> 3] << (at[row] & 7).astype(np.uint8) & 128) > 0
+            yield found.filter(pa.array(on))
 
     counted = on_workers(texts, run, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
