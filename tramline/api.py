@@ -7,13 +7,13 @@ import concurrent.futures
 import datetime as dt
 import json
 import os
-import tempfile
 import time
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,7 +126,7 @@ def validate(
     timing: bool = False,
     storage: str | None = None,
 ) -> ValidationResult:
-    """Read a feed (folder, zip, its bytes, or a URL, downloaded into `storage`) and run the rules. timing: rule by rule, which takes longer."""
+    """Read a feed (folder, zip, its bytes, or a URL, downloaded into `storage`, which executors must see, or the shared folder) and run the rules. timing: rule by rule, which takes longer."""
     spark = spark or SparkSession.builder.getOrCreate()
     options = RunOptions(*([date] if date else []), **{"country": country_code, "google": google, "thorough": thorough})
     began, tell = time.perf_counter(), on_progress or (lambda what: None)
@@ -140,9 +140,9 @@ def validate(
     tell("loading")
     try:
         if isinstance(source, str) and source.startswith(("http://", "https://")):
-            source = fetch(source, storage or tempfile.mkdtemp(prefix="tramline-"))
+            source = fetch(spark, source, storage)
         feed = read_feed(spark, source, options)
-    except (OSError, zipfile.BadZipFile) as error:
+    except (OSError, zipfile.BadZipFile, AnalysisException) as error:
         failed = Notice("i_o_error", "ERROR", None, None, None, {"exception": type(error).__name__, "message": str(error)[:500]})
         about = {"validationDate": options.date.isoformat()}
         return ValidationResult(spark.createDataFrame([], NOTICE), about, time.perf_counter() - began, [failed], timings)

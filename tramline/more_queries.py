@@ -17,7 +17,8 @@ from .functions.checkpoint import shared_dir
 from .operators import all_rules, index
 from .plans.runner import run_rule
 from .sources import report
-from .sources.feed import read_feed
+from .sources.feed import local, read_feed
+from .sources.table import read_table
 from .streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,7 +65,7 @@ def _put(spark: SparkSession, path: str, content: bytes) -> str:
 def _folder(spark: SparkSession, text: str) -> str:
     folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
     folder = _put(spark, f"{folder}/agency.txt", text.encode()).rpartition("/")[0]
-    return folder if "://" in folder else re.sub("^file:/+", "/", folder)
+    return local(folder)
 
 
 def _zip(spark: SparkSession, text: str) -> str:
@@ -78,6 +79,58 @@ for _name, _source in (("source_directory", _folder), ("source_zip", _zip), ("so
         SELECT CAST(2 + coalesce(sum(lines) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _row, agency_id, agency_name, agency_url FROM l"""
 
 
+# sources that executors write: stops.txt of a row for each part, read in many small splits
+STOPS = """SELECT p_partkey AS k, 'S' || CAST(p_partkey AS STRING) AS stop_id, p_name || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || 'Level "' || CAST(p_size AS STRING) || '"' WHEN p_partkey % 7 = 0 THEN ', Gate' ELSE '' END AS stop_name,
+    CAST(CAST(40 + p_partkey % 1000 * 0.01 AS DECIMAL(9, 2)) AS STRING) AS stop_lat, CAST(CAST(-74 + p_size * 0.02 AS DECIMAL(9, 2)) AS STRING) AS stop_lon FROM {part}"""
+SPLIT_BYTES = 16_384
+
+
+def _stops_txt(spark: SparkSession, sf_dir: str, plain: bool) -> str:
+    """A folder with stops.txt, in order of keys, written by a task as one file, as feeds have it; plain: without line ends within cells."""
+    rows = spark.sql(STOPS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    name = F.replace("stop_name", F.lit("\n"), F.lit(" ")) if plain else F.col("stop_name")
+    line = F.concat_ws(",", "stop_id", F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')), "stop_lat", "stop_lon")
+    text = rows.select("k", line.alias("value")).unionByName(spark.createDataFrame([(-1, "stop_id,stop_name,stop_lat,stop_lon")], "k long, value string"))
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    text.repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(f"{folder}-parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    (part,) = [x.getPath() for x in fs.listStatus(path(f"{folder}-parts")) if x.getPath().getName().startswith("part-")]
+    fs.rename(part, path(f"{folder}/stops.txt"))
+    return local(folder)
+
+
+def source_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stops.txt, whose records span lines, read by read_feed() in splits of 16 KB."""
+    folder, conf = _stops_txt(spark, sf_dir, plain=False), spark.conf
+    old = {k: conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+        conf.set("spark.sql.files.openCostInBytes", "1")
+        feed = read_feed(spark, folder, RunOptions())  # records are stored here
+    finally:
+        for k, v in old.items():
+            conf.set(k, v)
+    return feed.df("stops").select("_row", "stop_id", "stop_name", "stop_lat", "stop_lon")
+
+
+def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns of stops.txt by the Spark source, in ranges of 16 KB."""
+    return read_table(spark, _stops_txt(spark, sf_dir, plain=True), "stops", ["stop_id", "stop_name", "stop_lat"], splitbytes=str(SPLIT_BYTES)).withColumnRenamed("_row", "at_byte")
+
+
+_stops = STOPS.replace("{part}", "part")
+QUERIES |= {"source_splits": source_splits, "source_table": source_table}
+ORACLE_SQL["source_splits"] = f"""
+    WITH s AS ({_stops}), l AS (SELECT *, CASE WHEN contains(stop_name, chr(10)) THEN 2 ELSE 1 END AS lines FROM s)
+    SELECT CAST(2 + coalesce(sum(lines) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _row, stop_id, stop_name, CAST(stop_lat AS DOUBLE) AS stop_lat, CAST(stop_lon AS DOUBLE) AS stop_lon FROM l"""
+ORACLE_SQL["source_table"] = f"""
+    WITH s AS ({_stops}), p AS (SELECT k, stop_id, replace(stop_name, chr(10), ' ') AS stop_name, stop_lat, stop_lon FROM s),
+    l AS (SELECT *, strlen(stop_id || ',"' || replace(stop_name, '"', '""') || '",' || stop_lat || ',' || stop_lon) + 1 AS bytes FROM p)
+    SELECT CAST(strlen('stop_id,stop_name,stop_lat,stop_lon') + 1 + coalesce(sum(bytes) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_byte, stop_id, stop_name, CAST(stop_lat AS DOUBLE) AS stop_lat FROM l"""
+
+
 def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the reader says about the files of a feed that has one known file, and a stray one."""
     found = read_feed(spark, _bytes(spark, _agency_csv(spark, sf_dir)), RunOptions()).notices

@@ -9,25 +9,29 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import os
+import re
 import urllib.request
+import uuid
 import zipfile
 import zoneinfo
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..feed import NOTICE, Feed, RunOptions
 from ..functions import exprs
-from ..functions.checkpoint import cut
+from ..functions.checkpoint import cut, shared_dir
 from ..functions.urls import valid_url
 from ..functions.workers import importable
 from ..model import GEOJSON, REQUIRED_TABLES, SPARK_TYPE, TABLES, file_of
 from .geojson import read_locations
-from .lines import records_of
+from .lines import records_of, stored
 
 C = F.col
 # Fields by kind of check.
@@ -60,6 +64,14 @@ CURRENCY_CODES = (
 ).split()
 
 
+def opened(source: str):
+    """A file to read from anywhere in it: a local path, or a URI of a store, by Arrow's file systems."""
+    if "://" not in source:
+        return open(source, "rb")  # noqa: SIM115
+    store, path = pa_fs.FileSystem.from_uri(source)
+    return store.open_input_file(path)
+
+
 class Files:
     """Names and bytes of a feed: a folder, a zip, or bytes of one. Names match by case first, then without."""
 
@@ -68,7 +80,7 @@ class Files:
         if isinstance(source, bytes):
             self.zip: zipfile.ZipFile | None = zipfile.ZipFile(io.BytesIO(source))
         else:
-            self.zip = None if os.path.isdir(source) else zipfile.ZipFile(source)
+            self.zip = None if os.path.isdir(source) else zipfile.ZipFile(opened(source))
         every = self.zip.namelist() if self.zip else os.listdir(source)
         self.nested = [n for n in every if self.zip and "/" in n.strip("/") and n.rpartition("/")[2].lower() in KNOWN]
         self.names = sorted(n for n in every if "/" not in n) if self.zip else sorted(n for n in every if os.path.isfile(os.path.join(source, n)))
@@ -78,20 +90,17 @@ class Files:
             return name
         return min((n for n in self.names if n.lower() == name), key=str.lower, default=None)
 
+    def stream(self, name: str) -> io.BufferedIOBase:
+        return self.zip.open(name) if self.zip else open(os.path.join(self.source, name), "rb")  # noqa: SIM115
+
     def read(self, name: str) -> bytes:
-        if self.zip:
-            return self.zip.read(name)
-        with open(os.path.join(self.source, name), "rb") as f:
+        with self.stream(name) as f:
             return f.read()
 
     def head(self, name: str, most: int = 1 << 20) -> bytes:
         """The beginning of a file, up to the end of a line: enough for its header."""
-        if self.zip:
-            with self.zip.open(name) as f:
-                raw = f.read(most)
-        else:
-            with open(os.path.join(self.source, name), "rb") as f:
-                raw = f.read(most)
+        with self.stream(name) as f:
+            raw = f.read(most)
         return raw if len(raw) < most else raw[: raw.rfind(b"\n") + 1]
 
 
@@ -121,18 +130,28 @@ class SharedFolder:
 KNOWN = {file_of(t) for t in TABLES} | {GEOJSON}
 
 
-def fetch(url: str, folder: str) -> str:
-    """Download a zip into folder; returns its path."""
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, url.rpartition("/")[2] or "feed.zip")
-    urllib.request.urlretrieve(url, path)  # noqa: S310
-    return path
+def fetch(spark: SparkSession, url: str, folder: str | None = None) -> str:
+    """Download a zip into a folder that executors see too, the shared one by default, in pieces; returns its path or URI."""
+    jvm = spark._jvm
+    path = f"{(folder or shared_dir(spark)).rstrip('/')}/{uuid.uuid4().hex}-{re.sub('[^A-Za-z0-9._-]', '_', url.rpartition('/')[2]) or 'feed.zip'}"
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    with urllib.request.urlopen(url) as got:  # noqa: S310
+        out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+        while piece := got.read(1 << 22):
+            out.write(bytearray(piece))
+        out.close()
+    return local(path)
+
+
+def local(uri: str) -> str:
+    """A URI of the local file system as a path; others as they are."""
+    return re.sub("^file:/+", "/", uri)
 
 
-def records(raw: bytes) -> Iterator[tuple[int, list[str]]]:
-    """Line (from 1) and cells of each record. A byte-order mark goes; bytes that are no UTF-8 become U+FFFD; blank lines give no cells."""
-    text = raw.decode("utf-8-sig", "replace")
-    reader = csv.reader(io.StringIO(text, newline=""))
+def records(raw: bytes | io.BufferedIOBase) -> Iterator[tuple[int, list[str]]]:
+    """Line (from 1) and cells of each record, of bytes or, a buffer at a time, of a stream. A byte-order mark goes; bytes that are no UTF-8 become U+FFFD; blank
+    lines give no cells."""
+    reader = csv.reader(io.TextIOWrapper(io.BytesIO(raw) if isinstance(raw, bytes) else raw, "utf-8-sig", "replace", newline=""))
     line = 1
     for cells in reader:
         yield line, cells
@@ -140,23 +159,16 @@ def records(raw: bytes) -> Iterator[tuple[int, list[str]]]:
 
 
 def _cells(spark: SparkSession, files: list[tuple[str, str | None, str, bytes | None]]) -> DataFrame:
-    """file, line, cells: records of all files(file, source, member, raw) but their headers. Tasks read the source themselves, unless raw is given."""
+    """file, line, cells: records of all files(file, source, member, raw) but their headers. Tasks read the source themselves, unless raw is given; a member of a zip is
+    unpacked as it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, source, member, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = Files(source).read(member) if raw is None else raw
-                lines: list[int] = []
-                rows: list[list[str]] = []
-                body = records(raw)
+                body = records(Files(source).stream(member) if raw is None else raw)
                 next(body, None)
-                for line, cells in body:
-                    lines.append(line)
-                    rows.append(cells)
-                    if len(rows) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(lines, pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["file", "line", "cells"])
-                        lines, rows = [], []
-                if rows:
+                while some := list(itertools.islice(body, 20_000)):
+                    lines, rows = zip(*some, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(lines, pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["file", "line", "cells"])
 
     importable(spark)
@@ -299,7 +311,8 @@ def typed(raw: DataFrame, table: str, header: list[str]) -> DataFrame:
 def read_feed(spark: SparkSession, source: str | bytes, options: RunOptions | None = None) -> Feed:
     """A feed from a folder, a zip, a URL's download or bytes, with its notices and the tables that had errors."""
     options = options or RunOptions()
-    uri = source if isinstance(source, str) and "://" in source else None
+    zip_uri = isinstance(source, str) and "://" in source and source.lower().endswith(".zip")
+    uri = source if isinstance(source, str) and "://" in source and not zip_uri else None
     files = SharedFolder(spark, uri) if uri else Files(source)
     notices: list[tuple] = [("unknown_file", "INFO", n, None, None, {"filename": n}) for n in files.names if n.lower() not in KNOWN and n != ".DS_Store"]
     if files.nested and not any(n.lower() in KNOWN for n in files.names):
@@ -318,11 +331,11 @@ def read_feed(spark: SparkSession, source: str | bytes, options: RunOptions | No
             notices.append(("empty_file", "ERROR", file_of(table), None, None, {"filename": file_of(table)}))
             continue
         notices += header_notices(table, headers[table], options)
-        raw_files.append((table, None, name, files.read(name)) if isinstance(source, bytes) else (table, uri or os.path.abspath(source), name, None))
+        raw_files.append((table, None, name, files.read(name)) if isinstance(source, bytes) else (table, source if uri or zip_uri else os.path.abspath(source), name, None))
     if not raw_files:
         cells = None
     elif files.zip:
-        cells = cut(_cells(spark, raw_files))
+        cells = stored(_cells(spark, raw_files))
     else:
         cells = records_of(spark, {table: f"{at if uri else 'file://' + at}/{name}" for table, at, name, _ in raw_files})
     lacking = {n[2] for n in notices if n[0] in ("missing_required_column", "duplicated_column")}

@@ -2,22 +2,25 @@
 
 A split is a block of a file. A first pass tells for each block its number of lines and whether it ends within quotes, if it begins outside and if
 it begins inside. Of these (a row per block) the driver makes the number of each block's first line and whether it begins within quotes.
-With that, a second pass parses the records that lie in a block, and gives the pieces of those that don't, which are then put together
-by the block in which they begin.
+With that, sent to each executor once, a second pass parses the records that lie in a block, and gives the pieces of those that don't, which are then put
+together by the block in which they begin. Records are kept in a store in the shared folder, as Parquet in a folder for each file, so what reads one
+file's records opens no other's.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.checkpoint import cut
+from ..functions.checkpoint import shared_dir
 from ..functions.workers import importable
 
 csv.field_size_limit(sys.maxsize)
@@ -72,12 +75,24 @@ def blocks_of(lines: DataFrame) -> list[tuple[str, int, int, bool, bool, bool]]:
     return sorted(tuple(r) for r in lines.mapInArrow(run, "file string, block long, n long, out boolean, in boolean, closes boolean").collect())
 
 
+def literal(path: str) -> str:
+    """A path whose characters stand for themselves where Spark takes a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def stored(records: DataFrame) -> DataFrame:
+    """records(file, ...) written to the shared folder, a folder for each file, and read again: a filter by file opens its folder alone."""
+    folder = f"{shared_dir(records.sparkSession)}/records-{uuid.uuid4().hex}"
+    records.write.partitionBy("file").parquet(folder)
+    return records.sparkSession.read.schema(records.schema).parquet(folder)
+
+
 def records_of(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """file, line, cells of all records of the files at paths but their first, by the names given to the files."""
     importable(spark)
     names = {p.rpartition("/")[2]: n for n, p in paths.items()}
     named = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    lines = spark.read.text(list(paths.values())).select(named[F.col("_metadata.file_name")].alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
+    lines = spark.read.text([literal(p) for p in paths.values()]).select(named[F.col("_metadata.file_name")].alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
     begins: dict[Block, tuple[int, bool, int]] = {}  # first line, whether it is within quotes, and the block in which its first record begins
     last, line, inside, head, torn = None, 1, False, 0, False
     for file, block, n, out, within, closes in blocks_of(lines):
@@ -90,7 +105,10 @@ def records_of(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             head = block
         line, inside = line + n, ends
 
+    sent = spark.sparkContext.broadcast(begins)  # a row for each 128 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = sent.value
         out: list[tuple] = []
         now: Block | None = None
         line, inside, head, first, torn = 1, False, 0, 1, False
@@ -131,7 +149,7 @@ def records_of(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         piece()
         yield made()
 
-    every = cut(lines.mapInArrow(run, "file string, line long, cells array<string>, piece binary, head long, block long"))
+    every = stored(lines.mapInArrow(run, "file string, line long, cells array<string>, piece binary, head long, block long"))
     whole = every.where("piece is null").select("file", "line", "cells")
     if torn or inside:
         whole = whole.unionByName(every.where("piece is not null").groupBy("file", "head").applyInArrow(_joined, "file string, line long, cells array<string>"))
