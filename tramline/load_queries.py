@@ -14,7 +14,7 @@ from . import oracles
 from .feed import NOTICE, RunOptions
 from .model import TABLES, file_of
 from .sources.feed import CURRENCY_CODES, cell_notices, header_notices, typed
-from .sources.geojson import read_locations
+from .sources.geojson import places_of
 
 OPTIONS = RunOptions(country="US", thorough=True)
 
@@ -181,18 +181,18 @@ FEATURES = """SELECT CAST(n_nationkey AS INT) AS i, CASE WHEN n_nationkey % 11 =
 
 
 def locations_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices of a places file. It is one document, read whole by the driver, as such files are."""
-    rows = spark.sql(FEATURES, nation=spark.read.parquet(f"{sf_dir}/nation.parquet")).orderBy("i").collect()
-    features = []
-    for r in rows:
-        a, b, c, d = ([r["x"] + dx, r["y"] + dy] for dx, dy in ((0, 0), (0.5, 0), (0.5, 1), (0, 1)))
-        ring = {"open": [a, b, c, d], "crossed": [a, c, b, d, a], "box": [a, b, c, d, a]}[r["ring"]]
-        one = {"type": "Feature", "properties": {}, "geometry": {"type": r["kind"], "coordinates": [ring] if r["kind"] == "Polygon" else a}}
-        features.append(one | ({"id": r["id"]} if r["id"] else {}) | ({"odd": 1} if r["odd"] else {}))
-    import json
-
-    _, found, _ = read_locations(json.dumps({"type": "FeatureCollection", "features": features}).encode(), OPTIONS)
-    return spark.createDataFrame(found, NOTICE).select("code", "severity", F.coalesce(F.col("context")["featureIndex"], F.col("context")["secondIndex"]).alias("featureIndex"))
+    """Notices of a places file, put together by tasks as one document, as such files are."""
+    rows = spark.sql(FEATURES, nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    corner = [F.array(F.col("x") + dx, F.col("y") + dy) for dx, dy in ((0.0, 0.0), (0.5, 0.0), (0.5, 1.0), (0.0, 1.0))]
+    a, b, c, d = corner
+    ring = F.when(F.col("ring") == "open", F.array(*corner)).when(F.col("ring") == "crossed", F.array(a, c, b, d, a)).otherwise(F.array(*corner, a))
+    coordinates = F.when(F.col("kind") == "Polygon", F.to_json(F.array(ring))).otherwise(F.to_json(a))
+    own = [F.concat(F.lit('"id":"'), "id", F.lit('",')), F.when(F.col("odd"), F.lit('"odd":1,'))]
+    feature = F.concat(F.lit('{"type":"Feature","properties":{},'), *[F.coalesce(x, F.lit("")) for x in own], F.lit('"geometry":{"type":"'), "kind", F.lit('","coordinates":'), coordinates, F.lit("}}"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", feature.alias("f")))), lambda x: x["f"]), ",")
+    document = rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), listed, F.lit("]}")).alias("value"))
+    _, found = places_of(document, OPTIONS)
+    return found.select("code", "severity", F.coalesce(F.col("context")["featureIndex"], F.col("context")["secondIndex"]).alias("featureIndex"))
 
 
 QUERIES["rule_locations_notices"] = locations_notices

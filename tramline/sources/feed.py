@@ -30,8 +30,8 @@ from ..functions.checkpoint import cut, shared_dir
 from ..functions.urls import valid_url
 from ..functions.workers import importable
 from ..model import GEOJSON, REQUIRED_TABLES, SPARK_TYPE, TABLES, file_of
-from .geojson import read_locations
-from .lines import records_of, stored
+from .geojson import FATAL, places_of
+from .lines import literal, records_of, stored
 
 C = F.col
 # Fields by kind of check.
@@ -351,9 +351,12 @@ def read_feed(spark: SparkSession, source: str | bytes, options: RunOptions | No
     feed = Feed(spark, tables, headers, files=files.names)
     name = files.find(GEOJSON)
     if name is not None:
-        places, found, feed.geojson_fatal = read_locations(files.read(name), options)
-        tables["locations"] = spark.createDataFrame(places, "location_id string, feature_index int, geom_type string, minx double, miny double, maxx double, maxy double")
-        feed.geojson_notices = spark.createDataFrame(found, NOTICE)
+        if isinstance(files, SharedFolder) or not files.zip:
+            document = spark.read.option("wholetext", True).text(literal(f"{files.uri}/{name}" if uri else f"file://{os.path.abspath(source)}/{name}"))
+        else:
+            document = spark.createDataFrame([(files.read(name),)], "value binary")
+        tables["locations"], feed.geojson_notices = map(cut, places_of(document, options))
+        feed.geojson_fatal = not feed.geojson_notices.where(C("code").isin(*FATAL)).isEmpty()
     feed.notices = cut(reduce(DataFrame.unionAll, frames))
     bad = feed.notices.where("severity = 'ERROR' and filename is not null").select("filename").distinct().collect()  # at most a row per file
     feed.broken = {r["filename"].removesuffix(".txt") for r in bad if r["filename"].removesuffix(".txt") in tables}
