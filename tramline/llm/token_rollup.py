@@ -76,7 +76,7 @@ class TokenRollup:
 
     def _write(self, name: str, delta: DataFrame) -> str:
         folder = f"{name}-{uuid.uuid4().hex}"
-        delta.coalesce(1).write.parquet(f"{self.path}/data/{folder}")  # a row per key
+        delta.write.parquet(f"{self.path}/data/{folder}")  # a row per key, by as many tasks as sum them up
         return folder
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
