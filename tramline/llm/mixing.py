@@ -16,6 +16,8 @@ from .common import cut, pick, positional, word_count
 BLOCK_WORDS = 64
 SHARD_DOCS = 2048
 SEED = 20_240_601
+#: Sources, and bytes of their names, that are sent to all tasks.
+SMALL_ROWS, SMALL_BYTES = 50_000, 4_000_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -23,7 +25,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
 
     Water-filling in closed form: sources fill up in the order of cap / weight. With the caps of those before it taken
     off the budget, the first source that the level of the rest does not fill sets the level of all after it.
-    There is a row per source here, so the windows over all of them are small.
+    There is a row per source here, so the windows over all of them, in one task, are as small as the list of sources.
     """
     everyone = Window.orderBy(F.col("source").asc_nulls_last())
     s = sources.withColumn("rank", F.row_number().over(everyone) - 1)
@@ -67,6 +69,12 @@ def sainte_lague(units: DataFrame, votes: str, house: Column, group: list[str],
     return out.withColumn("seats", F.col("_sure") + F.coalesce("_won", F.lit(0).cast("long"))).select(*units.columns, "seats")
 
 
+def if_small(plan: DataFrame) -> DataFrame:
+    """plan, to be broadcast where its rows and the bytes of their names are within bounds; else joined by name like any table."""
+    rows, names = plan.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    return F.broadcast(plan) if rows <= SMALL_ROWS and names <= SMALL_BYTES else plan
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """One row per row of docs(doc_id, text, source): doc_id, source, size, source_size, target, taken.
 
@@ -84,11 +92,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     plan = sainte_lague(plan, "target", F.col("budget"), [], ["rank"])
     plan = plan.select("source", "source_size", "target", F.col("seats").alias("source_seats"), F.ceil(F.col("docs") / shard_docs).cast("long").alias("shards"))
     plan = cut(plan)
-    some = F.broadcast(plan.select(F.col("source").alias("_s"), "shards"))  # a row per source
+    plan = if_small(plan)
+    some = plan.select(F.col("source").alias("_s"), "shards")
     rows = rows.join(some, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("lot", F.lit(1)), F.col("shards"))).drop("shards")
     shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.join(F.broadcast(plan.withColumnRenamed("source", "_s").drop("shards")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    shards = shards.join(plan.withColumnRenamed("source", "_s").drop("shards"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     shards = sainte_lague(shards, "shard_size", F.col("source_seats"), ["source"], ["shard"])
     shards = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_d"), "shard_size", "source_size", "target", (F.col("seats") * block).alias("quota"))
     laid = Window.partitionBy("source", "shard").orderBy("lot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
