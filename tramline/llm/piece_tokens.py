@@ -226,25 +226,22 @@ def _utf8(run: bytes) -> str:
 
 
 class Encoded:
-    """Decimal ids joined by commas, and the decoded text, of whole texts.
-
-    Words whose ids decode to the word again, which is tried once, are remembered with their ids in two generations.
-    """
+    """Decimal ids joined by commas, and the text decoded from these, of whole texts. Words are remembered with their ids in two generations."""
 
     def __init__(self, tok: PieceTokenizer):
         self.tok = tok
         self.new: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.line_end = ",".join(map(str, tok.segment("\n"))) if tok.lines else ""
+        # bytes from 128 on stand as lone surrogates until all of a text's bytes are decoded together
+        texts = {i: p.replace(MARK, " ") for i, p in tok.piece.items()} | {i: bytes((b,)).decode("ascii", "surrogateescape") for i, b in tok.byte_of.items()}
+        self.text_of = {str(i): t for i, t in texts.items()}.__getitem__
+        self.marked = {str(i) for i, p in tok.piece.items() if p[0] == MARK}
 
-    def look(self, key: str) -> str | None:
-        """key: a word after a space, or one that begins a line after an end of line. None: it doesn't decode to itself."""
+    def look(self, key: str) -> str:
+        """ids of a key: a word after a space, or one that begins a line after an end of line."""
         if (x := self.old.get(key)) is None:
-            s = key[1:] if key[0] == "\n" else MARK + key
-            ids = self.tok.segment(s)
-            if self.tok.decode(ids) != (s[1:] if s[0] == MARK else s):
-                return None
-            x = ",".join(map(str, ids))
+            x = ",".join(map(str, self.tok.segment(key[1:] if key[0] == "\n" else MARK + key)))
             if len(key) > LONGEST:
                 return x
         if len(self.new) >= REMEMBERED:
@@ -252,32 +249,36 @@ class Encoded:
         self.new[key] = x
         return x
 
+    def decoded(self, decimal: str) -> str:
+        """tok.decode() of the ids."""
+        ids = decimal.split(",") if decimal else []
+        try:
+            text = "".join(map(self.text_of, ids)).encode("utf-8", "surrogateescape").decode()
+        except (KeyError, UnicodeError):  # other ids than of pieces and bytes, or bytes that are no UTF-8
+            return self.tok.decode([int(i) for i in ids])
+        return text[1:] if ids and ids[0] in self.marked else text
+
     def __call__(self, text: str) -> tuple[str, str]:
+        decimal = self.ids(text)
+        return decimal, self.decoded(decimal)
+
+    def ids(self, text: str) -> str:
         found: list[str] = []
         if text and (not self.tok.lines or MARK in text):
-            return self.plain(text)
+            return ",".join(map(str, self.tok.encode(text)))
         for k, line in enumerate(text.split("\n") if text else ()):
             keys = line.split(" ")
             if k:
                 found.append(self.line_end)
                 keys[0] = "\n" + keys[0]
             if "" in keys or keys[0] == "\n":  # spaces in a row, or at an end of the line
-                for s in self.tok._segments(("" if k else MARK) + line.replace(" ", MARK)):
-                    found.append(",".join(map(str, self.tok.segment(s))))
-                    if self.tok.decode(self.tok.segment(s)) != s.replace(MARK, " ").removeprefix(" "):
-                        return self.plain(text)
+                found += [",".join(map(str, self.tok.segment(s))) for s in self.tok._segments(("" if k else MARK) + line.replace(" ", MARK))]
                 continue
             known = list(map(self.new.get, keys))
             if None in known:
                 known = [self.look(s) if x is None else x for s, x in zip(keys, known, strict=True)]
-                if None in known:
-                    return self.plain(text)
             found += known
-        return ",".join(found), text
-
-    def plain(self, text: str) -> tuple[str, str]:
-        ids = self.tok.encode(text)
-        return ",".join(map(str, ids)), self.tok.decode(ids)
+        return ",".join(found)
 
 
 _loaded: dict[str, PieceTokenizer] = {}
