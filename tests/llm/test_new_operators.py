@@ -249,3 +249,109 @@ def test_simhash_components(spark):
     assert simhash.simhash_components(spark.createDataFrame([], DOCS)).collect() == []
     with pytest.raises(ValueError):
         simhash.linked(spark.createDataFrame([(1,)], "print long"), small=4)
+
+
+LONG_TEXT = "This is the text of an article and it has all of the words that one would need for it to be told from the rest of the page, as it is long and of many words. " * 2
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    "<div class='layout has-sidebar'><article>%s</article></div>|<main class='content no-sidebar'>%s</main>|<article id='form-and-function'>%s</article>|<article class='post tag-social'>%s</article>|<div id='story-reader'>%s</div>"
+    "|<article data-id='promo-123'>%s</article>|<article data-hidden='false'>%s</article>|<div title='a class=ad b'>%s</div>|<div class=x data-role='menu'>%s</div>|<body class='has-sidebar'><div class='page-with-menu'>%s</div>"
+    "|<div hidden>%s</div>|<div style='visibility:hidden' class=overlay>%s</div>|<div class=sidebar-layout><div class=ads>Buy</div>%s</div>".split("|"),
+)
+def test_html_wrappers_keep_articles(wrapper):
+    """Names of wrappers, of articles themselves and of other attributes empty no article."""
+    from tramline.llm import html_text
+
+    page = wrapper % f"<h1>A title</h1><p>{LONG_TEXT}</p><p>Short one.</p><p>{LONG_TEXT}</p>"
+    assert html_text.main_text(page) == f"A title\n{LONG_TEXT.strip()}\nShort one.\n{LONG_TEXT.strip()}"
+
+
+def test_html_comments_and_notices_go():
+    from tramline.llm import html_text
+
+    article = f"<article><h1>A title</h1><p>{LONG_TEXT}</p></article>"
+    want = f"A title\n{LONG_TEXT.strip()}"
+    for other in ("<div id=comments><article class=comment><p>%s</p></article></div>", "<div class=cookie-notice>%s</div>", "<div class=related><article>%s</article></div>", "<div aria-hidden=true>%s</div>", "<div class=sponsored><h2>Buy</h2><p>%s</p><p>Now</p></div>"):
+        assert html_text.main_text(article + other % LONG_TEXT) == want == html_text.main_text(other % LONG_TEXT + article)
+        assert html_text.main_text(f"<article><h1>A title</h1><p>{LONG_TEXT}</p>{other % LONG_TEXT}</article>") == want
+    assert html_text.main_text(f"<article><h1>A title</h1><p>x</article><div class=ad>{LONG_TEXT}</div>") == "A title\nx"
+
+
+def test_html_hints_weigh_no_more_than_densities():
+    """Pass one by hand: any block, any containers."""
+    from tramline.llm import html_text
+
+    assert max(abs(html_text.NAMED), html_text.ARTICLE, abs(html_text.NAMED + html_text.ARTICLE)) <= html_text.GOOD
+    r = random.Random(2)
+    for _ in range(300):
+        blocks = []
+        for _ in range(r.randint(1, 8)):
+            b = html_text.Block((0, r.choice([-3, -1, 0, 0, 2])))
+            words = [r.choice(["the", "and", "of", "zebra", "quilt", "vortex", "mango"]) for _ in range(r.choice([1, 4, 20, 60]))]
+            b.text, b.heading = " ".join(words), r.random() < 0.2
+            b.linked = r.choice([0, 0, len(b.text.replace(" ", "")) // 2, len(b.text.replace(" ", ""))])
+            blocks.append(b)
+        points = []
+        for b in blocks:
+            n, words = len(b.text), b.text.split()
+            stops, links = sum(w in ("the", "and", "of") for w in words) / len(words), b.linked / len("".join(words))
+            x = b.hint + (1 if n >= 70 else 0) + (1 if n >= 200 else 0)
+            if n >= 70:
+                x += 1 if stops >= 0.3 else -2 if stops < 0.15 else 0
+            points.append(x - (0 if links <= 0.34 else 4 if links > 0.9 and n >= 70 else 2))
+        top = max(points)
+        good = 3 if top >= 3 else max(0, top)
+        want = ["good" if x >= good else "bad" if x < 0 else "near" if x > 0 and len(b.text) >= 70 else "short" for x, b in zip(points, blocks)]
+        heading = [b.heading for b in blocks].index(True) if any(b.heading for b in blocks) else 0
+        if not any(x == "good" for x in want[:heading]):
+            want = ["bad" if k < heading and x == "short" and blocks[k].hint <= 0 else x for k, x in enumerate(want)]
+        assert html_text.decide_alone(blocks) == want
+
+
+def test_html_without_hints():
+    """With every hint of the given pages taken away, blocks are told from boilerplate by densities and neighbours."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from tramline.llm import html_text
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    right = wrong = lost = 0
+    for page in pq.read_table(path)["html"].to_pylist():
+        want = Counter(html_text.main_text(page).split("\n"))
+        got = Counter(html_text.main_text((page or "").replace("<article", "<div").replace("</article", "</div").replace('class="ad"', "")).split("\n"))
+        right, wrong, lost = right + (want & got).total(), wrong + (got - want).total(), lost + (want - got).total()
+    assert right / (right + wrong) > 0.9 and right / (right + lost) > 0.9
+
+
+def test_pii_needs_context():
+    """Plain numbers without a word that tells what they are give nothing; the same forms with one are found."""
+    from tramline.llm import pii
+
+    r = random.Random(5)
+    filler = [" ".join(r.choice(["the", "river", "goes", "by", "a", "mill", "and", "on"]) for _ in range(30)) + " mail ann@b.example.org or +1 555 010 9999 or 10.1.2.3 now" for _ in range(60)]
+    model = pii.train(filler)
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    added = lambda t: {k for k, *_ in set(pii.all_spans(t, model)[1]) - set(pii.base_spans(t))}
+    plain = [lambda: f"population {d(3)} {d(3)} {d(4)} people", lambda: f"pages {d(3)}-{d(3)}-{d(4)}", lambda: f"row 0{d(2)} {d(6)} in the ledger", lambda: f"version {d(1)} . {r.randint(10, 99)} . {d(1)} . {d(1)}", lambda: f"a cost of {d(3)} {d(3)} {d(3)} dollars", lambda: f"at 40.{d(4)}, -74.{d(4)} near"]
+    told = [(3, lambda: f"Please call {d(3)}-{d(3)}-{d(4)} today"), (3, lambda: f"phone 0{d(3)} {d(6)}"), (3, lambda: f"write to ({d(3)}) {d(3)}-{d(4)}"), (1, lambda: f"server {' . '.join(str(r.randint(1, 255)) for _ in range(4))} is down"), (0, lambda: "jane.doe(at)host[dot]com")]
+    for make in plain:
+        assert sum(bool(added(make())) for _ in range(100)) <= 5
+    for kind, make in told:
+        assert sum(kind in added(make()) for _ in range(100)) >= 90
+
+
+def test_pii_sample_is_bounded(spark, monkeypatch):
+    """However many rows share an id, training sees `sample` texts."""
+    from tramline.llm import pii
+
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda texts: seen.append(texts) or pii.SemiMarkov())
+    rows = [(7, f"text {k} with 1 digit") for k in range(3000)] + [(8, "the same 2")] * 500 + [(None, "no id 3")]
+    pii.fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=3)
+    assert 1 <= len(seen[0]) <= 3

@@ -2,15 +2,18 @@
 
 A page is cut into blocks at block-level tags; what stands in elements that hold no article text by their name (navigation,
 headers, footers, asides, forms, dialogs, scripts and the like) is no block. Pass one adds up the evidence of each block alone:
-its length, its stop-word density, its link density, and the hint of the innermost container that gives one, an
-article or main element for it, a class, id or role that names an advert, notice, menu, sidebar or comment section against
-it. Much evidence makes a block good, less than none bad; between, a block is near (of some length) or short. Where no block is
-good, those of the most evidence are.
+its length, its stop-word density, its link density, and a hint of the elements it stands in. Much evidence makes a block good, less than none bad; between,
+a block is near (of some length) or short. Where no block is good, those of the most evidence are. Short blocks before the page's first heading are bad.
+
+A hint is no verdict: it weighs as much as the densities may, at most. An article or main element speaks for its blocks; a class, id or role that names an
+advert, notice, menu, sidebar or comment section, or an element that isn't shown, speaks against them. Such a name on an article or main element
+counts only where that is nested, as comments are; and nothing counts against most of a page's text if
+what is left has no article element and no block that is good by itself.
 
 Pass two settles near blocks and then short ones by their nearest decided neighbours, one on each side; a neighbour in another
-container that gives a hint counts as ELSEWHERE blocks further. If both have the same label, or there is one alone, the block takes it. If
-they differ, near blocks are good, a short heading goes with the good text after it, and other short blocks take the label of the
-closer neighbour, bad if both are as close.
+container that gives a hint counts as ELSEWHERE blocks further, and for nothing where the block's own hint speaks against it. If both have the same label, or
+there is one alone, the block takes it. If they differ, near blocks are good, a short heading goes with the good text after it, and other short
+blocks take the label of the closer neighbour, bad if both are as close.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame
 from .common import on_workers, pick
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that no name is found within another or within a value.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?|[\"'=]")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -61,8 +65,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Characters of text from which a block is of some length, and from which it is long; densities of stop words and links.
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS, LINKED, ALL_LINKED = 0.15, 0.30, 0.34, 0.9
-#: Evidence: a point for each of the two lengths, and these; from GOOD on a block is good, under 0 bad.
-STOPS_FOR, STOPS_AGAINST, LINKS, MENU, ARTICLE, NAMED, GOOD = 1, -2, -2, -4, 2, -4, 3
+#: Evidence: a point for each of the two lengths, and these; from GOOD on a block is good, under 0 bad. NAMED takes away no more than lengths and stop words can give.
+STOPS_FOR, STOPS_AGAINST, LINKS, MENU, ARTICLE, NAMED, GOOD = 1, -2, -2, -4, 2, -3, 3
 #: How many blocks further a neighbour in another container counts.
 ELSEWHERE = 1000
 
@@ -94,14 +98,58 @@ class Block:
         self.place, self.hint = within
 
 
+class Container:
+    """An element whose name or attributes say something of what is in it."""
+
+    __slots__ = ("article", "marked", "size", "up")
+
+    def __init__(self, up: int, article: bool, marked: bool):
+        self.up, self.article, self.marked, self.size = up, article, marked, 0
+
+
+def weigh(blocks: list[Block], containers: list[Container]) -> None:
+    """Give each block the hint of the containers it stands in; the first one stands for the page."""
+
+    def chain(k: int) -> Iterator[Container]:
+        while k:
+            yield containers[k]
+            k = containers[k].up
+
+    total = 0
+    for b in blocks:
+        total += len(b.text)
+        for c in chain(b.place):
+            c.size += len(b.text)
+    for k, c in enumerate(containers):
+        if c.article and c.marked:  # the name of an article's own counts where it is nested
+            c.marked = any(x.article or x.marked for x in chain(c.up))
+            c.article = not c.marked
+    most = [c for c in containers if c.marked and 2 * c.size > total]
+    rest = [b for b in blocks if not any(c.marked for c in chain(b.place))] if most else []
+    if not any(own_evidence(b) >= GOOD or any(c.article for c in chain(b.place)) for b in rest):
+        for c in most:
+            c.marked = False
+    hints = [0] * len(containers)
+    for k in range(1, len(containers)):
+        for c in chain(k):
+            if c.marked:
+                hints[k] += NAMED
+                break
+            if c.article and not hints[k]:
+                hints[k] = ARTICLE
+    for b in blocks:
+        b.hint = hints[b.place]
+
+
 def blocks_of(html: str) -> list[Block]:
     """Blocks with text, in page order, without those of dropped elements."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, tuple[int, int]]] = []  # open elements: name, dropped, container and hint
-    outside = (0, 0)
-    dropped, within = False, outside
-    links = containers = 0
-    block = Block(outside)
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, dropped, container
+    containers = [Container(0, False, False)]
+    inside = articles = 0  # the container at hand, and how many article or main elements are open
+    dropped = False
+    links = 0
+    block = Block((0, 0))
 
     def end() -> None:
         nonlocal block
@@ -109,7 +157,7 @@ def blocks_of(html: str) -> list[Block]:
             block.text = SPACE.sub(" ", "".join(block.parts)).strip()
             if block.text:
                 out.append(block)
-        block = Block(within)
+        block = Block((inside, 0))
 
     def text(raw: str) -> None:
         if raw and not dropped:
@@ -120,10 +168,11 @@ def blocks_of(html: str) -> list[Block]:
 
     def close(k: int) -> None:
         """Close the elements from the k-th on."""
-        nonlocal dropped, within, links
+        nonlocal dropped, inside, links, articles
         links = max(0, links - sum(x[0] == "a" for x in stack[k:]))
+        articles -= sum(x[0] in ("article", "main") for x in stack[k:])
         del stack[k:]
-        _, dropped, within = stack[-1] if stack else ("", False, outside)
+        _, dropped, inside = stack[-1] if stack else ("", False, 0)
 
     def innermost(name: str) -> int | None:
         return next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
@@ -172,28 +221,29 @@ def blocks_of(html: str) -> list[Block]:
         if name in BLOCKS:
             end()
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
-            block.place, block.hint = within
+            block.place = inside
             continue
         # a header within an article may hold its heading
-        gone = dropped or name in DROPPED or name == "header" and within[1] <= 0
-        hint = NAMED if _marked(m[3]) and name not in ("html", "body") else ARTICLE if name in ("article", "main") and within[1] >= 0 else 0
-        if hint:
-            containers += 1
-            within = (containers, hint)
-        dropped = gone
-        stack.append((name, dropped, within))
+        dropped = dropped or name in DROPPED or name == "header" and not articles
+        article, marked = name in ("article", "main"), _marked(m[3]) and name not in ("html", "body")
+        if article or marked:
+            containers.append(Container(inside, article, marked))
+            inside = len(containers) - 1
+        articles += article
+        stack.append((name, dropped, inside))
         links += name == "a"
         if name in BLOCKS:
             end()
             block.heading = name in HEADINGS
     end()
+    weigh(out, containers)
     return out
 
 
-def evidence(b: Block) -> int:
-    """What speaks for a block by itself, as points."""
+def own_evidence(b: Block) -> int:
+    """What a block's length and densities speak for it, as points."""
     size = len(b.text)
-    points = (size >= SHORT) + (size >= LONG) + b.hint
+    points = (size >= SHORT) + (size >= LONG)
     if size >= SHORT:
         words = WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
@@ -204,11 +254,19 @@ def evidence(b: Block) -> int:
     return points
 
 
+def evidence(b: Block) -> int:
+    return own_evidence(b) + b.hint
+
+
 def decide_alone(blocks: list[Block]) -> list[str]:
     """Pass one: good, bad, near or short."""
     points = [evidence(b) for b in blocks]
     good = min(GOOD, max([0, *points]))  # where none is good, those of the most evidence
-    return ["good" if x >= good else "bad" if x < 0 else "near" if x > 0 and len(b.text) >= SHORT else "short" for b, x in zip(blocks, points, strict=True)]
+    labels = ["good" if x >= good else "bad" if x < 0 else "near" if x > 0 and len(b.text) >= SHORT else "short" for b, x in zip(blocks, points, strict=True)]
+    first = next((i for i, b in enumerate(blocks) if b.heading), 0)
+    if "good" not in labels[:first]:
+        labels[:first] = ["bad" if x == "short" and b.hint <= 0 else x for b, x in zip(blocks[:first], labels, strict=False)]
+    return labels
 
 
 def _nearest(blocks: list[Block], labels: list[str], order: range) -> list[tuple[str, int]]:
@@ -235,6 +293,8 @@ def decide_by_neighbours(blocks: list[Block], labels: list[str]) -> list[str]:
         for i, ((before, back), (after, on)) in enumerate(zip(_nearest(blocks, labels, range(n)), _nearest(blocks, labels, range(n - 1, -1, -1)), strict=True)):
             if labels[i] != kind:
                 continue
+            if blocks[i].hint < 0:
+                before, after = before if back < ELSEWHERE else "", after if on < ELSEWHERE else ""
             if before == after or not before or not after:
                 settled[i] = before or after or "bad"
             elif kind == "near" or blocks[i].heading and after == "good":
