@@ -9,7 +9,8 @@ other units, and chooses the best of them jointly; a chosen segment counts if it
 The field is trained on runs of a bounded sample of documents, `SAMPLE` of them by lowest hash and of their runs the TRAIN_RUNS of
 lowest hash, whose gold segments are base spans (runs without any are left out, as they may hold what the patterns miss); and on MADE_UP texts whose gold the base patterns miss, in surroundings of that
 sample: valid cards side by side or with other marks, addresses with written-out signs, octets with guarded or spaced dots, and
-phone numbers without a plus. Dates, plain and grouped numbers, sets of digits of which none is a card, octets over 255 and the like stand among them.
+phone numbers without a plus. Dates, plain and grouped numbers, sets of digits of which none is a card, octets over 255 and the like stand among them; and, as
+often, the very forms of phone numbers and spaced octets without a word before that tells what they are, which are none.
 """
 
 from __future__ import annotations
@@ -52,6 +53,10 @@ _OCTETS = re.compile(r"[0-9]{1,3}(?: ?[\[(]?\.[\])]? ?[0-9]{1,3}){3}")
 _DIGITS = re.compile(r"[+(]?[0-9](?:[ ().\-/]{0,3}[0-9]){6,}")
 _UNIT = re.compile(r" ?[\[(](?:at|dot|\.)[\])] ?|[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _WRITTEN_AT, _WRITTEN_DOT = re.compile(r" ?[\[(]at[\])] ?| ?@ ?"), re.compile(r" ?[\[(](?:dot|\.)[\])] ?| ?\. ?")
+# Words that tell a phone number or an address of a host.
+_PHONE_CUE = re.compile(r"\b(?:tel|telephone|phone|call|mobile|cell|fax|dial|sms|whatsapp|hotline|telefon|handy|anrufen|rufnummer|téléphone|portable|appelez|teléfono|móvil|llame)\b[^\n]{0,8}\Z", re.I)
+_HOST_CUE = re.compile(r"\b(?:ip|ips|ipv4|host|server|address|addr|ping|gateway|dns|node|client|adresse|dirección)\b[^\n]{0,8}\Z", re.I)
+CUES = ("tel", "Tel.", "phone", "Phone:", "call", "mobile", "fax", "Telefon", "téléphone", "teléfono", "cell:"), ("ip", "IP:", "host", "server", "address", "ping", "gateway")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
@@ -135,6 +140,8 @@ def span_features(text: str, start: int, end: int, units: int) -> list[str]:
         parts = _WRITTEN_DOT.split(s)
         whole = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
         out.append("octets" if whole else "dotted")
+        form = "guarded" if "[" in s or "(" in s else "spaced" if " " in s else "close"
+        out.append(f"{'cued' if _HOST_CUE.search(text, max(0, start - 32), start) else 'bare'} {out[-1]} {form}")
     if 16 <= n <= 19:
         out.append(("luhn" if _luhn(digits) else "no luhn") + (" plain" if not re.search(r"[^0-9 -]", s) else " mixed"))
     groups = [len(g) for g in re.findall("[0-9]+", s)]
@@ -144,6 +151,8 @@ def span_features(text: str, start: int, end: int, units: int) -> list[str]:
         sizes = "-".join(map(str, groups[:6]))
         marks = "".join(sorted(set(re.sub("[0-9]", "", s))))
         out += [f"groups {sizes}", f"marks {marks}", f"groups {sizes} marks {marks}", f"zeros {min(2, len(digits) - len(digits.lstrip('0')))} of {len(groups)}"]
+        form = "+" if s[0] == "+" else "(" if s[0] == "(" else "00" if digits[:2] == "00" else "0" if digits[0] == "0" else "other"
+        out.append(f"{'cued' if _PHONE_CUE.search(text, max(0, start - 32), start) else 'bare'} number {form}")
         if len(groups) > 1 and 8 <= n <= 15:
             out.append(f"grouped {'(' * (s[0] == '(')}{'00' if digits[:2] == '00' else digits[0] if digits[0] == '0' else ''}")
     else:
@@ -284,13 +293,13 @@ def _card(r: random.Random, valid: bool, marks: tuple[str, ...]) -> str:
     return mark.join(digits[k : k + 4] for k in range(0, 16, 4))
 
 
-def _phone(r: random.Random) -> str:
-    """Forms without a plus: an area in brackets, a trunk zero, a leading 00, or three groups."""
+def _phone(r: random.Random) -> tuple[str, bool]:
+    """Forms without a plus, and whether they need a word that tells what they are: an area in brackets or a leading 00 don't, a trunk zero or three groups do."""
     mark = r.choice([" ", "-", "."])
     return r.choice([
-        f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"({r.choice(['0', ''])}{_digits(r, 3)}) {_digits(r, 3)}{r.choice([' ', '-'])}{_digits(r, 4)}",
-        f"00{r.choice('123456789')}{_digits(r, r.choice([0, 1, 1, 2]))} {_digits(r, 3)} {_digits(r, r.choice([6, 7]))}", f"00{r.choice('123456789')}{_digits(r, 1)} {_digits(r, 2)} {_digits(r, 3)} {_digits(r, 4)}",
-        f"0{_digits(r, r.choice([2, 3, 4]))}{r.choice([' ', '/', '-'])}{_digits(r, r.choice([6, 7]))}", mark.join([_digits(r, 3), _digits(r, 3), _digits(r, 4)]),
+        (f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", False), (f"({r.choice(['0', ''])}{_digits(r, 3)}) {_digits(r, 3)}{r.choice([' ', '-'])}{_digits(r, 4)}", False),
+        (f"00{r.choice('123456789')}{_digits(r, r.choice([0, 1, 1, 2]))} {_digits(r, 3)} {_digits(r, r.choice([6, 7]))}", False), (f"00{r.choice('123456789')}{_digits(r, 1)} {_digits(r, 2)} {_digits(r, 3)} {_digits(r, 4)}", False),
+        (f"0{_digits(r, r.choice([2, 3, 4]))}{r.choice([' ', '/', '-'])}{_digits(r, r.choice([6, 7]))}", True), (mark.join([_digits(r, 3), _digits(r, 3), _digits(r, 4)]), True),
     ])
 
 
@@ -336,9 +345,21 @@ def made_up(texts: list[str], n: int, seed: int) -> list[tuple[str, list[Span]]]
             body += put(0 if len(host) > 1 else None, local + r.choice(["(at)", "[at]", " [at] ", " (at) ", " @ "]) + dot.join(host))
         elif form < 0.66:
             octets = [str(r.randint(0, 255 if r.random() < 0.9 else 999)) for _ in range(4)]
-            body += put(1 if all(int(x) < 256 for x in octets) else None, r.choice(["[.]", "(.)", " . "]).join(octets))
-        elif form < 0.82:
-            body += put(3, _phone(r))
+            mark = r.choice(["[.]", "(.)", " . ", " . "])
+            if told := r.random() < 0.5:
+                body += f"{r.choice(CUES[1])} "
+            elif r.random() < 0.7:
+                body += f"{word(3)} "
+            body += put(1 if all(int(x) < 256 for x in octets) and (told or mark != " . ") else None, mark.join(octets))
+        elif form < 0.86:
+            said, needs = _phone(r)
+            if told := r.random() < 0.5:
+                body += f"{r.choice(CUES[0])} "
+            elif r.random() < 0.8:
+                body += f"{word(3)} "
+            body += put(3 if told or not needs else None, said)
+            if not told and r.random() < 0.6:
+                body += f" {word(3)}"
         else:
             body += put(None, _number(r))
         out.append((before + body + after, spans))
@@ -389,10 +410,14 @@ def train(texts: list[str], seed: int = 11) -> SemiMarkov:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiMarkov:
+    """The field trained on `sample` rows of lowest hash of id and then of text, however many rows share an id."""
     rows = pick(docs, "doc_id", "text").where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull())
-    lots = rows.select("doc_id", F.xxhash64("doc_id").alias("lot")).orderBy("lot", "doc_id").limit(sample).collect()
-    ids = sorted({r["doc_id"] for r in lots})
-    return train(sorted(r["text"] for r in rows.where(F.col("doc_id").isin(ids)).select("text").distinct().collect()) if ids else [])
+    rows = rows.select("text", F.xxhash64("doc_id").alias("lot"), F.xxhash64("text").alias("name"))
+    lots = [tuple(r) for r in rows.select("lot", "name").orderBy("lot", "name").limit(sample).distinct().collect()]
+    if not lots:
+        return train([])
+    chosen = docs.sparkSession.createDataFrame(lots, "lot long, name long")
+    return train(sorted(r["text"] for r in rows.join(F.broadcast(chosen), ["lot", "name"]).select("text").distinct().limit(sample).collect()))
 
 
 def all_spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
