@@ -38,3 +38,40 @@ def test_sessions(spark, tmp_path):
     stream.processAllAvailable()
     stream.stop()
     assert sorted(tuple(r) for r in spark.table("found").collect()) == want
+
+
+def test_changes_of_versions(spark, tmp_path):
+    """Two versions of a feed, a restart between them, a late version, one without notices, and another feed."""
+    import warnings
+
+    from tramline.streaming.changes import append_totals, follow
+
+    folder, seen = str(tmp_path / "totals"), []
+    day = lambda d: dt.datetime(2025, 3, d)
+
+    def arrive(feed, version, **codes):
+        rows = [(code,) for code, n in codes.items() for _ in range(n)]
+        append_totals(spark.createDataFrame(rows, "code string"), feed, version, folder)
+
+    def go():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            stream = follow(spark, folder, str(tmp_path / "checkpoint"), lambda df: seen.extend(tuple(r) for r in df.collect()))
+            stream.processAllAvailable()
+            stream.stop()
+        out = sorted(seen)
+        seen.clear()
+        return out
+
+    arrive("harbour", day(1), stop_too_far=2, unused_trip=1)
+    arrive("hills", day(1), unused_trip=4)
+    assert go() == [("harbour", day(1), "stop_too_far", 0, 2), ("harbour", day(1), "unused_trip", 0, 1), ("hills", day(1), "unused_trip", 0, 4)]
+    arrive("harbour", day(3), stop_too_far=2, missing_level=5)
+    assert go() == [("harbour", day(3), "missing_level", 0, 5), ("harbour", day(3), "unused_trip", 1, 0)]
+    arrive("harbour", day(2), stop_too_far=9)  # late
+    arrive("hills", day(1), unused_trip=7)  # again
+    assert go() == []
+    arrive("harbour", day(4))
+    arrive("hills", day(2), unused_trip=4)
+    arrive("hills", day(3), unused_trip=5)
+    assert go() == [("harbour", day(4), "missing_level", 5, 0), ("harbour", day(4), "stop_too_far", 2, 0), ("hills", day(3), "unused_trip", 4, 5)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .feed import NOTICE, RunOptions
-from .plans.runner import run_rules, run_timed
+from .plans.runner import peak_memory, run_measured, run_rules
 from .schema import notice_codes, notice_schema  # noqa: F401
 from .sources import report
 from .sources.feed import fetch, read_feed
@@ -60,8 +60,10 @@ class ValidationResult:
     validation_time_seconds: float
     #: What kept the feed from being read; then notices_df has no rows.
     system_errors: list[Notice] = field(default_factory=list)
-    #: Seconds by phase and, if asked for, by rule.
+    #: Seconds by phase and, if asked for, those that tasks of each rule ran.
     timings: dict[str, float] = field(default_factory=dict)
+    #: Greatest bytes of heap of each executor, and of the driver.
+    peak_memory: dict[str, int] = field(default_factory=dict)
 
     @cached_property
     def _totals(self) -> dict[str, int]:
@@ -126,7 +128,7 @@ def validate(
     timing: bool = False,
     storage: str | None = None,
 ) -> ValidationResult:
-    """Read a feed (folder, zip, its bytes, or a URL, downloaded into `storage`, which executors must see, or the shared folder) and run the rules. timing: rule by rule, which takes longer."""
+    """Read a feed (folder, zip, its bytes, or a URL, downloaded into `storage`, which executors must see, or the shared folder) and run the rules. timing: with the seconds of each rule."""
     spark = spark or SparkSession.builder.getOrCreate()
     options = RunOptions(*([date] if date else []), **{"country": country_code, "google": google, "thorough": thorough})
     began, tell = time.perf_counter(), on_progress or (lambda what: None)
@@ -149,7 +151,7 @@ def validate(
     at = passed("loading", began)
     tell("checking")
     if timing:
-        notices = run_timed(feed, options, timings)
+        notices = run_measured(feed, options, timings)
     else:
         notices = run_rules(feed, options)
     at = passed("checking", at)
@@ -157,7 +159,7 @@ def validate(
     about = report.summary(feed, options.date)
     passed("summarising", at)
     tell("done")
-    return ValidationResult(notices, about, time.perf_counter() - began, timings=timings)
+    return ValidationResult(notices, about, time.perf_counter() - began, timings=timings, peak_memory=peak_memory(spark))
 
 
 def validate_async(source: str | bytes, *args, **options) -> concurrent.futures.Future:
@@ -207,7 +209,7 @@ def main(args: list[str] | None = None) -> int:
     if a.sarif:
         result.save_sarif(a.sarif if os.path.isabs(a.sarif) else f"{a.output}/{a.sarif}")
     if a.timing_json:
-        print(json.dumps(result.timings))
+        print(json.dumps(result.timings | {"peak_memory": result.peak_memory}))
     elif a.timing:
         for what, seconds in sorted(result.timings.items(), key=lambda x: -x[1]):
             print(f"{seconds:10.3f} s  {what}" + "  slow" * (what in result.slow_rules))

@@ -20,6 +20,7 @@ from .sources import report
 from .sources.feed import local, read_feed
 from .sources.table import read_table
 from .streaming import sessions
+from .streaming.changes import CHANGES, follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -145,7 +146,7 @@ ORACLE_SQL["load_file_list"] = """
 
 # report analytics
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.features(synth.feed(spark, sf_dir)).where("feature not in ('Text-to-Speech')")
+    return report.features(synth.feed(spark, sf_dir))
 
 
 _any = {
@@ -155,7 +156,7 @@ _any = {
 }
 _some = {
     "Pathway Details": "EXISTS (FROM pathways WHERE length IS NOT NULL OR stair_count IS NOT NULL)", "Pathway Signs": "FALSE", "Route Colors": "EXISTS (FROM routes WHERE route_color IS NOT NULL OR route_text_color IS NOT NULL)",
-    "Headsigns": "EXISTS (FROM stop_times WHERE stop_headsign IS NOT NULL)", "Stops Wheelchair Accessibility": "FALSE", "Trips Wheelchair Accessibility": "FALSE", "Bike Allowed": "EXISTS (FROM trips WHERE bikes_allowed IS NOT NULL)",
+    "Text-to-Speech": "EXISTS (FROM stops WHERE tts_stop_name IS NOT NULL)", "Headsigns": "EXISTS (FROM stop_times WHERE stop_headsign IS NOT NULL)", "Stops Wheelchair Accessibility": "FALSE", "Trips Wheelchair Accessibility": "FALSE", "Bike Allowed": "EXISTS (FROM trips WHERE bikes_allowed IS NOT NULL)",
     "Location Types": "EXISTS (FROM stops WHERE location_type IS NOT NULL)", "In-station Traversal Time": "EXISTS (FROM pathways WHERE traversal_time IS NOT NULL)", "Route-Based Fares": "EXISTS (FROM networks)",
     "Continuous Stops": "EXISTS (FROM routes WHERE continuous_pickup IS NOT NULL OR continuous_drop_off IS NOT NULL)", "Zone-Based Demand Responsive Services": "EXISTS (FROM stop_times WHERE location_id IS NOT NULL AND stop_id IS NULL)",
     "Predefined Routes with Deviation": "EXISTS (SELECT trip_id FROM stop_times GROUP BY trip_id HAVING count(location_id) > 0 AND count(stop_id) > 0 AND count(arrival_time) > 0 AND count(departure_time) > 0)",
@@ -200,6 +201,26 @@ ORACLE_SQL["stream_sessions"] = """
     SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS end_s, count(*) AS n FROM s GROUP BY user_id, k"""
 
 
+# totals of event types by user group and day stand for those of notices by feed and version
+def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed from version to version of each feed, by the stream with state, run up to the end of what is there."""
+    folder = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    version = F.date_trunc("day", F.col("ts").cast("timestamp")).alias("version")
+    totals = events.groupBy(F.concat(F.lit("F"), (F.col("user_id") % 50).cast("string")).alias("feed"), version, F.col("event_type").alias("code")).agg(F.count("*").alias("total"))
+    totals.write.parquet(f"{folder}/totals")
+    follow(spark, f"{folder}/totals", f"{folder}/checkpoint", lambda df: df.write.mode("append").parquet(f"{folder}/changes"), once=True).awaitTermination()
+    return spark.read.schema(CHANGES).parquet(f"{folder}/changes").withColumn("version", F.unix_seconds("version"))
+
+
+QUERIES["stream_changes"] = version_changes
+ORACLE_SQL["stream_changes"] = """
+    WITH t AS (SELECT 'F' || CAST(user_id % 50 AS VARCHAR) AS feed, CAST(epoch(date_trunc('day', CAST(ts AS TIMESTAMP))) AS BIGINT) AS version, event_type AS code, count(*) AS total FROM events GROUP BY ALL),
+    v AS (SELECT feed, version FROM t GROUP BY ALL), c AS (SELECT feed, code FROM t WHERE code IS NOT NULL GROUP BY ALL),
+    g AS (SELECT v.feed, v.version, c.code, coalesce(t.total, 0) AS after FROM v JOIN c ON c.feed = v.feed LEFT JOIN t ON t.feed = v.feed AND t.version = v.version AND t.code = c.code),
+    b AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY feed, code ORDER BY version), 0) AS before FROM g)
+    SELECT feed, version, code, before, after FROM b WHERE before <> after"""
+
 # spatial index: every stop against a shape of its own
 LOOK_M = 25_000.0
 

@@ -1,11 +1,12 @@
-"""Running the rules: gating, isolation, and batches of plans."""
+"""Running the rules: gating, isolation, batches of plans, and what each rule took."""
 
 from __future__ import annotations
 
-import time
+import concurrent.futures
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..feed import NOTICE, Feed, RunOptions
@@ -14,6 +15,8 @@ from ..operators import Rule, all_rules
 
 #: Rules whose plans are run as one union; a union of all hundred takes longer to plan than to run.
 BATCH = 12
+#: Rules that run side by side where each is measured.
+AT_ONCE = 6
 #: Tables that many rules read; kept in memory, or on disk where that is short.
 SHARED = ("stops", "trips", "stop_times", "shapes", "routes")
 
@@ -72,11 +75,54 @@ def run_rules(feed: Feed, options: RunOptions, names: list[str] | None = None) -
     return union(out) if out else feed.no_notices().withColumn("rule", F.lit(None).cast("string"))
 
 
-def run_timed(feed: Feed, options: RunOptions, timings: dict[str, float]) -> DataFrame:
-    """run_rules() rule by rule, with the seconds of each put into timings."""
-    out = [] if feed.notices is None else [feed.notices.withColumn("rule", F.lit("loader"))]
-    for name in all_rules():
-        began = time.perf_counter()
-        out.append(cut(run_rules(Feed(feed.spark, feed.tables, feed.headers, feed.broken, None, feed.files, feed.geojson_fatal), options, [name])))
-        timings[f"rule {name}"] = round(time.perf_counter() - began, 3)
-    return union(out)
+def run_measured(feed: Feed, options: RunOptions, timings: dict[str, float], at_once: int = AT_ONCE) -> DataFrame:
+    """run_rules() with the seconds of each rule put into timings: rules run side by side, each as a job group of its own, and Spark's status store
+    tells how long the tasks of its jobs ran, and what they spilled."""
+    spark, run = feed.spark, uuid.uuid4().hex
+    context = spark.sparkContext
+    alone = Feed(spark, feed.tables, feed.headers, feed.broken, None, feed.files, feed.geojson_fatal)
+    alone.geojson_notices = getattr(feed, "geojson_notices", None)
+    kept = [feed.tables[t].persist() for t in SHARED if feed.has(t)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def one(rule: Rule) -> DataFrame | None:
+        context.setJobGroup(f"{run}-{rule.name}", rule.name)
+        try:
+            found = rule.notices(alone, options)
+            return cut(union(found).withColumn("rule", F.lit(rule.name)).coalesce(parts)) if found else None
+        except Exception as error:
+            return broken(feed, rule.name, error).withColumn("rule", F.lit(rule.name))
+        finally:
+            timings[f"rule {rule.name}"] = task_seconds(spark, f"{run}-{rule.name}")
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    with concurrent.futures.ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(one, all_rules().values()))
+    for df in kept:
+        df.unpersist()
+    loader = [] if feed.notices is None else [feed.notices.withColumn("rule", F.lit("loader"))]
+    return union([*loader, *(f for f in found if f is not None)] or [feed.no_notices().withColumn("rule", F.lit(None).cast("string"))])
+
+
+def task_seconds(spark: SparkSession, group: str) -> float:
+    """Seconds that the tasks of a job group's jobs ran, each stage once, by the status store."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store, stages = context._jsc.sc().statusStore(), set()
+    for job in context.statusTracker().getJobIdsForGroup(group):
+        ids = store.job(job).stageIds()
+        stages |= {ids.apply(k) for k in range(ids.size())}
+    return round(sum(store.lastStageAttempt(k).executorRunTime() for k in stages) / 1000, 3)
+
+
+def peak_memory(spark: SparkSession) -> dict[str, int]:
+    """By executor (and the driver) the greatest bytes of heap in use so far: what executors told with their heartbeats, and for the driver its pools' peaks."""
+    jvm, out = spark._jvm, {}
+    listed = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    for k in range(listed.size()):
+        executor = listed.apply(k)
+        told = executor.peakMemoryMetrics()
+        out[executor.id()] = int(told.get().getMetricValue("JVMHeapMemory")) if told.isDefined() else 0
+    heap = [p for p in jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans() if p.getType().toString() == "Heap memory"]
+    out["driver"] = max(out.get("driver", 0), sum(int(p.getPeakUsage().getUsed()) for p in heap))
+    return out

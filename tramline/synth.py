@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
             CASE WHEN c_custkey % 4 = 0 THEN 'N' || CAST(c_custkey % 10 AS STRING) END AS network_id FROM {customer}""",
     "stops": """
         SELECT p_partkey + 2 AS _row, 'S' || CAST(p_partkey - CASE WHEN p_partkey % 199 = 198 THEN 1 ELSE 0 END AS STRING) AS stop_id,
-            CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE p_name END AS stop_name, CASE WHEN p_partkey % 17 = 0 THEN upper(p_name) ELSE p_type END AS stop_desc,
+            CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE p_name END AS stop_name, CASE WHEN p_partkey % 50 = 3 THEN lower(p_name) END AS tts_stop_name, CASE WHEN p_partkey % 17 = 0 THEN upper(p_name) ELSE p_type END AS stop_desc,
             CASE WHEN p_partkey % 31 = 0 THEN NULL WHEN p_partkey % 101 = 0 THEN 0.5 WHEN p_partkey % 211 = 0 THEN 95.0 WHEN p_partkey % 157 = 0 THEN 89.5
                 ELSE 40 + (p_partkey % 1000) * 0.01 END AS stop_lat,
             CASE WHEN p_partkey % 37 = 0 THEN NULL WHEN p_partkey % 101 = 0 THEN 0.5 ELSE -74 + p_size * 0.02 END AS stop_lon,
