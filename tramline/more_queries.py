@@ -8,12 +8,15 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import synth
 from .feed import RunOptions
 from .functions.checkpoint import shared_dir
+from .functions.workers import importable
 from .operators import all_rules, index
 from .plans.runner import run_rule
 from .sources import report
@@ -25,7 +28,7 @@ from .streaming.changes import CHANGES, follow
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# sources: a table as CSV text, read back by way of a folder, a zip and bytes
+# a small table as CSV text, given as the bytes of a zip
 AGENCY = ("SELECT n_nationkey AS k, 'A' || CAST(n_nationkey AS STRING) AS agency_id, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' \"Lines\"' ELSE '' END || CASE WHEN n_nationkey % 4 = 1 THEN chr(10) || 'East' ELSE '' END AS agency_name, "
     "CASE WHEN n_nationkey % 5 = 2 THEN 'http://a,b.example.com' ELSE 'http://a.example.com' END AS agency_url, 'UTC' AS agency_timezone FROM {nation}")
 
@@ -37,15 +40,7 @@ def _agency_csv(spark: SparkSession, sf_dir: str) -> str:
     return "agency_id,agency_name,agency_url,agency_timezone\n" + "".join(",".join(cell(x) for x in r[1:]) + "\n" for r in rows)
 
 
-def _read(source: Callable[[SparkSession, str], str | bytes]) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        feed = read_feed(spark, source(spark, _agency_csv(spark, sf_dir)), RunOptions())
-        return feed.df("agency").select("_row", "agency_id", "agency_name", "agency_url")
-
-    return query
-
-
-def _bytes(spark: SparkSession, text: str) -> bytes:
+def _bytes(text: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("Agency.txt", "\ufeff" + text.replace("\n", "\r\n").replace("\r\nEast", "\nEast"))
@@ -53,31 +48,10 @@ def _bytes(spark: SparkSession, text: str) -> bytes:
     return out.getvalue()
 
 
-def _put(spark: SparkSession, path: str, content: bytes) -> str:
-    """Write a file where all executors see it."""
-    jvm = spark._jvm
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
-    out.write(bytearray(content))
-    out.close()
-    return path
-
-
-def _folder(spark: SparkSession, text: str) -> str:
-    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
-    folder = _put(spark, f"{folder}/agency.txt", text.encode()).rpartition("/")[0]
-    return local(folder)
-
-
-def _zip(spark: SparkSession, text: str) -> str:
-    return re.sub("^file:/+", "/", _put(spark, f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}.zip", _bytes(spark, text)))
-
-
-for _name, _source in (("source_directory", _folder), ("source_zip", _zip), ("source_bytes", _bytes)):
-    QUERIES[_name] = _read(_source)
-    ORACLE_SQL[_name] = f"""
-        WITH a AS ({AGENCY.replace('{nation}', 'nation')}), l AS (SELECT *, CASE WHEN contains(agency_name, chr(10)) THEN 2 ELSE 1 END AS lines FROM a)
-        SELECT CAST(2 + coalesce(sum(lines) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _row, agency_id, agency_name, agency_url FROM l"""
+QUERIES["source_bytes"] = lambda spark, sf_dir: read_feed(spark, _bytes(_agency_csv(spark, sf_dir)), RunOptions()).df("agency").select("_row", "agency_id", "agency_name", "agency_url")
+ORACLE_SQL["source_bytes"] = f"""
+    WITH a AS ({AGENCY.replace('{nation}', 'nation')}), l AS (SELECT *, CASE WHEN contains(agency_name, chr(10)) THEN 2 ELSE 1 END AS lines FROM a)
+    SELECT CAST(2 + coalesce(sum(lines) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _row, agency_id, agency_name, agency_url FROM l"""
 
 
 # sources that executors write: stops.txt of a row for each part, read in many small splits
@@ -116,14 +90,39 @@ def source_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.df("stops").select("_row", "stop_id", "stop_name", "stop_lat", "stop_lon")
 
 
+def _zipped(spark: SparkSession, folder: str) -> str:
+    """A zip of the folder's stops.txt beside it, packed by a task."""
+    target = f"{folder}.zip"
+
+    def run(batches):
+        for _ in batches:
+            pass
+        store, path = (pa_fs.LocalFileSystem(), folder) if "://" not in folder else pa_fs.FileSystem.from_uri(folder)
+        with store.open_input_stream(f"{path}/stops.txt") as lines, store.open_output_stream(f"{path}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open("Stops.txt", "w") as member:
+            while piece := lines.read(1 << 20):
+                member.write(piece)
+        yield pa.RecordBatch.from_arrays([pa.array([target])], names=["path"])
+
+    importable(spark)
+    return spark.range(1, numPartitions=1).mapInArrow(run, "path string").first()["path"]
+
+
+def _stops_of(source: Callable[[SparkSession, str], str]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        feed = read_feed(spark, source(spark, _stops_txt(spark, sf_dir, plain=False)), RunOptions())
+        return feed.df("stops").select("_row", "stop_id", "stop_name", "stop_lat", "stop_lon")
+
+    return query
+
+
 def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three columns of stops.txt by the Spark source, in ranges of 16 KB."""
     return read_table(spark, _stops_txt(spark, sf_dir, plain=True), "stops", ["stop_id", "stop_name", "stop_lat"], splitbytes=str(SPLIT_BYTES)).withColumnRenamed("_row", "at_byte")
 
 
 _stops = STOPS.replace("{part}", "part")
-QUERIES |= {"source_splits": source_splits, "source_table": source_table}
-ORACLE_SQL["source_splits"] = f"""
+QUERIES |= {"source_splits": source_splits, "source_table": source_table, "source_directory": _stops_of(lambda spark, folder: folder), "source_zip": _stops_of(_zipped)}
+ORACLE_SQL["source_splits"] = ORACLE_SQL["source_directory"] = ORACLE_SQL["source_zip"] = f"""
     WITH s AS ({_stops}), l AS (SELECT *, CASE WHEN contains(stop_name, chr(10)) THEN 2 ELSE 1 END AS lines FROM s)
     SELECT CAST(2 + coalesce(sum(lines) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _row, stop_id, stop_name, CAST(stop_lat AS DOUBLE) AS stop_lat, CAST(stop_lon AS DOUBLE) AS stop_lon FROM l"""
 ORACLE_SQL["source_table"] = f"""
@@ -134,7 +133,7 @@ ORACLE_SQL["source_table"] = f"""
 
 def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the reader says about the files of a feed that has one known file, and a stray one."""
-    found = read_feed(spark, _bytes(spark, _agency_csv(spark, sf_dir)), RunOptions()).notices
+    found = read_feed(spark, _bytes(_agency_csv(spark, sf_dir)), RunOptions()).notices
     return found.where("csv_row is null and field is null").select("code", "severity", "filename")
 
 
