@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..feed import Feed, RunOptions, note
@@ -62,14 +62,19 @@ def far_stops(legs: DataFrame) -> DataFrame:
     all. What the sums' rounding leaves open, and the first sure end, are added up call by call from the end backwards."""
     whole = lambda c: c % 60 == 0
     speed = C("top") / 3600.0
-    before = "over (partition by pattern order by km range between unbounded preceding and 10.0 preceding)"
     x = legs.withColumn("u", C("km") - speed * C("d")).withColumn("u_whole", F.when(whole(C("d")), C("u"))).withColumn("u_other", F.when(~whole(C("d")), C("u")))
-    x = x.withColumns({n: F.expr(f"min({n}) {before}") for n in ("u", "u_whole", "u_other")})
     end = C("km") - speed * C("a")
-    over = F.greatest(end - F.when(whole(C("a")), C("u_other")).otherwise(C("u")), F.when(whole(C("a")), end - C("u_whole") - 60 * speed))
+
+    def over(km: float) -> Column:
+        """How far the best of the starts over so many km before is above 0."""
+        least = lambda u: F.expr(f"min({u}) over (partition by pattern order by km range between unbounded preceding and {km:.6f} preceding)")
+        return F.greatest(end - F.when(whole(C("a")), least("u_other")).otherwise(least("u")), F.when(whole(C("a")), end - least("u_whole") - 60 * speed))
+
+    # what may be and what is for sure, on either side of FAR_KM and of 0
+    x = x.withColumns({"may": over(FAR_KM - ROUNDING), "is": over(FAR_KM + ROUNDING)})
     w = Window.partitionBy("pattern")
-    x = x.withColumn("over", over).withColumn("sure", F.min(F.when(C("over") > ROUNDING, C("i"))).over(w))
-    open_ = (C("over") > -ROUNDING) & (C("i") <= F.coalesce("sure", "i"))
+    x = x.withColumn("sure", F.min(F.when(C("is") > ROUNDING, C("i"))).over(w))
+    open_ = (C("may") > -ROUNDING) & (C("i") <= F.coalesce("sure", "i"))
     x = x.withColumn("ends", F.collect_list(F.when(open_, F.struct("i", "a"))).over(w)).where("size(ends) > 0")
     x = x.select("pattern", "i", "d", "leg", "top", F.explode("ends").alias("end")).where("i <= end.i")
     back = Window.partitionBy("pattern", "end.i").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
