@@ -68,9 +68,8 @@ def refine(turns: DataFrame, convs: DataFrame, folder: str) -> int:
     spark, depth = turns.sparkSession, 0
     found = convs.agg(F.min("conv_id").alias("class"), F.lit(None).cast("long").alias("parent"), F.count("*").alias("n_convs"), F.lit(0).cast("long").alias("n_chars"), F.max("length").alias("length"))
     nodes = written(found.where("n_convs > 0"), f"{folder}/nodes/depth=0")
-    if not nodes.isEmpty():
-        top = nodes.where("n_convs > 1").select("class")
-        members = written(convs.join(F.broadcast(top)), f"{folder}/members/depth=0")  # with the one row of the root
+    if root := nodes.where("n_convs > 1").first():
+        members = written(convs.withColumn("class", F.lit(root["class"])), f"{folder}/members/depth=0")
     while not nodes.where("n_convs > 1").isEmpty():
         depth += 1
         active = members.where(F.col("length") >= depth).select("conv_id", "class")
