@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoint import cut
+from ..functions.urls import once
 
 C = F.col
 RADIUS = 6_371_010.0
@@ -50,10 +51,11 @@ def segments(points: DataFrame) -> DataFrame:
     return s.where("to is not null").select("shape_id", "j", "lat", "lon", C("to.shape_pt_lat").alias("lat2"), C("to.shape_pt_lon").alias("lon2"))
 
 
-def _cells(low: list[Column], high: list[Column], size: Column) -> Column:
-    """All cells of a grid that a box touches."""
-    ranges = [F.sequence(F.floor(a / size), F.floor(b / size)) for a, b in zip(low, high, strict=True)]
-    return F.flatten(F.transform(ranges[0], lambda x: F.flatten(F.transform(ranges[1], lambda y: F.transform(ranges[2], lambda z: F.struct(x.alias("cx"), y.alias("cy"), z.alias("cz")))))))
+def _in_cells(df: DataFrame, low: list[Column], high: list[Column], size: Column) -> DataFrame:
+    """df with a row for each cell (cx, cy, cz) of a grid that a box touches."""
+    for axis, a, b in zip("xyz", low, high, strict=True):
+        df = df.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(a / size), F.floor(b / size))))
+    return df
 
 
 def _size(level: Column, cell: float) -> Column:
@@ -86,19 +88,25 @@ def within(spots: DataFrame, segs: DataFrame, cell: float = CELL) -> DataFrame:
     low, high = [F.least(x, y) - C("off") for x, y in zip(p, q, strict=True)], [F.greatest(x, y) + C("off") for x, y in zip(p, q, strict=True)]
     extent = F.greatest(*[y - x for x, y in zip(low, high, strict=True)])
     v = v.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(extent * RADIUS / cell))).cast("int"))
-    v = v.withColumn("cell", F.explode(_cells(low, high, _size(C("level"), cell)))).select("shape_id", "j", *p, *q, "off", "level", "cell.*")
+    edges = [f(c).alias(f"{n}{axis}") for f, n, side in ((F.min, "low", low), (F.max, "high", high)) for axis, c in zip("xyz", side, strict=True)]
+    # written, so that what follows is planned over columns and not over all of the above
+    v = cut(v.select("shape_id", "j", *p, *q, "off", "level", _size(C("level"), cell).alias("size")))
+    lines = v.groupBy("shape_id").agg(F.collect_set("level").alias("levels"), *edges)  # some 20 levels at most, and the box of a line
+    v = _in_cells(v, low, high, C("size")).drop("size")
 
-    levels = v.groupBy("shape_id").agg(F.collect_set("level").alias("levels"))  # some 20 at most
     s = spots.withColumns(_named("s", unit(C("lat"), C("lon")))).withColumn("r", 2 * F.sin(F.least(C("reach") / (2 * RADIUS), F.lit(1.5707963))) + SLACK)
-    s = s.join(levels, "shape_id").withColumn("level", F.explode("levels"))
     around = _axes("s")
-    s = s.withColumn("cell", F.explode(_cells([x - C("r") for x in around], [x + C("r") for x in around], _size(C("level"), cell)))).select("spot", "shape_id", *around, "r", "level", "cell.*")
+    inside = reduce(lambda x, y: x & y, [(x >= C(f"low{n}") - C("r")) & (x <= C(f"high{n}") + C("r")) for x, n in zip(around, "xyz", strict=True)])
+    s = s.join(lines, "shape_id").where(inside).withColumn("level", F.explode("levels"))  # a spot beyond its line's box looks no further
+    s = cut(s.select("spot", "shape_id", *around, "r", "level", _size(C("level"), cell).alias("size")))
+    s = _in_cells(s, [x - C("r") for x in around], [x + C("r") for x in around], C("size")).drop("size")
 
-    near = s.join(v, ["shape_id", "level", "cx", "cy", "cz"])
+    # cells grow with the lines, so neither side is sent whole to all tasks
+    near = s.join(v.hint("merge"), ["shape_id", "level", "cx", "cy", "cz"])
     to = [x - y for x, y in zip(around, p, strict=True)]
     part = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(_dot(to, piece), _dot(piece, piece)))), F.lit(0.0))
-    left = [x - part * y for x, y in zip(to, piece, strict=True)]
-    near = near.withColumn("gap", F.sqrt(_dot(left, left))).where("gap <= r + off")
+    left = lambda t: [x - t * y for x, y in zip(to, piece, strict=True)]
+    near = near.withColumn("gap", once(part, lambda t: F.sqrt(_dot(left(t), left(t))))).where("gap <= r + off")
     return near.groupBy("spot", "j").agg((F.min("gap") * RADIUS).alias("gap"), (F.min_by("off", "gap") * RADIUS).alias("off"))
 
 
@@ -122,11 +130,17 @@ def nearest(spots: DataFrame, segs: DataFrame) -> DataFrame:
         return found.join(bound, "spot").where(C("least") <= C("bound") + SLACK).select("spot", "shape_id", "x", "y", key)
 
     tops = hopeful(s.join(large, "shape_id"), "top")
-    found = hopeful(tops.join(small, ["shape_id", "top"]), "run").join(runs, ["shape_id", "run"])
-    ax, ay = C("lon2") - C("lon"), C("lat2") - C("lat")
-    part = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((C("x") - C("lon")) * ax + (C("y") - C("lat")) * ay, _square(ax, ay)))), F.lit(0.0))
-    found = found.withColumn("square", _square(C("lon") + part * ax - C("x"), C("lat") + part * ay - C("y")))
-    return found.groupBy("spot").agg(F.min_by("j", F.struct("square", "j")).alias("nearest"), F.min("square").alias("square"))
+    # a run's segments stand together, FAN at most, so that a spot and a run are one row
+    listed = runs.groupBy("shape_id", "run").agg(F.collect_list(F.struct("j", "lat", "lon", "lat2", "lon2")).alias("segs"))
+    found = hopeful(tops.join(small, ["shape_id", "top"]), "run").join(listed, ["shape_id", "run"])
+
+    def gap(g: Column) -> Column:
+        ax, ay = g["lon2"] - g["lon"], g["lat2"] - g["lat"]
+        part = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((C("x") - g["lon"]) * ax + (C("y") - g["lat"]) * ay, _square(ax, ay)))), F.lit(0.0))
+        return F.struct(_square(g["lon"] + part * ax - C("x"), g["lat"] + part * ay - C("y")).alias("square"), g["j"].alias("j"))
+
+    best = found.select("spot", F.array_min(F.transform("segs", gap)).alias("best")).groupBy("spot").agg(F.min("best").alias("best"))
+    return best.select("spot", C("best.j").alias("nearest"), C("best.square").alias("square"))
 
 
 def looked_up(spots: DataFrame, segs: DataFrame) -> DataFrame:
