@@ -580,3 +580,27 @@ def test_piece_tokens_of_every_document(spark):
     for x in piece_tokens.encode_documents(docs, piece_model(), with_ids=True).collect():
         ids = sp.encode(texts[x["doc_id"]])
         assert list(x["ids"]) == ids and x["decoded"] == sp.decode(ids)
+
+
+def test_rounds_of_components_are_short(spark):
+    """Tasks leave files and records of their own, so rounds over few links take few, however finely shuffles are dealt."""
+    links = [(i + 1, i) for i in range(40)] + [(1000 + i, 500) for i in range(60)] + [(1007, 2000), (9, 4)]
+    want = {i: 0 for i in range(41)} | {1000 + i: 500 for i in range(60)} | {500: 500, 2000: 500}
+    dealt = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in dealt}
+    for k, v in dealt.items():
+        spark.conf.set(k, v)
+    context = spark.sparkContext
+    try:
+        context.setJobGroup("components", "components")
+        got = near_dedup.components(spark.createDataFrame(links, "a long, b long").repartition(96)).collect()
+        none = near_dedup.components(spark.createDataFrame([], "a long, b long")).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r["member"]: r["class"] for r in got} == want and len(got) == len(want) and none == []
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert tasks < 2000, tasks  # 2,562 with rounds as finely dealt as the links

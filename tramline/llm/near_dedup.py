@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workers import importable
-from .common import cut, on_workers, pick, positional
+from .common import cut, on_workers, partitions, pick, positional
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 80 slots: a pair at 0.8 meets in a band with probability 0.99997.
@@ -34,6 +34,8 @@ BANDS, ROWS = 20, 4
 TURNS, BLOCK, AGREE = 2, 512, 0.6
 #: Words remembered by a task, and words signed together.
 REMEMBERED, TOGETHER = 500_000, 100_000
+#: Links of a task of components().
+LINKS_A_TASK = 50_000
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S11 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(11)
 
@@ -184,27 +186,49 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
     return on_workers(docs, run, "doc_id long, copy binary, bands array<long>, sketch binary")
 
 
+class Joined:
+    """Classes that a task has joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while (up := self.up.get(c, c)) != c:
+            c = up
+        return c
+
+    def join(self, x: int, y: int) -> None:
+        """x and y are roots."""
+        self.up[max(x, y)] = min(x, y)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """pairs(a, b) whose texts(member, text) overlap by `least` or more. The join's large keys are left to be split at run time."""
+    """links(a, b) of classes: those of pairs(a, b, class_a, class_b) whose texts(member, text) overlap by `least` or more.
+
+    What would join classes that a task has joined already is skipped. The join's large keys are left to be split at run time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, last, bag = Shingler(size), None, None
+        shingler, joined, last, bag = Shingler(size), Joined(), None, None
         for batch in batches:
             keep = []
-            for i, (b, tb, ta) in enumerate(zip(batch.column(1), batch.column(3), batch.column(2), strict=True)):
+            of_a, of_b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for i, (b, ta, tb) in enumerate(zip(batch.column(0), batch.column(3), batch.column(4), strict=True)):
+                if (x := joined.root(of_a[i])) == (y := joined.root(of_b[i])):
+                    continue
                 if (b := b.as_py()) != last:
                     last, bag = b, shingler.bag(shingler.words(tb.as_py()))
                 if overlap(shingler.bag(shingler.words(ta.as_py())), bag) >= least:
+                    joined.join(x, y)
                     keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
     both = pairs.join(texts.select(F.col("member").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("member").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    both = both.join(texts.select(F.col("member").alias("b"), F.col("text").alias("text_b")), "b").select("b", "class_a", "class_b", "text_a", "text_b")
     return on_workers(both, run, "a long, b long")
 
 
 def linked(state: DataFrame, members: DataFrame, texts: DataFrame, slots: int, size: int, least: float) -> DataFrame:
-    """links(a, b) that join members of a bucket but of different classes.
+    """links(a, b) of classes that join members of a bucket but of different classes.
 
     Tasks compare the blocks of a bucket two at a time, by sketches alone, and name the members with a partner of another class
     that agrees in AGREE of the slots; only the texts of these are fetched. Then such pairs are verified in the first
@@ -240,15 +264,10 @@ def linked(state: DataFrame, members: DataFrame, texts: DataFrame, slots: int, s
         return rows.filter(pa.array(found))
 
     def compare(rows: pa.Table) -> pa.Table:
-        member, of_class = rows.column("member").to_numpy(), rows.column("class").to_numpy()
+        of_class = rows.column("class").to_numpy()
         shingler, texts_ = Shingler(size), rows.column("text")
         bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        joined: dict[int, int] = {}  # classes joined here
-
-        def root(c: int) -> int:
-            while (up := joined.get(c, c)) != c:
-                c = up
-            return c
+        joined = Joined()
 
         def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
             if i not in bags:
@@ -258,37 +277,48 @@ def linked(state: DataFrame, members: DataFrame, texts: DataFrame, slots: int, s
         a, b = [], []
         for i, near, agree in partners(rows):
             for j in near[np.argsort(-agree[near], kind="stable")].tolist():
-                if (x := root(int(of_class[i]))) != (y := root(int(of_class[j]))) and overlap(bag(i), bag(j)) >= least:
-                    joined[max(x, y)] = min(x, y)
-                    a.append(max(member[i], member[j]))
-                    b.append(min(member[i], member[j]))
+                if (x := joined.root(int(of_class[i]))) != (y := joined.root(int(of_class[j]))) and overlap(bag(i), bag(j)) >= least:
+                    joined.join(x, y)
+                    a.append(of_class[i])
+                    b.append(of_class[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     importable(state.sparkSession)
     screened = cut(pair.groupBy("bucket", "low", "high").applyInArrow(screen, pair.schema))
-    return screened.join(texts, "member").groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return screened.join(texts, "member").groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """member, class: the least member reachable by links(a, b), for all members that have a link.
 
     Labels spread to neighbours and then jump to their label's label, so rounds grow with the logarithm of the longest chain; the
-    state of each is cut. No set of links or members is gathered anywhere.
+    state of each is cut. No set of links or members is gathered anywhere: the tasks of a round are as many as the links ask for, so that
+    rounds over few links are short and leave few files.
     """
-    edges = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    edges = cut(edges.distinct())
-    labels = cut(edges.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")).select(F.col("x").alias("member"), "label"))
+    spark = links.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, links.coalesce(partitions(spark)).count() // LINKS_A_TASK)
+    ends = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ("ab", "ba")])
+    edges = cut(links.coalesce(tasks).select(F.inline(ends)))
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("member").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("x", "member"), "member").select("member", F.least("label", "near").alias("to"), F.col("label").alias("was"))
+        if labels is None:
+            spread = edges.groupBy("x").agg(F.least("x", F.min("y")).alias("to")).select(F.col("x").alias("member"), "to", F.col("x").alias("was"))
+        else:
+            near = edges.join(labels.select(F.col("member").alias("y"), F.col("label").alias("to")), "y").select(F.col("x").alias("member"), "to", F.lit(None).cast("long").alias("was"))
+            own = labels.select("member", F.col("label").alias("to"), F.col("label").alias("was"))
+            spread = near.unionByName(own).groupBy("member").agg(F.min("to").alias("to"), F.max("was").alias("was"))
         jump = spread.select(F.col("member").alias("to"), F.col("to").alias("far"))
-        new = cut(spread.join(jump, "to").select("member", F.col("far").alias("label"), "was"))
-        changed = new.where("label <> was").limit(1).count()
+        new = cut(spread.join(jump, "to").select("member", F.col("far").alias("label"), "was").coalesce(tasks))
         labels = new.select("member", "label")
-        if not changed:
+        if new.where("label <> was").isEmpty():
             return labels.select("member", F.col("label").alias("class"))
 
 
+def renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with their `class` replaced by its class in roots(member, class), where it has one."""
+    return rows.join(roots.select(F.col("member").alias("class"), F.col("class").alias("root")), "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root")
+
+
 def near_classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, class_id, kept.
 
@@ -300,34 +330,28 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY
     signed = cut(signatures(docs, size, bands, rows))
     usable = signed.where(F.col("copy").isNotNull() & F.col("doc_id").isNotNull())
     members = cut(usable.groupBy("copy").agg(F.min("doc_id").alias("member"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
-    placed = members.select("member", F.posexplode("bands").alias("band", "key"))
-    shared = placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = cut(placed.join(shared, ["band", "key"]).select("member", "band", F.xxhash64("band", "key").alias("bucket")))
+    placed = members.select("member", F.posexplode("bands").alias("band", "key")).select("member", "band", F.xxhash64("band", "key").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = cut(placed.join(shared, "bucket"))
     wanted = buckets.select("member").distinct()
     texts = cut(docs.join(wanted, docs["doc_id"] == wanted["member"]).groupBy("member").agg(F.max("text").alias("text")))
-    links = buckets.select(F.col("member").alias("a"), F.col("member").alias("b")).limit(0)
-    classes = None
-    for turn in range(TURNS + 1):
-        if classes is None:
-            state = buckets.withColumn("class", F.col("member"))
-        else:
-            state = buckets.join(classes, "member", "left").select("member", "band", "bucket", F.coalesce("class", "member").alias("class"))
-        if turn == TURNS:
-            links = links.unionByName(linked(state, members, texts, bands * rows, size, least))
-            classes = components(links)
-            break
+    state, named = buckets.withColumn("class", F.col("member")), members.select("copy", F.col("member").alias("class"))
+    for turn in range(TURNS):
         # A pivot of each lane; lanes and pivots are dealt by hash, so that no bucket is gathered to choose them.
         lanes, order = 2**turn, F.xxhash64("bucket", "member") if turn else F.lit(0)
-        deal = F.xxhash64("member", "bucket")
-        lane = state.groupBy("bucket", F.pmod(deal, F.lit(lanes)).alias("lane")).agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min(F.struct(order.alias("order"), "member", "class")).alias("pivot"))
-        open_ = lane.groupBy("bucket").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.collect_list("pivot").alias("pivots")).where("least < most")
+        lane, pivot = F.pmod(F.xxhash64("member", "bucket"), F.lit(lanes)), F.struct(order.alias("order"), "member", "class")
+        chosen = [F.min(F.when(lane == k, pivot)) for k in range(lanes)]
+        open_ = state.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.array_compact(F.array(*chosen)).alias("pivots")).where("least < most")
         round_ = cut(state.join(open_.select("bucket", "pivots"), "bucket"))
-        pairs = round_.select("member", F.explode(F.expr("filter(pivots, p -> p.class <> class)")).alias("pivot"))
-        pairs = pairs.select(F.greatest("member", "pivot.member").alias("a"), F.least("member", "pivot.member").alias("b")).distinct()
-        links = cut(links.unionByName(verify(pairs, texts, size, least)))
-        classes = components(links)
-        buckets = round_.where("not exists(pivots, p -> p.member = member)").select("member", "band", "bucket")
-    members = members.join(classes, "member", "left").select("copy", F.coalesce("class", "member").alias("class"))
+        pairs = round_.select("member", "class", F.explode(F.expr("filter(pivots, p -> p.class <> class)")).alias("pivot"))
+        pairs = pairs.select(F.greatest("member", "pivot.member").alias("a"), F.least("member", "pivot.member").alias("b"), F.col("class").alias("class_a"), F.col("pivot.class").alias("class_b"))
+        # a pair's classes are the same in each of its buckets, but for their order
+        pairs = pairs.select("a", "b", F.greatest("class_a", "class_b").alias("class_a"), F.least("class_a", "class_b").alias("class_b")).distinct()
+        roots = components(cut(verify(pairs, texts, size, least)))
+        state = renamed(round_.where("not exists(pivots, p -> p.member = member)").select("member", "band", "bucket", "class"), roots)
+        named = renamed(named, roots)
+    roots = components(cut(linked(state, members, texts, bands * rows, size, least)))
+    members = renamed(named, roots).select("copy", "class")
     out = signed.join(members, "copy", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
