@@ -21,3 +21,20 @@ def test_rules_are_measured_in_one_run(spark, monkeypatch):
     assert sorted(map(key, result.notices)) == sorted(map(key, plain.notices)) and result.by_code("foreign_key_violation") and result.by_code("runtime_exception_in_validator_error")
     assert result.peak_memory["driver"] > 1_000_000 and plain.peak_memory
     assert runner.task_seconds(spark, "no such group") == 0
+
+
+def test_stages_that_the_store_has_dropped_count_nothing(spark):
+    context = spark.sparkContext
+    context.setJobGroup("dropped", "dropped")
+    try:
+        spark.range(1000).repartition(2).count()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert runner.task_seconds(spark, "dropped") >= 0
+    kept = context._jsc.sc().statusStore().store()
+    for job in context.statusTracker().getJobIdsForGroup("dropped"):
+        for stage in context.statusTracker().getJobInfo(job).stageIds:
+            key = context._gateway.new_array(context._jvm.int, 2)
+            key[0], key[1] = stage, 0
+            kept.delete(context._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper"), key)
+    assert runner.task_seconds(spark, "dropped") == 0
