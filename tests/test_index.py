@@ -1,9 +1,11 @@
 """The spatial index, interval joins and searches along paths, against plain loops."""
 
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tramline.operators import index, paths, shapes
 from tramline.operators.intervals import started_within
@@ -119,3 +121,58 @@ def test_nothing_to_reach(spark):
     found, rounds = paths.closure(spark.createDataFrame([("a",)], "id string"), empty)
     assert [x.id for x in found.collect()] == ["a"] and rounds <= 2
     assert paths.reach(spark.createDataFrame([], "id string"), spark.createDataFrame([("a", "b")], "src string, dst string")).count() == 0
+
+
+def zigzag(r, n):
+    """The given tables' lines: from place to place of two straight lines, so that segments come again and far spots are all but equally near to many."""
+    size = r.integers(1, 51, n)
+    return np.stack([40.1 + np.where(r.random(n) < 0.1, 0.0, size * 0.0001), -74 + size * 0.02], axis=1)
+
+
+def tables(spark, line, spots):
+    points = spark.createDataFrame([("z", k, k, float(a), float(b)) for k, (a, b) in enumerate(line)], "shape_id string, shape_pt_sequence long, _row long, shape_pt_lat double, shape_pt_lon double")
+    return spark.createDataFrame([(k, "z", *map(float, x)) for k, x in enumerate(spots)], "spot long, shape_id string, lat double, lon double, reach double"), index.segments(points)
+
+
+def test_far_from_a_zigzag(spark):
+    """100 million pairs, none of which boxes can spare; ties are told by the last bit, then by order."""
+    r = np.random.default_rng(5)
+    line, n = zigzag(r, 6_000), 17_000
+    table, segs = tables(spark, line, np.stack([40 + r.integers(0, 1000, n) * 0.01, -74 + r.integers(1, 51, n) * 0.02, np.full(n, 100.0)], axis=1))
+    began = time.perf_counter()
+    got = {x.spot: (x.nearest, x.square) for x in index.nearest(table, segs).collect()}
+    assert time.perf_counter() - began < 25 and len(got) == n
+    ends = [(*a, *b) for a, b in zip(line.tolist(), line[1:].tolist())]
+    for s in table.where("spot % 500 = 7").collect():
+        best = None
+        for j, (y1, x1, y2, x2) in enumerate(ends):
+            ax, ay = x2 - x1, y2 - y1
+            size = ax * ax + ay * ay
+            part = min(1.0, max(0.0, ((s.lon - x1) * ax + (s.lat - y1) * ay) / size)) if size else 0.0
+            px, py = x1 + part * ax - s.lon, y1 + part * ay - s.lat
+            best = min(best or (np.inf,), (px * px + py * py, j))
+        assert got[s.spot] == (best[1], best[0])
+
+
+def test_close_to_a_zigzag(spark, monkeypatch):
+    """Six million pairs, most of them within reach, in many groups and pieces; hot places."""
+    monkeypatch.setattr(index, "SPOTS", 300)
+    monkeypatch.setattr(index, "PIECE", 1_000)
+    monkeypatch.setattr(index, "PAIRS", 1 << 17)
+    r = np.random.default_rng(6)
+    line, n = zigzag(r, 3_000), 2_000
+    spots = np.stack([40.1 + r.integers(-5, 6, n) * 0.01, -74 + r.integers(1, 51, n) * 0.02, np.full(n, 25_000.0)], axis=1)
+    spots[:500] = spots[0]
+    table, segs = tables(spark, line, spots)
+    began = time.perf_counter()
+    rows = index.gaps(table, segs)
+    got = {x.spot: (x.n, x.sum) for x in rows.groupBy("spot").agg(F.count("*").alias("n"), F.sum("metres").alias("sum")).collect()}
+    assert time.perf_counter() - began < 25
+    dense = shapes.Line(line[:, 0], line[:, 1], np.full(len(line), np.nan))
+    every = [np.arange(len(line) - 1)]
+    for k in [0, 499, *range(500, n, 60)]:
+        away = np.array([dense.examined(spots[k : k + 1, :2], np.array([1e9]), [[j]], [None])[0][0][0].away for j in every[0][::37]])
+        some = {x.j: x.metres for x in rows.where(f"spot = {k} and j % 37 = 0").collect()} if k < 800 else None
+        assert some is None or some == pytest.approx({37 * i: a for i, a in enumerate(away) if a <= 25_000}, abs=1e-6)
+        assert got[k][0] == got[0][0] or k > 499
+    assert sum(n for n, _ in got.values()) > 3_000_000 and rows.select("spot", "j").distinct().count() == sum(n for n, _ in got.values())
