@@ -2,9 +2,12 @@
 
 import datetime as dt
 import itertools
+import json
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tramline.feed import Feed, complete
@@ -133,3 +136,74 @@ def test_service_window(spark):
     got = lambda *names: tuple(service_window(Feed(spark, {n: tables[n] for n in names}, {})).collect()[0])
     assert got("trips", "calendar", "calendar_dates") == (day(6), day(11))
     assert got("trips", "calendar") == (day(3), day(20)) and got("trips", "calendar_dates") == (day(4), day(12))
+
+
+ROWS = pa.schema([("shape_id", pa.string()), ("salt", pa.int32()), ("_row", pa.int64()), ("shape_pt_sequence", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("shape_dist_traveled", pa.float64()), ("reach", pa.float64()), ("near", pa.list_(pa.int32())), ("nearest", pa.int32())])
+CALLS = pa.schema([("shape_id", pa.string()), ("salt", pa.int32()), ("trip_id", pa.string()), ("trip_row", pa.int64()), ("route_type", pa.int32()), ("calls", pa.list_(pa.struct([(n, pa.int64()) for n in ("stop_sequence", "r")] + [("s", pa.string()), *[(n, pa.float64()) for n in ("lat", "lon", "d")], ("name", pa.string())])))])
+
+
+def group(points, users, patterns):
+    """What a task gets: points, places with all segments as candidates or the nearest one alone, and patterns of (route type, [(stop, lat, lon, distance)])."""
+    line = shapes.Line(points[:, 0], points[:, 1], users)
+    rows = [("x", 0, k, k, float(a), float(b), None if math.isnan(u) else float(u), None, None, None) for k, ((a, b), u) in enumerate(zip(points, users))]
+    calls, places = [], {}
+    for k, (kind, stops) in enumerate(patterns):
+        calls.append(("x", 0, f"t{k}", 1000 + k, kind, [{"stop_sequence": i, "r": 100 * k + i, "s": s, "lat": lat, "lon": lon, "d": d, "name": s} for i, (s, lat, lon, d) in enumerate(stops)]))
+        known = [x for x in stops if x[1] is not None]
+        for i, (_, lat, lon, _) in enumerate(known):
+            places[lat, lon, 400.0 if kind == 2 and i in (0, len(known) - 1) else 100.0] = None
+    for lat, lon, reach in places:
+        (found, one), = line.examined(np.array([[lat, lon]]), np.array([reach]))
+        rows.append(("x", 0, None, None, lat, lon, None, reach, list(range(len(line.a))) if found else [], None if found else one.index))
+    table = lambda rows, schema: pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema)], schema=schema)
+    return line, table(rows, ROWS), table(calls, CALLS)
+
+
+def by_pattern(line, patterns):
+    """The same, pattern by pattern; a stop is too far once."""
+    told = set()
+    for k, (kind, stops) in enumerate(patterns):
+        known = [(100 * k + i, *x) for i, x in enumerate(stops) if x[1] is not None]
+        for code, i, j, value, m, before in shapes.match(line, np.array([x[2:4] for x in known]).reshape(-1, 2), np.array([x[4] or 0.0 for x in known]), kind == 2):
+            if code.startswith("stop_too_far"):
+                if known[i][1] in told:
+                    continue
+                told.add(known[i][1])
+            at = lambda m: None if m is None else json.dumps(shapes.degrees(m.at))
+            yield code, f"t{k}", known[i][0], known[i][1], known[j][0] if j >= 0 else None, known[j][1] if j >= 0 else None, value, json.dumps(list(known[i][2:4])), at(m), at(before), m.index
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_patterns_together_as_one_by_one(seed):
+    r = np.random.default_rng(1000 + seed)
+    n = int(r.integers(1, 12))
+    points = np.cumsum(r.normal(0, 0.002, (n, 2)), axis=0) + [40.7, -74.0]
+    users = np.where(r.random(n) < 0.2, np.nan, np.cumsum(r.uniform(-1, 3, n))) if seed % 4 else np.full(n, np.nan)
+    at = points[r.integers(0, n, 30)] + r.normal(0, 1, (30, 2)) * r.choice([0.0002, 0.003], (30, 1))
+    blank = [*r.choice([0.0, 0.1, 0.5], 3)]
+    patterns = []
+    for _ in range(60):
+        some = r.integers(0, 30, r.integers(0, 7))
+        few = r.choice(blank)
+        far = sorted(r.uniform(0, 2 * n, len(some))) if r.random() < 0.7 else r.uniform(0, 2 * n, len(some))
+        patterns.append((int(r.choice([2, 3])), [(f"s{k % 25}", *((None, None) if k == 29 else map(float, at[k])), None if r.random() < few else float(d)) for k, d in zip(some, far)]))
+    line, rows, calls = group(points, users, patterns)
+    got = shapes._of_shape(rows, calls).to_pylist()
+    want = list(by_pattern(line, patterns))
+    short = lambda rows: sorted((*x[:6], round(x[6], 4), x[7], x[10]) for x in [(*y[:4], y[4] or -1, y[5] or "", *y[6:]) for y in rows])
+    assert short([tuple(x[c] for c in ("code", "trip_id", "r", "s", "r1", "s1", "value", "place", "match", "match1", "index")) for x in got]) == short(want)
+    near = lambda text: text and [round(x, 6) for x in json.loads(text)]
+    assert sorted((x["trip_id"], x["r"], x["code"], str(near(x["match"])), str(near(x["match1"]))) for x in got) == sorted((x[1], x[2], x[0], str(near(x[8])), str(near(x[9]))) for x in want)
+    assert all(x["name"] == x["s"] and x["name1"] == x["s1"] and json.loads(x["path"]) == line.path(x["index"]) for x in got)
+
+
+def test_many_patterns_of_a_shape():
+    """20,000 patterns, whose stops are far from the shape, in one pass."""
+    r = np.random.default_rng(3)
+    points = np.stack([40 + r.normal(0, 0.01, 300), -74 + r.uniform(0, 1, 300)], axis=1)
+    places = [(float(a), float(b)) for a, b in np.stack([r.uniform(42, 50, 400), r.uniform(-74, -73, 400)], axis=1)]
+    patterns = [(3, [(f"s{k}", *places[k], float(50 + 100 * i)) for i, k in enumerate(r.integers(0, 400, 5).tolist())]) for _ in range(20_000)]
+    line, rows, calls = group(points, np.arange(300.0), patterns)
+    began = time.perf_counter()
+    got = shapes._of_shape(rows, calls)
+    assert time.perf_counter() - began < 4 and got.num_rows == 400 and set(got.column("code").to_pylist()) == {"stop_too_far_from_shape"}
