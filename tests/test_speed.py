@@ -1,10 +1,16 @@
 """Far stops against plain loops, long patterns, and hot blocks."""
 
+import os
 import random
 import time
 
+import pytest
+
+from tramline import synth
+from tramline.operators import all_rules
 from tramline.operators.intervals import started_within
 from tramline.operators.space import far_stops
+from tramline.plans.runner import run_rule
 
 LEGS = "pattern string, i int, d int, a int, leg double, km double, top double"
 
@@ -64,3 +70,17 @@ def test_hot_block(spark):
     got = started_within(spans, ["g"], "s", "e", "id")
     assert got.count() == 200
     assert [x.simpleString() for x in got.schema.fields][:1] == ["g:string"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_calls_are_shuffled_by_stop_and_by_trip_alone(spark):
+    """As where no table is small enough to broadcast: a wide row for each call is not dealt by pattern, by either call's stop or over and over again."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = run_rule(synth.feed(spark, "/root/testdata/sf0.001"), all_rules()["StopTimeTravelSpeedValidator"], synth.OPTIONS)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line}
+    assert "trip_id" in keys and keys <= {"trip_id", "stop_id", "route_id", "l_orderkey", "s0", "p0", "p1", "s1", "s2"}

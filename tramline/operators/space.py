@@ -85,32 +85,31 @@ def far_stops(legs: DataFrame) -> DataFrame:
 
 @rule("StopTimeTravelSpeedValidator", needs="stop_times trips routes stops", gated="stop_times trips routes stops")
 def travel_speed(feed: Feed, options: RunOptions):
-    routes = last_by(feed.df("routes"), "route_id", "route_type")
-    trips = last_by(feed.df("trips"), "trip_id", "route_id", "_row").withColumnRenamed("_row", "trip_row").join(routes, "route_id")
-    st = feed.df("stop_times").where(full(C("trip_id"))).select("trip_id", "stop_sequence", "_row", "stop_id", C("arrival_time").alias("arr"), C("departure_time").alias("dep"))
-    names = F.max_by("stop_name", "_row")
-    stops = feed.df("stops").where(full(C("stop_id"))).groupBy("stop_id").agg(names.alias("stop_name"), F.max_by("stop_lat", "_row").alias("la"), F.max_by("stop_lon", "_row").alias("lo"))
-    # a trip's ordered calls decide its findings: each distinct pattern of a route is examined once
-    whole = st.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("stop_sequence", "_row", "stop_id", "arr", "dep"))).alias("rows"))
-    calls = F.transform("rows", lambda x: F.struct(x["stop_id"].alias("s"), x["arr"].alias("a"), x["dep"].alias("d")))
-    sig = whole.where("size(rows) > 1").withColumn("calls", calls).join(trips, "trip_id")
-    sig = sig.withColumn("pattern", F.sha2(F.concat(F.col("route_id"), F.lit("|"), F.to_json("calls")), 256))
-    one = sig.groupBy("pattern").agg(F.min_by("calls", "trip_id").alias("calls"), F.min("route_type").alias("route_type"))
-    legs = one.select("pattern", "route_type", F.posexplode("calls").alias("i", "c")).select("pattern", "route_type", "i", "c.s", "c.a", "c.d")
-    legs = legs.join(located(feed).select(C("stop_id").alias("s"), "at"), "s", "left").withColumn("at", F.coalesce("at", F.struct(F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))))
+    # a call takes all that is said of it along: one shuffle by stop, one by trip, and nothing that is wide is joined after that
+    routes = last_by(feed.df("routes"), "route_id", "route_type").withColumn("known", F.lit(True))
+    trips = feed.df("trips").select("trip_id", "route_id", "_row").join(routes, "route_id", "left")
+    trips = last_by(trips.withColumn("route", F.struct("route_id", "route_type", "known", C("_row").alias("trip_row"))), "trip_id", "route").where("route.known")
+    stops = feed.df("stops").where(full(C("stop_id"))).groupBy("stop_id").agg(F.max_by("stop_name", "_row").alias("name"), F.max_by("stop_lat", "_row").alias("la"), F.max_by("stop_lon", "_row").alias("lo"))
+    stops = stops.select("stop_id", "name", F.expr("(la is null or abs(la) <= 90) and (lo is null or abs(lo) <= 180)").alias("placed")).join(located(feed), "stop_id")
+    st = feed.df("stop_times").where(full(C("trip_id"))).select("trip_id", "stop_sequence", "_row", "stop_id", C("arrival_time").alias("a"), C("departure_time").alias("d")).join(stops, "stop_id", "left")
+    whole = st.groupBy("trip_id").agg(F.sort_array(F.collect_list(F.struct("stop_sequence", "_row", "stop_id", "a", "d", C("at.lat").alias("lat"), C("at.lon").alias("lon"), "name", "placed"))).alias("rows"))
+    whole = whole.where("size(rows) > 1").join(trips, "trip_id")
+    place = lambda c: [F.coalesce(C(f"{c}.{x}"), F.lit(0.0)) for x in ("lat", "lon")]
+    top = max_speed(C("route.route_type")).alias("top")
+    pairs = F.arrays_zip(F.slice("rows", 1, F.size("rows") - 1).alias("c1"), F.slice("rows", 2, F.size("rows") - 1).alias("c2"))
+    near = whole.select("trip_id", "route", top, F.inline(pairs)).where("c1.d is not null and c2.a is not null")
+    near = near.withColumn("dist", haversine(*place("c1"), *place("c2"), 6371.0)).withColumn("kph", speed_kph(C("dist"), C("c1.d"), C("c2.a"))).where("kph > top")
+    near = near.select("trip_id", "route", "kph", "dist", "c1", "c2")
+    # each trip by itself, without what is only told of its calls
     w = Window.partitionBy("pattern").orderBy("i")
-    legs = legs.withColumn("q", F.lag("at").over(w)).withColumn("leg", F.when(C("q").isNull(), 0.0).otherwise(haversine(C("q.lat"), C("q.lon"), C("at.lat"), C("at.lon"), 6371.0)))
-    legs = legs.withColumn("km", F.sum("leg").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("top", max_speed(C("route_type"))).withColumn("pd", F.lag("d").over(w))
-    near = legs.where("i > 0 and pd is not null and a is not null").withColumn("kph", speed_kph(C("leg"), C("pd"), C("a"))).where("kph > top")
-    near = near.select("pattern", (C("i") - 1).alias("i1"), C("i").alias("i2"), "kph", C("leg").alias("dist"), F.lit("fast_travel_between_consecutive_stops").alias("code"))
-    far = far_stops(legs)
-    rows = near.unionByName(far).join(sig.select("pattern", "trip_id", "route_id", "trip_row", "rows"), "pattern")
-    known = stops.where("(la is null or abs(la) <= 90) and (lo is null or abs(lo) <= 180)")
-    for k, t in ((1, "dep"), (2, "arr")):
-        rows = rows.withColumn("c", F.element_at("rows", C(f"i{k}") + 1))
-        rows = rows.withColumns({f"row{k}": C("c._row"), f"seq{k}": C("c.stop_sequence"), f"stop{k}": C("c.stop_id"), f"t{k}": C(f"c.{t}")})
-        rows = rows.join(known.select(C("stop_id").alias(f"stop{k}"), C("stop_name").alias(f"name{k}")), f"stop{k}")
+    legs = whole.select(C("trip_id").alias("pattern"), top, F.posexplode("rows").alias("i", "c")).select("pattern", "top", "i", "c.a", "c.d", F.struct("c.lat", "c.lon").alias("at"))
+    legs = legs.withColumn("q", F.lag("at").over(w)).withColumn("leg", F.when(C("q").isNull(), 0.0).otherwise(haversine(*place("q"), *place("at"), 6371.0))).drop("q", "at")
+    legs = legs.withColumn("km", F.sum("leg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    far = far_stops(legs).withColumnRenamed("pattern", "trip_id").join(whole, "trip_id")
+    far = far.select("trip_id", "route", "kph", "dist", F.element_at("rows", C("i1") + 1).alias("c1"), F.element_at("rows", C("i2") + 1).alias("c2"))
+    # one plan for each code: a filter by code would not spare the other's
+    told = lambda rows: rows.where("c1.placed and c2.placed").select("kph", "dist", "trip_id", "route.trip_row", "route.route_id", *[C(f"c{k}.{c}").alias(f"{n}{k}") for k, t in ((1, "d"), (2, "a")) for c, n in (("_row", "row"), ("stop_sequence", "seq"), ("stop_id", "stop"), ("name", "name"), (t, "t"))])
     context = {"tripCsvRowNumber": C("trip_row"), "tripId": C("trip_id"), "routeId": C("route_id"), "speedKph": C("kph"), "distanceKm": C("dist")}
     for k, t in ((1, "departureTime1"), (2, "arrivalTime2")):
         context |= {f"csvRowNumber{k}": C(f"row{k}"), f"stopSequence{k}": C(f"seq{k}"), f"stopId{k}": C(f"stop{k}"), f"stopName{k}": C(f"name{k}"), t: clock(C(f"t{k}"))}
-    return [note(rows.where(C("code") == c), c, "WARNING", "trips", context, row="trip_row") for c in ("fast_travel_between_consecutive_stops", "fast_travel_between_far_stops")]
+    return [note(told(rows), f"fast_travel_between_{which}_stops", "WARNING", "trips", context, row="trip_row") for rows, which in ((near, "consecutive"), (far, "far"))]
