@@ -123,6 +123,24 @@ def test_nothing_to_reach(spark):
     assert paths.reach(spark.createDataFrame([], "id string"), spark.createDataFrame([("a", "b")], "src string, dst string")).count() == 0
 
 
+def test_what_leads_to_known_nodes_is_dropped(spark, monkeypatch):
+    """Stations of 12 places, each with ways to all others of its station: one step from the doors, no path is left, and none is doubled."""
+    written = []
+    monkeypatch.setattr(paths, "cut", lambda df, cut=paths.cut: written.append((df.columns, (out := cut(df)).count())) or out)
+    places = spark.range(50 * 12).selectExpr("id", "id div 12 as station")
+    edges = places.selectExpr("id as src", "station").join(places.selectExpr("id as dst", "station"), "station").where("src <> dst").select("src", "dst")
+    found, rounds = paths.closure(places.where("id % 12 = 0").select("id"), edges)
+    assert sorted(x.id for x in found.collect()) == list(range(50 * 12)) and rounds == 2
+    assert [n for columns, n in written if "src" in columns] == [50 * 12 * 11, 50 * 11 * 11, 0]
+
+
+def test_nulls_and_repeats_in_paths(spark):
+    seeds = [("f", "a"), ("f", "a"), ("f", None), (None, "a"), ("b", "lone")]
+    edges = [("f", "a", "b"), ("f", "a", "b"), ("f", "b", None), ("f", None, "x"), ("f", "b", "c"), ("f", "c", "a"), (None, "a", "y"), ("b", "a", "b"), ("f", "d", "e")]
+    found = paths.reach(spark.createDataFrame(seeds, "way string, id string"), spark.createDataFrame(edges, "way string, src string, dst string"), "way")
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("f", "a"), ("f", "b"), ("f", "c"), ("f", None), (None, "a"), ("b", "lone")]))
+
+
 def zigzag(r, n):
     """The given tables' lines: from place to place of two straight lines, so that segments come again and far spots are all but equally near to many."""
     size = r.integers(1, 51, n)
