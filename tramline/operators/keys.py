@@ -77,7 +77,7 @@ def checked_edges(feed: Feed, options: RunOptions) -> list[tuple[str, str, str,
 
 @rule("ReferentialIntegrityValidator")
 def referential_integrity(feed: Feed, options: RunOptions):
-    """One scan of each table, and one anti-join of all references with all keys."""
+    """One scan of each table, and one join of all references with all keys."""
     edges = checked_edges(feed, options)
     if not edges:
         return None
@@ -90,7 +90,9 @@ def referential_integrity(feed: Feed, options: RunOptions):
 
     children = [stacked(t, [(e, keys.index((p, k)), f) for e, (c, f, p, k) in enumerate(edges) if c == t]) for t in dict.fromkeys(c for c, _, _, _ in edges)]
     parents = [stacked(t, [(0, i, k) for i, (p, k) in enumerate(keys) if p == t]) for t in dict.fromkeys(p for p, _ in keys)]
-    lost = reduce(DataFrame.unionAll, children).join(reduce(DataFrame.unionAll, parents).select("key", "value").distinct(), ["key", "value"], "left_anti")
+    known = reduce(DataFrame.unionAll, parents).select("key", "value").distinct().withColumn("known", F.lit(True))
+    # not as an anti-join: Spark would push that into the union, so that each task sorts all keys again for each child table
+    lost = reduce(DataFrame.unionAll, children).join(known, ["key", "value"], "left").where("known is null")
     of = lambda said: F.element_at(F.array(*[F.lit(said(*e)) for e in edges]), F.col("edge") + 1)
     child, field = of(lambda c, f, p, k: file_of(c)), of(lambda c, f, p, k: f)
     context = {"childFilename": child, "childFieldName": field, "parentFilename": of(lambda c, f, p, k: file_of(p)), "parentFieldName": of(lambda c, f, p, k: k), "fieldValue": F.col("value")}
